@@ -16,14 +16,24 @@ import oracle_sql_defs as O
 from caseledger.functions import names as N
 from caseledger.operators import classify as C
 from caseledger.operators import parse as P
+from caseledger.operators import export as X
+from caseledger.operators import reports as R
+from caseledger.operators import upsert as U
 from caseledger.operators.group import group_cases, record_counts
 from caseledger.plans.scans import classified_scan, token_scan
 from caseledger.schema import KEY
+from caseledger.functions import files as FF
 from caseledger.sources import fixture
+from caseledger.sources import hierarchy as H
+from caseledger.sources import listing as L
 from caseledger.sources.rules import shipped_rules
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 LIMIT_N = 100
+FIRST_CLIENTS_N = 50
+TOP_K = 10
+CF_COLS = ["root", "client_folder", "case_folder", "file_name", "file_path", "entry_is_folder"]
+ORDER = ["root", "client_number", "case_no", "client_name", "case_name", "tm_no", "class_code"]
 
 
 def _cf(spark: SparkSession, sf: str) -> DataFrame:
@@ -108,6 +118,145 @@ def q_rule_hits_long(spark, sf):
     return C.rule_hits_long(recs, O.RULE_NAMES, ["root", *KEY])
 
 
+# -------------------------------------------------- listing-based queries --
+
+def _listing(spark, sf):
+    return L.not_trashed(fixture.listing(spark, sf))
+
+
+def q_not_trashed(spark, sf):
+    return _listing(spark, sf).drop("source")
+
+
+def q_file_parts(spark, sf):
+    f = L.files_only(_listing(spark, sf))
+    name = F.col("name")
+    return f.select("id", "name", FF.file_stem(name).alias("stem"), FF.file_ext(name).alias("ext"),
+                    FF.file_extension(name).alias("extension"),
+                    FF.file_url(F.col("id"), F.col("source")).alias("url"),
+                    FF.is_noise_file(name).alias("is_noise"), "size", "created_time",
+                    "modified_time")
+
+
+def q_scan_roots(spark, sf):
+    lst = fixture.listing(spark, sf)
+    parts = [(r, lst.where(F.col("root") == r).drop("root")) for r in ("clients", "consultants")]
+    both, _ = L.scan_roots(parts + [("missing", None)])
+    return both.groupBy("root", "is_folder").agg(F.count("*").alias("entries"))
+
+
+def _hier(mode):
+    def run(spark, sf):
+        return H.hierarchy_by_path(_listing(spark, sf), mode).select(*CF_COLS)
+    return run
+
+
+def q_hierarchy_parent(spark, sf):
+    return H.hierarchy_by_parent(_listing(spark, sf)).select(*CF_COLS)
+
+
+def _listing_scan(mode):
+    def run(spark, sf):
+        cf = H.hierarchy_by_path(_listing(spark, sf), mode)
+        return group_cases(cf, mode=mode).select("root", *KEY, "files", "ext", "n_folders", "n_files")
+    return run
+
+
+def q_first_clients(spark, sf):
+    return L.first_clients(_cf(spark, sf), FIRST_CLIENTS_N)
+
+
+# --------------------------------------------------------------- reports --
+
+def _diag(spark, sf):
+    return R.folder_diagnosis(_cf(spark, sf))
+
+
+def _scan_cols(df, dated=("date_added", "updated_on")):
+    return df.select("root", *KEY, "files", "ext", *_rule_cols(), *[d for d in dated if d in df.columns])
+
+
+def q_compare_exports(spark, sf):
+    a = _scan_cols(classified_scan(_cf(spark, sf)))
+    b = _scan_cols(token_scan(_cf(spark, sf)))
+    return R.compare_exports(a, b)
+
+
+def q_duplicate_keys(spark, sf):
+    return R.duplicate_keys(classified_scan(_cf(spark, sf)))
+
+
+def q_validation_summary(spark, sf):
+    return R.validation_summary(_diag(spark, sf))
+
+
+def q_naming_signatures(spark, sf):
+    return R.naming_signatures(_diag(spark, sf), TOP_K)
+
+
+def q_compare_parsers(spark, sf):
+    return R.compare_parsers(_cf(spark, sf))
+
+
+def q_warnings_table(spark, sf):
+    return R.warnings_table(_diag(spark, sf))
+
+
+def q_failures_table(spark, sf):
+    return R.failures_table(_diag(spark, sf))
+
+
+def _inventory(i):
+    def run(spark, sf):
+        return R.inventory(_listing(spark, sf))[i]
+    return run
+
+
+def q_inventory_report(spark, sf):
+    return R.inventory_report(*R.inventory(_listing(spark, sf)))
+
+
+def q_duplicate_tm(spark, sf):
+    cases = R.inventory(_listing(spark, sf))[1]
+    return R.duplicate_tm(cases).select("tm_no", "folders", "root", "client_id", "case_folder")
+
+
+# ---------------------------------------------------------- export, sinks --
+
+def q_export_projection(spark, sf):
+    return X.project_export(classified_scan(_cf(spark, sf)), shipped_rules())
+
+
+def q_quick_export(spark, sf):
+    return X.quick_export(classified_scan(_cf(spark, sf)))
+
+
+def q_sort_records(spark, sf):
+    return X.sort_records(_scan_cols(classified_scan(_cf(spark, sf))))
+
+
+def q_upsert_cases(spark, sf):
+    e = _scan_cols(classified_scan(_cf(spark, sf)))
+    i = _scan_cols(token_scan(_cf(spark, sf)))
+    return U.upsert_cases(e, i, key="case_no", order_by=ORDER, keep_position=False)
+
+
+def q_upsert_counts(spark, sf):
+    e = classified_scan(_cf(spark, sf))
+    i = token_scan(_cf(spark, sf))
+    return U.upsert_counts(e, i, key="case_no")
+
+
+def q_evolve_schema(spark, sf):
+    """A table written with the first 10 rules meets a batch with all 15."""
+    rules = shipped_rules()
+    base = ["root", *KEY, "files", "ext"]
+    old = classified_scan(_cf(spark, sf), rules=rules[:10]).select(
+        *base, *[F.col(f"`{r['name']}`") for r in rules[:10]])
+    new = classified_scan(_cf(spark, sf), rules=rules).select(*base, *_rule_cols())
+    return U.evolve_schema(old, new)
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_clients_legacy": q_parse_clients_legacy,
     "parse_clients_token": q_parse_clients_token,
@@ -125,6 +274,35 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_scan": q_token_scan,
     "rule_hits": q_rule_hits,
     "rule_hits_long": q_rule_hits_long,
+    "not_trashed": q_not_trashed,
+    "file_parts": q_file_parts,
+    "scan_roots": q_scan_roots,
+    "hierarchy_deep": _hier("deep"),
+    "hierarchy_strict": _hier("strict"),
+    "hierarchy_token": _hier("token"),
+    "hierarchy_parent": q_hierarchy_parent,
+    "listing_scan_strict": _listing_scan("strict"),
+    "listing_scan_deep": _listing_scan("deep"),
+    "listing_scan_token": _listing_scan("token"),
+    "first_clients": q_first_clients,
+    "compare_exports": q_compare_exports,
+    "duplicate_keys": q_duplicate_keys,
+    "validation_summary": q_validation_summary,
+    "naming_signatures": q_naming_signatures,
+    "compare_parsers": q_compare_parsers,
+    "warnings_table": q_warnings_table,
+    "failures_table": q_failures_table,
+    "inventory_clients": _inventory(0),
+    "inventory_cases": _inventory(1),
+    "inventory_files": _inventory(2),
+    "inventory_report": q_inventory_report,
+    "duplicate_tm": q_duplicate_tm,
+    "export_projection": q_export_projection,
+    "quick_export": q_quick_export,
+    "sort_records": q_sort_records,
+    "upsert_cases": q_upsert_cases,
+    "upsert_counts": q_upsert_counts,
+    "evolve_schema": q_evolve_schema,
 }
 
 
@@ -198,5 +376,209 @@ def _with_scan(scan: str, body: str) -> str:
             f"scan as ({scan})\n{body}")
 
 
+def _oracle_more() -> dict[str, str]:
+    key = O.KEY
+    flags = ", ".join(f'"{n}"' for n in O.RULE_NAMES)
+    scan_a = f"""select root, {key}, files, ext, {O.flag_columns()}, {O.AS_OF_DAY} as date_added,
+  {O.AS_OF_DAY} as updated_on
+from (select *, replace(files, chr(10), ' ') as _txt from ({O.records('strict', 'legacy')}) r0) r1"""
+    scan_b = f"""select root, {key}, files, ext, {O.flag_columns()}, {O.AS_OF_TS} as date_added
+from (select *, replace(files, chr(10), ' ') as _txt from ({O.records('token', 'token')}) r0) r1"""
+    cf_ctes = f"with cf as ({fixture.CASE_FILES_SQL}),\nkf as ({O.KEPT_FILES}),\n"
+    two = cf_ctes + f"sa as ({scan_a}),\nsb as ({scan_b})\n"
+    listing = f"with lst as ({fixture.LISTING_SQL}),\nnt as (select *, string_split(path, '/') as parts from lst where not trashed)"
+
+    def lscan(mode, parser):
+        return (f"{listing},\nhcf as ({O.hierarchy(mode)}),\nhkf as ({O.kept_files('hcf')})\n"
+                f"select root, {key}, files, ext, n_folders, n_files from ({O.records(mode, parser, 'hcf', 'hkf')}) r")
+
+    # One row per key and side, greatest row by the compared columns.
+    cmp_cols = ["root", "client_name", "case_name", "files", "ext"] + O.RULE_NAMES
+    st = ", ".join(f"'{c}': \"{c}\"" for c in cmp_cols)
+    diffs = ", ".join(f"case when a['{c}'] is distinct from b['{c}'] then '{c}' end" for c in cmp_cols)
+    ck = "client_number, case_no, tm_no, class_code"
+    compare = two + f""", ra as (select {ck}, count(*) as n_a, max({{{st}}}) as a from sa group by all),
+rb as (select {ck}, count(*) as n_b, max({{{st}}}) as b from sb group by all)
+select {ck},
+  case when a is null then 'Added' when b is null then 'Removed'
+       when concat_ws(', ', {diffs}) <> '' then 'Changed' else 'Identical' end as status,
+  case when a is null or b is null then '' else concat_ws(', ', {diffs}) end as changed_columns,
+  coalesce(n_a, 0) as n_a, coalesce(n_b, 0) as n_b
+from ra full join rb using ({ck})"""
+
+    # folder diagnosis (token parser) shared by D3, D4, D10
+    fd = """select root, client_folder, case_folder,
+  count(file_name) filter (where lower(file_name) <> 'desktop.ini') as n_files
+from cf where case_folder is not null group by all"""
+    dg = O.token_case(O.token_client(fd))
+    diag = cf_ctes.replace(",\n", ",\n", 1) + f"dg as ({dg})\n"
+    summary = diag + """, pk as (select client_number, case_no, tm_no, class_code, count(*) as n,
+  count(*) filter (where case_no <> '' and tm_no <> '' and class_code <> '') as ok,
+  count(*) filter (where case_no = '') as failures,
+  count(*) filter (where case_no <> '' and (tm_no = '' or class_code = '')) as warnings,
+  count(*) filter (where n_files = 0) as empty,
+  count(*) filter (where tm_no = '') as missing_tm,
+  count(*) filter (where class_code = '') as missing_class,
+  count(*) filter (where case_no = '') as missing_case_no
+  from dg group by all),
+t as (select cast(sum(n) as bigint) as cases, cast(sum(ok) as bigint) as ok,
+  cast(sum(failures) as bigint) as failures, cast(sum(warnings) as bigint) as warnings,
+  cast(sum(empty) as bigint) as empty, cast(sum(missing_tm) as bigint) as missing_tm,
+  cast(sum(missing_class) as bigint) as missing_class,
+  cast(sum(missing_case_no) as bigint) as missing_case_no,
+  cast(sum(n - 1) as bigint) as duplicates from pk)
+select *, round(100.0 * ok / cases, 1) as ok_pct, round(100.0 * failures / cases, 1) as failures_pct,
+  round(100.0 * warnings / cases, 1) as warnings_pct, round(100.0 * missing_tm / cases, 1) as missing_tm_pct,
+  round(100.0 * missing_class / cases, 1) as missing_class_pct,
+  round(100.0 * missing_case_no / cases, 1) as missing_case_no_pct
+from t"""
+    sig = f"""select array_to_string(list_transform(range(1, len(_t) + 1), lambda i:
+    '[' || case when _ty[i] = 'WORD' and _t[i] = upper(_t[i]) then 'UPPER' else _ty[i] end || ']'), ' ') as signature,
+  case_folder
+from ({O.typed("select * from dg where case_no = ''", 'case_folder')}) s"""
+    signatures = diag + f"""select signature, count(*) as folders, min(case_folder) as example
+from ({sig}) x group by signature order by folders desc, signature limit {TOP_K}"""
+    cols10 = "root, client_folder, case_folder as folder_name, case_no, case_name, tm_no, class_code"
+    warn = diag + f"""select {cols10}, unnest(list_filter([case when tm_no = '' then '{N.TM_WARNING}' end,
+  case when class_code = '' then '{N.CLASS_WARNING}' end], lambda m: m is not null)) as message
+from dg where case_no <> '' and (tm_no = '' or class_code = '')"""
+    fail = diag + f"select {cols10}, '{N.CASE_ISSUE}' as message from dg where case_no = ''"
+
+    # D5
+    folders = "select distinct root, client_folder, case_folder from cf where case_folder is not null"
+    lg = f"""select root, client_folder, case_folder, case_no as legacy_case_no, case_name as legacy_case_name,
+  tm_no as legacy_tm_no, class_code as legacy_class_code from ({O.legacy_case(folders)}) l"""
+    ntm = "len(list_filter(" + O.tokens("case_folder") + ", lambda x: regexp_full_match(x, '\\d{6}')))"
+    fields = ["case_no", "case_name", "tm_no", "class_code"]
+    regression = " or ".join(f"(legacy_{f} <> '' and {f} = '')" for f in fields)
+    same = " and ".join(f"legacy_{f} = {f}" for f in fields)
+    parsers = cf_ctes.rstrip(",\n") + f"""
+select bucket, count(*) as folders from (
+  select case when {regression} then 'regression' when {ntm} >= 2 then 'ambiguous'
+    when legacy_case_no = '' and case_no <> '' then 'case_no_recovered'
+    when legacy_case_name <> case_name then 'case_name_fixed'
+    when {same} then 'identical' else 'other' end as bucket
+  from ({O.token_case(lg)}) t) b group by bucket"""
+
+    # D6-D9 (inventory over the listing)
+    tree = O.with_tree
+    inv_clients = tree(O.token_client(
+        "select root, client_id, client_folder, parent_id, created_time, modified_time from cl"))
+    case_src = """select f.root, f.id as case_id, f.parent_id as client_id, f.name as case_folder,
+  f.created_time, f.modified_time from nt f
+where f.is_folder and exists (select 1 from cl where cl.client_id = f.parent_id)"""
+    ctype = f"""case when regexp_matches(case_folder, '(?i)\\b(OPPO|RECTIFICATION|DISPUTE)\\b') or {ntm} >= 2
+    then '{R.CASE_TYPES[3]}' when regexp_matches(case_folder, '(?i)\\bNTN\\b') then '{R.CASE_TYPES[2]}'
+    when {ntm} = 0 then '{R.CASE_TYPES[1]}' else '{R.CASE_TYPES[0]}' end"""
+    cases_sql = f"select *, {ctype} as case_type from ({O.token_case(case_src)}) c"
+    files_sql = f"""select f.root, f.id as file_id, f.parent_id as case_id, f.name as file_name,
+  case when contains(f.name, '.') then lower(string_split(f.name, '.')[-1]) else '' end as extension,
+  f.mime_type, f.size,
+  case when f.source = 'drive' and f.id <> '' then '{O.URL_PREFIX}' || f.id || '/view' else '' end as url,
+  f.created_time, f.modified_time
+from nt f where not f.is_folder and exists (select 1 from ({cases_sql}) c where c.case_id = f.parent_id)"""
+    metrics = [("total_cases", "cast(total_cases as double)", "''"),
+               ("missing_tm", "cast(mt as double)", "''"),
+               ("missing_tm_pct", "round(100.0 * mt / total_cases, 1)", "''"),
+               ("missing_class", "cast(mc as double)", "''"),
+               ("missing_class_pct", "round(100.0 * mc / total_cases, 1)", "''"),
+               ("empty_cases", "cast(ec as double)", "''"),
+               ("largest_case_files", "cast(lg['n_files'] as double)", "lg['case_folder']"),
+               ("avg_files_per_case", "round(tf / total_cases, 2)", "''")]
+    metrics += [(f"case_type:{t}", f"cast(t{i} as double)", "''") for i, t in enumerate(R.CASE_TYPES)]
+    rows = "\nunion all ".join(f"select '{m}' as metric, {v} as value, {d} as detail from agg"
+                               for m, v, d in metrics)
+    report = tree(f""", cs as ({cases_sql}), fs as ({files_sql}),
+pc as (select case_id, count(*) as n_files from fs group by case_id),
+c as (select cs.*, coalesce(pc.n_files, 0) as n_files from cs left join pc using (case_id)),
+agg as (select count(*) as total_cases, sum(n_files) as tf,
+  count(*) filter (where tm_no = '') as mt, count(*) filter (where class_code = '') as mc,
+  count(*) filter (where n_files = 0) as ec,
+  max({{'n_files': n_files, 'case_folder': case_folder}}) as lg,
+  {", ".join(f"count(*) filter (where case_type = '{t}') as t{i}" for i, t in enumerate(R.CASE_TYPES))}
+  from c)
+{rows}
+union all select 'total_clients', cast(count(*) as double), '' from cl
+union all select 'total_files', cast(count(*) as double), '' from fs""")
+    dup_tm = tree(f""", cs as ({cases_sql})
+select cs.tm_no, d.folders, cs.root, cs.client_id, cs.case_folder from cs
+join (select tm_no, count(*) as folders from cs where tm_no <> '' group by tm_no having count(*) > 1) d
+  using (tm_no)""")
+
+    # export, upsert
+    hdr = {"client_number": "CLIENT NUMBER", "client_name": "CLIENT NAME", "case_no": "CASE #",
+           "case_name": "CASE NAME", "tm_no": "TM NO", "class_code": "CLASS", "files": "FILES",
+           "ext": "EXT"}
+    base_hdr = ", ".join(f'{k} as "{v}"' for k, v in hdr.items())
+    export = two + f'select {base_hdr}, {flags}, date_added as "DATE ADDED" from sa'
+    quick = two + f'select {base_hdr}, date_added as "DATE ADDED" from sa'
+    order_desc = ", ".join(f"{c} desc" for c in ORDER)
+    i_cols = ["root", *KEY, "files", "ext", *O.RULE_NAMES]
+    icl = ", ".join(f'i."{c}"' for c in i_cols)
+    ecl = ", ".join(f'"{c}"' for c in i_cols)
+    upsert = two + f""", e as (select *, trim(case_no) as _k, case when trim(case_no) <> '' then
+    row_number() over (partition by trim(case_no) order by {order_desc}) end as _rn from sa),
+i0 as (select *, trim(case_no) as _k from sb),
+el as (select * from e where _k <> '' and _rn = 1),
+im as (select * from i0 where _k in (select _k from el)),
+il as (select * from (select *, row_number() over (partition by _k order by {order_desc}) as _rn from im) x
+       where _rn = 1)
+select {ecl}, date_added, updated_on, 'untouched' as upsert_status from e
+where not (coalesce(_rn, 0) = 1 and _k in (select _k from il))
+union all
+select {icl}, el.date_added, el.updated_on, 'updated' from il i join el using (_k)
+union all
+select {ecl}, date_added, cast(null as varchar), 'appended' from i0 where _k not in (select _k from el)"""
+    counts = two + """select count(*) filter (where _k in (select trim(case_no) from sa where trim(case_no) <> '')) as updated,
+  count(*) filter (where _k not in (select trim(case_no) from sa where trim(case_no) <> '')) as appended
+from (select trim(case_no) as _k from sb) i"""
+    first10 = O.RULE_NAMES[:10]
+    rest = O.RULE_NAMES[10:]
+    evolve = two + (f"select root, {key}, files, ext, " + ", ".join(f'"{c}"' for c in first10) + ", "
+                    + ", ".join(f'cast(null as boolean) as "{c}"' for c in rest) + " from sa")
+    return {
+        "not_trashed": f"{listing}\nselect root, id, name, parent_id, path, is_folder, mime_type, size, created_time, modified_time, trashed from nt",
+        "file_parts": f"""{listing}
+select id, name, {O.stem('name')} as stem, {O.ext('name')} as ext,
+  case when contains(name, '.') then lower(string_split(name, '.')[-1]) else '' end as extension,
+  case when source = 'drive' and id <> '' then '{O.URL_PREFIX}' || id || '/view' else '' end as url,
+  lower(name) = 'desktop.ini' as is_noise, size, created_time, modified_time
+from nt where not is_folder""",
+        "scan_roots": f"{listing}\nselect root, is_folder, count(*) as entries from lst group by all",
+        "hierarchy_deep": f"{listing}\n{O.hierarchy('deep')}",
+        "hierarchy_strict": f"{listing}\n{O.hierarchy('strict')}",
+        "hierarchy_token": f"{listing}\n{O.hierarchy('token')}",
+        "hierarchy_parent": O.with_tree(O.PARENT_TREE),
+        "listing_scan_strict": lscan("strict", "legacy"),
+        "listing_scan_deep": lscan("deep", "legacy"),
+        "listing_scan_token": lscan("token", "token"),
+        "first_clients": cf_ctes.rstrip(",\n") + f"""
+select cf.* from cf join (select root, client_folder from (
+  select root, client_folder, row_number() over (partition by root order by client_folder) as rn
+  from (select distinct root, client_folder from cf where client_folder is not null) d) r
+  where rn <= {FIRST_CLIENTS_N}) k using (root, client_folder)""",
+        "compare_exports": compare,
+        "duplicate_keys": two + f"select {ck}, count(*) as occurrences from sa group by all having count(*) > 1",
+        "validation_summary": summary,
+        "naming_signatures": signatures,
+        "compare_parsers": parsers,
+        "warnings_table": warn,
+        "failures_table": fail,
+        "inventory_clients": inv_clients,
+        "inventory_cases": tree(cases_sql),
+        "inventory_files": tree(files_sql),
+        "inventory_report": report,
+        "duplicate_tm": dup_tm,
+        "export_projection": export,
+        "quick_export": quick,
+        "sort_records": two + "select * from sa",
+        "upsert_cases": upsert,
+        "upsert_counts": counts,
+        "evolve_schema": evolve,
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return _oracle()
+    out = _oracle()
+    out.update(_oracle_more())
+    return out

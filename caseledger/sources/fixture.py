@@ -152,4 +152,85 @@ def listing(spark: SparkSession, sf_dir: str, with_trash: bool = True) -> DataFr
             F.lit("application/octet-stream"), F.lit(1), F.lit(""), F.lit(""),
             F.lit(True)).alias("e"))
         out = out.unionByName(drafts)
+    # A sub-folder "old" with one file in every case folder whose smallest
+    # order key is 5 mod 17: strict scans list "old" as a file, the token
+    # walker and the parent-id tree ignore it, deep scans roll its file up.
+    sub = case_rows.where(F.col("o_orderkey") % 17 == 5)
+    sub_id = F.concat(case_id, F.lit("/old"))
+    sub_folders = sub.select("root", row(
+        sub_id, F.lit("old"), case_id, F.concat_ws("/", "client_folder", "case_folder", F.lit("old")),
+        True, F.lit(FOLDER_MIME), F.lit(None), F.lit(""), F.lit(""), F.lit(False)).alias("e"))
+    sub_files = sub.select("root", row(
+        F.concat(sub_id, F.lit("/scan old.pdf")), F.lit("scan old.pdf"), sub_id,
+        F.concat_ws("/", "client_folder", "case_folder", F.lit("old"), F.lit("scan old.pdf")),
+        False, F.lit("application/pdf"), F.lit(2048), F.lit(""), F.lit(""), F.lit(False)).alias("e"))
+    out = out.unionByName(sub_folders).unionByName(sub_files)
     return out.select("root", "e.*").withColumn("source", F.lit("drive"))
+
+
+def _iso_sql(e: str, frac: bool = False) -> str:
+    if frac:
+        return (f"strftime(make_timestamp(cast(({e}) * 1000000 as bigint)), "
+                f"'%Y-%m-%dT%H:%M:%S.%f+00:00')")
+    return f"strftime(make_timestamp(cast({e} as bigint) * 1000000), '%Y-%m-%dT%H:%M:%S+00:00')"
+
+
+_FOLDER_EPOCH = "(1600000000 + cast(o_orderkey as bigint) * 3600)"
+_FILE_EPOCH = f"({_FOLDER_EPOCH} + l_linenumber * 60 + l_partkey % 60)"
+
+# DuckDB form of ``listing`` (oracle side only: it formats times with strftime).
+LISTING_SQL = f"""
+with co as (
+  select {ROOT_SQL} as root, {CLIENT_FOLDER_SQL} as client_folder,
+         {CASE_FOLDER_SQL} as case_folder, o_orderkey
+  from customer join orders on c_custkey = o_custkey),
+cases as (select root, client_folder, case_folder, min(o_orderkey) as o_orderkey
+          from co group by root, client_folder, case_folder),
+clients as (select distinct root, client_folder from co),
+fl as (
+  select {ROOT_SQL} as root, {CLIENT_FOLDER_SQL} as client_folder,
+         {CASE_FOLDER_SQL} as case_folder, {FILE_NAME_SQL} as file_name,
+         o_orderkey, l_linenumber, l_partkey, l_quantity
+  from customer join orders on c_custkey = o_custkey
+  join lineitem on l_orderkey = o_orderkey and o_orderkey % 10 <> 3)
+select root, root || '/' || client_folder as id, client_folder as name, root as parent_id,
+       client_folder as path, true as is_folder, '{FOLDER_MIME}' as mime_type,
+       cast(null as bigint) as size, '' as created_time, '' as modified_time,
+       false as trashed, 'drive' as source
+from clients
+union all
+select root, root || '/' || client_folder || '/' || case_folder, case_folder,
+       root || '/' || client_folder, client_folder || '/' || case_folder, true, '{FOLDER_MIME}',
+       cast(null as bigint), {_iso_sql(_FOLDER_EPOCH)}, {_iso_sql(_FOLDER_EPOCH + ' + 60')},
+       false, 'drive'
+from cases
+union all
+select root, root || '/' || client_folder || '/' || case_folder || '/' || file_name || '#'
+             || cast(o_orderkey as varchar) || '.' || cast(l_linenumber as varchar),
+       file_name, root || '/' || client_folder || '/' || case_folder,
+       client_folder || '/' || case_folder || '/' || file_name, false,
+       case when file_name like '%.pdf' then 'application/pdf'
+            when file_name like '%.DOCX' then 'application/vnd.openxmlformats-officedocument.wordprocessingml.document'
+            else 'application/octet-stream' end,
+       case when l_linenumber = 4 then cast(null as bigint) else cast(l_quantity * 1000 as bigint) end,
+       {_iso_sql(_FILE_EPOCH)}, {_iso_sql(_FILE_EPOCH + ' + 0.25', True)}, false, 'drive'
+from fl
+union all
+select root, root || '/' || client_folder || '/' || case_folder || '/~draft', '~draft.tmp',
+       root || '/' || client_folder || '/' || case_folder,
+       client_folder || '/' || case_folder || '/~draft.tmp', false, 'application/octet-stream',
+       cast(1 as bigint), '', '', true, 'drive'
+from cases where o_orderkey % 13 = 1
+union all
+select root, root || '/' || client_folder || '/' || case_folder || '/old', 'old',
+       root || '/' || client_folder || '/' || case_folder,
+       client_folder || '/' || case_folder || '/old', true, '{FOLDER_MIME}',
+       cast(null as bigint), '', '', false, 'drive'
+from cases where o_orderkey % 17 = 5
+union all
+select root, root || '/' || client_folder || '/' || case_folder || '/old/scan old.pdf', 'scan old.pdf',
+       root || '/' || client_folder || '/' || case_folder || '/old',
+       client_folder || '/' || case_folder || '/old/scan old.pdf', false, 'application/pdf',
+       cast(2048 as bigint), '', '', false, 'drive'
+from cases where o_orderkey % 17 = 5
+"""

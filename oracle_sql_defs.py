@@ -8,7 +8,7 @@ SQL shared with the Spark fixture (``caseledger.sources.fixture``).
 from __future__ import annotations
 
 from caseledger.operators.classify import COMPANY_KEYWORDS, DATA_SHEET, IDENTITY_PATTERNS
-from caseledger.sources.fixture import CASE_FILES_SQL
+from caseledger.sources.fixture import CASE_FILES_SQL, LISTING_SQL
 from caseledger.sources.rules import shipped_rules
 
 AS_OF_DAY = "strftime(timestamp '2026-01-15 09:30:00', '%d-%b-%y')"
@@ -116,20 +116,24 @@ def ext(c: str = "file_name") -> str:
     return f"case when lower({raw}) = '.ini' then '' else ltrim({raw}, '.') end"
 
 
-KEPT_FILES = f"""select root, client_folder, case_folder, file_path, {stem()} as stem, {ext()} as ext
-from cf where file_name is not null and lower(file_name) <> 'desktop.ini'"""
+def kept_files(cf: str = "cf") -> str:
+    return f"""select root, client_folder, case_folder, file_path, {stem()} as stem, {ext()} as ext
+from {cf} where file_name is not null and lower(file_name) <> 'desktop.ini'"""
+
+
+KEPT_FILES = kept_files("cf")
 
 
 def with_cf(body: str) -> str:
     return f"with cf as ({CASE_FILES_SQL}),\nkf as ({KEPT_FILES})\n{body}"
 
 
-def records(mode: str = "strict", parser: str = "legacy") -> str:
+def records(mode: str = "strict", parser: str = "legacy", cf: str = "cf", kf: str = "kf") -> str:
     """Records per (root, key) with files / ext text and counts."""
     if mode == "deep":
-        folders = "select distinct root, client_folder, case_folder from kf"
+        folders = f"select distinct root, client_folder, case_folder from {kf}"
     else:
-        folders = "select distinct root, client_folder, case_folder from cf where case_folder is not null"
+        folders = f"select distinct root, client_folder, case_folder from {cf} where case_folder is not null"
     parsed = parse_both(folders, parser)
     return f"""select p.root, {', '.join('p.' + k for k in KEY.split(', '))},
   coalesce(string_agg(f.stem, chr(10) order by f.file_path) filter (where f.stem <> ''), '') as files,
@@ -137,7 +141,7 @@ def records(mode: str = "strict", parser: str = "legacy") -> str:
   count(distinct p.client_folder || '/' || p.case_folder) as n_folders,
   count(f.file_path) as n_files
 from ({parsed}) p
-left join kf f on f.root = p.root and f.client_folder = p.client_folder and f.case_folder = p.case_folder
+left join {kf} f on f.root = p.root and f.client_folder = p.client_folder and f.case_folder = p.case_folder
 group by p.root, {', '.join('p.' + k for k in KEY.split(', '))}"""
 
 
@@ -176,3 +180,56 @@ def flag_columns(text: str = "_txt", rules=None) -> str:
 
 
 RULE_NAMES = list(active(shipped_rules()).keys())
+
+
+# ---------------------------------------------------------------- listing --
+
+def with_listing(body: str) -> str:
+    """CTEs: lst (listing), nt (not trashed, with path parts)."""
+    return (f"with lst as ({LISTING_SQL}),\n"
+            f"nt as (select *, string_split(path, '/') as parts from lst where not trashed)\n{body}")
+
+
+def hierarchy(mode: str) -> str:
+    """Case files rebuilt from path components of the non-trashed listing."""
+    if mode == "deep":
+        return """select root, case when len(parts) >= 2 then parts[1] else '' end as client_folder,
+  case when len(parts) >= 3 then parts[2] else '' end as case_folder,
+  name as file_name, path as file_path, false as entry_is_folder
+from nt where not is_folder"""
+    only_files = "and not is_folder" if mode == "token" else ""
+    return f"""select * from (
+  select root, parts[1] as client_folder, parts[2] as case_folder, name as file_name,
+         path as file_path, is_folder as entry_is_folder
+  from nt where len(parts) = 3 {only_files}) ent
+union all
+select root, parts[1], parts[2], null, null, null from nt c
+where is_folder and len(parts) = 2 and not exists (
+  select 1 from nt e where len(e.parts) = 3 {only_files.replace('is_folder', 'e.is_folder')}
+    and e.root = c.root and e.parts[1] = c.parts[1] and e.parts[2] = c.parts[2])"""
+
+
+PARENT_TREE = """select root, client_folder, case_folder, file_name,
+  client_folder || '/' || case_folder || '/' || file_name as file_path, false as entry_is_folder
+from (select f.name as file_name, ca.* from nt f join ca on f.parent_id = ca.case_id where not f.is_folder) fi
+union all
+select root, client_folder, case_folder, null, null, null from ca
+where not exists (select 1 from nt f where not f.is_folder and f.parent_id = ca.case_id)
+union all
+select root, client_folder, null, null, null, null from cl
+where not exists (select 1 from nt f where f.is_folder and f.parent_id = cl.client_id)"""
+
+TREE_CTES = """cl as (select root, id as client_id, name as client_folder, parent_id, created_time, modified_time
+       from nt where is_folder and parent_id = root),
+ca as (select f.id as case_id, f.name as case_folder, f.created_time as case_created_time,
+              f.modified_time as case_modified_time, cl.root, cl.client_id, cl.client_folder
+       from nt f join cl on f.parent_id = cl.client_id where f.is_folder)"""
+
+
+def with_tree(body: str) -> str:
+    return (f"with lst as ({LISTING_SQL}),\n"
+            f"nt as (select *, string_split(path, '/') as parts from lst where not trashed),\n"
+            f"{TREE_CTES}\n{body}")
+
+
+URL_PREFIX = "https://drive.google.com/file/d/"

@@ -1,8 +1,8 @@
 """Folder-name parsers as Spark column expressions.
 
 Two parsers exist: ``legacy`` (the default of every shipped run) and ``token``.
-Both are pure higher-order-function expressions (split / filter / transform /
-array_position), so they run inside whole-stage codegen with no Python.
+Both are built-in array expressions (split / filter / transform / slice /
+array_position) evaluated in the JVM, with no Python.
 
 Regex dialect: the patterns are Python ``re`` patterns. Java needs ``(?U)`` to
 give ``\\d`` and ``\\s`` the same Unicode meaning, ``(?d)`` so that only ``\\n``
@@ -75,6 +75,17 @@ def legacy_client(name: Column) -> Column:
     )
 
 
+def _after(arr: Column, pos: Column) -> Column:
+    """Elements behind 1-based position ``pos`` (empty when ``pos`` is 0)."""
+    return F.when(pos > 0, F.slice(arr, pos + 1, F.greatest(F.size(arr) - pos, F.lit(0)))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def _before(arr: Column, pos: Column) -> Column:
+    """Elements before 1-based position ``pos`` (all when ``pos`` is 0)."""
+    return F.when(pos > 0, F.slice(arr, 1, pos - 1)).otherwise(arr)
+
+
 def legacy_case(tokens: Column) -> Column:
     """struct(case_no, case_name, tm_no, class_code) from a token array.
 
@@ -82,6 +93,10 @@ def legacy_case(tokens: Column) -> Column:
     capitalised word after the first case token. Full name (only when a TM is
     present): tokens after the first case token up to the first token equal to
     the TM, without case and class tokens; it replaces the short name when set.
+
+    Positions come from ``array_position`` and cuts from ``slice``, so no
+    lambda refers to a value outside its own element (each is evaluated once
+    per row, not once per token).
     """
     c_p = java_token_pattern(LEGACY_CASE_NO)
     n_p = java_token_pattern(LEGACY_SHORT_NAME)
@@ -90,12 +105,10 @@ def legacy_case(tokens: Column) -> Column:
     case_no = _last(F.filter(tokens, lambda x: x.rlike(c_p)))
     tm_no = _last(F.filter(tokens, lambda x: x.rlike(t_p)))
     class_code = _last(F.filter(tokens, lambda x: x.rlike(k_p)))
-    first_case = F.array_position(F.transform(tokens, lambda x: x.rlike(c_p)), True)
-    after = F.filter(tokens, lambda x, i: (first_case > 0) & (i >= first_case))
+    after = _after(tokens, F.array_position(F.transform(tokens, lambda x: x.rlike(c_p)), True))
     short = _first(F.filter(after, lambda x: x.rlike(n_p)))
-    stop = F.array_position(after, tm_no)
-    cut = F.filter(after, lambda x, i: ((stop == 0) | (i < stop - 1))
-                   & ~x.rlike(c_p) & ~x.rlike(k_p))
+    cut = F.filter(_before(after, F.array_position(after, tm_no)),
+                   lambda x: ~x.rlike(c_p) & ~x.rlike(k_p))
     full = F.when(tm_no == "", F.lit("")).otherwise(F.array_join(cut, " "))
     return F.struct(
         case_no.alias("case_no"),
@@ -115,49 +128,51 @@ def token_type(x: Column) -> Column:
     return expr.otherwise(F.lit(TOKEN_OTHER))
 
 
+def token_types(tokens: Column) -> Column:
+    """array<string> of token types, parallel to the token array."""
+    return F.transform(tokens, token_type)
+
+
 def typed_tokens(tokens: Column) -> Column:
-    """array<struct<type, raw, position>>; position is 0-based."""
+    """array<struct<type, raw, position>>; position is 0-based."""
     return F.transform(tokens, lambda x, i: F.struct(
         token_type(x).alias("type"), x.alias("raw"), i.alias("position")))
 
 
-def token_client(name: Column, toks: Column) -> Column:
-    """First token must be CLIENT_NO; the rest, joined by one blank, is the name."""
-    head = F.get(toks, 0)
-    hit = F.coalesce(head["type"] == "CLIENT_NO", F.lit(False))
-    rest = F.array_join(F.transform(F.filter(toks, lambda t: t["position"] > 0),
-                                    lambda t: t["raw"]), " ")
+def token_client(name: Column, tokens: Column) -> Column:
+    """First token must be CLIENT_NO; the rest, joined by one blank, is the name.
+    (CLIENT_NO is the first type tested, so matching its pattern decides.)"""
+    hit = F.coalesce(F.get(tokens, 0).rlike(java_token_pattern(TOKEN_PATTERNS[0][1])), F.lit(False))
+    rest = F.array_join(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), " ")
     return F.struct(
-        F.when(hit, head["raw"]).otherwise(F.lit("")).alias("client_number"),
+        F.when(hit, F.get(tokens, 0)).otherwise(F.lit("")).alias("client_number"),
         F.when(hit, rest).otherwise(F.coalesce(name, F.lit(""))).alias("client_name"),
     )
 
 
-def token_case(toks: Column) -> Column:
+def token_case(tokens: Column, types: Column) -> Column:
     """struct(case_no, case_name, tm_no, class_code); the first match wins.
 
     Name: tokens after the first CASE_NO up to the first TM_NO behind it,
     without CASE_NO and CLASS tokens; if that is empty, the first WORD after
-    the first CASE_NO.
+    the first CASE_NO. Works on the parallel (token, type) arrays with
+    ``array_position`` / ``slice``; the only lambda looks at its own element.
     """
-    def first_of(kind):
-        return F.get(F.filter(toks, lambda t: t["type"] == kind), 0)
-
-    first_case = first_of("CASE_NO")
-    case_pos = F.coalesce(first_case["position"], F.lit(-1))
-    after = F.filter(toks, lambda t: (case_pos >= 0) & (t["position"] > case_pos))
-    stop = F.coalesce(F.get(F.filter(after, lambda t: t["type"] == "TM_NO"), 0)["position"],
-                      F.lit(2 ** 31 - 1))
-    cut = F.filter(after, lambda t: (t["position"] < stop)
-                   & (t["type"] != "CASE_NO") & (t["type"] != "CLASS"))
-    full = F.array_join(F.transform(cut, lambda t: t["raw"]), " ")
-    fallback = F.coalesce(F.get(F.filter(after, lambda t: t["type"] == "WORD"), 0)["raw"],
-                          F.lit(""))
+    def first(kind):
+        return F.coalesce(F.get(tokens, F.array_position(types, kind) - 1), F.lit(""))
+
+    cpos = F.array_position(types, "CASE_NO")
+    after_t, after_ty = _after(tokens, cpos), _after(types, cpos)
+    stop = F.array_position(after_ty, "TM_NO")
+    cut = F.arrays_zip(_before(after_t, stop).alias("raw"), _before(after_ty, stop).alias("type"))
+    kept = F.filter(cut, lambda z: (z["type"] != "CASE_NO") & (z["type"] != "CLASS"))
+    full = F.array_join(F.transform(kept, lambda z: z["raw"]), " ")
+    fallback = F.coalesce(F.get(after_t, F.array_position(after_ty, "WORD") - 1), F.lit(""))
     return F.struct(
-        F.coalesce(first_case["raw"], F.lit("")).alias("case_no"),
+        first("CASE_NO").alias("case_no"),
         F.when(full != "", full).otherwise(fallback).alias("case_name"),
-        F.coalesce(first_of("TM_NO")["raw"], F.lit("")).alias("tm_no"),
-        F.coalesce(first_of("CLASS")["raw"], F.lit("")).alias("class_code"),
+        first("TM_NO").alias("tm_no"),
+        first("CLASS").alias("class_code"),
     )
 
 

@@ -57,9 +57,13 @@ def folder_entries(case_files: DataFrame, mode: str = "strict") -> DataFrame:
         kept = F.lit(True)
     else:
         cf = cf.where(F.col("case_folder").isNotNull())
+    # File fields are computed in a projection (whole-stage codegen), not
+    # inside the aggregate; sort_array uses the natural struct order.
+    cf = cf.select("root", "client_folder", "case_folder",
+                   F.when(kept, _file_struct()).alias("_file"), kept.alias("_kept"))
     grouped = cf.groupBy("root", "client_folder", "case_folder").agg(
-        F.array_sort(F.collect_list(F.when(kept, _file_struct()))).alias("files"),
-        F.count_if(kept).alias("n_files"))
+        F.sort_array(F.collect_list("_file")).alias("files"),
+        F.count_if("_kept").alias("n_files"))
     return grouped.withColumn(
         "folder_path", F.concat(F.col("client_folder"), F.lit("/"), F.col("case_folder"), F.lit("/")))
 
@@ -105,7 +109,7 @@ def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None
         folders = _limit_per_root(folders, "folder_path", limit)
     parsed = parse_folders(folders, parser, mode)
     grouped = parsed.groupBy("root", *KEY).agg(
-        F.array_sort(F.collect_list(F.struct("folder_path", "files"))).alias("_parts"),
+        F.sort_array(F.collect_list(F.struct("folder_path", "files"))).alias("_parts"),
         F.count("*").alias("n_folders"),
         F.sum("n_files").alias("n_files"),
         F.min("folder_path").alias("first_path"))

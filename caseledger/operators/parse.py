@@ -26,7 +26,7 @@ def parse_clients(df: DataFrame, parser: str = "legacy", col: str = "client_fold
     if parser == "legacy":
         return df.withColumn("_client", N.legacy_client(name)) \
             .select("*", "_client.*").drop("_client")
-    tmp = df.withColumn("_ctoks", N.typed_tokens(N.name_tokens(name)))
+    tmp = df.withColumn("_ctoks", N.name_tokens(name))
     return tmp.withColumn("_client", N.token_client(name, F.col("_ctoks"))) \
         .select("*", "_client.*").drop("_client", "_ctoks")
 
@@ -37,10 +37,12 @@ def parse_cases(df: DataFrame, parser: str = "legacy", col: str = "case_folder")
     tmp = df.withColumn("_tokens", N.name_tokens(F.col(col)))
     if parser == "legacy":
         parsed = N.legacy_case(F.col("_tokens"))
+        drop = ["_case", "_tokens"]
     else:
-        tmp = tmp.withColumn("_tokens", N.typed_tokens(F.col("_tokens")))
-        parsed = N.token_case(F.col("_tokens"))
-    return tmp.withColumn("_case", parsed).select("*", "_case.*").drop("_case", "_tokens")
+        tmp = tmp.withColumn("_types", N.token_types(F.col("_tokens")))
+        parsed = N.token_case(F.col("_tokens"), F.col("_types"))
+        drop = ["_case", "_tokens", "_types"]
+    return tmp.withColumn("_case", parsed).select("*", "_case.*").drop(*drop)
 
 
 def tokenize_names(df: DataFrame, col: str = "case_folder", out: str = "tokens") -> DataFrame:

@@ -65,15 +65,34 @@ def _tables(spark: SparkSession, sf_dir: str):
     return customer, orders, lineitem
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer, orders, lineitem = _tables(spark, sf_dir)
-    joined = (customer.join(orders, F.col("c_custkey") == F.col("o_custkey"))
-              .join(lineitem, (F.col("l_orderkey") == F.col("o_orderkey"))
-                    & (F.col("o_orderkey") % 10 != 3), "left"))
-    return joined.select(
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _case_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order with its root, client folder and case folder name.
+
+    Names are built once per order (not per line item) and the orders are
+    hash-partitioned on the folder key, as a listing bucketed by folder is
+    stored; joins and the folder aggregation downstream keep that layout.
+    """
+    customer, orders, _ = _tables(spark, sf_dir)
+    co = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"))
+    return co.select(
         F.expr(ROOT_SQL).alias("root"),
         F.expr(CLIENT_FOLDER_SQL).alias("client_folder"),
         F.expr(CASE_FOLDER_SQL).alias("case_folder"),
+        "c_custkey", "o_orderkey", "o_orderdate",
+    ).repartition(_partitions(spark), "root", "client_folder", "case_folder")
+
+
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, lineitem = _tables(spark, sf_dir)
+    co = _case_folders(spark, sf_dir)
+    joined = co.join(lineitem, (F.col("l_orderkey") == F.col("o_orderkey"))
+                     & (F.col("o_orderkey") % 10 != 3), "left")
+    return joined.select(
+        "root", "client_folder", "case_folder",
         F.expr(FILE_NAME_SQL).alias("file_name"),
         "c_custkey", "o_orderkey", "o_orderdate", "l_linenumber", "l_partkey",
         "l_quantity", "l_shipdate",
@@ -119,10 +138,7 @@ def listing(spark: SparkSession, sf_dir: str, with_trash: bool = True) -> DataFr
         client_id, F.col("client_folder"), F.col("root"), F.col("client_folder"), True,
         F.lit(FOLDER_MIME), F.lit(None), F.lit(""), F.lit(""), F.lit(False)).alias("e"))
 
-    case_rows = (customer.join(orders, F.col("c_custkey") == F.col("o_custkey"))
-                 .select(F.expr(ROOT_SQL).alias("root"),
-                         F.expr(CLIENT_FOLDER_SQL).alias("client_folder"),
-                         F.expr(CASE_FOLDER_SQL).alias("case_folder"), "o_orderkey")
+    case_rows = (_case_folders(spark, sf_dir)
                  .groupBy("root", "client_folder", "case_folder")
                  .agg(F.min("o_orderkey").alias("o_orderkey")))
     folder_epoch = F.lit(1_600_000_000) + F.col("o_orderkey") * 3600

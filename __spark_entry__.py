@@ -22,6 +22,7 @@ from caseledger.operators import upsert as U
 from caseledger.operators.group import group_cases, record_counts
 from caseledger.plans.scans import classified_scan, token_scan
 from caseledger.schema import KEY
+from caseledger.session import materialize
 from caseledger.functions import files as FF
 from caseledger.sources import fixture
 from caseledger.sources import hierarchy as H
@@ -213,7 +214,8 @@ def _inventory(i):
 
 
 def q_inventory_report(spark, sf):
-    return R.inventory_report(*R.inventory(_listing(spark, sf)))
+    # the listing is read by all three inventory tables: compute it once
+    return R.inventory_report(*R.inventory(materialize(_listing(spark, sf))))
 
 
 def q_duplicate_tm(spark, sf):
@@ -236,7 +238,7 @@ def q_sort_records(spark, sf):
 
 
 def q_upsert_cases(spark, sf):
-    e = _scan_cols(classified_scan(_cf(spark, sf)))
+    e = materialize(_scan_cols(classified_scan(_cf(spark, sf))))
     i = _scan_cols(token_scan(_cf(spark, sf)))
     return U.upsert_cases(e, i, key="case_no", order_by=ORDER, keep_position=False)
 

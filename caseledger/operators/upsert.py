@@ -37,14 +37,19 @@ def evolve_schema(target: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def upsert_cases(existing: DataFrame, incoming: DataFrame, key: str = "case_no",
                  order_by=("row_order",), date_col: str = "date_added",
-                 keep_position: bool = True) -> DataFrame:
+                 keep_position: bool = True, materialize_incoming: bool = True) -> DataFrame:
     """Merged table with an ``upsert_status`` column
     (updated / untouched / appended).
 
     ``order_by`` must be unique per key inside each table. With
     ``keep_position`` the order columns are a row position: a replaced row
     keeps E's position. Without it they are data columns and come from I.
+    The incoming batch is read four times by the plan, so by default it is
+    checkpointed once into the shared checkpoint folder.
     """
+    if materialize_incoming:
+        from ..session import materialize
+        incoming = materialize(incoming)
     order = F.struct(*[_q(c) for c in order_by])
     k = F.trim(_q(key))
     e = existing.withColumn("_k", k).withColumn("_ord", order)

@@ -49,3 +49,11 @@ def shared_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
+    cluster's shared ``spark.checkpoint.dir`` (survives executor loss, unlike
+    a local checkpoint). Use for an intermediate consumed several times."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

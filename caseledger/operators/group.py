@@ -3,11 +3,14 @@
 Plan (two aggregations, both with map-side partial aggregation):
 
 1. ``folder_entries``: one row per raw folder ``(root, client_folder,
-   case_folder)`` with its sorted kept files. Parsing then runs once per
-   folder, not once per file.
-2. ``group_cases``: one row per ``(root, 6-column key)``. Folder arrays are
+   case_folder)`` with the joined text of its kept files in path order.
+   Parsing then runs once per folder, not once per file.
+2. ``group_cases``: one row per ``(root, 6-column key)``. Folder texts are
    concatenated in folder-path order, which equals file-path order because
-   every path of a folder starts with ``folder path + "/"``.
+   every path of a folder starts with ``folder path + "/"``. This stage moves
+   one short text per folder, so a key that merges a very large number of
+   folders (unparsable names, root files) carries no per-file overhead; its
+   record text is the only per-group state, and it is the output value.
 
 Modes: ``strict`` (every case folder is a record, empty ones too; any child
 name counts as a file), ``deep`` (only folders with at least one kept file;
@@ -34,11 +37,17 @@ def _file_struct() -> Column:
                     FF.file_ext(name).alias("ext"))
 
 
+def _joined(arr: Column, field: str) -> Column:
+    return F.array_join(F.filter(F.transform(arr, lambda f: f[field]), lambda v: v != ""), "\n")
+
+
 def folder_entries(case_files: DataFrame, mode: str = "strict") -> DataFrame:
-    """Stage 1: one row per raw case folder with ``files`` sorted by path.
+    """Stage 1: one row per raw case folder.
 
-    Columns: root, client_folder, case_folder, folder_path, files
-    (array<struct<path, stem, ext>>), n_files (kept files).
+    Columns: root, client_folder, case_folder, folder_path, files_text and
+    ext_text (non-empty stems / extensions of the kept files in path order,
+    ``\n``-joined), n_files (kept files). The per-file structs live only
+    inside this aggregation; stage 2 moves one short text per folder.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -62,10 +71,14 @@ def folder_entries(case_files: DataFrame, mode: str = "strict") -> DataFrame:
     cf = cf.select("root", "client_folder", "case_folder",
                    F.when(kept, _file_struct()).alias("_file"), kept.alias("_kept"))
     grouped = cf.groupBy("root", "client_folder", "case_folder").agg(
-        F.sort_array(F.collect_list("_file")).alias("files"),
+        F.sort_array(F.collect_list("_file")).alias("_files"),
         F.count_if("_kept").alias("n_files"))
-    return grouped.withColumn(
-        "folder_path", F.concat(F.col("client_folder"), F.lit("/"), F.col("case_folder"), F.lit("/")))
+    return grouped.select(
+        "root", "client_folder", "case_folder",
+        F.concat(F.col("client_folder"), F.lit("/"), F.col("case_folder"), F.lit("/")).alias("folder_path"),
+        _joined(F.col("_files"), "stem").alias("files_text"),
+        _joined(F.col("_files"), "ext").alias("ext_text"),
+        "n_files")
 
 
 def parse_folders(folders: DataFrame, parser: str = "legacy", mode: str = "strict") -> DataFrame:
@@ -109,17 +122,18 @@ def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None
         folders = _limit_per_root(folders, "folder_path", limit)
     parsed = parse_folders(folders, parser, mode)
     grouped = parsed.groupBy("root", *KEY).agg(
-        F.sort_array(F.collect_list(F.struct("folder_path", "files"))).alias("_parts"),
+        F.sort_array(F.collect_list(F.struct("folder_path", "files_text", "ext_text"))).alias("_parts"),
         F.count("*").alias("n_folders"),
         F.sum("n_files").alias("n_files"),
         F.min("folder_path").alias("first_path"))
     if limit and mode != "token":
         grouped = _limit_per_root(grouped, "first_path", limit)
-    merged = F.flatten(F.transform(F.col("_parts"), lambda p: p["files"]))
+    # Folder texts in folder-path order = file-path order (every path of a
+    # folder starts with its folder path + "/").
     return grouped.select(
         "root", *KEY,
-        F.array_join(F.filter(F.transform(merged, lambda f: f["stem"]), lambda s: s != ""), "\n").alias("files"),
-        F.array_join(F.filter(F.transform(merged, lambda f: f["ext"]), lambda s: s != ""), "\n").alias("ext"),
+        _joined(F.col("_parts"), "files_text").alias("files"),
+        _joined(F.col("_parts"), "ext_text").alias("ext"),
         "n_folders", "n_files", "first_path")
 
 

@@ -79,7 +79,7 @@ def duplicate_keys(df: DataFrame, key=COMPARE_KEY) -> DataFrame:
 def folder_diagnosis(case_files: DataFrame) -> DataFrame:
     """One row per case folder: token parse of client and case, severity,
     kept file count and tokens (input of D3, D4, D5, D10)."""
-    folders = folder_entries(case_files, "token").drop("files")
+    folders = folder_entries(case_files, "token").drop("files_text", "ext_text")
     parsed = parse_cases(parse_clients(folders, "token"), "token")
     return tokenize_names(parsed, "case_folder", "tokens").select("*", *severity())
 

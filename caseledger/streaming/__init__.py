@@ -1,0 +1,5 @@
+"""Structured Streaming drivers of the batch operators."""
+
+from .incremental import read_listing_stream, start_upsert_stream, upsert_batch
+
+__all__ = ["read_listing_stream", "start_upsert_stream", "upsert_batch"]

@@ -1,0 +1,29 @@
+"""Listing snapshots arriving in a folder keep the case table current."""
+
+import time
+
+from pyspark.sql import functions as F
+
+from caseledger.streaming import read_listing_stream, start_upsert_stream
+from conftest import listing_rows
+
+SNAP1 = [("A-1 Ann", True), ("A-1 Ann/A001-001 Foo", True), ("A-1 Ann/A001-001 Foo/x.pdf", False),
+         ("A-1 Ann/A001-002 Bar", True)]
+SNAP2 = SNAP1 + [("A-1 Ann/A001-002 Bar/y.pdf", False), ("A-1 Ann/A001-003 Baz", True)]
+
+
+def test_two_snapshots(spark, tmp_path):
+    src, target = str(tmp_path / "in"), str(tmp_path / "cases")
+    listing_rows(spark, SNAP1).coalesce(1).write.parquet(src, mode="append")
+    time.sleep(1.1)
+    listing_rows(spark, SNAP2).coalesce(1).write.parquet(src, mode="append")
+    q = start_upsert_stream(read_listing_stream(spark, src), target, name="t1",
+                            as_of="2026-01-15")
+    q.awaitTermination(300)
+    out = spark.read.parquet(target)
+    assert out.select(F.max("version")).first()[0] == 1
+    last = {r["case_no"]: r for r in out.where("version = 1").collect()}
+    assert last["A001-002"]["files"] == "y" and last["A001-002"]["upsert_status"] == "updated"
+    assert last["A001-001"]["upsert_status"] == "updated"
+    assert last["A001-003"]["upsert_status"] == "appended"
+    assert len(last) == 3

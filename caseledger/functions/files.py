@@ -46,9 +46,12 @@ def file_url(file_id: Column, source: Column) -> Column:
 def iso_utc(epoch_seconds: Column) -> Column:
     """Epoch seconds -> ISO-8601 with ``+00:00``; micros only when non-zero.
 
-    Requires ``spark.sql.session.timeZone=UTC`` (set by ``build_session``).
+    Built on TIMESTAMP_NTZ (epoch + interval), so the text does not depend
+    on the session time zone.
     """
-    micros = (epoch_seconds * F.lit(1_000_000)).cast("long")
-    ts = F.timestamp_micros(micros)
-    return F.when(micros % 1_000_000 == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")) \
-        .otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
+    secs = epoch_seconds.cast("decimal(18,6)")
+    ntz = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), secs)
+    whole = secs == F.floor(secs)
+    return F.when(whole, F.date_format(ntz, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")) \
+        .otherwise(F.date_format(ntz, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'"))

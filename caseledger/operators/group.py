@@ -107,7 +107,7 @@ def _limit_per_root(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None = None,
-                limit: int | None = None) -> DataFrame:
+                limit: int | None = None, keep_raw_folder: bool = False) -> DataFrame:
     """A1/A2 (+A3, A4): one record per (root, client_number, client_name,
     case_no, case_name, tm_no, class_code).
 
@@ -115,17 +115,23 @@ def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None
     non-empty stems / extensions in path order), n_folders, n_files,
     first_path. ``limit`` keeps the first n groups per root in path order
     (token mode: the first n folders, as its walker counts folders).
+    ``keep_raw_folder`` adds the raw folder path to the key, so unparsable
+    folders of one client stay separate records (the documented intent)
+    instead of merging (the actual behaviour, default).
     """
     parser = parser or ("token" if mode == "token" else "legacy")
     folders = folder_entries(case_files, mode)
     if limit and mode == "token":
         folders = _limit_per_root(folders, "folder_path", limit)
     parsed = parse_folders(folders, parser, mode)
-    grouped = parsed.groupBy("root", *KEY).agg(
+    extra = ["folder_path"] if keep_raw_folder else []
+    grouped = parsed.groupBy("root", *KEY, *extra).agg(
         F.sort_array(F.collect_list(F.struct("folder_path", "files_text", "ext_text"))).alias("_parts"),
         F.count("*").alias("n_folders"),
         F.sum("n_files").alias("n_files"),
         F.min("folder_path").alias("first_path"))
+    if keep_raw_folder:
+        grouped = grouped.drop("folder_path")
     if limit and mode != "token":
         grouped = _limit_per_root(grouped, "first_path", limit)
     # Folder texts in folder-path order = file-path order (every path of a

@@ -42,3 +42,13 @@ def test_iso_utc_and_url(spark):
     assert rows[1]["t"] == "2020-09-13T12:26:40.250000+00:00"
     assert rows[0]["u"].endswith("/d/x1/view")
     assert rows[1]["u"] == ""
+
+
+def test_iso_utc_ignores_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.createDataFrame([(0.0,)], "e double")
+        assert df.select(FF.iso_utc(F.col("e"))).first()[0] == "1970-01-01T00:00:00+00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

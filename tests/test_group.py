@@ -72,3 +72,10 @@ def test_partition_count_does_not_change_output(spark):
     a = sorted(map(tuple, group_cases(hierarchy_by_path(lst, "strict")).collect()))
     b = sorted(map(tuple, group_cases(hierarchy_by_path(lst.repartition(7), "strict")).collect()))
     assert a == b
+
+
+def test_keep_raw_folder(spark):
+    cf = hierarchy_by_path(listing_rows(spark, TREE), "strict")
+    recs = group_cases(cf, mode="strict", keep_raw_folder=True).collect()
+    assert len(recs) == 4
+    assert sorted(r["files"] for r in recs if r["case_no"] == "") == ["x", "y"]

@@ -86,35 +86,54 @@ def _before(arr: Column, pos: Column) -> Column:
     return F.when(pos > 0, F.slice(arr, 1, pos - 1)).otherwise(arr)
 
 
-def legacy_case(tokens: Column) -> Column:
-    """struct(case_no, case_name, tm_no, class_code) from a token array.
+def _last_index(codes: Column, code: str) -> Column:
+    """1-based index of the last ``code`` in ``codes`` (0 when absent)."""
+    back = F.array_position(F.reverse(codes), code)
+    return F.when(back > 0, F.size(codes) - back + 1).otherwise(F.lit(0))
+
+
+def legacy_codes(tokens: Column) -> Column:
+    """One code per token: C case no., T TM, K class, N capitalised word.
+
+    The four legacy patterns exclude each other, so one pass classifies
+    every token with at most four regex tests.
+    """
+    return F.transform(tokens, lambda x: (
+        F.when(x.rlike(java_token_pattern(LEGACY_CASE_NO)), F.lit("C"))
+        .when(x.rlike(java_token_pattern(LEGACY_TM_NO)), F.lit("T"))
+        .when(x.rlike(java_token_pattern(LEGACY_CLASS)), F.lit("K"))
+        .when(x.rlike(java_token_pattern(LEGACY_SHORT_NAME)), F.lit("N"))
+        .otherwise(F.lit(""))))
+
+
+def legacy_case(tokens: Column, codes: Column) -> Column:
+    """struct(case_no, case_name, tm_no, class_code) from tokens and codes.
 
     Case no., TM and class: the last matching token wins. Short name: first
     capitalised word after the first case token. Full name (only when a TM is
     present): tokens after the first case token up to the first token equal to
     the TM, without case and class tokens; it replaces the short name when set.
 
-    Positions come from ``array_position`` and cuts from ``slice``, so no
-    lambda refers to a value outside its own element (each is evaluated once
-    per row, not once per token).
+    Positions come from ``array_position`` and cuts from ``slice``; the one
+    lambda looks only at its own element.
     """
-    c_p = java_token_pattern(LEGACY_CASE_NO)
-    n_p = java_token_pattern(LEGACY_SHORT_NAME)
-    t_p = java_token_pattern(LEGACY_TM_NO)
-    k_p = java_token_pattern(LEGACY_CLASS)
-    case_no = _last(F.filter(tokens, lambda x: x.rlike(c_p)))
-    tm_no = _last(F.filter(tokens, lambda x: x.rlike(t_p)))
-    class_code = _last(F.filter(tokens, lambda x: x.rlike(k_p)))
-    after = _after(tokens, F.array_position(F.transform(tokens, lambda x: x.rlike(c_p)), True))
-    short = _first(F.filter(after, lambda x: x.rlike(n_p)))
-    cut = F.filter(_before(after, F.array_position(after, tm_no)),
-                   lambda x: ~x.rlike(c_p) & ~x.rlike(k_p))
-    full = F.when(tm_no == "", F.lit("")).otherwise(F.array_join(cut, " "))
+    def last(code):
+        return F.coalesce(F.get(tokens, _last_index(codes, code) - 1), F.lit(""))
+
+    tm_no = last("T")
+    first_case = F.array_position(codes, "C")
+    after_t, after_c = _after(tokens, first_case), _after(codes, first_case)
+    short = F.coalesce(F.get(after_t, F.array_position(after_c, "N") - 1), F.lit(""))
+    stop = F.array_position(after_t, tm_no)
+    cut = F.arrays_zip(_before(after_t, stop).alias("raw"), _before(after_c, stop).alias("code"))
+    kept = F.filter(cut, lambda z: (z["code"] != "C") & (z["code"] != "K"))
+    full = F.when(tm_no == "", F.lit("")).otherwise(
+        F.array_join(F.transform(kept, lambda z: z["raw"]), " "))
     return F.struct(
-        case_no.alias("case_no"),
+        last("C").alias("case_no"),
         F.when(full != "", full).otherwise(short).alias("case_name"),
         tm_no.alias("tm_no"),
-        class_code.alias("class_code"),
+        last("K").alias("class_code"),
     )
 
 

@@ -36,8 +36,9 @@ def parse_cases(df: DataFrame, parser: str = "legacy", col: str = "case_folder")
     _check(parser)
     tmp = df.withColumn("_tokens", N.name_tokens(F.col(col)))
     if parser == "legacy":
-        parsed = N.legacy_case(F.col("_tokens"))
-        drop = ["_case", "_tokens"]
+        tmp = tmp.withColumn("_codes", N.legacy_codes(F.col("_tokens")))
+        parsed = N.legacy_case(F.col("_tokens"), F.col("_codes"))
+        drop = ["_case", "_tokens", "_codes"]
     else:
         tmp = tmp.withColumn("_types", N.token_types(F.col("_tokens")))
         parsed = N.token_case(F.col("_tokens"), F.col("_types"))

@@ -142,10 +142,33 @@ def listing(spark: SparkSession, sf_dir: str, with_trash: bool = True) -> DataFr
                  .groupBy("root", "client_folder", "case_folder")
                  .agg(F.min("o_orderkey").alias("o_orderkey")))
     folder_epoch = F.lit(1_600_000_000) + F.col("o_orderkey") * 3600
-    cases = case_rows.select("root", row(
-        case_id, F.col("case_folder"), client_id,
-        F.concat_ws("/", "client_folder", "case_folder"), True, F.lit(FOLDER_MIME),
-        F.lit(None), iso_utc(folder_epoch), iso_utc(folder_epoch + 60), F.lit(False)).alias("e"))
+    # One pass over the case folders emits each folder plus what is planted
+    # in it: a trashed draft in every folder whose smallest order key is
+    # 1 mod 13, and a sub-folder "old" with one file where it is 5 mod 17
+    # (strict scans list "old" as a file, the token walker and the
+    # parent-id tree ignore it, deep scans roll its file up).
+    sub_id = F.concat(case_id, F.lit("/old"))
+    has_sub = F.col("o_orderkey") % 17 == 5
+    per_folder = [
+        row(case_id, F.col("case_folder"), client_id,
+            F.concat_ws("/", "client_folder", "case_folder"), True, F.lit(FOLDER_MIME),
+            F.lit(None), iso_utc(folder_epoch), iso_utc(folder_epoch + 60), F.lit(False)),
+        F.when(has_sub, row(
+            sub_id, F.lit("old"), case_id,
+            F.concat_ws("/", "client_folder", "case_folder", F.lit("old")), True,
+            F.lit(FOLDER_MIME), F.lit(None), F.lit(""), F.lit(""), F.lit(False))),
+        F.when(has_sub, row(
+            F.concat(sub_id, F.lit("/scan old.pdf")), F.lit("scan old.pdf"), sub_id,
+            F.concat_ws("/", "client_folder", "case_folder", F.lit("old"), F.lit("scan old.pdf")),
+            False, F.lit("application/pdf"), F.lit(2048), F.lit(""), F.lit(""), F.lit(False))),
+    ]
+    if with_trash:
+        per_folder.append(F.when(F.col("o_orderkey") % 13 == 1, row(
+            F.concat(case_id, F.lit("/~draft")), F.lit("~draft.tmp"), case_id,
+            F.concat_ws("/", "client_folder", "case_folder", F.lit("~draft.tmp")), False,
+            F.lit("application/octet-stream"), F.lit(1), F.lit(""), F.lit(""), F.lit(True))))
+    folders = case_rows.select(
+        "root", F.explode(F.filter(F.array(*per_folder), lambda e: e.isNotNull())).alias("e"))
 
     mime = (F.when(F.col("file_name").endswith(".pdf"), F.lit("application/pdf"))
             .when(F.col("file_name").endswith(".DOCX"), F.lit(
@@ -160,27 +183,7 @@ def listing(spark: SparkSession, sf_dir: str, with_trash: bool = True) -> DataFr
         F.concat_ws("/", "client_folder", "case_folder", "file_name"), False, mime,
         F.when(F.col("l_linenumber") == 4, F.lit(None)).otherwise(F.col("l_quantity") * 1000),
         iso_utc(file_epoch), iso_utc(file_epoch + F.lit(0.25)), F.lit(False)).alias("e"))
-    out = clients.unionByName(cases).unionByName(files)
-    if with_trash:
-        drafts = case_rows.where(F.col("o_orderkey") % 13 == 1).select("root", row(
-            F.concat(case_id, F.lit("/~draft")), F.lit("~draft.tmp"), case_id,
-            F.concat_ws("/", "client_folder", "case_folder", F.lit("~draft.tmp")), False,
-            F.lit("application/octet-stream"), F.lit(1), F.lit(""), F.lit(""),
-            F.lit(True)).alias("e"))
-        out = out.unionByName(drafts)
-    # A sub-folder "old" with one file in every case folder whose smallest
-    # order key is 5 mod 17: strict scans list "old" as a file, the token
-    # walker and the parent-id tree ignore it, deep scans roll its file up.
-    sub = case_rows.where(F.col("o_orderkey") % 17 == 5)
-    sub_id = F.concat(case_id, F.lit("/old"))
-    sub_folders = sub.select("root", row(
-        sub_id, F.lit("old"), case_id, F.concat_ws("/", "client_folder", "case_folder", F.lit("old")),
-        True, F.lit(FOLDER_MIME), F.lit(None), F.lit(""), F.lit(""), F.lit(False)).alias("e"))
-    sub_files = sub.select("root", row(
-        F.concat(sub_id, F.lit("/scan old.pdf")), F.lit("scan old.pdf"), sub_id,
-        F.concat_ws("/", "client_folder", "case_folder", F.lit("old"), F.lit("scan old.pdf")),
-        False, F.lit("application/pdf"), F.lit(2048), F.lit(""), F.lit(""), F.lit(False)).alias("e"))
-    out = out.unionByName(sub_folders).unionByName(sub_files)
+    out = clients.unionByName(folders).unionByName(files)
     return out.select("root", "e.*").withColumn("source", F.lit("drive"))
 
 

@@ -121,8 +121,11 @@ def q_rule_hits_long(spark, sf):
 
 # -------------------------------------------------- listing-based queries --
 
-def _listing(spark, sf):
-    return L.not_trashed(fixture.listing(spark, sf))
+def _listing(spark, sf, stored=False):
+    """Non-trashed listing; ``stored`` writes it once as a table first, as a
+    listing export would be, for plans that scan it several times."""
+    lst = fixture.listing(spark, sf)
+    return L.not_trashed(materialize(lst) if stored else lst)
 
 
 def q_not_trashed(spark, sf):
@@ -148,17 +151,17 @@ def q_scan_roots(spark, sf):
 
 def _hier(mode):
     def run(spark, sf):
-        return H.hierarchy_by_path(_listing(spark, sf), mode).select(*CF_COLS)
+        return H.hierarchy_by_path(_listing(spark, sf, mode != "deep"), mode).select(*CF_COLS)
     return run
 
 
 def q_hierarchy_parent(spark, sf):
-    return H.hierarchy_by_parent(_listing(spark, sf)).select(*CF_COLS)
+    return H.hierarchy_by_parent(_listing(spark, sf, True)).select(*CF_COLS)
 
 
 def _listing_scan(mode):
     def run(spark, sf):
-        cf = H.hierarchy_by_path(_listing(spark, sf), mode)
+        cf = H.hierarchy_by_path(_listing(spark, sf, mode != "deep"), mode)
         return group_cases(cf, mode=mode).select("root", *KEY, "files", "ext", "n_folders", "n_files")
     return run
 
@@ -209,17 +212,16 @@ def q_failures_table(spark, sf):
 
 def _inventory(i):
     def run(spark, sf):
-        return R.inventory(_listing(spark, sf))[i]
+        return R.inventory(_listing(spark, sf, True))[i]
     return run
 
 
 def q_inventory_report(spark, sf):
-    # the listing is read by all three inventory tables: compute it once
-    return R.inventory_report(*R.inventory(materialize(_listing(spark, sf))))
+    return R.inventory_report(*R.inventory(_listing(spark, sf, True)))
 
 
 def q_duplicate_tm(spark, sf):
-    cases = R.inventory(_listing(spark, sf))[1]
+    cases = R.inventory(_listing(spark, sf, True))[1]
     return R.duplicate_tm(cases).select("tm_no", "folders", "root", "client_id", "case_folder")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -52,8 +53,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
-    cluster's shared ``spark.checkpoint.dir`` (survives executor loss, unlike
-    a local checkpoint). Use for an intermediate consumed several times."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once and cut its lineage by writing it as a Parquet
+    table under the cluster's shared ``spark.checkpoint.dir`` and reading it
+    back (survives executor loss, unlike a local checkpoint; later scans get
+    column pruning and filter pushdown). Use for an intermediate that a plan
+    reads several times."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

@@ -235,6 +235,29 @@ def q_quick_export(spark, sf):
     return X.quick_export(classified_scan(_cf(spark, sf)))
 
 
+def q_csv_round_trip(spark, sf):
+    """The export written as CSV into the shared folder and read back."""
+    import uuid
+    from caseledger.session import shared_dir
+    path = f"{shared_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    X.write_csv(X.python_booleans(_scan_cols(classified_scan(_cf(spark, sf)))), path)
+    return X.read_csv(spark, path)
+
+
+def q_classify_entries(spark, sf):
+    """A remote-API shaped listing (size as text, absent fields null)."""
+    lst = fixture.listing(spark, sf)
+    raw = lst.select(
+        "root", "id", "name", "parent_id", "path",
+        F.col("mime_type").alias("mimeType"),
+        F.when(F.col("size") % 7000 == 0, F.lit("n/a"))
+        .otherwise(F.col("size").cast("string")).alias("size"),
+        F.when(F.col("created_time") != "", F.col("created_time")).alias("createdTime"),
+        F.when(F.col("modified_time") != "", F.col("modified_time")).alias("modifiedTime"),
+        "trashed", F.lit(None).cast("string").alias("source"))
+    return L.classify_entries(raw)
+
+
 def q_sort_records(spark, sf):
     return X.sort_records(_scan_cols(classified_scan(_cf(spark, sf))))
 
@@ -304,6 +327,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_projection": q_export_projection,
     "quick_export": q_quick_export,
     "sort_records": q_sort_records,
+    "csv_round_trip": q_csv_round_trip,
+    "classify_entries": q_classify_entries,
     "upsert_cases": q_upsert_cases,
     "upsert_counts": q_upsert_counts,
     "evolve_schema": q_evolve_schema,
@@ -576,6 +601,13 @@ select cf.* from cf join (select root, client_folder from (
         "export_projection": export,
         "quick_export": quick,
         "sort_records": two + "select * from sa",
+        "csv_round_trip": two + "select root, " + key + ", files, ext, " + ", ".join(
+            f'case when "{n}" then \'True\' else \'False\' end as "{n}"' for n in O.RULE_NAMES)
+        + ", date_added, updated_on from sa",
+        "classify_entries": f"""{listing}
+select root, id, name, parent_id, path, is_folder, mime_type,
+  case when is_folder or size % 7000 = 0 then null else size end as size,
+  created_time, modified_time, trashed, 'drive' as source from lst""",
         "upsert_cases": upsert,
         "upsert_counts": counts,
         "evolve_schema": evolve,

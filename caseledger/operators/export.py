@@ -91,16 +91,23 @@ def python_booleans(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+# Read-side null marker that never occurs in text: an unquoted empty field is
+# null, a quoted one ("") is the empty string.
+_CSV_NULL = "\u0000"
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header, no index, multi-line cells quoted (FILES holds newlines)."""
-    (df.write.mode(mode).option("header", True).option("emptyValue", "")
-     .option("escape", '"').option("quoteAll", False).csv(path))
+    """Header, no index, multi-line cells quoted (FILES holds newlines).
+    Empty text is written as ``""`` and null as an empty field, so a read-back
+    keeps the two apart (missing values are ``""`` in this data model)."""
+    (df.write.mode(mode).option("header", True).option("escape", '"')
+     .option("quoteAll", False).csv(path))
 
 
 def read_csv(spark, path: str) -> DataFrame:
-    """Read back a W3 export (multi-line cells)."""
+    """Read back a W3 export (multi-line cells, ``""`` vs null kept)."""
     return (spark.read.option("header", True).option("multiLine", True)
-            .option("escape", '"').csv(path))
+            .option("escape", '"').option("nullValue", _CSV_NULL).csv(path))
 
 
 def write_export(df: DataFrame, base_dir: str, run: str, fmt: str = "csv",

@@ -89,6 +89,12 @@ def _group(mode):
     return run
 
 
+def q_group_strict_split(spark, sf):
+    """A1/A2 with the hot-group split (range-partitioned ordered concat)."""
+    r = group_cases(_cf(spark, sf), mode="strict", split_hot=True)
+    return r.select("root", *KEY, "files", "ext", "n_folders", "n_files")
+
+
 def q_limit_groups(spark, sf):
     r = group_cases(_cf(spark, sf), mode="strict", limit=LIMIT_N)
     return r.select("root", *KEY, "files", "n_files")
@@ -295,6 +301,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "group_strict": _group("strict"),
     "group_deep": _group("deep"),
     "group_token": _group("token"),
+    "group_strict_split": q_group_strict_split,
     "limit_groups": q_limit_groups,
     "record_counts": q_record_counts,
     "classified_scan": q_classified_scan,
@@ -384,6 +391,7 @@ from ({O.token_case(_names_sql('case_folder'))}) d"""),
         "group_strict": w(O.records("strict", "legacy")),
         "group_deep": w(O.records("deep", "legacy")),
         "group_token": w(O.records("token", "token")),
+        "group_strict_split": w(O.records("strict", "legacy")),
         "limit_groups": w(f"""select root, {key}, files, n_files from (
   select r.*, row_number() over (partition by root order by first_path) as rn
   from ({O.records('strict', 'legacy')}) r

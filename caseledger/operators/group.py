@@ -41,7 +41,37 @@ def _joined(arr: Column, field: str) -> Column:
     return F.array_join(F.filter(F.transform(arr, lambda f: f[field]), lambda v: v != ""), "\n")
 
 
-def folder_entries(case_files: DataFrame, mode: str = "strict") -> DataFrame:
+def ordered_concat(df: DataFrame, keys: list[str], order_col: str, texts: list[str],
+                   sums: list[str] = (), parts: int | None = None) -> DataFrame:
+    """Per key: ``\n``-join of each non-empty text column in ``order_col``
+    order, plus ``n_rows``, ``first`` (smallest ``order_col``) and sums.
+
+    Splits hot keys without losing order: rows are range-partitioned on
+    (keys, order_col), so a key holding a large share of all rows spans
+    several partitions; each partition joins its run of rows, and the runs
+    are joined in partition order, which is the row order. No task holds
+    more than one partition's rows of a key until the final join of run
+    texts, which is the output value itself. Costs a sampling pass and two
+    small shuffles of run texts; use it when a key may be hot.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys, order_col)
+    runs = ranged.groupBy(*keys, F.spark_partition_id().alias("_run")).agg(
+        F.sort_array(F.collect_list(F.struct(order_col, *texts))).alias("_items"),
+        F.count("*").alias("_n"), F.min(order_col).alias("_first"),
+        *[F.sum(c).alias(f"_s_{c}") for c in sums])
+    runs = runs.select(*keys, "_run", "_n", "_first", *[f"_s_{c}" for c in sums],
+                       *[_joined(F.col("_items"), t).alias(t) for t in texts])
+    out = runs.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("_run", *texts))).alias("_runs"),
+        F.sum("_n").alias("n_rows"), F.min("_first").alias("first"),
+        *[F.sum(f"_s_{c}").alias(c) for c in sums])
+    return out.select(*keys, *[_joined(F.col("_runs"), t).alias(t) for t in texts],
+                      "n_rows", "first", *sums)
+
+
+def folder_entries(case_files: DataFrame, mode: str = "strict",
+                   split_hot: bool = False) -> DataFrame:
     """Stage 1: one row per raw case folder.
 
     Columns: root, client_folder, case_folder, folder_path, files_text and
@@ -68,6 +98,19 @@ def folder_entries(case_files: DataFrame, mode: str = "strict") -> DataFrame:
         cf = cf.where(F.col("case_folder").isNotNull())
     # File fields are computed in a projection (whole-stage codegen), not
     # inside the aggregate; sort_array uses the natural struct order.
+    if split_hot:
+        name = F.col("file_name")
+        rows = cf.select("root", "client_folder", "case_folder",
+                         F.when(kept, F.col("file_path")).alias("_path"),
+                         F.when(kept, FF.file_stem(name)).alias("stem"),
+                         F.when(kept, FF.file_ext(name)).alias("ext"),
+                         kept.cast("long").alias("n_files"))
+        out = ordered_concat(rows, ["root", "client_folder", "case_folder"], "_path",
+                             ["stem", "ext"], ["n_files"])
+        return out.select(
+            "root", "client_folder", "case_folder",
+            F.concat(F.col("client_folder"), F.lit("/"), F.col("case_folder"), F.lit("/")).alias("folder_path"),
+            F.col("stem").alias("files_text"), F.col("ext").alias("ext_text"), "n_files")
     cf = cf.select("root", "client_folder", "case_folder",
                    F.when(kept, _file_struct()).alias("_file"), kept.alias("_kept"))
     grouped = cf.groupBy("root", "client_folder", "case_folder").agg(
@@ -107,7 +150,8 @@ def _limit_per_root(df: DataFrame, order: str, n: int) -> DataFrame:
 
 
 def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None = None,
-                limit: int | None = None, keep_raw_folder: bool = False) -> DataFrame:
+                limit: int | None = None, keep_raw_folder: bool = False,
+                split_hot: bool = False) -> DataFrame:
     """A1/A2 (+A3, A4): one record per (root, client_number, client_name,
     case_no, case_name, tm_no, class_code).
 
@@ -117,14 +161,23 @@ def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None
     (token mode: the first n folders, as its walker counts folders).
     ``keep_raw_folder`` adds the raw folder path to the key, so unparsable
     folders of one client stay separate records (the documented intent)
-    instead of merging (the actual behaviour, default).
+    instead of merging (the actual behaviour, default). ``split_hot`` runs
+    both stages through ``ordered_concat`` so a folder or key holding a
+    large share of all rows is spread over several tasks.
     """
     parser = parser or ("token" if mode == "token" else "legacy")
-    folders = folder_entries(case_files, mode)
+    folders = folder_entries(case_files, mode, split_hot=split_hot)
     if limit and mode == "token":
         folders = _limit_per_root(folders, "folder_path", limit)
     parsed = parse_folders(folders, parser, mode)
     extra = ["folder_path"] if keep_raw_folder else []
+    if split_hot:
+        out = ordered_concat(parsed, ["root", *KEY, *extra], "folder_path",
+                             ["files_text", "ext_text"], ["n_files"])
+        out = out.select("root", *KEY, F.col("files_text").alias("files"),
+                         F.col("ext_text").alias("ext"), F.col("n_rows").alias("n_folders"),
+                         "n_files", F.col("first").alias("first_path"))
+        return _limit_per_root(out, "first_path", limit) if limit and mode != "token" else out
     grouped = parsed.groupBy("root", *KEY, *extra).agg(
         F.sort_array(F.collect_list(F.struct("folder_path", "files_text", "ext_text"))).alias("_parts"),
         F.count("*").alias("n_folders"),

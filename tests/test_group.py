@@ -79,3 +79,25 @@ def test_keep_raw_folder(spark):
     recs = group_cases(cf, mode="strict", keep_raw_folder=True).collect()
     assert len(recs) == 4
     assert sorted(r["files"] for r in recs if r["case_no"] == "") == ["x", "y"]
+
+
+def test_split_hot_matches_default(spark):
+    lst = listing_rows(spark, TREE)
+    for mode in ("strict", "deep", "token"):
+        cf = hierarchy_by_path(lst, mode)
+        a = sorted(map(tuple, group_cases(cf, mode=mode).collect()))
+        b = sorted(map(tuple, group_cases(cf, mode=mode, split_hot=True).collect()))
+        assert a == b, mode
+
+
+def test_split_hot_on_a_hot_folder(spark):
+    # one folder holds most files and the range partitioner spreads it
+    rows = [("A-1 Ann", True), ("A-1 Ann/Misc", True)]
+    rows += [(f"A-1 Ann/Misc/f{i:04d}.pdf", False) for i in range(400)]
+    rows += [("A-1 Ann/A001-001 X", True), ("A-1 Ann/A001-001 X/y.pdf", False)]
+    cf = hierarchy_by_path(listing_rows(spark, rows), "strict")
+    a = sorted(map(tuple, group_cases(cf).collect()))
+    b = sorted(map(tuple, group_cases(cf, split_hot=True).collect()))
+    assert a == b
+    hot = [r for r in group_cases(cf, split_hot=True).collect() if r["case_no"] == ""][0]
+    assert hot["files"].split("\n") == [f"f{i:04d}" for i in range(400)]

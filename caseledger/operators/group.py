@@ -37,6 +37,11 @@ def _file_struct() -> Column:
                     FF.file_ext(name).alias("ext"))
 
 
+def _folder_path() -> Column:
+    return F.concat(F.coalesce("client_folder", F.lit("")), F.lit("/"),
+                    F.coalesce("case_folder", F.lit("")), F.lit("/")).alias("folder_path")
+
+
 def _joined(arr: Column, field: str) -> Column:
     return F.array_join(F.filter(F.transform(arr, lambda f: f[field]), lambda v: v != ""), "\n")
 
@@ -90,9 +95,10 @@ def folder_entries(case_files: DataFrame, mode: str = "strict",
     if mode == "deep":
         if has_kind:
             cf = cf.where(~F.coalesce(F.col("entry_is_folder"), F.lit(False)))
-        cf = cf.where(kept).select(
-            "root", F.coalesce("client_folder", F.lit("")).alias("client_folder"),
-            F.coalesce("case_folder", F.lit("")).alias("case_folder"), "file_name", "file_path")
+        # Missing levels may be null or "": both mean "no client / no case";
+        # the raw columns are kept so an input partitioned by folder needs no
+        # new exchange (placeholders are applied after parsing).
+        cf = cf.where(kept)
         kept = F.lit(True)
     else:
         cf = cf.where(F.col("case_folder").isNotNull())
@@ -108,8 +114,7 @@ def folder_entries(case_files: DataFrame, mode: str = "strict",
         out = ordered_concat(rows, ["root", "client_folder", "case_folder"], "_path",
                              ["stem", "ext"], ["n_files"])
         return out.select(
-            "root", "client_folder", "case_folder",
-            F.concat(F.col("client_folder"), F.lit("/"), F.col("case_folder"), F.lit("/")).alias("folder_path"),
+            "root", "client_folder", "case_folder", _folder_path(),
             F.col("stem").alias("files_text"), F.col("ext").alias("ext_text"), "n_files")
     cf = cf.select("root", "client_folder", "case_folder",
                    F.when(kept, _file_struct()).alias("_file"), kept.alias("_kept"))
@@ -117,8 +122,7 @@ def folder_entries(case_files: DataFrame, mode: str = "strict",
         F.sort_array(F.collect_list("_file")).alias("_files"),
         F.count_if("_kept").alias("n_files"))
     return grouped.select(
-        "root", "client_folder", "case_folder",
-        F.concat(F.col("client_folder"), F.lit("/"), F.col("case_folder"), F.lit("/")).alias("folder_path"),
+        "root", "client_folder", "case_folder", _folder_path(),
         _joined(F.col("_files"), "stem").alias("files_text"),
         _joined(F.col("_files"), "ext").alias("ext_text"),
         "n_files")
@@ -128,8 +132,8 @@ def parse_folders(folders: DataFrame, parser: str = "legacy", mode: str = "stric
     """Add the 6 key columns to folder rows (deep mode placeholders included)."""
     out = parse_cases(parse_clients(folders, parser), parser)
     if mode == "deep":
-        no_client = F.col("client_folder") == ""
-        no_case = F.col("case_folder") == ""
+        no_client = F.coalesce(F.col("client_folder"), F.lit("")) == ""
+        no_case = F.coalesce(F.col("case_folder"), F.lit("")) == ""
         out = out.select(
             *[c for c in out.columns if c not in KEY],
             F.when(no_client, F.lit("")).otherwise(F.col("client_number")).alias("client_number"),

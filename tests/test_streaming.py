@@ -1,6 +1,7 @@
 """Listing snapshots arriving in a folder keep the case table current."""
 
 import time
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ def test_two_snapshots(spark, tmp_path):
     listing_rows(spark, SNAP1).coalesce(1).write.parquet(src, mode="append")
     time.sleep(1.1)
     listing_rows(spark, SNAP2).coalesce(1).write.parquet(src, mode="append")
-    q = start_upsert_stream(read_listing_stream(spark, src), target, name="t1",
+    q = start_upsert_stream(read_listing_stream(spark, src), target, name=f"t{uuid.uuid4().hex}",
                             as_of="2026-01-15")
     q.awaitTermination(300)
     out = spark.read.parquet(target)

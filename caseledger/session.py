@@ -30,6 +30,10 @@ def build_session(master: str | None = None, app: str = "caseledger",
     )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master.startswith("local"):
+        # local mode: the driver JVM is the only executor, size its heap
+        builder = builder.config("spark.driver.memory",
+                                 os.environ.get("CASELEDGER_DRIVER_MEMORY", "8g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

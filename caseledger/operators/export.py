@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..schema import BASE_EXPORT, EXPORT_HEADERS, KEY
+from ..schema import BASE_EXPORT, EXPORT_HEADERS
 
 # Date formats (strftime %d-%b-%y and %Y-%m-%d %H:%M:%S).
 RECORD_DATE_FORMAT = "dd-MMM-yy"
@@ -134,6 +134,3 @@ def write_export(df: DataFrame, base_dir: str, run: str, fmt: str = "csv",
             raise
     raise RuntimeError(f"no free export name under {base_dir}")
 
-
-def key_columns() -> list[str]:
-    return list(KEY)

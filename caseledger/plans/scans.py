@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..operators.classify import classify
-from ..operators.export import quick_export, sort_records, stamp_dates
+from ..operators.export import (QUICK_EXPORT_NAME, project_export, quick_export, sort_records,
+                                stamp_dates, write_export)
+from ..operators.upsert import upsert_cases
 from ..operators.group import group_cases
 from ..sources.rules import shipped_rules
 
@@ -40,3 +42,37 @@ def quick_scan(case_files: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
     """L2: strict scan of every root, no limit, 9 base columns. The rule
     columns are never built: Catalyst prunes them from the plan."""
     return quick_export(classified_scan(case_files, mode="strict", as_of=as_of))
+
+
+def export_run(case_files: DataFrame, base_dir: str, run: str = "clients_data", rules=None,
+               **scan_args) -> str | None:
+    """L1 to the file sink: records sorted at the sink, export columns,
+    written under a new versioned name (never overwrites; skips empty)."""
+    rules = shipped_rules() if rules is None else rules
+    records = sort_records(classified_scan(case_files, rules, **scan_args))
+    return write_export(project_export(records, rules), base_dir, run)
+
+
+def export_quick(case_files: DataFrame, base_dir: str, as_of: str = DEFAULT_AS_OF) -> str | None:
+    """L2 to the file sink."""
+    records = classified_scan(case_files, mode="strict", as_of=as_of)
+    return write_export(quick_export(sort_records(records)), base_dir, QUICK_EXPORT_NAME)
+
+
+def upsert_run(case_files: DataFrame, existing: DataFrame | None, target_path: str, rules=None,
+               key: str = "case_no", **scan_args) -> DataFrame:
+    """L1 into a table: the scan's records upserted into ``existing`` (a
+    table written by an earlier run, or None for the first run) and written
+    to ``target_path`` (a new version; never the path ``existing`` was read
+    from). ``row_order`` is the position column. Returns the written table."""
+    from pyspark.sql import functions as F
+    records = classified_scan(case_files, rules, **scan_args).drop("n_folders", "n_files")
+    # a record's first folder path is unique to it: a stable position value
+    records = records.withColumn("row_order", F.xxhash64("root", "first_path")).drop("first_path")
+    if existing is None:
+        merged = records.withColumn("upsert_status", F.lit("appended"))
+    else:
+        merged = upsert_cases(existing.drop("upsert_status"), records, key=key,
+                              order_by=("row_order",))
+    merged.write.mode("errorifexists").parquet(target_path)
+    return merged.sparkSession.read.parquet(target_path)

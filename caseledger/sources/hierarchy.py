@@ -16,9 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OUT = ["root", "client_folder", "case_folder", "file_name", "file_path", "entry_is_folder"]
-
-
 def _null(t="string"):
     return F.lit(None).cast(t)
 

@@ -33,3 +33,20 @@ def test_csv_round_trip_and_versions(spark, tmp_path):
     back = {r["files"]: r for r in X.read_csv(spark, p1).collect()}
     assert back["a\nb"]["flag"] == "True" and back['q"x']["flag"] == "False"
     assert X.write_export(df.limit(0), str(tmp_path), "x") is None
+
+
+def test_run_plans(spark, tmp_path):
+    from caseledger.plans.scans import export_quick, export_run, upsert_run
+    from caseledger.sources.hierarchy import hierarchy_by_path
+    from conftest import listing_rows
+    from test_group import TREE
+    cf = hierarchy_by_path(listing_rows(spark, TREE), "strict")
+    p = export_run(cf, str(tmp_path), "clients_data")
+    assert p.endswith("clients_patterns.csv") and X.read_csv(spark, p).count() == 3
+    q = export_quick(cf, str(tmp_path))
+    assert X.read_csv(spark, q).columns[-1] == "DATE ADDED"
+    v1 = upsert_run(cf, None, str(tmp_path / "t1"))
+    v2 = upsert_run(cf, v1, str(tmp_path / "t2"))
+    st = sorted(r["upsert_status"] for r in v2.collect())
+    # keyed records are updated; the blank-key record is appended again
+    assert st == ["appended", "untouched", "updated", "updated"]

@@ -153,6 +153,33 @@ def _limit_per_root(df: DataFrame, order: str, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def limit_groups(case_files: DataFrame, n: int, mode: str = "strict",
+                 parser: str | None = None) -> DataFrame:
+    """A4: keep only the entries of the first ``n`` groups per root, in path
+    order (token mode: the first ``n`` folders, as its walker counts
+    folders). Chosen from folder names alone, before any file is
+    aggregated: distinct folders -> parse -> first path per key -> top n per
+    root -> left-semi joins down to the kept folders' entries."""
+    parser = parser or ("token" if mode == "token" else "legacy")
+    folder_key = ["root", "client_folder", "case_folder"]
+    if mode == "deep":
+        kept = F.col("file_name").isNotNull() & ~FF.is_noise_file(F.col("file_name"))
+        if "entry_is_folder" in case_files.columns:
+            kept = kept & ~F.coalesce(F.col("entry_is_folder"), F.lit(False))
+        folders = case_files.where(kept).select(*folder_key).distinct()
+    else:
+        folders = case_files.where(F.col("case_folder").isNotNull()).select(*folder_key).distinct()
+    folders = folders.select(*folder_key, _folder_path())
+    if mode == "token":
+        keep = _limit_per_root(folders, "folder_path", n)
+    else:
+        keys = parse_folders(folders, parser, mode)
+        firsts = keys.groupBy("root", *KEY).agg(F.min("folder_path").alias("first_path"))
+        top = _limit_per_root(firsts, "first_path", n)
+        keep = keys.join(top.select("root", *KEY), ["root", *KEY], "left_semi")
+    return case_files.join(keep.select(*folder_key), folder_key, "left_semi")
+
+
 def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None = None,
                 limit: int | None = None, keep_raw_folder: bool = False,
                 split_hot: bool = False) -> DataFrame:
@@ -170,9 +197,9 @@ def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None
     large share of all rows is spread over several tasks.
     """
     parser = parser or ("token" if mode == "token" else "legacy")
+    if limit:
+        case_files = limit_groups(case_files, limit, mode, parser)
     folders = folder_entries(case_files, mode, split_hot=split_hot)
-    if limit and mode == "token":
-        folders = _limit_per_root(folders, "folder_path", limit)
     parsed = parse_folders(folders, parser, mode)
     extra = ["folder_path"] if keep_raw_folder else []
     if split_hot:
@@ -181,7 +208,7 @@ def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None
         out = out.select("root", *KEY, F.col("files_text").alias("files"),
                          F.col("ext_text").alias("ext"), F.col("n_rows").alias("n_folders"),
                          "n_files", F.col("first").alias("first_path"))
-        return _limit_per_root(out, "first_path", limit) if limit and mode != "token" else out
+        return out
     grouped = parsed.groupBy("root", *KEY, *extra).agg(
         F.sort_array(F.collect_list(F.struct("folder_path", "files_text", "ext_text"))).alias("_parts"),
         F.count("*").alias("n_folders"),
@@ -189,8 +216,6 @@ def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None
         F.min("folder_path").alias("first_path"))
     if keep_raw_folder:
         grouped = grouped.drop("folder_path")
-    if limit and mode != "token":
-        grouped = _limit_per_root(grouped, "first_path", limit)
     # Folder texts in folder-path order = file-path order (every path of a
     # folder starts with its folder path + "/").
     return grouped.select(

@@ -23,7 +23,9 @@ def read_listing(spark: SparkSession, path: str, fmt: str = "parquet",
     """
     reader = spark.read.schema(RAW_LISTING if raw else LISTING).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        # quoted "" stays the empty string, an empty field is null
+        reader = (reader.option("header", True).option("multiLine", True)
+                  .option("escape", '"').option("nullValue", "\u0000"))
     df = reader.load(path)
     if root is not None:
         df = df.withColumn("root", F.coalesce(F.col("root"), F.lit(root)))

@@ -10,27 +10,32 @@ NOISE_FILE = "desktop.ini"
 BLANKED_EXT = ".ini"
 VIEW_URL = "https://drive.google.com/file/d/%s/view"
 
-# os.path.splitext: the last dot not part of the leading dots starts the ext.
-_SPLITEXT = r"(?s)^(\.*[^.].*)(\.[^.]*)$"
+
+def _split_ext(name: Column):
+    """``os.path.splitext`` with string functions (no regex): the extension
+    starts at the last dot that is not one of the leading dots."""
+    rest = F.ltrim(name, F.lit("."))
+    has_ext = F.instr(rest, ".") > 0
+    raw_ext = F.when(has_ext, F.concat(F.lit("."), F.substring_index(rest, ".", -1))) \
+        .otherwise(F.lit(""))
+    stem = F.when(has_ext, name.substr(F.lit(1), F.length(name) - F.length(raw_ext))) \
+        .otherwise(name)
+    return stem, raw_ext
 
 
 def is_noise_file(name: Column) -> Column:
     return F.lower(name) == NOISE_FILE
 
 
-def _raw_ext(name: Column) -> Column:
-    return F.regexp_extract(name, _SPLITEXT, 2)
-
-
 def file_stem(name: Column) -> Column:
     """Name without its extension, as ``os.path.splitext`` splits it."""
-    return F.when(name.rlike(_SPLITEXT), F.regexp_extract(name, _SPLITEXT, 1)).otherwise(name)
+    return _split_ext(name)[0]
 
 
 def file_ext(name: Column) -> Column:
     """Extension without its dot, case kept; ``.ini`` is blanked."""
-    raw = _raw_ext(name)
-    return F.when(F.lower(raw) == BLANKED_EXT, F.lit("")).otherwise(F.ltrim(raw, F.lit(".")))
+    raw = _split_ext(name)[1]
+    return F.when(F.lower(raw) == BLANKED_EXT, F.lit("")).otherwise(F.substring(raw, 2, 1 << 30))
 
 
 def file_extension(name: Column) -> Column:

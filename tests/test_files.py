@@ -15,6 +15,9 @@ NAMES = {
     "a|b.pdf": ("a|b", "pdf", "pdf"),
     "..a.b": ("..a", "b", "b"),
     "...": ("...", "", ""),
+    "a\nb.pdf": ("a\nb", "pdf", "pdf"),
+    "x.INI": ("x", "", "ini"),
+    "": ("", "", ""),
 }
 
 

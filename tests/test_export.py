@@ -50,3 +50,10 @@ def test_run_plans(spark, tmp_path):
     st = sorted(r["upsert_status"] for r in v2.collect())
     # keyed records are updated; the blank-key record is appended again
     assert st == ["appended", "untouched", "updated", "updated"]
+
+
+def test_updated_on_only_on_request(spark):
+    df = spark.createDataFrame([("A-1", "x", "d", "u")],
+                               "client_number string, files string, date_added string, updated_on string")
+    assert "UPDATED ON" not in X.project_export(df, []).columns
+    assert X.project_export(df, [], include_updated_on=True).columns[-1] == "UPDATED ON"

@@ -84,3 +84,22 @@ def test_load_rules(spark, tmp_path):
     bad = tmp_path / "bad.json"
     bad.write_text("[{not json")
     assert load_rules(spark, str(bad)) == []
+
+
+def test_unicode_dialect(spark):
+    rules = [{"name": "W", "patterns": [r"\bcafé\b"], "target": "W"},
+             {"name": "S", "patterns": [r"\bSMC\b"], "target": "S"},
+             {"name": "D", "patterns": [r"\bNO \d{2}\b"], "target": "D"}]
+    got = _flags(spark, [["x café y"], ["ſmc"], ["no ٣٤"], ["cafés"]], rules)
+    assert got[0]["W"] is True and got[1]["S"] is True and got[2]["D"] is True
+    assert got[3]["W"] is False
+
+
+def test_route_by_target(spark):
+    rules = [{"name": "A", "patterns": [r"\bFOO\b"], "target": "T"},
+             {"name": "B", "patterns": [r"\bBAR\b"], "target": "T"}]
+    df = spark.createDataFrame([("bar",)], "files string")
+    by_name = classify(df, rules, data_sheet_override=False).first().asDict()
+    by_target = classify(df, rules, route_by="target", data_sheet_override=False).first().asDict()
+    assert by_name["A"] is False and by_name["B"] is True and "T" not in by_name
+    assert by_target["T"] is True and "A" not in by_target

@@ -99,10 +99,10 @@ def legacy_codes(tokens: Column) -> Column:
     every token with at most four regex tests.
     """
     return F.transform(tokens, lambda x: (
-        F.when(x.rlike(java_token_pattern(LEGACY_CASE_NO)), F.lit("C"))
+        F.when(x.rlike(java_token_pattern(LEGACY_SHORT_NAME)), F.lit("N"))
+        .when(x.rlike(java_token_pattern(LEGACY_CASE_NO)), F.lit("C"))
         .when(x.rlike(java_token_pattern(LEGACY_TM_NO)), F.lit("T"))
         .when(x.rlike(java_token_pattern(LEGACY_CLASS)), F.lit("K"))
-        .when(x.rlike(java_token_pattern(LEGACY_SHORT_NAME)), F.lit("N"))
         .otherwise(F.lit(""))))
 
 
@@ -140,8 +140,14 @@ def legacy_case(tokens: Column, codes: Column) -> Column:
 # ----------------------------------------------------------------- token --
 
 def token_type(x: Column) -> Column:
+    """First matching type in ``TOKEN_PATTERNS`` order. WORD is tested first:
+    it needs no digit while every other pattern requires one, so it can
+    overlap none of them and the result is the same, with one regex test for
+    the most common tokens."""
+    order = [kp for kp in TOKEN_PATTERNS if kp[0] == "WORD"] + \
+        [kp for kp in TOKEN_PATTERNS if kp[0] != "WORD"]
     expr = None
-    for kind, p in TOKEN_PATTERNS:
+    for kind, p in order:
         cond = x.rlike(java_token_pattern(p))
         expr = F.when(cond, F.lit(kind)) if expr is None else expr.when(cond, F.lit(kind))
     return expr.otherwise(F.lit(TOKEN_OTHER))

@@ -38,10 +38,10 @@ def token_scan(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF,
                            limit=limit)
 
 
-def quick_scan(case_files: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
+def quick_scan(case_files: DataFrame, as_of: str = DEFAULT_AS_OF, sort: bool = False) -> DataFrame:
     """L2: strict scan of every root, no limit, 9 base columns. The rule
     columns are never built: Catalyst prunes them from the plan."""
-    return quick_export(classified_scan(case_files, mode="strict", as_of=as_of))
+    return quick_export(classified_scan(case_files, mode="strict", as_of=as_of, sort=sort))
 
 
 def export_run(case_files: DataFrame, base_dir: str, run: str = "clients_data", rules=None,
@@ -55,8 +55,7 @@ def export_run(case_files: DataFrame, base_dir: str, run: str = "clients_data",
 
 def export_quick(case_files: DataFrame, base_dir: str, as_of: str = DEFAULT_AS_OF) -> str | None:
     """L2 to the file sink."""
-    records = classified_scan(case_files, mode="strict", as_of=as_of)
-    return write_export(quick_export(sort_records(records)), base_dir, QUICK_EXPORT_NAME)
+    return write_export(quick_scan(case_files, as_of, sort=True), base_dir, QUICK_EXPORT_NAME)
 
 
 def upsert_run(case_files: DataFrame, existing: DataFrame | None, target_path: str, rules=None,

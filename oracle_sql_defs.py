@@ -184,12 +184,6 @@ RULE_NAMES = list(active(shipped_rules()).keys())
 
 # ---------------------------------------------------------------- listing --
 
-def with_listing(body: str) -> str:
-    """CTEs: lst (listing), nt (not trashed, with path parts)."""
-    return (f"with lst as ({LISTING_SQL}),\n"
-            f"nt as (select *, string_split(path, '/') as parts from lst where not trashed)\n{body}")
-
-
 def hierarchy(mode: str) -> str:
     """Case files rebuilt from path components of the non-trashed listing."""
     if mode == "deep":

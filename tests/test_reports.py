@@ -29,6 +29,8 @@ def test_compare_statuses(spark):
     b2 = spark.createDataFrame([("", "1", "", "", "q")], a.schema)
     got2 = {r["case_no"]: r for r in R.compare_exports(a, b2).collect()}
     assert got2["1"]["status"] == "Changed" and got2["1"]["changed_columns"] == "files"
+    summary = {r["status"]: r["records"] for r in R.compare_summary(R.compare_exports(a, b2)).collect()}
+    assert summary == {"Changed": 1, "Removed": 1}
 
 
 def test_diagnosis_and_summary(spark):

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from caseledger.schema import FOLDER_MIME
-from caseledger.sources.listing import (classify_entries, first_clients, not_trashed,
+from caseledger.sources.listing import (files_only, first_clients, folders_only, not_trashed,
                                         read_listing, scan_roots)
 from conftest import listing_rows
 from test_group import TREE
@@ -41,6 +41,8 @@ def test_roots_trash_first_clients(spark):
     both, msgs = scan_roots([("clients", lst), ("consultants", lst), ("gone", None)])
     assert msgs == ["Not found: gone"] and both.count() == 2 * lst.count()
     assert not_trashed(lst.withColumn("trashed", F.col("name") == "x.pdf")).count() == lst.count() - 1
+    assert folders_only(lst).count() + files_only(lst).count() == lst.count()
+    assert folders_only(lst).where(~F.col("is_folder")).count() == 0
     cf = spark.createDataFrame([("r", "B", "c", "f", "B/c/f"), ("r", "A", "c", "f", "A/c/f"),
                                 ("r", "C", "c", None, None)],
                                "root string, client_folder string, case_folder string, "

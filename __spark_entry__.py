@@ -20,7 +20,7 @@ from caseledger.operators import export as X
 from caseledger.operators import reports as R
 from caseledger.operators import upsert as U
 from caseledger.operators.group import group_cases, record_counts
-from caseledger.plans.scans import classified_scan, token_scan
+from caseledger.plans.scans import classified_scan, scan_pair, token_scan
 from caseledger.schema import KEY
 from caseledger.session import materialize
 from caseledger.functions import files as FF
@@ -187,9 +187,8 @@ def _scan_cols(df, dated=("date_added", "updated_on")):
 
 
 def q_compare_exports(spark, sf):
-    a = _scan_cols(classified_scan(_cf(spark, sf)))
-    b = _scan_cols(token_scan(_cf(spark, sf)))
-    return R.compare_exports(a, b)
+    a, b = scan_pair(_cf(spark, sf))
+    return R.compare_exports(_scan_cols(a), _scan_cols(b))
 
 
 def q_duplicate_keys(spark, sf):
@@ -269,9 +268,9 @@ def q_sort_records(spark, sf):
 
 
 def q_upsert_cases(spark, sf):
-    e = materialize(_scan_cols(classified_scan(_cf(spark, sf))))
-    i = _scan_cols(token_scan(_cf(spark, sf)))
-    return U.upsert_cases(e, i, key="case_no", order_by=ORDER, keep_position=False)
+    e, i = scan_pair(_cf(spark, sf))
+    return U.upsert_cases(materialize(_scan_cols(e)), _scan_cols(i), key="case_no",
+                          order_by=ORDER, keep_position=False)
 
 
 def q_upsert_counts(spark, sf):

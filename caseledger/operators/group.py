@@ -128,6 +128,40 @@ def folder_entries(case_files: DataFrame, mode: str = "strict",
         "n_files")
 
 
+def folder_entries_both(case_files: DataFrame) -> DataFrame:
+    """Stage 1 once for the strict and the token walk (same folder set; the
+    token walk only drops sub-folder entries). Columns as ``folder_entries``
+    with ``_strict`` and ``_token`` variants of files_text, ext_text, n_files.
+    """
+    cf = case_files.where(F.col("case_folder").isNotNull())
+    kept = F.col("file_name").isNotNull() & ~FF.is_noise_file(F.col("file_name"))
+    is_dir = F.coalesce(F.col("entry_is_folder"), F.lit(False)) \
+        if "entry_is_folder" in cf.columns else F.lit(False)
+    cf = cf.select("root", "client_folder", "case_folder",
+                   F.when(kept, F.struct(_file_struct().alias("f"), is_dir.alias("d"))).alias("_e"),
+                   kept.alias("_kept"), (kept & ~is_dir).alias("_kept_file"))
+    g = cf.groupBy("root", "client_folder", "case_folder").agg(
+        F.sort_array(F.collect_list("_e")).alias("_all"),
+        F.count_if("_kept").alias("n_files_strict"), F.count_if("_kept_file").alias("n_files_token"))
+    files = F.transform(F.col("_all"), lambda e: e["f"])
+    only_files = F.transform(F.filter(F.col("_all"), lambda e: ~e["d"]), lambda e: e["f"])
+    return g.select(
+        "root", "client_folder", "case_folder", _folder_path(),
+        _joined(files, "stem").alias("files_text_strict"), _joined(files, "ext").alias("ext_text_strict"),
+        _joined(only_files, "stem").alias("files_text_token"),
+        _joined(only_files, "ext").alias("ext_text_token"),
+        "n_files_strict", "n_files_token")
+
+
+def pick_walk(folders: DataFrame, walk: str) -> DataFrame:
+    """The ``strict`` or ``token`` columns of ``folder_entries_both`` under
+    the names ``folder_entries`` uses."""
+    return folders.select("root", "client_folder", "case_folder", "folder_path",
+                          F.col(f"files_text_{walk}").alias("files_text"),
+                          F.col(f"ext_text_{walk}").alias("ext_text"),
+                          F.col(f"n_files_{walk}").alias("n_files"))
+
+
 def parse_folders(folders: DataFrame, parser: str = "legacy", mode: str = "strict") -> DataFrame:
     """Add the 6 key columns to folder rows (deep mode placeholders included)."""
     out = parse_cases(parse_clients(folders, parser), parser)
@@ -200,6 +234,14 @@ def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None
     if limit:
         case_files = limit_groups(case_files, limit, mode, parser)
     folders = folder_entries(case_files, mode, split_hot=split_hot)
+    return group_folders(folders, mode, parser, keep_raw_folder, split_hot)
+
+
+def group_folders(folders: DataFrame, mode: str = "strict", parser: str | None = None,
+                  keep_raw_folder: bool = False, split_hot: bool = False) -> DataFrame:
+    """Stage 2 of ``group_cases`` on folder rows (``folder_entries`` or
+    ``pick_walk(folder_entries_both(..))``)."""
+    parser = parser or ("token" if mode == "token" else "legacy")
     parsed = parse_folders(folders, parser, mode)
     extra = ["folder_path"] if keep_raw_folder else []
     if split_hot:

@@ -14,7 +14,7 @@ from ..operators.classify import classify
 from ..operators.export import (QUICK_EXPORT_NAME, project_export, quick_export, sort_records,
                                 stamp_dates, write_export)
 from ..operators.upsert import upsert_cases
-from ..operators.group import group_cases
+from ..operators.group import folder_entries_both, group_cases, group_folders, pick_walk
 from ..sources.rules import shipped_rules
 
 DEFAULT_AS_OF = "2026-01-15 09:30:00"
@@ -31,6 +31,20 @@ def classified_scan(case_files: DataFrame, rules=None, mode: str = "strict",
     return sort_records(records) if sort else records
 
 
+def scan_pair(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF):
+    """(L1 strict/legacy records, L4 token records) of one listing with one
+    file-level pass: the folder stage of both walks is built once and stored
+    in the shared checkpoint folder, then each walk parses and groups it."""
+    from ..session import materialize
+    rules = shipped_rules() if rules is None else rules
+    folders = materialize(folder_entries_both(case_files))
+    out = []
+    for mode, parser in (("strict", "legacy"), ("token", "token")):
+        recs = classify(group_folders(pick_walk(folders, mode), mode, parser), rules)
+        out.append(stamp_dates(recs, as_of, mode))
+    return tuple(out)
+
+
 def token_scan(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF,
                limit: int | None = None) -> DataFrame:
     """L4: token parser and walker (only real files, empty folders kept)."""

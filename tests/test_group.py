@@ -101,3 +101,13 @@ def test_split_hot_on_a_hot_folder(spark):
     assert a == b
     hot = [r for r in group_cases(cf, split_hot=True).collect() if r["case_no"] == ""][0]
     assert hot["files"].split("\n") == [f"f{i:04d}" for i in range(400)]
+
+
+def test_shared_folder_stage(spark):
+    from caseledger.operators.group import folder_entries_both, group_folders, pick_walk
+    cf = hierarchy_by_path(listing_rows(spark, TREE), "strict")   # keeps sub-folder entries
+    both = folder_entries_both(cf)
+    for mode, parser in (("strict", "legacy"), ("token", "token")):
+        a = sorted(map(tuple, group_cases(cf, mode=mode, parser=parser).collect()))
+        b = sorted(map(tuple, group_folders(pick_walk(both, mode), mode, parser).collect()))
+        assert a == b, mode

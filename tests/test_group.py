@@ -111,3 +111,22 @@ def test_shared_folder_stage(spark):
         a = sorted(map(tuple, group_cases(cf, mode=mode, parser=parser).collect()))
         b = sorted(map(tuple, group_folders(pick_walk(both, mode), mode, parser).collect()))
         assert a == b, mode
+
+
+def test_ordered_concat_many_runs(spark):
+    from pyspark.sql import functions as F
+    from caseledger.operators.group import ordered_concat
+    df = spark.range(1000).select(F.lit("k").alias("key"),
+                                  F.format_string("p%04d", (F.col("id") * 7919) % 1000).alias("path"),
+                                  F.format_string("t%04d", (F.col("id") * 7919) % 1000).alias("txt"),
+                                  F.lit(1).cast("long").alias("one"))
+    r = ordered_concat(df, ["key"], "path", ["txt"], ["one"], parts=7).first()
+    assert r["txt"].split("\n") == [f"t{i:04d}" for i in range(1000)]
+    assert r["n_rows"] == 1000 and r["one"] == 1000 and r["first"] == "p0000"
+
+
+def test_token_limit_counts_folders(spark):
+    cf = hierarchy_by_path(listing_rows(spark, TREE), "token")
+    recs = group_cases(cf, mode="token", limit=2).collect()
+    # the first two folders by path are "A-1 Ann/A001-001 ..." and "A-1 Ann/A001-002 ..."
+    assert sorted(r["case_no"] for r in recs) == ["A001-001", "A001-002"]

@@ -341,13 +341,30 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and SQL of the training-data operators and their pipeline; none
+    where that subpackage isn't installed."""
+    try:
+        import caseledger.llm  # noqa: F401
+        import corpus_pipeline
+    except ModuleNotFoundError as e:
+        if e.name not in ("caseledger.llm", "corpus_pipeline"):
+            raise
+        return {}, {}
+    from caseledger.llm.queries import ORACLE_SQL, QUERIES
+    sql = dict(ORACLE_SQL)
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return {**QUERIES, "pipeline": corpus_pipeline.run}, sql
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship L1 scan (strict, legacy parser, shipped rules) on sf0.001."""
     return q_classified_scan(spark, SMOKE_DIR)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_training_data()[0]}
 
 
 # ----------------------------------------------------------------- oracle --
@@ -624,4 +641,5 @@ select root, id, name, parent_id, path, is_folder, mime_type,
 def oracle_sql() -> dict[str, str]:
     out = _oracle()
     out.update(_oracle_more())
+    out.update(_training_data()[1])
     return out

@@ -10,7 +10,9 @@ def test_entry_count(spark):
 
 
 def test_every_query_has_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    learned = set(E._training_data()[0])  # some of these no SQL can state
+    assert set(E.queries()) - learned == set(E.oracle_sql()) - learned
+    assert set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_fixture_counts(spark):

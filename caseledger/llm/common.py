@@ -36,11 +36,12 @@ def bounded_rows(df: DataFrame, label: str, per_label: int, key: str = "doc_id")
     expectation), chosen by a hash of ``key``, so the choice is repeatable and
     needs no sort. Every row stays when a label has fewer. Null labels go."""
     df = df.where(F.col(label).isNotNull())
-    counts = df.groupBy(label).agg(F.count("*").alias("_n"))
+    counts = df.groupBy(label).agg(F.count("*").alias("n")).collect()  # a row a label
     part = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20))
-    return (df.join(counts, label)
-            .where(part * F.col("_n") < F.lit(per_label << 20))
-            .drop("_n"))
+    chosen = F.lit(False)
+    for r in counts:
+        chosen |= (F.col(label) == r[label]) & (part * r["n"] < per_label << 20)
+    return df.where(chosen)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseledger.llm import language, toxicity
+from caseledger.llm import language, mixing, near_vectors, neighbours, ngram_join, personal, pieces, quality, toxicity, urls
 from caseledger.llm.common import held_out, read_table
 
 
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    out = quality.score_quality(docs, quality.train(docs, read_table(spark, sf, "labels")))
+    return out.select("doc_id", held_out().alias("held_out"), "score",
+                      (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents")
     out = language.identify(docs, language.learn_profiles(docs))
@@ -23,8 +30,55 @@ def op3_toxicity(spark: SparkSession, sf: str) -> DataFrame:
                       (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "sentences")
 
 
+def op4_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors.link_vectors(read_table(spark, sf, "embeddings"))
+
+
+def op5_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of every text, and whether decoding them gives the text back."""
+    v = pieces.load()
+    out = pieces.encode(read_table(spark, sf, "documents"), v, keep=("doc_id", "text"))
+    out = pieces.decode(out, v, keep=("doc_id", "text", "ids"), text="decoded")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                      F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join_similar(read_table(spark, sf, "documents"))
+
+
+#: Epochs of any source at most, when as many tokens are drawn as there are.
+MAX_EPOCHS = 2.0
+
+
+def op7_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    mix = mixing.plan(read_table(spark, sf, "documents"), repetitions=MAX_EPOCHS)
+    return mixing.draw(mix).select("doc_id", "source", "epoch", "block", "position", "n_tokens")
+
+
+def op8_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(read_table(spark, sf, "pages"), urls.train(urls.labelled_urls(spark)))
+
+
+def op9_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_table(spark, sf, "embeddings")
+    return neighbours.search(neighbours.build(rows), rows.where(F.col("vec_id") % 100 == 0))
+
+
+def op10_personal_data(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.digest(personal.find_personal(read_table(spark, sf, "documents")))
+
+
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op3_toxicity": op3_toxicity,
+    "op4_near_vectors": op4_near_vectors,
+    "op5_pieces": op5_pieces,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_mix_sources": op7_mix_sources,
+    "op8_url_filter": op8_url_filter,
+    "op9_nearest": op9_nearest,
+    "op10_personal_data": op10_personal_data,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseledger.llm import toxicity
+from caseledger.llm import mixing, ngram_join, personal, pieces, toxicity
 from caseledger.llm.common import read_table
 from caseledger.session import shared_dir
 
@@ -26,8 +26,39 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("_toxicity_score") < toxicity.THRESHOLD).drop("_toxicity_score")
 
 
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose five-word n-grams are similar by 0.8 or more, linked
+    directly or through others, the one with the least id; all others stay."""
+    return ngram_join.drop_similar(docs, percent=80, size=5)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data masked in their text."""
+    return personal.redact(docs).withColumn("n_chars", F.length("text").cast("long")) \
+        if "n_chars" in docs.columns else personal.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once; small sources up to MAX_EPOCHS times, at the
+    exponent that this limit sets, in mixed blocks."""
+    return mixing.apply(docs, mixing.plan(docs, repetitions=MAX_EPOCHS, whole_epochs=True))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens, ids) of every row."""
+    out = pieces.encode(docs, pieces.load(), keep=("doc_id", "source"))
+    return out.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+#: Epochs of any source in the mix.
+MAX_EPOCHS = 1.5
+
 STAGES = [
     ("toxicity", drop_toxic),
+    ("ngram_join", keep_one_of_each_group),
+    ("personal_data", mask_personal_data),
+    ("mixing", mix_sources),
+    ("pieces", encode_pieces),
 ]
 
 #: No SQL states a trained model's scores; tests/llm compares each stage with a plain version.

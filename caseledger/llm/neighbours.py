@@ -59,6 +59,14 @@ def _distance(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _in_order(diff: np.ndarray) -> np.ndarray:
+    """Sums of squares of the rows, added from the first component to the last."""
+    total = np.zeros(len(diff))
+    for column in np.square(diff).T:
+        total += column
+    return total
+
+
 def _first(key: np.ndarray, d: np.ndarray, many: int) -> np.ndarray:
     """Places of the ``many`` least ``d`` of each key."""
     order = np.lexsort((d, key))
@@ -195,7 +203,7 @@ def _search(k: int, beam: int):
                 for j, row in enumerate(d):
                     best = np.lexsort((ids, row))[:k]
                     best = best[np.isfinite(row[best])]
-                    out.append((np.full(len(best), qid[i + j]), ids[best], row[best]))
+                    out.append((np.full(len(best), qid[i + j]), ids[best], _in_order(x[best] - q[i + j])))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({"query": cols[0].astype(np.int64), "node": cols[1].astype(np.int64), "d2": cols[2]})
     return run

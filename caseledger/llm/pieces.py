@@ -20,6 +20,7 @@ piece wins. Repeated rows are encoded each; a text is never cut.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 from typing import NamedTuple
 
@@ -36,7 +37,8 @@ from caseledger.llm.textvec import span_hash
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
-BLOCK_BYTES = 1 << 21
+#: Text that is encoded at once, and rows that are decoded at once.
+BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 512
 
 
 class Vocabulary(NamedTuple):
@@ -226,16 +228,15 @@ def encode_block(v: Vocabulary, data: np.ndarray, off: np.ndarray) -> tuple[np.n
     return out, many
 
 
-def encode_column(v: Vocabulary, col: pa.Array) -> pa.Array:
+def encode_blocks(v: Vocabulary, col: pa.Array) -> Iterator[tuple[int, int, pa.Array]]:
+    """Rows from and to, and their ids, of blocks of bounded bytes."""
     data, off = texts_of(col)
-    ids, many = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    null = np.asarray(col.is_null())
     for i, j in row_blocks(off, BLOCK_BYTES):
-        a, b = encode_block(v, data[off[i]:off[j]], off[i:j + 1] - off[i])
-        ids.append(a)
-        many.append(b)
-    ends = np.r_[0, np.cumsum(np.concatenate(many))].astype(np.int32)
-    mask = pa.array(np.asarray(col.is_null())) if col.null_count else None
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)), mask=mask)
+        ids, many = encode_block(v, data[off[i]:off[j]], off[i:j + 1] - off[i])
+        ends = pa.array(np.r_[0, np.cumsum(many)].astype(np.int32))
+        mask = pa.array(null[i:j]) if null[i:j].any() else None
+        yield i, j, pa.ListArray.from_arrays(ends, pa.array(ids), mask=mask)
 
 
 def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
@@ -245,21 +246,29 @@ def decode_ids(v: Vocabulary, ids: np.ndarray) -> str:
 
 
 def _ids_of(col: pa.Array) -> list[np.ndarray | None]:
-    flat, off = col.flatten().to_numpy(zero_copy_only=False), np.asarray(col.offsets) - col.offsets[0].as_py()
+    flat, off = col.values.to_numpy(zero_copy_only=False), np.asarray(col.offsets)
     ok = np.asarray(col.is_valid())
     return [flat[a:b] if k else None for a, b, k in zip(off[:-1], off[1:], ok)]
 
 
 def encode(docs: DataFrame, v: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-           ids: str = "ids") -> DataFrame:
-    """``keep`` columns and the ids of each text."""
+           ids: str = "ids", check: str | None = None) -> DataFrame:
+    """``keep`` columns and the ids of each text; with ``check`` also a column of
+    that name that tells whether decoding the ids gives the text back."""
     src = docs.select(F.col(text).alias("_pieces_text"), *keep)
-    kind = T.StructType([*(src.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    names = [*keep, ids, *([check] if check else [])]
+    kind = T.StructType([*(src.schema[c] for c in keep), T.StructField(ids, T.ArrayType(T.IntegerType())),
+                         *([T.StructField(check, T.BooleanType())] if check else [])])
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(1 + i) for i in range(len(keep))), encode_column(v, b.column(0))],
-                                             [*keep, ids])
+            for i, j, coded in encode_blocks(v, b.column(0)):
+                out = [*(b.column(1 + k).slice(i, j - i) for k in range(len(keep))), coded]
+                if check:
+                    texts = b.column(0).slice(i, j - i).to_pylist()
+                    out.append(pa.array([(None if c is None else decode_ids(v, c)) == t
+                                         for c, t in zip(_ids_of(coded), texts)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return src.mapInArrow(run, kind)
 
@@ -272,8 +281,10 @@ def decode(rows: DataFrame, v: Vocabulary, ids: str = "ids", keep: tuple[str, ..
 
     def run(batches):
         for b in batches:
-            texts = [None if i is None else decode_ids(v, i) for i in _ids_of(b.column(0))]
-            yield pa.RecordBatch.from_arrays([*(b.column(1 + i) for i in range(len(keep))), pa.array(texts, pa.string())],
-                                             [*keep, text])
+            for at in range(0, len(b), BLOCK_ROWS):
+                part = b.slice(at, BLOCK_ROWS)
+                texts = [None if i is None else decode_ids(v, i) for i in _ids_of(part.column(0))]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(1 + i) for i in range(len(keep))), pa.array(texts, pa.string())], [*keep, text])
 
     return src.mapInArrow(run, kind)

@@ -8,8 +8,8 @@ words to either side, over all texts of the corpus. These sums are integers, so
 they don't depend on partitioning. The table's size is fixed, whatever the
 corpus.
 
-A document is the mean and spread of its word vectors, and the least and
-greatest mean of its stretches of 32 words, so that a bad passage in a long
+A document is the mean of its word vectors, and the spread, least and greatest
+of the means of its stretches of 32 words, so that a bad passage in a long
 document shows. Two layers in numpy turn this into a logit; a temperature fitted
 on rows the network hasn't seen calibrates it.
 
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from caseledger.llm.common import held_out, labelled_sample, texts_of
 from caseledger.llm.textvec import SPACE, Words, mix, span_hash, word_blocks
 
-WORDS, SHAPES, DIM, WINDOW, STRETCH = 8192, 1024, 64, 2, 32
+WORDS, SHAPES, DIM, WINDOW, STRETCH = 8192, 1024, 32, 2, 32
 #: Expected bound on training documents of each label.
 DOCS_PER_LABEL = 4000
 THRESHOLD = 0.3
@@ -128,19 +128,20 @@ def pooled(col: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         v = vectors[word] + vectors[shape]
         head = np.flatnonzero(np.r_[True, w.row[1:] != w.row[:-1]])
         rows, many = w.row[head], np.diff(np.r_[head, len(word)])
-        mean = np.add.reduceat(v, head, axis=0) / many[:, None]
         place = np.arange(len(word)) - np.repeat(head, many)
         # a last stretch of under half the length joins the one before
         joined = (place % STRETCH == 0) & ((np.repeat(many, many) - place >= STRETCH // 2) | (place == 0))
         cut = np.flatnonzero(joined)
         long = np.diff(np.r_[cut, len(word)])[:, None]
-        stretch = np.add.reduceat(v, cut, axis=0) / long
+        sums = np.add.reduceat(v, cut, axis=0)
         first = np.searchsorted(cut, head)
+        mean = np.add.reduceat(sums, first, axis=0) / many[:, None]
+        stretch = sums / long
         at = w.first + rows
         out[at, :DIM] = mean
         out[at, DIM:2 * DIM] = np.minimum.reduceat(stretch, first, axis=0)
         out[at, 2 * DIM:3 * DIM] = np.maximum.reduceat(stretch, first, axis=0)
-        spread = np.add.reduceat(np.square(v), head, axis=0) / many[:, None] - np.square(mean)
+        spread = np.add.reduceat(np.square(stretch) * long, first, axis=0) / many[:, None] - np.square(mean)
         out[at, 3 * DIM:4 * DIM] = np.sqrt(np.maximum(spread, 0))
         out[at, 4 * DIM] = np.log1p(many)
         least[at] = np.minimum.reduceat(mix(w.hash + np.uint64(1)), head)

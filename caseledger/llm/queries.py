@@ -36,11 +36,8 @@ def op4_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def op5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text back."""
-    v = pieces.load()
-    out = pieces.encode(read_table(spark, sf, "documents"), v, keep=("doc_id", "text"))
-    out = pieces.decode(out, v, keep=("doc_id", "text", "ids"), text="decoded")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                      F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    out = pieces.encode(read_table(spark, sf, "documents"), pieces.load(), check="round_trip")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 def op6_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,4 +78,41 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_personal_data": op10_personal_data,
 }
-ORACLE_SQL: dict[str, str] = {}
+_VECTORS = """v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding::double[], x -> x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding::double[], x -> x <> 0)) > 0)"""
+
+#: Where SQL states the whole result.
+ORACLE_SQL: dict[str, str] = {
+    "op4_near_vectors": f"""with recursive {_VECTORS},
+links as (
+  select a.vec_id as a, b.vec_id as b from v a join v b
+    on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, c) as (select vec_id, vec_id from embeddings union select l.b, r.c from reach r join links l on l.a = r.a),
+comp as (select a, min(c) as c from reach group by a),
+deg as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, c as component_id, e.vec_id = c as kept
+from embeddings e left join deg on deg.a = e.vec_id join comp on comp.a = e.vec_id""",
+    "op6_ngram_join": """with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents),
+s as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) end) as s from w),
+g as (select doc_id, len(s) as n, unnest(s) as g from s),
+links as (
+  select a.doc_id as a, b.doc_id as b from g a join g b on a.g = b.g and a.doc_id <> b.doc_id
+  group by all having 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach(a, c) as (select doc_id, doc_id from documents union select l.b, r.c from reach r join links l on l.a = r.a)
+select s.doc_id, len(s.s)::bigint as n_shingles, c as component_id
+from s join (select a, min(c) as c from reach group by a) on a = s.doc_id""",
+    "op9_nearest": f"""with {_VECTORS},
+d as (
+  select q.vec_id as query_id, v.vec_id, list_distance(q.e, v.e) as score
+  from v q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 100 = 0)
+select query_id, rank::integer as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d) where rank <= 10""",
+}

@@ -32,7 +32,9 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _BAD = ("cheap-pills adult-video xxx-cams casino-online free-bets spam-links ads-tracker pills-shop poker-win "
         "win-cash sex-chat porn-tube link-farm click-track betting-odds loan-fast viagra-buy adult-x spam-mail ad-serve").split()
-_GOOD = ("library garden weather school history science museum kitchen music letters travel nature harbour "
+_GOOD = ("orchard bakery harvest island meadow lantern bridge weaving pottery sailing gallery forest valley "
+         "almanac chapter folklore granite heritage journal kettle lighthouse marble notebook painter quarry "
+         "library garden weather school history science museum kitchen music letters travel nature harbour "
          "village forum theatre painting railway mountain council").split()
 _ENDINGS = ("net", "com", "org")
 _SUBS = ("", "www.", "blog.", "m.")

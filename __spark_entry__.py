@@ -7,6 +7,8 @@ lineitem) and derives the folder tree from them in Spark
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,14 +22,15 @@ from caseledger.operators import export as X
 from caseledger.operators import reports as R
 from caseledger.operators import upsert as U
 from caseledger.operators.group import group_cases, record_counts
-from caseledger.plans.scans import classified_scan, scan_pair, token_scan
+from caseledger.plans.scans import (classified_scan, export_run, listing_run, scan_pair, token_scan,
+                                    upsert_run)
 from caseledger.schema import KEY
-from caseledger.session import materialize
+from caseledger.session import materialize, shared_dir
 from caseledger.functions import files as FF
 from caseledger.sources import fixture
 from caseledger.sources import hierarchy as H
 from caseledger.sources import listing as L
-from caseledger.sources.rules import shipped_rules
+from caseledger.sources.rules import default_rules, load_rules, shipped_rules
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 LIMIT_N = 100
@@ -95,9 +98,26 @@ def q_group_strict_split(spark, sf):
     return r.select("root", *KEY, "files", "ext", "n_folders", "n_files")
 
 
-def q_limit_groups(spark, sf):
-    r = group_cases(_cf(spark, sf), mode="strict", limit=LIMIT_N)
-    return r.select("root", *KEY, "files", "n_files")
+def _limit_groups(mode):
+    def run(spark, sf):
+        r = group_cases(_cf(spark, sf), mode=mode, limit=LIMIT_N)
+        return r.select("root", *KEY, "files", "n_files")
+    return run
+
+
+def q_classified_scan_split(spark, sf):
+    """L1 with folders and keys spread over tasks."""
+    return classified_scan(_cf(spark, sf), split_hot=True).select(
+        "root", *KEY, "files", "ext", *_rule_cols(), "date_added", "updated_on")
+
+
+def q_default_rules_scan(spark, sf):
+    """L1 with the built-in rules, written as a rule file and loaded."""
+    path = f"{shared_dir(spark).rstrip('/')}/rules/{uuid.uuid4().hex}"
+    spark.range(1).select(F.lit(json.dumps(default_rules())).alias("value")).coalesce(1).write.text(path)
+    rules = load_rules(spark, path)
+    return classified_scan(_cf(spark, sf), rules).select(
+        "root", *KEY, "files", *[F.col(f"`{n}`") for n in O.active(default_rules())])
 
 
 def q_record_counts(spark, sf):
@@ -152,7 +172,7 @@ def q_scan_roots(spark, sf):
     lst = fixture.listing(spark, sf)
     parts = [(r, lst.where(F.col("root") == r).drop("root")) for r in ("clients", "consultants")]
     both, _ = L.scan_roots(parts + [("missing", None)])
-    return both.groupBy("root", "is_folder").agg(F.count("*").alias("entries"))
+    return both.select("root", "id", "name", "parent_id", "path", "is_folder", "size")
 
 
 def _hier(mode):
@@ -176,6 +196,23 @@ def q_first_clients(spark, sf):
     return L.first_clients(_cf(spark, sf), FIRST_CLIENTS_N)
 
 
+def _read_back(spark, sf):
+    """The listing of both roots, stored and read as an export would be."""
+    path = f"{shared_dir(spark).rstrip('/')}/listings/{uuid.uuid4().hex}"
+    fixture.listing(spark, sf).write.parquet(path)
+    return L.read_listing(spark, path)
+
+
+def q_listing_run(spark, sf):
+    """L1 end to end: read, drop trash, tree, group, classify, sort."""
+    return listing_run(_read_back(spark, sf)).select("root", *KEY, "files", "ext", *_rule_cols())
+
+
+def q_first_listed_clients(spark, sf):
+    lst = L.first_listed_clients(L.not_trashed(_read_back(spark, sf)), FIRST_CLIENTS_N)
+    return lst.select("root", "id", "path", "is_folder")
+
+
 # --------------------------------------------------------------- reports --
 
 def _diag(spark, sf):
@@ -242,8 +279,6 @@ def q_quick_export(spark, sf):
 
 def q_csv_round_trip(spark, sf):
     """The export written as CSV into the shared folder and read back."""
-    import uuid
-    from caseledger.session import shared_dir
     path = f"{shared_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
     X.write_csv(X.python_booleans(_scan_cols(classified_scan(_cf(spark, sf)))), path)
     return X.read_csv(spark, path)
@@ -273,6 +308,21 @@ def q_upsert_cases(spark, sf):
                           order_by=ORDER, keep_position=False)
 
 
+def q_upsert_run(spark, sf):
+    """W1 as a run: a strict scan written as a table, then a token scan into it."""
+    base = f"{shared_dir(spark).rstrip('/')}/upserts/{uuid.uuid4().hex}"
+    cf = _cf(spark, sf)
+    first = upsert_run(cf, None, f"{base}/v0")
+    second = upsert_run(cf, first, f"{base}/v1", mode="token", parser="token")
+    return second.select("root", *KEY, "files", "ext", *_rule_cols(), "date_added", "updated_on", "upsert_status")
+
+
+def q_export_run(spark, sf):
+    """The sorted export under a new name, read back."""
+    base = f"{shared_dir(spark).rstrip('/')}/exports/{uuid.uuid4().hex}"
+    return X.read_csv(spark, export_run(_cf(spark, sf), base))
+
+
 def q_upsert_counts(spark, sf):
     e = classified_scan(_cf(spark, sf))
     i = token_scan(_cf(spark, sf))
@@ -301,9 +351,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "group_deep": _group("deep"),
     "group_token": _group("token"),
     "group_strict_split": q_group_strict_split,
-    "limit_groups": q_limit_groups,
+    "limit_groups": _limit_groups("strict"),
+    "limit_groups_deep": _limit_groups("deep"),
+    "limit_groups_token": _limit_groups("token"),
     "record_counts": q_record_counts,
     "classified_scan": q_classified_scan,
+    "classified_scan_split": q_classified_scan_split,
+    "default_rules_scan": q_default_rules_scan,
     "token_scan": q_token_scan,
     "rule_hits": q_rule_hits,
     "rule_hits_long": q_rule_hits_long,
@@ -318,6 +372,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "listing_scan_deep": _listing_scan("deep"),
     "listing_scan_token": _listing_scan("token"),
     "first_clients": q_first_clients,
+    "listing_run": q_listing_run,
+    "first_listed_clients": q_first_listed_clients,
     "compare_exports": q_compare_exports,
     "duplicate_keys": q_duplicate_keys,
     "validation_summary": q_validation_summary,
@@ -336,6 +392,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv_round_trip": q_csv_round_trip,
     "classify_entries": q_classify_entries,
     "upsert_cases": q_upsert_cases,
+    "upsert_run": q_upsert_run,
+    "export_run": q_export_run,
     "upsert_counts": q_upsert_counts,
     "evolve_schema": q_evolve_schema,
 }
@@ -415,8 +473,25 @@ from ({O.token_case(_names_sql('case_folder'))}) d"""),
         from ({O.parse_both("select distinct root, client_folder, case_folder from cf where case_folder is not null", "legacy")}) pf
         group by all) fp using (root, {key})
 ) x where rn <= {LIMIT_N}"""),
+        "limit_groups_deep": w(f"""select root, {key}, files, n_files from (
+  select r.*, row_number() over (partition by root order by first_path) as rn
+  from ({O.records('deep', 'legacy')}) r
+  join (select root, {key}, min(client_folder || '/' || case_folder || '/') as first_path
+        from ({O.parse_both("select distinct root, client_folder, case_folder from kf", "legacy")}) pf
+        group by all) fp using (root, {key})
+) x where rn <= {LIMIT_N}"""),
+        "limit_groups_token": f"""with cf0 as ({fixture.CASE_FILES_SQL}),
+cf as (select cf0.* from cf0 join (select root, client_folder, case_folder from (
+  select *, row_number() over (partition by root order by client_folder || '/' || case_folder || '/') as rn
+  from (select distinct root, client_folder, case_folder from cf0 where case_folder is not null) d) n
+  where rn <= {LIMIT_N}) k using (root, client_folder, case_folder)),
+kf as ({O.KEPT_FILES})
+select root, {key}, files, n_files from ({O.records('token', 'token')}) r""",
         "record_counts": w(f"select root, count(*) as records from ({O.records('strict', 'legacy')}) r group by root"),
         "classified_scan": w(scan),
+        "classified_scan_split": w(scan),
+        "default_rules_scan": w(f"""select root, {key}, files, {O.flag_columns(rules=default_rules())}
+from (select *, replace(files, chr(10), ' ') as _txt from ({O.records('strict', 'legacy')}) r0) r1"""),
         "token_scan": w(token),
         "rule_hits": _with_scan(scan, counts),
         "rule_hits_long": _with_scan(scan, long_hits),
@@ -439,25 +514,28 @@ from (select *, replace(files, chr(10), ' ') as _txt from ({O.records('strict',
 from (select *, replace(files, chr(10), ' ') as _txt from ({O.records('token', 'token')}) r0) r1"""
     cf_ctes = f"with cf as ({fixture.CASE_FILES_SQL}),\nkf as ({O.KEPT_FILES}),\n"
     two = cf_ctes + f"sa as ({scan_a}),\nsb as ({scan_b})\n"
-    listing = f"with lst as ({fixture.LISTING_SQL}),\nnt as (select *, string_split(path, '/') as parts from lst where not trashed)"
+    listing = f"with lst as materialized ({fixture.LISTING_SQL}),\nnt as materialized (select *, string_split(path, '/') as parts from lst where not trashed)"
 
     def lscan(mode, parser):
         return (f"{listing},\nhcf as ({O.hierarchy(mode)}),\nhkf as ({O.kept_files('hcf')})\n"
                 f"select root, {key}, files, ext, n_folders, n_files from ({O.records(mode, parser, 'hcf', 'hkf')}) r")
 
-    # One row per key and side, greatest row by the compared columns.
-    cmp_cols = ["root", "client_name", "case_name", "files", "ext"] + O.RULE_NAMES
+    # The sorted rows, and the sorted values of each column, of a key.
+    cmp_cols = ["client_name", "case_name", "files", "ext"] + O.RULE_NAMES
     st = ", ".join(f"'{c}': \"{c}\"" for c in cmp_cols)
-    diffs = ", ".join(f"case when a['{c}'] is distinct from b['{c}'] then '{c}' end" for c in cmp_cols)
+    lists = ", ".join(f'list_sort(list("{c}")) as "_{i}"' for i, c in enumerate(cmp_cols))
+    diffs = ", ".join(f"case when a._{i} is distinct from b._{i} then '{c}' end" for i, c in enumerate(cmp_cols))
     ck = "client_number, case_no, tm_no, class_code"
-    compare = two + f""", ra as (select {ck}, count(*) as n_a, max({{{st}}}) as a from sa group by all),
-rb as (select {ck}, count(*) as n_b, max({{{st}}}) as b from sb group by all)
-select {ck},
-  case when a is null then 'Added' when b is null then 'Removed'
-       when concat_ws(', ', {diffs}) <> '' then 'Changed' else 'Identical' end as status,
-  case when a is null or b is null then '' else concat_ws(', ', {diffs}) end as changed_columns,
-  coalesce(n_a, 0) as n_a, coalesce(n_b, 0) as n_b
-from ra full join rb using ({ck})"""
+    on = " and ".join(f"a.{c} = b.{c}" for c in ["root", *ck.split(", ")])
+    both = ", ".join(f"coalesce(a.{c}, b.{c}) as {c}" for c in ["root", *ck.split(", ")])
+    compare = two + f""", a as (select root, {ck}, count(*) as n, list_sort(list({{{st}}})) as r, {lists} from sa group by all),
+b as (select root, {ck}, count(*) as n, list_sort(list({{{st}}})) as r, {lists} from sb group by all)
+select {both},
+  case when a.n is null then 'Added' when b.n is null then 'Removed'
+       when a.r is distinct from b.r then 'Changed' else 'Identical' end as status,
+  case when a.n is null or b.n is null then '' else concat_ws(', ', {diffs}) end as changed_columns,
+  coalesce(a.n, 0) as n_a, coalesce(b.n, 0) as n_b
+from a full join b on {on}"""
 
     # folder diagnosis (token parser) shared by D3, D4, D10
     fd = """select root, client_folder, case_folder,
@@ -582,6 +660,8 @@ union all
 select {icl}, el.date_added, el.updated_on, 'updated' from il i join el using (_k)
 union all
 select {ecl}, date_added, cast(null as varchar), 'appended' from i0 where _k not in (select _k from el)"""
+    run_desc = ", ".join(f"{c} desc" for c in ["client_number", "case_no", "client_name", "case_name", "tm_no",
+                                               "class_code", "root"])
     counts = two + """select count(*) filter (where _k in (select trim(case_no) from sa where trim(case_no) <> '')) as updated,
   count(*) filter (where _k not in (select trim(case_no) from sa where trim(case_no) <> '')) as appended
 from (select trim(case_no) as _k from sb) i"""
@@ -597,7 +677,7 @@ select id, name, {O.stem('name')} as stem, {O.ext('name')} as ext,
   case when source = 'drive' and id <> '' then '{O.URL_PREFIX}' || id || '/view' else '' end as url,
   lower(name) = 'desktop.ini' as is_noise, size, created_time, modified_time
 from nt where not is_folder""",
-        "scan_roots": f"{listing}\nselect root, is_folder, count(*) as entries from lst group by all",
+        "scan_roots": f"{listing}\nselect root, id, name, parent_id, path, is_folder, size from lst",
         "hierarchy_deep": f"{listing}\n{O.hierarchy('deep')}",
         "hierarchy_strict": f"{listing}\n{O.hierarchy('strict')}",
         "hierarchy_token": f"{listing}\n{O.hierarchy('token')}",
@@ -633,6 +713,20 @@ select root, id, name, parent_id, path, is_folder, mime_type,
   case when is_folder or size % 7000 = 0 then null else size end as size,
   created_time, modified_time, trashed, 'drive' as source from lst""",
         "upsert_cases": upsert,
+        "upsert_run": upsert.replace(order_desc, run_desc),
+        "export_run": two + f"select {base_hdr}, " + ", ".join(
+            f'case when "{n}" then \'True\' else \'False\' end as "{n}"' for n in O.RULE_NAMES)
+        + ', date_added as "DATE ADDED" from sa',
+        "listing_run": f"""{listing},
+hcf as ({O.hierarchy('strict')}),
+hkf as ({O.kept_files('hcf')})
+select root, {key}, files, ext, {O.flag_columns()}
+from (select *, replace(files, chr(10), ' ') as _txt from ({O.records('strict', 'legacy', 'hcf', 'hkf')}) r0) r1""",
+        "first_listed_clients": f"""{listing}
+select root, id, path, is_folder from nt join (select root, path as client from (
+  select root, path, row_number() over (partition by root order by path) as rn
+  from nt where is_folder and len(parts) = 1) c where rn <= {FIRST_CLIENTS_N}) k using (root)
+where parts[1] = client""",
         "upsert_counts": counts,
         "evolve_schema": evolve,
     }

@@ -8,15 +8,20 @@ stems of the whole case, so a match may cross two files.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections import OrderedDict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import by_position
+
 # Java flags giving Python ``re`` behaviour: ignore case (Unicode-aware),
 # Unicode \d \w \s \b, and only \n ends a line.
 RULE_FLAGS = "(?iuUd)"
+# The same for text and patterns of ASCII alone, where Java is much faster.
+ASCII_FLAGS = "(?id)"
 
 # The data-sheet override (keywords and identity patterns).
 DATA_SHEET = r"DATA\s*SHEET"
@@ -26,6 +31,7 @@ IDENTITY_PATTERNS = [r"\bNTN\b", r"\bCNIC\b", r"\bNIC\b", r"\bPASSPORT\b", r"\bI
 COMPANY_RULE = "COMPANY"
 NTN_RULE = "NTN"
 
+_LOG = logging.getLogger(__name__)
 _BACKREF = re.compile(r"\\[1-9]|\\k<|\(\?P=")
 
 
@@ -70,9 +76,38 @@ def make_rule(name: str, patterns: list[str], target: str = "", plain_text: bool
 
 
 def to_java(pattern: str) -> str:
-    """Python-only named-group syntax in Java form."""
-    out = re.sub(r"\(\?P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
-    return re.sub(r"\(\?P=([A-Za-z][A-Za-z0-9]*)\)", r"\\k<\1>", out)
+    """A Python pattern with the same meaning in Java: group names (Java allows
+    letters and digits only), ``[`` and ``&`` inside a class (operators in Java),
+    and ``\\Z`` (the very end in Python, ``\\z`` in Java)."""
+    out, names, i, in_class = [], {}, 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            pair = pattern[i:i + 2]
+            out.append("\\z" if pair == "\\Z" and not in_class else pair)
+            i += 2
+            continue
+        if in_class:
+            out.append("\\" + c if c in "[&" else c)
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+            head = re.match(r"\[\^?\]?", pattern[i:])[0]  # a first ] is literal
+            out.append(head.replace("]", "\\]"))
+            i += len(head)
+            continue
+        elif m := re.match(r"\(\?P<(\w+)>", pattern[i:]):
+            out.append(f"(?<{names.setdefault(m[1], f'g{len(names)}')}>")
+            i += len(m[0])
+            continue
+        elif m := re.match(r"\(\?P=(\w+)\)", pattern[i:]):
+            out.append(f"\\k<{names.get(m[1], m[1])}>")
+            i += len(m[0])
+            continue
+        else:
+            out.append(c)
+        i += 1
+    return "".join(out)
 
 
 def lint_rules(spark: SparkSession, rules: "OrderedDict[str, list[str]]"):
@@ -113,6 +148,12 @@ def lint_rules(spark: SparkSession, rules: "OrderedDict[str, list[str]]"):
                         messages.append(f"skipping pattern {p!r} in {name}: "
                                         f"{type(exc).__name__}")
                 clean[name] = ok
+    low = {}
+    for name in rules:
+        if name.lower() in low:
+            messages.append(f"rules {low[name.lower()]} and {name} differ in case only: two columns that one "
+                            "stored table can hold only with spark.sql.caseSensitive")
+        low.setdefault(name.lower(), name)
     return clean, messages
 
 
@@ -122,10 +163,16 @@ def match_any(text: Column, patterns: list[str]) -> Column:
         return F.lit(False)
     plain = [p for p in patterns if not _BACKREF.search(p)]
     special = [p for p in patterns if _BACKREF.search(p)]
+    ascii_text = F.octet_length(text) == F.char_length(text)
+
+    def found(pattern):
+        full = text.rlike(RULE_FLAGS + pattern)
+        return F.when(ascii_text, text.rlike(ASCII_FLAGS + pattern)).otherwise(full) if pattern.isascii() else full
+
     conds = []
     if plain:
-        conds.append(text.rlike(RULE_FLAGS + "|".join(f"(?:{p})" for p in plain)))
-    conds += [text.rlike(RULE_FLAGS + p) for p in special]
+        conds.append(found("|".join(f"(?:{p})" for p in plain)))
+    conds += [found(p) for p in special]
     out = conds[0]
     for c in conds[1:]:
         out = out | c
@@ -139,13 +186,20 @@ def rule_text(files: Column) -> Column:
 
 def classify(df: DataFrame, rules, spark: SparkSession | None = None,
              files_col: str = "files", route_by: str = "name",
-             data_sheet_override: bool = True, lint: bool = True) -> DataFrame:
+             data_sheet_override: bool = True, lint: bool = True,
+             messages: list[str] | None = None) -> DataFrame:
     """C2 + C3: one boolean column per active rule, then the data-sheet
     override. ``rules`` is a list of rule dicts or an already active mapping.
+    What the check of the patterns has to say is logged as a warning and added
+    to ``messages``.
     """
     active = rules if isinstance(rules, OrderedDict) else route_rules(rules, route_by)
     if lint:
-        active, _ = lint_rules(spark or df.sparkSession, active)
+        active, said = lint_rules(spark or df.sparkSession, active)
+        for message in said:
+            _LOG.warning(message)
+        if messages is not None:
+            messages += said
     tmp = df.withColumn("_text", rule_text(F.col(files_col)))
     text = F.col("_text")
     flags = OrderedDict((name, match_any(text, pats)) for name, pats in active.items())
@@ -162,14 +216,13 @@ def classify(df: DataFrame, rules, spark: SparkSession | None = None,
 
 def rule_hits_long(records: DataFrame, rule_names: list[str], id_cols: list[str]) -> DataFrame:
     """(record, rule) pairs where the rule is true."""
-    cols = [c for c in rule_names if c in records.columns]
-    long = records.select(*id_cols, *[F.col(f"`{c}`").alias(c) for c in cols]).unpivot(
-        id_cols, cols, "rule", "hit")
-    return long.where(F.col("hit")).drop("hit")
+    df, at = by_position(records)
+    hits = F.array(*[F.when(at[c], F.lit(c)) for c in rule_names if c in at])
+    return df.select(*[at[c].alias(c) for c in id_cols], F.explode(F.array_compact(hits)).alias("rule"))
 
 
 def rule_hit_counts(records: DataFrame, rule_names: list[str]) -> DataFrame:
     """Number of records per rule (zero counts kept), one pass."""
-    cols = [c for c in rule_names if c in records.columns]
-    agg = records.agg(*[F.count_if(F.col(f"`{c}`")).alias(c) for c in cols])
-    return agg.unpivot([], cols, "rule", "hits")
+    df, at = by_position(records)
+    counts = [F.struct(F.lit(c).alias("rule"), F.count_if(at[c]).alias("hits")) for c in rule_names if c in at]
+    return df.agg(F.array(*counts).alias("r")).select(F.inline("r"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as _dt
+import itertools
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..schema import BASE_EXPORT, EXPORT_HEADERS
+from ..schema import BASE_EXPORT, EXPORT_HEADERS, by_position
 
 # Date formats (strftime %d-%b-%y and %Y-%m-%d %H:%M:%S).
 RECORD_DATE_FORMAT = "dd-MMM-yy"
@@ -42,11 +43,12 @@ def with_headers(records: DataFrame) -> DataFrame:
 
 def project_export(records: DataFrame, rules: list[dict], include_updated_on: bool = False) -> DataFrame:
     """Keep the known export columns that exist, in export order."""
-    df = with_headers(records)
+    df, at = by_position(records)
+    at = {EXPORT_HEADERS.get(c, c): col for c, col in at.items()}
     cols = export_columns(rules)
     if include_updated_on:
         cols.append(EXPORT_HEADERS["updated_on"])
-    return df.select(*[F.col(f"`{c}`") for c in cols if c in df.columns])
+    return df.select(*[at[c].alias(c) for c in cols if c in at])
 
 
 def quick_export(records: DataFrame) -> DataFrame:
@@ -111,16 +113,18 @@ def read_csv(spark, path: str) -> DataFrame:
 
 
 def write_export(df: DataFrame, base_dir: str, run: str, fmt: str = "csv",
-                 max_versions: int = 10_000) -> str | None:
+                 source: DataFrame | None = None) -> str | None:
     """Never overwrite: write ``name``, else ``name_1``, ``name_2``...
 
     Skips empty results (returns None). The existence test is the write
-    itself (``errorifexists``), so it works on any file system.
+    itself (``errorifexists``), so it works on any file system. ``source`` is
+    an input that is empty exactly when ``df`` is; testing it instead saves
+    computing ``df`` up to its first row.
     """
-    if df.isEmpty():
+    if (df if source is None else source).isEmpty():
         return None
     name = SHORT_NAMES.get(run, run)
-    for i in range(max_versions):
+    for i in itertools.count():
         path = f"{base_dir.rstrip('/')}/{name if i == 0 else f'{name}_{i}'}.{fmt}"
         try:
             if fmt == "csv":
@@ -132,5 +136,4 @@ def write_export(df: DataFrame, base_dir: str, run: str, fmt: str = "csv",
             if "PATH_ALREADY_EXISTS" in str(exc) or "already exists" in str(exc):
                 continue
             raise
-    raise RuntimeError(f"no free export name under {base_dir}")
 

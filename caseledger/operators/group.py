@@ -60,7 +60,9 @@ def ordered_concat(df: DataFrame, keys: list[str], order_col: str, texts: list[s
     small shuffles of run texts; use it when a key may be hot.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *keys, order_col)
+    # rows with equal paths are told apart too, so that no run is unsplittable
+    tie = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))
+    ranged = df.withColumn("_tie", tie).repartitionByRange(parts, *keys, order_col, *texts, "_tie")
     runs = ranged.groupBy(*keys, F.spark_partition_id().alias("_run")).agg(
         F.sort_array(F.collect_list(F.struct(order_col, *texts))).alias("_items"),
         F.count("*").alias("_n"), F.min(order_col).alias("_first"),
@@ -267,6 +269,19 @@ def group_folders(folders: DataFrame, mode: str = "strict", parser: str | None =
         "n_folders", "n_files", "first_path")
 
 
+#: A folder with more files, or a client with more folders, is spread over tasks.
+HOT_FILES, HOT_FOLDERS = 1_000_000, 100_000
+
+
+def has_hot_group(case_files: DataFrame, files: int = HOT_FILES, folders: int = HOT_FOLDERS) -> bool:
+    """Whether a folder or client is so large that its rows shouldn't meet in one
+    task: two counts, combined before their shuffles; one row comes back."""
+    per_folder = case_files.groupBy("root", "client_folder", "case_folder").agg(F.count("*").alias("n"))
+    per_client = per_folder.groupBy("root", "client_folder").agg(F.max("n").alias("n"), F.count("*").alias("m"))
+    top = per_client.agg(F.max("n"), F.max("m")).first()
+    return (top[0] or 0) > files or (top[1] or 0) > folders
+
+
 def record_counts(records: DataFrame) -> DataFrame:
     """A5: number of records per root."""
     return records.groupBy("root").agg(F.count("*").alias("records"))

@@ -31,8 +31,11 @@ def parse_clients(df: DataFrame, parser: str = "legacy", col: str = "client_fold
         .select("*", "_client.*").drop("_client", "_ctoks")
 
 
-def parse_cases(df: DataFrame, parser: str = "legacy", col: str = "case_folder") -> DataFrame:
-    """X2+X3 / X6-X8: add ``case_no``, ``case_name``, ``tm_no``, ``class_code``."""
+def parse_cases(df: DataFrame, parser: str = "legacy", col: str = "case_folder",
+                tokens: str | None = None) -> DataFrame:
+    """X2+X3 / X6-X8: add ``case_no``, ``case_name``, ``tm_no``, ``class_code``.
+    With ``tokens`` the token parser's typed tokens stay, as ``tokenize_names``
+    gives them, so that no later step splits the names again."""
     _check(parser)
     tmp = df.withColumn("_tokens", N.name_tokens(F.col(col)))
     if parser == "legacy":
@@ -43,6 +46,9 @@ def parse_cases(df: DataFrame, parser: str = "legacy", col: str = "case_folder")
         tmp = tmp.withColumn("_types", N.token_types(F.col("_tokens")))
         parsed = N.token_case(F.col("_tokens"), F.col("_types"))
         drop = ["_case", "_tokens", "_types"]
+        if tokens:
+            tmp = tmp.withColumn(tokens, F.transform("_tokens", lambda t, i: F.struct(
+                F.get(F.col("_types"), i).alias("type"), t.alias("raw"), i.alias("position"))))
     return tmp.withColumn("_case", parsed).select("*", "_case.*").drop(*drop)
 
 

@@ -17,7 +17,7 @@ from ..functions import names as N
 from ..functions.files import file_extension, file_url
 from ..schema import COMPARE_KEY
 from .group import folder_entries
-from .parse import parse_cases, parse_clients, severity, tokenize_names
+from .parse import parse_cases, parse_clients, severity
 
 # Comparison statuses, case types and parser comparison buckets.
 ADDED, REMOVED, CHANGED, IDENTICAL = "Added", "Removed", "Changed", "Identical"
@@ -36,33 +36,36 @@ def _q(c: str) -> Column:
 
 def compare_exports(a: DataFrame, b: DataFrame, key=COMPARE_KEY,
                     exclude=("date_added", "updated_on", "DATE ADDED", "UPDATED ON")) -> DataFrame:
-    """Added / Removed / Changed / Identical per composite key.
-
-    Each side is first reduced to one row per key (*the greatest row by all
-    compared columns when a key repeats; the repeat counts are reported in
-    n_a / n_b) with a partial aggregation, so the full outer join is
-    unique-to-unique and never multiplies rows.
+    """Added / Removed / Changed / Identical per composite key (and root,
+    where both sides have one).
+
+    Every row of a repeated key counts: a key is Identical when both sides
+    hold the same rows, however often and in whatever order, and a column
+    changed when its values did. Each side is reduced to counts and sums of
+    64-bit hashes per key, which combine before the shuffle, so the full outer
+    join moves a few numbers per key and never multiplies rows.
     """
     key = list(key)
+    if "root" in a.columns and "root" in b.columns and "root" not in key:
+        key = ["root", *key]
     cols = [c for c in a.columns if c in b.columns and c not in key and c not in exclude]
 
-    def one_per_key(df, tag):
+    def prints(df, tag):
+        total = lambda *cs: F.sum(F.xxhash64(*cs).cast("decimal(20,0)"))
         return df.groupBy(*key).agg(
-            F.count("*").alias(f"n_{tag}"),
-            F.max(F.struct(*[_q(c).alias(c) for c in cols])).alias(tag))
-
-    j = one_per_key(a, "a").join(one_per_key(b, "b"), key, "full")
-    diffs = [F.when(~F.col("a")[c].eqNullSafe(F.col("b")[c]), F.lit(c)) for c in cols]
-    changed = F.array_compact(F.array(*diffs)) if diffs else F.array().cast("array<string>")
-    status = (F.when(F.col("a").isNull(), F.lit(ADDED))
-              .when(F.col("b").isNull(), F.lit(REMOVED))
-              .when(F.size(changed) > 0, F.lit(CHANGED))
+            F.count("*").alias(f"n_{tag}"), total(F.lit(1), *[_q(c) for c in cols]).alias(f"row_{tag}"),
+            *[total(_q(c)).alias(f"{tag}{i}") for i, c in enumerate(cols)])
+
+    j = prints(a, "a").join(prints(b, "b"), key, "full")
+    diffs = [F.when(F.col(f"a{i}") != F.col(f"b{i}"), F.lit(c)) for i, c in enumerate(cols)]
+    changed = F.array_join(F.array_compact(F.array(*diffs)), ", ") if diffs else F.lit("")
+    gone = F.col("n_a").isNull() | F.col("n_b").isNull()
+    status = (F.when(F.col("n_a").isNull(), F.lit(ADDED))
+              .when(F.col("n_b").isNull(), F.lit(REMOVED))
+              .when((F.col("n_a") != F.col("n_b")) | (F.col("row_a") != F.col("row_b")), F.lit(CHANGED))
               .otherwise(F.lit(IDENTICAL)))
-    return j.select(
-        *key, status.alias("status"),
-        F.when(F.col("a").isNull() | F.col("b").isNull(), F.lit(""))
-        .otherwise(F.array_join(changed, ", ")).alias("changed_columns"),
-        F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
+    return j.select(*key, status.alias("status"), F.when(gone, F.lit("")).otherwise(changed).alias("changed_columns"),
+                    F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
 
 
 def compare_summary(diff: DataFrame) -> DataFrame:
@@ -80,8 +83,8 @@ def folder_diagnosis(case_files: DataFrame) -> DataFrame:
     """One row per case folder: token parse of client and case, severity,
     kept file count and tokens (input of D3, D4, D5, D10)."""
     folders = folder_entries(case_files, "token").drop("files_text", "ext_text")
-    parsed = parse_cases(parse_clients(folders, "token"), "token")
-    return tokenize_names(parsed, "case_folder", "tokens").select("*", *severity())
+    parsed = parse_cases(parse_clients(folders, "token"), "token", tokens="tokens")
+    return parsed.select("*", *severity())
 
 
 def validation_summary(diag: DataFrame) -> DataFrame:
@@ -147,8 +150,7 @@ def parser_differences(case_files: DataFrame) -> DataFrame:
         .select("root", "client_folder", "case_folder").distinct()
     leg = parse_cases(folders, "legacy")
     both = parse_cases(leg.select(*folders.columns, *[F.col(f).alias(f"legacy_{f}") for f in FIELDS]),
-                       "token")
-    both = tokenize_names(both, "case_folder", "_tok")
+                       "token", tokens="_tok")
     n_tm = F.size(F.filter("_tok", lambda t: t["type"] == "TM_NO"))
     regression = reduce(lambda x, y: x | y,
                         [(F.col(f"legacy_{f}") != "") & (F.col(f) == "") for f in FIELDS])
@@ -199,8 +201,7 @@ def inventory(listing: DataFrame, root_ids: DataFrame | None = None):
                              "parent_id", "left_semi")
     cases = parse_cases(case_rows.select(
         "root", F.col("id").alias("case_id"), F.col("parent_id").alias("client_id"),
-        F.col("name").alias("case_folder"), "created_time", "modified_time"), "token")
-    cases = tokenize_names(cases, "case_folder", "_tok")
+        F.col("name").alias("case_folder"), "created_time", "modified_time"), "token", tokens="_tok")
     cases = cases.withColumn("case_type", case_type(F.col("case_folder"), F.col("_tok"))).drop("_tok")
     file_rows = listing.where(~F.col("is_folder")).join(
         cases.select(F.col("case_id").alias("parent_id")), "parent_id", "left_semi")
@@ -216,8 +217,8 @@ def inventory_report(clients: DataFrame, cases: DataFrame, files: DataFrame) ->
     """Totals, case types, missing TM / class (with %), empty folders,
     largest case and mean files per case as (metric, value, detail) rows.
 
-    Three independent aggregations are stacked with UNION ALL (no join of
-    single-row results).
+    Two independent aggregations are stacked with UNION ALL (no join of
+    single-row results); the files of all cases are all files.
     """
     per_case = files.groupBy("case_id").agg(F.count("*").alias("n_files"))
     c = cases.join(per_case, "case_id", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
@@ -243,14 +244,13 @@ def inventory_report(clients: DataFrame, cases: DataFrame, files: DataFrame) ->
         m("missing_class_pct", pct("missing_class")),
         m("empty_cases", F.col("empty_cases")),
         m("largest_case_files", F.col("largest.n_files"), F.col("largest.case_folder")),
+        m("total_files", F.coalesce("total_files_in_cases", F.lit(0))),
         m("avg_files_per_case", F.round(F.col("total_files_in_cases") / F.col("total_cases"), 2)),
         *[m(f"case_type:{t}", F.col(f"`type:{t}`")) for t in CASE_TYPES],
     )).alias("r")).select("r.*")
     totals = clients.agg(F.count("*").cast("double").alias("value")).select(
         F.lit("total_clients").alias("metric"), "value", F.lit("").alias("detail"))
-    file_total = files.agg(F.count("*").cast("double").alias("value")).select(
-        F.lit("total_files").alias("metric"), "value", F.lit("").alias("detail"))
-    return rows.unionByName(totals).unionByName(file_total)
+    return rows.unionByName(totals)
 
 
 def duplicate_tm(cases: DataFrame) -> DataFrame:

@@ -10,9 +10,9 @@ Semantics (per incoming batch I against existing table E, key trimmed):
 * columns only in I (new rules) are added; old rows get null (W2).
 
 "Last" is the greatest value of ``order_by`` (Spark tables have no row
-order, so the caller names it). Both sides are reduced to one row per key
-with ``max_by`` aggregations (partial aggregation, so a hot key never lands
-whole in one task) before the joins, which are then unique on one side.
+order, so the caller names it). Both sides are reduced to one position per key
+(partial aggregation, so a hot key never lands whole in one task) before the
+joins, which are then unique on one side; blank keys go round them.
 Write the result to a new path or table version; never read and overwrite
 the same path.
 """
@@ -29,6 +29,11 @@ def _q(c: str) -> Column:
     return F.col(f"`{c}`")
 
 
+def trimmed(key: Column) -> Column:
+    """``key`` without white space of any kind at either end."""
+    return F.regexp_replace(key, r"(?U)^\s+|\s+$", "")
+
+
 def evolve_schema(target: DataFrame, incoming: DataFrame) -> DataFrame:
     """Add the columns of ``incoming`` that ``target`` lacks (null)."""
     missing = [f for f in incoming.schema.fields if f.name not in target.columns]
@@ -51,21 +56,25 @@ def upsert_cases(existing: DataFrame, incoming: DataFrame, key: str = "case_no",
         from ..session import materialize
         incoming = materialize(incoming)
     order = F.struct(*[_q(c) for c in order_by])
-    k = F.trim(_q(key))
+    k = F.coalesce(trimmed(_q(key)), F.lit(""))
     e = existing.withColumn("_k", k).withColumn("_ord", order)
     i = incoming.withColumn("_k", k).withColumn("_ord", order)
+    # blank keys match nothing: they pass by the joins, so no task gets them all
+    e_blank, e = e.where(F.col("_k") == ""), e.where(F.col("_k") != "")
+    i_blank, i = i.where(F.col("_k") == ""), i.where(F.col("_k") != "")
     has_date = date_col in existing.columns
-    e_last = e.where(F.col("_k") != "").groupBy("_k").agg(
+    e_last = e.groupBy("_k").agg(
         F.max("_ord").alias("_e_ord"),
         (F.max_by(_q(date_col), F.col("_ord")) if has_date else F.lit(None)).alias("_e_date"))
-    # One I row per matched key: the last one (max_by keeps only the winner
-    # per key and map task before the shuffle).
+    # One I row per matched key: the last one. Only keys and positions are
+    # aggregated; the row itself is fetched by a join on both.
     i_cols = [c for c in incoming.columns]
     i_tagged = i.join(e_last, "_k", "left")
     matched = i_tagged.where(F.col("_e_ord").isNotNull())
-    winners = matched.groupBy("_k").agg(
-        F.max_by(F.struct(*[_q(c).alias(c) for c in i_cols]), F.col("_ord")).alias("_row"),
-        F.first("_e_ord").alias("_e_ord"), F.first("_e_date").alias("_e_date"))
+    i_last = i.groupBy("_k").agg(F.max("_ord").alias("_i_ord"))
+    winners = matched.join(i_last.withColumnRenamed("_k", "_ik"),
+                           (F.col("_k") == F.col("_ik")) & (F.col("_ord") == F.col("_i_ord"))) \
+        .select("_k", F.struct(*[_q(c).alias(c) for c in i_cols]).alias("_row"), "_e_ord", "_e_date")
     # E-only columns (and E's position) of the replaced row are kept.
     pos_cols = list(order_by) if keep_position else []
     e_take = [c for c in existing.columns if c not in i_cols or c in pos_cols]
@@ -78,10 +87,10 @@ def upsert_cases(existing: DataFrame, incoming: DataFrame, key: str = "case_no",
           for c in i_cols if c not in e_take],
         *[F.col(f"`_e_{c}`").alias(c) for c in e_take],
         F.lit(UPDATED).alias("upsert_status"))
-    untouched = e.join(last_rows, is_last, "left_anti") \
+    untouched = e.join(last_rows, is_last, "left_anti").unionByName(e_blank) \
         .drop("_k", "_ord").withColumn("upsert_status", F.lit(UNTOUCHED))
-    appended = i_tagged.where(F.col("_e_ord").isNull()).select(
-        *[_q(c) for c in i_cols]).withColumn("upsert_status", F.lit(APPENDED))
+    appended = i_tagged.where(F.col("_e_ord").isNull()).select(*[_q(c) for c in i_cols]).unionByName(
+        i_blank.select(*[_q(c) for c in i_cols])).withColumn("upsert_status", F.lit(APPENDED))
     return untouched.unionByName(updated, allowMissingColumns=True) \
         .unionByName(appended, allowMissingColumns=True)
 
@@ -89,8 +98,8 @@ def upsert_cases(existing: DataFrame, incoming: DataFrame, key: str = "case_no",
 def upsert_counts(existing: DataFrame, incoming: DataFrame, key: str = "case_no") -> DataFrame:
     """Updated / appended counts as the tool logs them: every incoming row
     with a non-blank key found in E counts as an update, the rest append."""
-    e_keys = existing.select(F.trim(_q(key)).alias("_k")).where(F.col("_k") != "").distinct()
-    i = incoming.select(F.trim(_q(key)).alias("_k"))
+    e_keys = existing.select(trimmed(_q(key)).alias("_k")).where(F.col("_k") != "").distinct()
+    i = incoming.select(trimmed(_q(key)).alias("_k"))
     tagged = i.join(e_keys.withColumn("_hit", F.lit(True)), "_k", "left")
     return tagged.agg(F.count_if(F.col("_hit").isNotNull()).alias("updated"),
                       F.count_if(F.col("_hit").isNull()).alias("appended"))

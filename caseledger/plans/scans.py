@@ -1,4 +1,5 @@
-"""End-to-end plans (the tool's run actions), each one lazy DataFrame.
+"""End-to-end plans (the tool's run actions). Each is one lazy DataFrame, but for
+``scan_pair`` and ``upsert_run``, which store a table first.
 
 L1 classified scan: case_files -> group -> classify -> dates (-> sort at the sink)
 L2 quick export:    strict scan of all roots -> 9 base columns
@@ -9,12 +10,16 @@ L4 token scan:      L1 with the token parser and walker
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.classify import classify
 from ..operators.export import (QUICK_EXPORT_NAME, project_export, quick_export, sort_records,
                                 stamp_dates, write_export)
 from ..operators.upsert import upsert_cases
-from ..operators.group import folder_entries_both, group_cases, group_folders, pick_walk
+from ..operators.group import (folder_entries_both, group_cases, group_folders, has_hot_group,
+                               pick_walk)
+from ..sources.hierarchy import hierarchy_by_path
+from ..sources.listing import first_listed_clients, not_trashed
 from ..sources.rules import shipped_rules
 
 DEFAULT_AS_OF = "2026-01-15 09:30:00"
@@ -22,19 +27,35 @@ DEFAULT_AS_OF = "2026-01-15 09:30:00"
 
 def classified_scan(case_files: DataFrame, rules=None, mode: str = "strict",
                     parser: str | None = None, as_of: str = DEFAULT_AS_OF,
-                    limit: int | None = None, sort: bool = False) -> DataFrame:
-    """L1 / L4: case records with one flag per rule and the date columns."""
+                    limit: int | None = None, sort: bool = False, split_hot: bool | None = False,
+                    messages: list | None = None) -> DataFrame:
+    """L1 / L4: case records with one flag per rule and the date columns.
+
+    ``split_hot``: True spreads a folder or key over several tasks, None
+    decides by the greatest folder and client (two counts are run first); the
+    records are the same. ``messages`` collects what the rules' check says.
+    """
     rules = shipped_rules() if rules is None else rules
-    records = group_cases(case_files, mode=mode, parser=parser, limit=limit)
-    records = classify(records, rules)
+    if split_hot is None:
+        split_hot = has_hot_group(case_files)
+    records = group_cases(case_files, mode=mode, parser=parser, limit=limit, split_hot=split_hot)
+    records = classify(records, rules, messages=messages)
     records = stamp_dates(records, as_of, "token" if mode == "token" else mode)
     return sort_records(records) if sort else records
 
 
-def scan_pair(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF):
+def scan_pair(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF,
+              split_hot: bool | None = False):
     """(L1 strict/legacy records, L4 token records) of one listing with one
     file-level pass: the folder stage of both walks is built once and stored
-    in the shared checkpoint folder, then each walk parses and groups it."""
+    in the shared checkpoint folder (a job that runs at once), then each walk
+    parses and groups it. With ``split_hot`` each walk builds its own folder
+    stage, spread over tasks."""
+    if split_hot is None:
+        split_hot = has_hot_group(case_files)
+    if split_hot:
+        return (classified_scan(case_files, rules, as_of=as_of, split_hot=True),
+                token_scan(case_files, rules, as_of=as_of, split_hot=True))
     from ..session import materialize
     rules = shipped_rules() if rules is None else rules
     folders = materialize(folder_entries_both(case_files))
@@ -46,10 +67,18 @@ def scan_pair(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF):
 
 
 def token_scan(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF,
-               limit: int | None = None) -> DataFrame:
+               limit: int | None = None, split_hot: bool | None = False) -> DataFrame:
     """L4: token parser and walker (only real files, empty folders kept)."""
     return classified_scan(case_files, rules, mode="token", parser="token", as_of=as_of,
-                           limit=limit)
+                           limit=limit, split_hot=split_hot)
+
+
+def listing_run(listing: DataFrame, mode: str = "strict", rules=None, as_of: str = DEFAULT_AS_OF,
+                max_clients: int | None = None, split_hot: bool | None = False) -> DataFrame:
+    """L1 from a listing, as a user runs it: drop trash, rebuild the tree (the
+    first ``max_clients`` client folders of each root), group, classify, sort."""
+    files = hierarchy_by_path(first_listed_clients(not_trashed(listing), max_clients), mode)
+    return classified_scan(files, rules, mode=mode, as_of=as_of, sort=True, split_hot=split_hot)
 
 
 def quick_scan(case_files: DataFrame, as_of: str = DEFAULT_AS_OF, sort: bool = False) -> DataFrame:
@@ -64,7 +93,8 @@ def export_run(case_files: DataFrame, base_dir: str, run: str = "clients_data",
     written under a new versioned name (never overwrites; skips empty)."""
     rules = shipped_rules() if rules is None else rules
     records = sort_records(classified_scan(case_files, rules, **scan_args))
-    return write_export(project_export(records, rules), base_dir, run)
+    source = case_files.where("case_folder IS NOT NULL") if scan_args.get("mode", "strict") != "deep" else None
+    return write_export(project_export(records, rules), base_dir, run, source=source)
 
 
 def export_quick(case_files: DataFrame, base_dir: str, as_of: str = DEFAULT_AS_OF) -> str | None:
@@ -77,11 +107,14 @@ def upsert_run(case_files: DataFrame, existing: DataFrame | None, target_path: s
     """L1 into a table: the scan's records upserted into ``existing`` (a
     table written by an earlier run, or None for the first run) and written
     to ``target_path`` (a new version; never the path ``existing`` was read
-    from). ``row_order`` is the position column. Returns the written table."""
-    from pyspark.sql import functions as F
-    records = classified_scan(case_files, rules, **scan_args).drop("n_folders", "n_files")
-    # a record's first folder path is unique to it: a stable position value
-    records = records.withColumn("row_order", F.xxhash64("root", "first_path")).drop("first_path")
+    from). ``row_order`` is the position: the run that appended a row, then the
+    order of its records (client number, case number, rest of the key, root).
+    Returns the written table."""
+    last = -1 if existing is None else existing.agg(F.max("row_order.run")).first()[0]
+    records = classified_scan(case_files, rules, **scan_args).drop("n_folders", "n_files", "first_path")
+    records = records.withColumn("row_order", F.struct(
+        F.lit(0 if last is None else last + 1).alias("run"), "client_number", "case_no", "client_name",
+        "case_name", "tm_no", "class_code", "root"))
     if existing is None:
         merged = records.withColumn("upsert_status", F.lit("appended"))
     else:

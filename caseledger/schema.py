@@ -73,3 +73,11 @@ EXPORT_HEADERS = {
 }
 BASE_EXPORT = ["CLIENT NUMBER", "CLIENT NAME", "CASE #", "CASE NAME", "TM NO", "CLASS",
                "FILES", "EXT"]
+
+
+def by_position(df):
+    """``df`` with columns named by position, and each name's column there: names
+    that differ in case only stay apart."""
+    from pyspark.sql import functions as F
+    at = {c: F.col(f"_{i}") for i, c in enumerate(df.columns)}
+    return df.toDF(*[f"_{i}" for i in range(len(df.columns))]), at

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -42,14 +43,17 @@ def build_session(master: str | None = None, app: str = "caseledger",
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables and stream checkpoints.
 
-    Uses the cluster's ``spark.checkpoint.dir``. Only when it is unset (local
-    tests) a fresh scratch folder is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``. Only in local mode, where all
+    executors share the machine, a fresh scratch folder stands in when it is
+    unset; elsewhere that is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="caseledger-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -65,4 +69,23 @@ def materialize(df):
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _STORED.append(path)
     return spark.read.parquet(path)
+
+
+#: Tables stored by ``materialize`` and not yet dropped.
+_STORED: list[str] = []
+
+
+@contextmanager
+def stored_tables(spark: SparkSession):
+    """Drops, at its end, the tables that ``materialize`` stored inside: use it
+    around building and consuming a result."""
+    first = len(_STORED)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while len(_STORED) > first:
+            path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+            path.getFileSystem(conf).delete(path, True)

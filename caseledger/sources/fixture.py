@@ -4,7 +4,9 @@ order -> case folder, lineitem -> file).
 The three name expressions are plain SQL that Spark and DuckDB both run
 unchanged, so ``queries()`` and ``oracle_sql()`` start from the same rows.
 The tree has two roots: even customer keys under ``clients``, odd ones under
-``consultants``.
+``consultants``. Every line item is a file. Empty folders are planted beside
+them: a case folder without files where the smallest order key of a case folder
+is 3 mod 10, and a client folder without cases where the customer key is 7 mod 40.
 """
 
 from __future__ import annotations
@@ -52,8 +54,15 @@ from (
          {FILE_NAME_SQL} as file_name
   from customer
   join orders on c_custkey = o_custkey
-  left join lineitem on l_orderkey = o_orderkey and o_orderkey % 10 <> 3
-) t"""
+  left join lineitem on l_orderkey = o_orderkey
+) t
+union all
+select root, client_folder, case_folder || ' VOID', null, null from (
+  select {ROOT_SQL} as root, {CLIENT_FOLDER_SQL} as client_folder, {CASE_FOLDER_SQL} as case_folder, o_orderkey
+  from customer join orders on c_custkey = o_custkey) v
+group by root, client_folder, case_folder having min(o_orderkey) % 10 = 3
+union all
+select {ROOT_SQL}, {CLIENT_FOLDER_SQL} || ' NEW', null, null, null from customer where c_custkey % 40 = 7"""
 
 
 def _tables(spark: SparkSession, sf_dir: str):
@@ -65,16 +74,10 @@ def _tables(spark: SparkSession, sf_dir: str):
     return customer, orders, lineitem
 
 
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _case_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order with its root, client folder and case folder name.
 
-    Names are built once per order (not per line item) and the orders are
-    hash-partitioned on the folder key, as a listing bucketed by folder is
-    stored; joins and the folder aggregation downstream keep that layout.
+    Names are built once per order (not per line item).
     """
     customer, orders, _ = _tables(spark, sf_dir)
     co = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"))
@@ -83,14 +86,30 @@ def _case_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(CLIENT_FOLDER_SQL).alias("client_folder"),
         F.expr(CASE_FOLDER_SQL).alias("case_folder"),
         "c_custkey", "o_orderkey", "o_orderdate",
-    ).repartition(_partitions(spark), "root", "client_folder", "case_folder")
+    )
+
+
+def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per case folder name with its smallest order key."""
+    return (_case_folders(spark, sf_dir).groupBy("root", "client_folder", "case_folder")
+            .agg(F.min("o_orderkey").alias("o_orderkey")))
+
+
+def _is_void() -> "F.Column":
+    return F.col("o_orderkey") % 10 == 3
+
+
+def _new_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(root, client_folder) of the planted clients without cases."""
+    customer, _, _ = _tables(spark, sf_dir)
+    return customer.where(F.col("c_custkey") % 40 == 7).select(
+        F.expr(ROOT_SQL).alias("root"), F.concat(F.expr(CLIENT_FOLDER_SQL), F.lit(" NEW")).alias("client_folder"))
 
 
 def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, lineitem = _tables(spark, sf_dir)
     co = _case_folders(spark, sf_dir)
-    joined = co.join(lineitem, (F.col("l_orderkey") == F.col("o_orderkey"))
-                     & (F.col("o_orderkey") % 10 != 3), "left")
+    joined = co.join(lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     return joined.select(
         "root", "client_folder", "case_folder",
         F.expr(FILE_NAME_SQL).alias("file_name"),
@@ -102,11 +121,18 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F1.2 rows: root, client_folder, case_folder, file_name, file_path."""
     b = _base(spark, sf_dir)
-    return b.select(
+    files = b.select(
         "root", "client_folder", "case_folder", "file_name",
         F.when(F.col("file_name").isNull(), F.lit(None).cast("string"))
         .otherwise(F.concat_ws("/", "client_folder", "case_folder", "file_name")).alias("file_path"),
     )
+    none = F.lit(None).cast("string")
+    void = _folders(spark, sf_dir).where(_is_void()).select(
+        "root", "client_folder", F.concat("case_folder", F.lit(" VOID")).alias("case_folder"),
+        none.alias("file_name"), none.alias("file_path"))
+    new = _new_clients(spark, sf_dir).select("root", "client_folder", none.alias("case_folder"),
+                                             none.alias("file_name"), none.alias("file_path"))
+    return files.unionByName(void).unionByName(new)
 
 
 def listing(spark: SparkSession, sf_dir: str, with_trash: bool = True) -> DataFrame:
@@ -134,13 +160,12 @@ def listing(spark: SparkSession, sf_dir: str, with_trash: bool = True) -> DataFr
     with_orders = customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
     clients = with_orders.select(
         F.expr(ROOT_SQL).alias("root"), F.expr(CLIENT_FOLDER_SQL).alias("client_folder"))
+    clients = clients.unionByName(_new_clients(spark, sf_dir))
     clients = clients.select("root", row(
         client_id, F.col("client_folder"), F.col("root"), F.col("client_folder"), True,
         F.lit(FOLDER_MIME), F.lit(None), F.lit(""), F.lit(""), F.lit(False)).alias("e"))
 
-    case_rows = (_case_folders(spark, sf_dir)
-                 .groupBy("root", "client_folder", "case_folder")
-                 .agg(F.min("o_orderkey").alias("o_orderkey")))
+    case_rows = _folders(spark, sf_dir)
     folder_epoch = F.lit(1_600_000_000) + F.col("o_orderkey") * 3600
     # One pass over the case folders emits each folder plus what is planted
     # in it: a trashed draft in every folder whose smallest order key is
@@ -162,6 +187,10 @@ def listing(spark: SparkSession, sf_dir: str, with_trash: bool = True) -> DataFr
             F.concat_ws("/", "client_folder", "case_folder", F.lit("old"), F.lit("scan old.pdf")),
             False, F.lit("application/pdf"), F.lit(2048), F.lit(""), F.lit(""), F.lit(False))),
     ]
+    per_folder.append(F.when(_is_void(), row(
+        F.concat(case_id, F.lit(" VOID")), F.concat("case_folder", F.lit(" VOID")), client_id,
+        F.concat(F.concat_ws("/", "client_folder", "case_folder"), F.lit(" VOID")), True, F.lit(FOLDER_MIME),
+        F.lit(None), F.lit(""), F.lit(""), F.lit(False))))
     if with_trash:
         per_folder.append(F.when(F.col("o_orderkey") % 13 == 1, row(
             F.concat(case_id, F.lit("/~draft")), F.lit("~draft.tmp"), case_id,
@@ -203,15 +232,16 @@ with co as (
   select {ROOT_SQL} as root, {CLIENT_FOLDER_SQL} as client_folder,
          {CASE_FOLDER_SQL} as case_folder, o_orderkey
   from customer join orders on c_custkey = o_custkey),
-cases as (select root, client_folder, case_folder, min(o_orderkey) as o_orderkey
+cases as materialized (select root, client_folder, case_folder, min(o_orderkey) as o_orderkey
           from co group by root, client_folder, case_folder),
-clients as (select distinct root, client_folder from co),
+clients as (select distinct root, client_folder from co
+            union all select {ROOT_SQL}, {CLIENT_FOLDER_SQL} || ' NEW' from customer where c_custkey % 40 = 7),
 fl as (
   select {ROOT_SQL} as root, {CLIENT_FOLDER_SQL} as client_folder,
          {CASE_FOLDER_SQL} as case_folder, {FILE_NAME_SQL} as file_name,
          o_orderkey, l_linenumber, l_partkey, l_quantity
   from customer join orders on c_custkey = o_custkey
-  join lineitem on l_orderkey = o_orderkey and o_orderkey % 10 <> 3)
+  join lineitem on l_orderkey = o_orderkey)
 select root, root || '/' || client_folder as id, client_folder as name, root as parent_id,
        client_folder as path, true as is_folder, '{FOLDER_MIME}' as mime_type,
        cast(null as bigint) as size, '' as created_time, '' as modified_time,
@@ -252,4 +282,9 @@ select root, root || '/' || client_folder || '/' || case_folder || '/old/scan ol
        client_folder || '/' || case_folder || '/old/scan old.pdf', false, 'application/pdf',
        cast(2048 as bigint), '', '', false, 'drive'
 from cases where o_orderkey % 17 = 5
+union all
+select root, root || '/' || client_folder || '/' || case_folder || ' VOID', case_folder || ' VOID',
+       root || '/' || client_folder, client_folder || '/' || case_folder || ' VOID', true, '{FOLDER_MIME}',
+       cast(null as bigint), '', '', false, 'drive'
+from cases where o_orderkey % 10 = 3
 """

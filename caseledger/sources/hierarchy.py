@@ -84,16 +84,17 @@ def tree_by_parent(listing: DataFrame, root_ids: DataFrame | None = None) -> Dat
     cases = folders.select(
         F.col("id").alias("case_id"), F.col("name").alias("case_folder"),
         F.col("parent_id").alias("client_id"), F.col("created_time").alias("case_created_time"),
-        F.col("modified_time").alias("case_modified_time"))
+        F.col("modified_time").alias("case_modified_time"), "root")
     files = listing.where(~F.col("is_folder")).select(
-        F.col("id").alias("file_id"), F.col("name").alias("file_name"),
+        "root", F.col("id").alias("file_id"), F.col("name").alias("file_name"),
         F.col("parent_id").alias("case_id"), "mime_type", "size",
         F.col("created_time").alias("file_created_time"),
         F.col("modified_time").alias("file_modified_time"))
-    case_full = cases.join(clients, "client_id")
-    with_files = files.join(case_full, "case_id")
-    empty_cases = case_full.join(files.select("case_id").distinct(), "case_id", "left_anti")
-    lonely = clients.join(cases.select("client_id").distinct(), "client_id", "left_anti")
+    # ids are unique within a root
+    case_full = cases.join(clients, ["root", "client_id"])
+    with_files = files.join(case_full, ["root", "case_id"])
+    empty_cases = case_full.join(files.select("root", "case_id").distinct(), ["root", "case_id"], "left_anti")
+    lonely = clients.join(cases.select("root", "client_id").distinct(), ["root", "client_id"], "left_anti")
     return with_files.unionByName(empty_cases, allowMissingColumns=True) \
         .unionByName(lonely, allowMissingColumns=True)
 

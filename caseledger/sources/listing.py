@@ -14,17 +14,18 @@ from ..schema import FOLDER_MIME, LISTING, RAW_LISTING
 
 
 def read_listing(spark: SparkSession, path: str, fmt: str = "parquet",
-                 root: str | None = None, raw: bool = False) -> DataFrame:
+                 root: str | None = None, raw: bool = False, multi_line: bool = False) -> DataFrame:
     """Load the listing of one or more roots.
 
     ``raw=True`` reads the remote API shape (``RAW_LISTING``) and normalises
     it with ``classify_entries``. ``root`` fills the root label when the
-    files do not carry one.
+    files do not carry one. ``multi_line`` reads CSV cells that hold line
+    breaks; such a file can't be split, so it is off by default.
     """
     reader = spark.read.schema(RAW_LISTING if raw else LISTING).format(fmt)
     if fmt == "csv":
         # quoted "" stays the empty string, an empty field is null
-        reader = (reader.option("header", True).option("multiLine", True)
+        reader = (reader.option("header", True).option("multiLine", multi_line)
                   .option("escape", '"').option("nullValue", "\u0000"))
     df = reader.load(path)
     if root is not None:
@@ -92,3 +93,18 @@ def first_clients(case_files: DataFrame, n: int | None) -> DataFrame:
     w = Window.partitionBy("root").orderBy("client_folder")
     keep = clients.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
     return case_files.join(keep, ["root", "client_folder"], "left_semi")
+
+
+def first_listed_clients(listing: DataFrame, n: int | None) -> DataFrame:
+    """O2 on a listing: the entries of the first ``n`` client folders per root by
+    name, with what lies in the root itself (0/None = all). Applied before any
+    tree is built, so later joins only see the kept clients."""
+    if not n:
+        return listing
+    top = F.get(F.split("path", "/"), 0)
+    names = listing.where(F.col("is_folder") & (F.size(F.split("path", "/")) == 1)) \
+        .select("root", F.col("path").alias("_client")).distinct()
+    w = Window.partitionBy("root").orderBy("_client")
+    keep = names.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    inside = listing.withColumn("_client", top).join(keep, ["root", "_client"], "left_semi").drop("_client")
+    return inside.unionByName(listing.where(~F.col("is_folder") & (F.size(F.split("path", "/")) == 1)))

@@ -221,8 +221,8 @@ ca as (select f.id as case_id, f.name as case_folder, f.created_time as case_cre
 
 
 def with_tree(body: str) -> str:
-    return (f"with lst as ({LISTING_SQL}),\n"
-            f"nt as (select *, string_split(path, '/') as parts from lst where not trashed),\n"
+    return (f"with lst as materialized ({LISTING_SQL}),\n"
+            f"nt as materialized (select *, string_split(path, '/') as parts from lst where not trashed),\n"
             f"{TREE_CTES}\n{body}")
 
 

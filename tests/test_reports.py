@@ -25,7 +25,7 @@ def test_compare_statuses(spark):
     b = spark.createDataFrame([("", "2", "", "", "z"), ("", "3", "", "", "w")], a.schema)
     got = {r["case_no"]: r for r in R.compare_exports(a, b).collect()}
     assert got["1"]["status"] == "Removed" and got["3"]["status"] == "Added"
-    assert got["2"]["status"] == "Identical" and got["2"]["n_a"] == 2
+    assert got["2"]["status"] == "Changed" and got["2"]["n_a"] == 2 and got["2"]["n_b"] == 1  # every row counts
     b2 = spark.createDataFrame([("", "1", "", "", "q")], a.schema)
     got2 = {r["case_no"]: r for r in R.compare_exports(a, b2).collect()}
     assert got2["1"]["status"] == "Changed" and got2["1"]["changed_columns"] == "files"

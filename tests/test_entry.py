@@ -17,5 +17,5 @@ def test_every_query_has_oracle():
 
 def test_fixture_counts(spark):
     cf = E._cf(spark, E.SMOKE_DIR)
-    assert cf.count() == 5576
-    assert cf.select("client_folder", "case_folder").distinct().count() == 1500
+    assert cf.count() == 6181              # every line item, planted empty folders and clients
+    assert cf.select("client_folder", "case_folder").distinct().count() == 1654

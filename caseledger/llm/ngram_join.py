@@ -11,8 +11,8 @@
    n-grams of its own has no partner and is done. Equal sets are one class.
 3. Join. Classes meet in the buckets of their prefix n-grams under the length
    and positional filters. In star rounds each bucket compares its classes with
-   one of them, and what links becomes one component; then all pairs left in a
-   bucket across components are compared, so no link is lost and a large group of
+   one of them, and what links becomes one component; once few pairs are left, all
+   pairs in a bucket across components are compared, so no link is lost and a large group of
    near copies costs rows in proportion to its size.
 4. Verify. Each pair once: the suffix filter bounds the overlap by the sizes of 32
    parts of both sets, then the sets are intersected.
@@ -44,7 +44,8 @@ BLOCK_BYTES, RANGE_BYTES, MIN_RANGES = 1 << 21, 1 << 23, 64
 #: An n-gram with so many rows in a block is sent once, with its count.
 LOCAL_HOT = 8
 PARTS = 32
-STAR_ROUNDS = 4
+#: Rounds of stars at most; none while all pairs of a bucket are so few for each row.
+STAR_ROUNDS, FEW_PAIRS = 4, 8
 _LOW = np.uint64((1 << 48) - 1)
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -270,18 +271,20 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     prefix = materialize(sets.select("fp", "n", "own", F.posexplode(F.slice("ids", F.lit(1), size.cast("int"))).alias("i", "id"))
                          .select("id", "fp", "n", (F.col("own") + F.col("i")).alias("at")))
     tried = links = comps = None
-    turn = 0
+    turn, found = 0, True
     while True:
-        last = turn < 0
         rows = prefix.withColumn("c", F.col("fp")) if comps is None else \
             prefix.join(comps, prefix["fp"] == comps["node"], "left").select(*prefix.columns, F.coalesce("component", "fp").alias("c"))
         mixed = materialize(rows.groupBy("id").agg(
-            F.min("c").alias("lo"), F.max("c").alias("hi"),
+            F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"),
             F.min_by(F.struct("fp", "n", "at", "c"), F.xxhash64("fp", F.lit(turn))).alias("mid"))
-            .where("lo < hi").select("id", "mid"))
-        if mixed.isEmpty():
+            .where("lo < hi").select("id", "mid", "k"))
+        left = mixed.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
+        if left[0] is None:  # no bucket holds two components
             break
-        rows = rows.join(mixed, "id")
+        # stars pay while the buckets' pairs are many times their rows
+        last = not found or turn == STAR_ROUNDS or left[1] <= FEW_PAIRS * left[0]
+        rows = rows.join(mixed.drop("k"), "id")
         x = F.struct("fp", "n", "at").alias("x")
         if not last:  # each bucket around one of its classes
             pairs = rows.where(F.col("c") != F.col("mid.c")).select(x, F.struct("mid.fp", "mid.n", "mid.at").alias("y"))
@@ -304,7 +307,7 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
             comps = materialize(components(links))
         if last:
             break
-        turn = turn + 1 if found and turn + 1 < STAR_ROUNDS else -1
+        turn += 1
     return comps
 
 

@@ -11,7 +11,8 @@
    n-grams of its own has no partner and is done. Equal sets are one class.
 3. Join. Classes meet in the buckets of their prefix n-grams under the length
    and positional filters. In star rounds each bucket compares its classes with
-   one of them, and what links becomes one component; once few pairs are left, all
+   the one that has the fewest n-grams of its own (of a group of near copies,
+   most likely the text they were made from), and what links becomes one component; once few pairs are left, all
    pairs in a bucket across components are compared, so no link is lost and a large group of
    near copies costs rows in proportion to its size.
 4. Verify. Each pair once: the suffix filter bounds the overlap by the sizes of 32
@@ -269,7 +270,7 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of linked classes. ``sets``: (fp, n, own, ids, parts), stored."""
     size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - F.col("own")
     prefix = materialize(sets.select("fp", "n", "own", F.posexplode(F.slice("ids", F.lit(1), size.cast("int"))).alias("i", "id"))
-                         .select("id", "fp", "n", (F.col("own") + F.col("i")).alias("at")))
+                         .select("id", "fp", "n", "own", (F.col("own") + F.col("i")).alias("at")))
     tried = links = comps = None
     turn, found = 0, True
     while True:
@@ -277,7 +278,7 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
             prefix.join(comps, prefix["fp"] == comps["node"], "left").select(*prefix.columns, F.coalesce("component", "fp").alias("c"))
         mixed = materialize(rows.groupBy("id").agg(
             F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"),
-            F.min_by(F.struct("fp", "n", "at", "c"), F.xxhash64("fp", F.lit(turn))).alias("mid"))
+            F.min_by(F.struct("fp", "n", "at", "c"), F.struct("own", F.xxhash64("fp", F.lit(turn)))).alias("mid"))
             .where("lo < hi").select("id", "mid", "k"))
         left = mixed.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
         if left[0] is None:  # no bucket holds two components
@@ -290,8 +291,13 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
             pairs = rows.where(F.col("c") != F.col("mid.c")).select(x, F.struct("mid.fp", "mid.n", "mid.at").alias("y"))
         else:  # all that is left across components
             rows = materialize(rows.drop("mid"))
-            cs = rows.select("id", "c").distinct()
-            sides = cs.toDF("id", "cx").join(cs.toDF("id", "cy"), "id").where("cx < cy")
+            cs = materialize(rows.groupBy("id", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"),
+                                                         F.max(F.col("n") - F.col("at")).alias("rest")))
+            # the same filters on components: no pair in them passes where their ranges don't
+            sides = cs.toDF("id", "cx", "lx", "hx", "rx").join(cs.toDF("id", "cy", "ly", "hy", "ry"), "id").where(
+                (F.col("cx") < F.col("cy")) & (F.col("hx") * 100 >= F.col("ly") * percent)
+                & (F.col("hy") * 100 >= F.col("lx") * percent)
+                & _fits(F.col("lx"), F.col("ly"), F.least("rx", "ry"), percent)).select("id", "cx", "cy")
             pairs = (sides.join(rows.select("id", F.col("c").alias("cx"), x), ["id", "cx"])
                      .join(rows.select("id", F.col("c").alias("cy"), F.struct("fp", "n", "at").alias("y")), ["id", "cy"]))
         pairs = pairs.where(_may_match("x", "y", percent)) \

@@ -87,7 +87,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(col), -1)
+    return flat.reshape(len(col), len(flat) // max(1, len(col)))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -192,7 +192,7 @@ def blocks(coded: DataFrame) -> DataFrame:
     entry = F.posexplode("codes")
     rows = coded.select("*", entry.alias("_i", "bucket")).where("bucket >= 0")
     width = 1 + PROBES
-    rows = rows.select(F.xxhash64("label", "dim").alias("grp"), (F.col("_i") / width).cast("int").alias("table"), "bucket",
+    rows = rows.select("dim", F.xxhash64("label", "dim").alias("grp"), (F.col("_i") / width).cast("int").alias("table"), "bucket",
                        (F.col("_i") % width == 0).alias("member"), "rep", "n", "embedding", "codes")
     keys = ["grp", "table", "bucket"]
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.max("member").alias("any"))
@@ -208,7 +208,7 @@ def blocks(coded: DataFrame) -> DataFrame:
         F.least(F.col("part"), o).alias("left"), F.greatest(F.col("part"), o).alias("right")))))
     blk = F.when(F.col("parts") == 1, F.pmod(F.xxhash64(*keys), F.lit(groups))) \
         .otherwise(F.xxhash64(*keys, "pair.left", "pair.right"))
-    return rows.select(blk.alias("blk"), (F.col("parts") > 1).alias("cut"), *keys, "member", "rep", "n", "embedding",
+    return rows.select("dim", blk.alias("blk"), (F.col("parts") > 1).alias("cut"), *keys, "member", "rep", "n", "embedding",
                        "codes", "part", F.col("pair.left").alias("left"), F.col("pair.right").alias("right"))
 
 
@@ -223,16 +223,19 @@ def link_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                        F.when(F.col("embedding").isNotNull(), F.xxhash64("label", "embedding")).alias("k1"),
                        F.when(F.col("embedding").isNotNull(), F.xxhash64("embedding", F.lit(7), "label")).alias("k2"))
     classes = materialize(rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(
-        F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"),
+        F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("label").alias("label"),
         F.first("dim").alias("dim"), F.first("embedding").alias("embedding")))
+    classes = classes.withColumn("rep", F.col("k1"))  # ids may repeat, so a class goes by its hash
     coded = materialize(hash_classes(classes.select("rep", "n", "label", "dim", "embedding")))
-    linked = materialize(blocks(coded).groupBy("blk", "cut").applyInArrow(_block, _LINKED))
+    linked = materialize(blocks(coded).groupBy("dim", "blk", "cut").applyInArrow(_block, _LINKED))
     links = linked.groupBy("rep").agg(F.sum("n_links").alias("links"))
     comps = components(linked.where("rep <> root"), "rep", "root")
-    found = materialize(classes.select("k1", "k2", "rep", "n").join(links, "rep", "left")
+    found = materialize(classes.select("k1", "k2", "rep", "n", "least").join(links, "rep", "left")
                         .join(comps, F.col("rep") == F.col("node"), "left")
-                        .select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                                F.coalesce("component", "rep").alias("component")))
+                        .select("k1", "k2", "least", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+                                F.coalesce("component", "rep").alias("c")))
+    first = materialize(found.groupBy("c").agg(F.min("least").alias("component")))
+    found = materialize(found.join(first, "c").select("k1", "k2", "n_links", "component"))
     out = rows.select("vec_id", "k1", "k2").join(found, ["k1", "k2"], "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -45,7 +45,8 @@ class Index(NamedTuple):
 def _vectors(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Sorted node ids and their vectors."""
     col = table["embedding"].combine_chunks()
-    x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1)
+    x = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = x.reshape(len(col), len(x) // max(1, len(col)))
     ids = table["node"].to_numpy()
     order = np.argsort(ids)
     return ids[order], x[order]

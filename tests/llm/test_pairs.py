@@ -154,7 +154,7 @@ def test_join_against_brute_force(spark, percent, size):
 def test_join_with_few_rows_hot_in_a_block(spark, monkeypatch):
     rows = [(i, f"same words in every text but {i % 5} and then some more words to be alike") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, ngram_join.join_similar(df, percent=50, size=3).collect()))
+    got = sorted(map(tuple, ngram_join.join_similar(df, percent=50, size=3).collect()), key=str)
     assert got == _brute_join(rows, 50, 3)
     assert ngram_join.join_similar(df.limit(0)).count() == 0
     kept = ngram_join.drop_similar(df.unionByName(df), percent=50, size=3)

@@ -117,7 +117,7 @@ def learn_word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def pooled(col: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each text, and its least word hash (copies mostly share it)."""
+    """Features of each text, and its least hash of a word pair (copies mostly share it)."""
     data, off = texts_of(col)
     out = np.zeros((len(off) - 1, FEATURES), np.float32)
     least = np.full(len(off) - 1, 2**64 - 1, np.uint64)
@@ -144,7 +144,10 @@ def pooled(col: pa.Array, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         spread = np.add.reduceat(np.square(stretch) * long, first, axis=0) / many[:, None] - np.square(mean)
         out[at, 3 * DIM:4 * DIM] = np.sqrt(np.maximum(spread, 0))
         out[at, 4 * DIM] = np.log1p(many)
-        least[at] = np.minimum.reduceat(mix(w.hash + np.uint64(1)), head)
+        pair = mix(w.hash * np.uint64(3) + np.r_[w.hash[1:], w.hash[:1]])
+        last = np.r_[head[1:], len(word)] - 1
+        pair[last] = np.where(many > 1, np.uint64(2**64 - 1), pair[last])  # no pair across rows
+        least[at] = np.minimum.reduceat(pair, head)
     return out, least
 
 

@@ -70,9 +70,15 @@ def sentence_scores(w: Words, model: Model) -> tuple[np.ndarray, np.ndarray, np.
 
 def _copies(bags: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Weight of each document, one over the number of documents with the same
-    least word hash (exact and near copies mostly share it), and how many such
+    least sentence hash (exact and near copies mostly share it), and how many such
     groups hold each word."""
-    least = np.array([mix((b & _MASK) + np.uint64(1)).min(initial=np.uint64(2**64 - 1)) for b in bags], np.uint64)
+    none = np.uint64(2**64 - 1)
+    least = np.full(len(bags), none, np.uint64)
+    for d, b in enumerate(bags):
+        if len(b):
+            sentence = b >> np.uint64(BITS)
+            head = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+            least[d] = mix(np.add.reduceat(mix((b & _MASK) + np.uint64(1)), head)).min()
     _, first, group, many = np.unique(least, return_index=True, return_inverse=True, return_counts=True)
     held = np.zeros(1 << BITS, np.int64)
     for d in first:

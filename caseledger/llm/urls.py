@@ -13,6 +13,7 @@ labelled table leaves all weights 0, and every URL then counts as allowed.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,27 +96,25 @@ def margin(grams: Column, weights: list[float], bias: float) -> Column:
 
 
 def train(labelled: DataFrame, steps: int = STEPS) -> tuple[list[float], float]:
-    """Weights and bias by gradient descent with momentum. Rows with a null label
-    are left out."""
+    """Weights by gradient descent with momentum, and the bias: the log odds of the
+    labels, so that a URL of which nothing is known gets their share. Rows with a
+    null label are left out."""
     n = labelled.where("label IS NOT NULL").limit(MAX_LABELLED + 1).count()
     if n > MAX_LABELLED:
         raise ValueError(f"the labelled URL table may hold {MAX_LABELLED} rows at most")
-    weights, speed, bias, bias_speed = [0.0] * (1 << BITS), [0.0] * (1 << BITS), 0.0, 0.0
+    weights, speed = [0.0] * (1 << BITS), [0.0] * (1 << BITS)
     if not n:
-        return weights, bias
+        return weights, 0.0
+    share = min(max(labelled.agg(F.avg("label")).first()[0], 0.01), 0.99)
+    bias = math.log(share / (1 - share))
     rows = (labelled.where("label IS NOT NULL").coalesce(1)
             .select(F.col("label").cast("double").alias("y"),
                     features(host_of(F.col("url")), path_of(F.col("url"))).alias("grams")))
     for _ in range(steps):
         error = 1 / (1 + F.exp(-margin(F.col("grams"), weights, bias))) - F.col("y")
-        # bucket -1 takes the gradient of the bias
-        parts = F.concat(F.array(F.struct(F.lit(-1).alias("b"), F.col("e").alias("g"))),
-                         F.transform("grams", lambda g: F.struct(
-                             g.alias("b"), (F.col("e") / F.sqrt(F.size("grams"))).alias("g"))))
+        parts = F.transform("grams", lambda g: F.struct(g.alias("b"), (F.col("e") / F.sqrt(F.size("grams"))).alias("g")))
         grads = (rows.withColumn("e", error).select(F.inline(parts)).groupBy("b").agg(F.sum("g").alias("g")).collect())
         step = dict.fromkeys(range(1 << BITS), 0.0) | {r["b"]: r["g"] / n for r in grads}
-        bias_speed = MOMENTUM * bias_speed - RATE * step[-1]
-        bias += bias_speed
         for b in range(1 << BITS):
             speed[b] = MOMENTUM * speed[b] - RATE * (step[b] + DECAY * weights[b])
             weights[b] += speed[b]

@@ -25,7 +25,7 @@ RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 BITS = 12
 SIZES = (3, 4)
 STEPS = 60
-RATE, MOMENTUM, DECAY = 4.0, 0.9, 1e-4
+RATE, MOMENTUM, DECAY = 10.0, 0.9, 1e-4
 THRESHOLD = 0.5
 #: The training table is worked on in one task; it may not hold more rows.
 MAX_LABELLED = 10_000

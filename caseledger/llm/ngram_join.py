@@ -45,7 +45,7 @@ BLOCK_BYTES, RANGE_BYTES, MIN_RANGES = 1 << 21, 1 << 23, 64
 #: An n-gram with so many rows in a block is sent once, with its count.
 LOCAL_HOT = 8
 PARTS = 32
-#: Rounds of stars at most; none while all pairs of a bucket are so few for each row.
+#: Rounds of stars at most; after one, no more once all pairs of the buckets are so few for each row.
 STAR_ROUNDS, FEW_PAIRS = 4, 8
 _LOW = np.uint64((1 << 48) - 1)
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -272,10 +272,10 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     prefix = materialize(sets.select("fp", "n", "own", F.posexplode(F.slice("ids", F.lit(1), size.cast("int"))).alias("i", "id"))
                          .select("id", "fp", "n", "own", (F.col("own") + F.col("i")).alias("at")))
     tried = links = comps = None
-    turn, found = 0, True
+    turn, found, live, columns = 0, True, prefix, prefix.columns
     while True:
-        rows = prefix.withColumn("c", F.col("fp")) if comps is None else \
-            prefix.join(comps, prefix["fp"] == comps["node"], "left").select(*prefix.columns, F.coalesce("component", "fp").alias("c"))
+        rows = live.withColumn("c", F.col("fp")) if comps is None else \
+            live.join(comps, F.col("fp") == F.col("node"), "left").select(*columns, F.coalesce("component", "fp").alias("c"))
         mixed = materialize(rows.groupBy("id").agg(
             F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"),
             F.min_by(F.struct("fp", "n", "at", "c"), F.struct("own", F.xxhash64("fp", F.lit(turn)))).alias("mid"))
@@ -283,14 +283,14 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
         left = mixed.agg(F.sum("k"), F.sum(F.col("k") * (F.col("k") - 1) / 2)).first()
         if left[0] is None:  # no bucket holds two components
             break
-        # stars pay while the buckets' pairs are many times their rows
-        last = not found or turn == STAR_ROUNDS or left[1] <= FEW_PAIRS * left[0]
-        rows = rows.join(mixed.drop("k"), "id")
+        # after the first, stars pay while the buckets' pairs are many times their rows
+        last = turn > 0 and (not found or turn == STAR_ROUNDS or left[1] <= FEW_PAIRS * left[0])
+        rows = materialize(rows.join(mixed.drop("k"), "id"))
+        live = rows.select(*columns)  # a bucket of one component stays one
         x = F.struct("fp", "n", "at").alias("x")
         if not last:  # each bucket around one of its classes
             pairs = rows.where(F.col("c") != F.col("mid.c")).select(x, F.struct("mid.fp", "mid.n", "mid.at").alias("y"))
         else:  # all that is left across components
-            rows = materialize(rows.drop("mid"))
             cs = materialize(rows.groupBy("id", "c").agg(F.min("n").alias("lo"), F.max("n").alias("hi"),
                                                          F.max(F.col("n") - F.col("at")).alias("rest")))
             # the same filters on components: no pair in them passes where their ranges don't

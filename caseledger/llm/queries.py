@@ -81,8 +81,8 @@ QUERIES = {
 _VECTORS = """v as (
   select vec_id, label, embedding::double[] as e from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len(list_filter(embedding::double[], x -> x is null or not isfinite(x))) = 0
-    and len(list_filter(embedding::double[], x -> x <> 0)) > 0)"""
+    and len(list_filter(embedding::double[], lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding::double[], lambda x: x <> 0)) > 0)"""
 
 #: Where SQL states the whole result.
 ORACLE_SQL: dict[str, str] = {
@@ -98,10 +98,10 @@ select e.vec_id, coalesce(n, 0)::bigint as n_links, c as component_id, e.vec_id
 from embeddings e left join deg on deg.a = e.vec_id join comp on comp.a = e.vec_id""",
     "op6_ngram_join": """with recursive w as (
   select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w from documents),
+    'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
 s as (
   select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
-    else list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' ')) end) as s from w),
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from w),
 g as (select doc_id, len(s) as n, unnest(s) as g from s),
 links as (
   select a.doc_id as a, b.doc_id as b from g a join g b on a.g = b.g and a.doc_id <> b.doc_id
@@ -111,7 +111,7 @@ select s.doc_id, len(s.s)::bigint as n_shingles, c as component_id
 from s join (select a, min(c) as c from reach group by a) on a = s.doc_id""",
     "op9_nearest": f"""with {_VECTORS},
 d as (
-  select q.vec_id as query_id, v.vec_id, list_distance(q.e, v.e) as score
+  select q.vec_id as query_id, v.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, v.e), lambda p: (p[2] - p[1]) * (p[2] - p[1])), lambda x, y: x + y)) as score
   from v q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 100 = 0)
 select query_id, rank::integer as rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d) where rank <= 10""",

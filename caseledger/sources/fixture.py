@@ -42,6 +42,10 @@ FILE_NAME_SQL = """case when l_orderkey is null then null
 
 ROOT_SQL = "case when c_custkey % 2 = 0 then 'clients' else 'consultants' end"
 
+# Name of the empty case folder planted beside the folder whose smallest order
+# key it has: a case number of its own, so it is a record of its own.
+VOID_SQL = """concat('Z', lpad(cast(o_orderkey % 1000 as string), 3, '0'), '-999 Void ', cast(o_orderkey as string))"""
+
 # The case_files view (F1.2) in SQL, used by every oracle query.
 CASE_FILES_SQL = f"""
 select root, client_folder, case_folder, file_name,
@@ -57,10 +61,12 @@ from (
   left join lineitem on l_orderkey = o_orderkey
 ) t
 union all
-select root, client_folder, case_folder || ' VOID', null, null from (
-  select {ROOT_SQL} as root, {CLIENT_FOLDER_SQL} as client_folder, {CASE_FOLDER_SQL} as case_folder, o_orderkey
-  from customer join orders on c_custkey = o_custkey) v
-group by root, client_folder, case_folder having min(o_orderkey) % 10 = 3
+select root, client_folder, {VOID_SQL}, null, null from (
+  select root, client_folder, min(o_orderkey) as o_orderkey from (
+    select {ROOT_SQL} as root, {CLIENT_FOLDER_SQL} as client_folder, {CASE_FOLDER_SQL} as case_folder, o_orderkey
+    from customer join orders on c_custkey = o_custkey) v
+  group by root, client_folder, case_folder) g
+where o_orderkey % 10 = 3
 union all
 select {ROOT_SQL}, {CLIENT_FOLDER_SQL} || ' NEW', null, null, null from customer where c_custkey % 40 = 7"""
 
@@ -128,7 +134,7 @@ def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     none = F.lit(None).cast("string")
     void = _folders(spark, sf_dir).where(_is_void()).select(
-        "root", "client_folder", F.concat("case_folder", F.lit(" VOID")).alias("case_folder"),
+        "root", "client_folder", F.expr(VOID_SQL).alias("case_folder"),
         none.alias("file_name"), none.alias("file_path"))
     new = _new_clients(spark, sf_dir).select("root", "client_folder", none.alias("case_folder"),
                                              none.alias("file_name"), none.alias("file_path"))
@@ -187,9 +193,10 @@ def listing(spark: SparkSession, sf_dir: str, with_trash: bool = True) -> DataFr
             F.concat_ws("/", "client_folder", "case_folder", F.lit("old"), F.lit("scan old.pdf")),
             False, F.lit("application/pdf"), F.lit(2048), F.lit(""), F.lit(""), F.lit(False))),
     ]
+    void = F.expr(VOID_SQL)
     per_folder.append(F.when(_is_void(), row(
-        F.concat(case_id, F.lit(" VOID")), F.concat("case_folder", F.lit(" VOID")), client_id,
-        F.concat(F.concat_ws("/", "client_folder", "case_folder"), F.lit(" VOID")), True, F.lit(FOLDER_MIME),
+        F.concat_ws("/", "root", "client_folder", void), void, client_id,
+        F.concat_ws("/", "client_folder", void), True, F.lit(FOLDER_MIME),
         F.lit(None), F.lit(""), F.lit(""), F.lit(False))))
     if with_trash:
         per_folder.append(F.when(F.col("o_orderkey") % 13 == 1, row(
@@ -283,8 +290,8 @@ select root, root || '/' || client_folder || '/' || case_folder || '/old/scan ol
        cast(2048 as bigint), '', '', false, 'drive'
 from cases where o_orderkey % 17 = 5
 union all
-select root, root || '/' || client_folder || '/' || case_folder || ' VOID', case_folder || ' VOID',
-       root || '/' || client_folder, client_folder || '/' || case_folder || ' VOID', true, '{FOLDER_MIME}',
+select root, root || '/' || client_folder || '/' || {VOID_SQL}, {VOID_SQL},
+       root || '/' || client_folder, client_folder || '/' || {VOID_SQL}, true, '{FOLDER_MIME}',
        cast(null as bigint), '', '', false, 'drive'
 from cases where o_orderkey % 10 = 3
 """

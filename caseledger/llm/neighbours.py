@@ -1,10 +1,10 @@
 """Approximate nearest neighbours: NN-descent graph, greedy graph search.
 
-Equal vectors are one node. Nodes are dealt by hash to shards of bounded size. A
-shard's graph starts from random neighbours; each round, a Spark join of the
-graph with itself proposes neighbours of neighbours (either way round, at least
-one of the two links new), and each shard keeps the nearest of what it had and
-what was proposed. A query walks every shard's graph from the same entries:
+Equal vectors are one node. Nodes are dealt by hash to shards of one size,
+however many there are. A shard's graph starts from random neighbours; each
+round, a Spark join of the graph with itself proposes neighbours of neighbours
+(either way round, at least one of the two links new), and each shard keeps the
+nearest of what it had and what was proposed, until few links change. A query walks every shard's graph from the same entries:
 it expands its nearest unexpanded nodes until these are all farther than the
 ``beam`` nearest it has seen. The nearest of all shards, with the members of their
 nodes, are the answer, by Euclidean distance in double precision.
@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from caseledger.llm.near_vectors import usable
 from caseledger.session import materialize
 
-#: Nodes of a shard at most, about, and shards at least, so that a cluster has work.
-SHARD_NODES, MIN_SHARDS = 8192, 64
-#: Neighbours of a node, nearest nodes that point to it, rounds of NN-descent.
-DEGREE, REVERSE, ROUNDS = 12, 12, 3
-BEAM, ENTRIES, EXPAND = 96, 8, 8
+#: Nodes of a shard at most, about.
+SHARD_NODES = 8192
+#: Neighbours of a node, nearest nodes that point to it.
+DEGREE, REVERSE = 16, 16
+#: NN-descent ends with a round that changes no more than this share of the links.
+CHANGED = 0.01
+BEAM, ENTRIES, EXPAND = 256, 32, 8
 _PAIRS = 1 << 15
 
 
@@ -84,10 +86,12 @@ def _sides(key, ids: np.ndarray, x: np.ndarray, u: np.ndarray, v: np.ndarray, ol
     """Nearest neighbours of each node among the proposed (u, v), and the nearest
     nodes that point to it. ``old``: sorted keys of the links there were."""
     n = len(ids)
-    pair = np.unique(np.r_[u * n + v, v * n + u])
-    pair = pair[pair // n != pair % n]
+    pair = np.unique(np.minimum(u, v) * n + np.maximum(u, v))
     u, v = pair // n, pair % n
+    u, v = u[u != v], v[u != v]
     d = _distance(x, u, v)
+    u, v, d = np.r_[u, v], np.r_[v, u], np.r_[d, d]
+    pair = u * n + v
     keep = _first(u, d, DEGREE) if len(u) else np.zeros(0, np.int64)
     u, v, d, pair = u[keep], v[keep], d[keep], pair[keep]
     fresh = ~np.isin(pair, old)
@@ -128,12 +132,15 @@ def build(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     rank = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))
     few = rows.select("k1", "k2", "vec_id").withColumn("r", rank).where(F.col("r") <= most)
     members = materialize(few.join(first.select("k1", "k2", "node"), ["k1", "k2"]).select("node", "vec_id"))
-    shards = max(MIN_SHARDS, -(-first.count() // SHARD_NODES))
+    shards = max(1, -(-first.count() // SHARD_NODES))
     nodes = materialize(first.select(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(shards)).alias("shard"),
                                      F.size("embedding").alias("dim"), "node", "embedding"))
     keys = ["shard", "dim"]
     sides = materialize(nodes.groupBy(*keys).applyInArrow(_start, _SIDES))
-    for _ in range(ROUNDS):
+    while True:
+        links = sides.where("forward").agg(F.count("*"), F.count_if("fresh")).first()
+        if links[1] <= CHANGED * links[0]:
+            break
         s = sides.select(*keys, "node", F.col("nb").alias("u"), F.col("fresh").alias("fu"))
         t = sides.select(*keys, "node", F.col("nb").alias("v"), F.col("fresh").alias("fv"))
         near = s.join(t, [*keys, "node"]).where((F.col("u") < F.col("v")) & (F.col("fu") | F.col("fv"))) \

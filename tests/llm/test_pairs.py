@@ -203,6 +203,26 @@ def test_neighbours_against_brute_force(spark):
     assert [i for i, _ in found[50]] == list(range(100, 110))
 
 
+def test_a_full_shard_finds_nearly_all(spark):
+    rng = np.random.default_rng(8)
+    n = neighbours.SHARD_NODES
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    index = neighbours.build(df)
+    assert [r["count"] for r in index.nodes.groupBy("shard").count().collect()] == [n]  # many more than the beam
+    found = defaultdict(set)
+    for r in neighbours.search(index, df.where("vec_id % 80 = 0")).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits = []
+    for q in range(0, n, 80):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits.append(len(found[q] & set(np.argsort(d)[:10].tolist())) / 10)
+    print("recall on a full shard", np.mean(hits))
+    assert np.mean(hits) >= 0.9
+
+
 def test_neighbour_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [nan, 1.0]), (5, [1.0, None]), (6, [3.0]),

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from caseledger.llm.near_vectors import usable
 from caseledger.session import materialize
 
-#: Nodes of a shard at most, about.
-SHARD_NODES = 8192
+#: Nodes of a shard, and queries that one task asks a shard, at most, about.
+SHARD_NODES, QUERY_ROWS = 8192, 8192
 #: Neighbours of a node, nearest nodes that point to it.
 DEGREE, REVERSE = 16, 16
 #: NN-descent ends with a round that changes no more than this share of the links.
@@ -217,21 +217,31 @@ def _search(k: int, beam: int):
     return run
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding",
-           beam: int = BEAM) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of each query row,
-    its own row left out."""
+def ask(index: Index, queries: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, int]:
+    """(shard, dim, part, node, embedding): every query for every shard of its
+    length, dealt by hash to parts of bounded rows; and the number of parts."""
     plain = F.transform(F.col(embedding), lambda x: x.cast("double") + F.lit(0.0))
     q = queries.where(usable(F.col(embedding)) & F.col(vec_id).isNotNull()) \
         .select(F.col(vec_id).cast("long").alias("node"), plain.alias("embedding")) \
         .groupBy("node").agg(F.min("embedding").alias("embedding"))
-    q = q.select("node", "embedding", F.size("embedding").alias("dim"))
-    shards = index.nodes.select("shard", "dim").distinct()
-    # every query looks into every shard of its length
-    asked = q.join(materialize(shards), "dim").select("shard", "dim", "node", "embedding")
+    q = materialize(q.select("node", "embedding", F.size("embedding").alias("dim")))
+    parts = max(1, -(-q.count() // QUERY_ROWS))
+    q = q.withColumn("part", F.pmod(F.xxhash64("node", F.lit(5)), F.lit(parts)).cast("int"))
+    shards = materialize(index.nodes.select("shard", "dim").distinct())
+    return q.join(shards, "dim").select("shard", "dim", "part", "node", "embedding"), parts
+
+
+def search(index: Index, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", embedding: str = "embedding",
+           beam: int = BEAM) -> DataFrame:
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of each query row,
+    its own row left out."""
+    asked, parts = ask(index, queries, vec_id, embedding)
     none = index.graph.select("shard", "dim", "node", F.lit(None).cast("array<double>").alias("embedding"), "nb")
     left = index.nodes.select("shard", "dim", "node", "embedding", F.lit(None).cast("long").alias("nb")).unionByName(none)
-    near = left.groupBy("shard", "dim").cogroup(asked.groupBy("shard", "dim")) \
+    # a shard goes to each part of the queries
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = ["shard", "dim", "part"]
+    near = left.groupBy(*keys).cogroup(asked.groupBy(*keys)) \
         .applyInArrow(_search(k + 1, beam), "query long, node long, d2 double")
     order = Window.partitionBy("query").orderBy("d2", "node")
     near = materialize(near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).drop("r"))

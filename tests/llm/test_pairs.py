@@ -223,6 +223,18 @@ def test_a_full_shard_finds_nearly_all(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_queries_come_in_bounded_parts(spark, monkeypatch):
+    x = np.random.default_rng(9).normal(size=(400, 6))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    index = neighbours.build(df)
+    whole = sorted(map(tuple, neighbours.search(index, df).collect()))
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 50)
+    asked, parts = neighbours.ask(index, df, "vec_id", "embedding")
+    sizes = [r["count"] for r in asked.groupBy("shard", "dim", "part").count().collect()]
+    assert parts == 8 and sum(sizes) == 400 and max(sizes) <= 100
+    assert sorted(map(tuple, neighbours.search(index, df).collect())) == whole
+
+
 def test_neighbour_cases(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 1.0]), (3, None), (4, [nan, 1.0]), (5, [1.0, None]), (6, [3.0]),

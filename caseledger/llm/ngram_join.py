@@ -17,6 +17,9 @@
    near copies costs rows in proportion to its size.
 4. Verify. Each pair once: the suffix filter bounds the overlap by the sizes of 32
    parts of both sets, then the sets are intersected.
+5. Count links, if asked for. Every pair of classes that shares a prefix n-gram,
+   within a component too, is verified once, in the first bucket where it meets, in
+   blocks of bounded rows; blocks return sums for each class, never pairs.
 
 Cases: a text of fewer than ``size`` words is one n-gram; null texts and texts
 without words have none and link with nothing. Rows with equal ids are rows of
@@ -47,6 +50,9 @@ LOCAL_HOT = 8
 PARTS = 32
 #: Rounds of stars at most; after one, no more once all pairs of the buckets are so few for each row.
 STAR_ROUNDS, FEW_PAIRS = 4, 8
+#: Classes and n-grams of a block of the link count, about; a greater bucket is cut into parts of half as many.
+BLOCK_ROWS, BLOCK_IDS = 1024, 1 << 20
+_COLUMNS = 4096
 _LOW = np.uint64((1 << 48) - 1)
 _STEPS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -266,10 +272,14 @@ def _may_match(x: str, y: str, percent: int) -> Column:
     return length & _fits(nx, ny, rest, percent)
 
 
+def _prefix_size(percent: int) -> Column:
+    """Shared n-grams in a set's prefix."""
+    return (F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - F.col("own")).cast("int")
+
+
 def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     """(node, component) of linked classes. ``sets``: (fp, n, own, ids, parts), stored."""
-    size = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1 - F.col("own")
-    prefix = materialize(sets.select("fp", "n", "own", F.posexplode(F.slice("ids", F.lit(1), size.cast("int"))).alias("i", "id"))
+    prefix = materialize(sets.select("fp", "n", "own", F.posexplode(F.slice("ids", F.lit(1), _prefix_size(percent))).alias("i", "id"))
                          .select("id", "fp", "n", "own", (F.col("own") + F.col("i")).alias("at")))
     tried = links = comps = None
     turn, found, live, columns = 0, True, prefix, prefix.columns
@@ -317,10 +327,90 @@ def link_classes(sets: DataFrame, percent: int) -> DataFrame:
     return comps
 
 
+def _overlaps(row: np.ndarray, ids: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each two of ``k`` rows: ids they share, and those of them that come
+    ``before`` the bucket's."""
+    _, col, many = np.unique(ids, return_inverse=True, return_counts=True)
+    both = many[col] > 1
+    row, before = row[both], before[both]
+    _, col = np.unique(col[both], return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    row, col, before = row[order], col[order], before[order]
+    common, earlier = np.zeros((k, k), np.int64), np.zeros((k, k), np.int64)
+    width = int(col[-1]) + 1 if len(col) else 0
+    for c in range(0, width, _COLUMNS):
+        part = slice(*np.searchsorted(col, [c, c + _COLUMNS]))
+        x = np.zeros((k, min(_COLUMNS, width - c)), np.float32)
+        x[row[part], col[part] - c] = 1
+        common += (x @ x.T).astype(np.int64)
+        late = np.flatnonzero(~before[part])
+        x[row[part][late], col[part][late] - c] = 0
+        earlier += (x @ x.T).astype(np.int64)
+    return common, earlier
+
+
+def _count_block(percent: int):
+    def run(table):
+        """Rows of other classes that each class of a block links with, by the
+        links that meet here first."""
+        table = table.combine_chunks()
+        lists = table["ids"].combine_chunks()
+        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        bucket, fp, n, rows, at, part, left, right = (table[c].to_numpy() for c in (
+            "id", "fp", "n", "rows", "i", "part", "left", "right"))
+        order = np.lexsort((right, left, bucket))
+        key = np.stack([bucket[order], left[order], right[order]])
+        head = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
+        who, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(head, np.r_[head[1:], len(order)]):
+            r = order[s:e]
+            size = off[r + 1] - off[r]
+            row = np.repeat(np.arange(len(r)), size)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            common, earlier = _overlaps(row, flat[np.repeat(off[r], size) + place], place < at[r][row], len(r))
+            # n-grams are in one order everywhere, so a pair has met before if it shares one before this
+            link = (common * (100 + percent) >= (n[r][:, None] + n[r]) * percent) & (earlier == 0)
+            a, b = np.nonzero(np.triu(link, 1))
+            if left[r[0]] != right[r[0]]:  # a block of two parts: pairs across them only
+                across = part[r[a]] != part[r[b]]
+                a, b = a[across], b[across]
+            who += [fp[r[a]], fp[r[b]]]
+            many += [rows[r[b]], rows[r[a]]]
+        ids, at = np.unique(np.concatenate(who), return_inverse=True)
+        sums = np.zeros(len(ids), np.int64)
+        np.add.at(sums, at, np.concatenate(many))
+        return pa.table({"fp": ids, "n_links": sums})
+    return run
+
+
+def count_links(sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """(fp, n_links): for each linked class, the rows of all other classes similar
+    to it. ``sets``: as for ``link_classes``; ``counts``: (fp, rows), stored."""
+    entry = F.posexplode(F.slice("ids", F.lit(1), _prefix_size(percent))).alias("i", "id")
+    prefix = materialize(sets.select("fp", "n", F.size("ids").alias("size"), entry))
+    sizes = materialize(prefix.groupBy("id").agg(F.count("*").alias("k"), F.sum("size").alias("w")).where("k > 1"))
+    whole = sizes.agg(F.sum("k"), F.sum("w")).first()
+    groups = max(1, (whole[0] or 0) // BLOCK_ROWS, (whole[1] or 0) // BLOCK_IDS)
+    parts = F.when((F.col("k") <= BLOCK_ROWS) & (F.col("w") <= BLOCK_IDS), F.lit(1)).otherwise(
+        F.greatest(F.ceil(F.col("k") / (BLOCK_ROWS // 2)), F.ceil(F.col("w") / (BLOCK_IDS // 2)))).cast("int")
+    rows = prefix.join(sizes, "id").withColumn("parts", parts).withColumn(
+        "part", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(
+        F.least(F.col("part"), o).alias("left"), F.greatest(F.col("part"), o).alias("right")))))
+    blk = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("id"), F.lit(groups))) \
+        .otherwise(F.xxhash64("id", "pair.left", "pair.right"))
+    rows = rows.select(blk.alias("blk"), (F.col("parts") > 1).alias("cut"), "id", "fp", "n", "i", "part",
+                       F.col("pair.left").alias("left"), F.col("pair.right").alias("right"))
+    rows = rows.join(sets.select("fp", "ids").join(counts, "fp"), "fp")
+    return rows.groupBy("blk", "cut").applyInArrow(_count_block(percent), "fp long, n_links long") \
+        .groupBy("fp").agg(F.sum("n_links").alias("n_links"))
+
+
 def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT,
-                 size: int = SIZE) -> DataFrame:
+                 size: int = SIZE, links: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: the size of its set and
-    the least id of its component."""
+    the least id of its component. With ``links`` also n_links: how many other
+    rows it is similar to."""
     rows = materialize(shared_ngrams(docs, text, doc_id, percent, size))
     sets = materialize(rows.where("fp IS NOT NULL").select("fp", F.col("n_shingles").alias("n"), "own", "ids", "parts")
                        .dropDuplicates(["fp"]))
@@ -332,9 +422,15 @@ def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pe
         least = materialize(least)
         classes = least.join(materialize(least.groupBy("c").agg(F.min("doc").alias("first"))), "c").select("fp", F.col("first").alias("doc"))
     classes = materialize(classes)
-    narrow = rows.select("doc_id", "n_shingles", "fp")
-    return narrow.join(classes, "fp", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("doc")).alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left")
+    names = ["doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("doc")).alias("component_id")]
+    if links:
+        counts = materialize(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("rows")))
+        found = counts.join(count_links(sets, counts, percent), "fp", "left") \
+            .select("fp", (F.col("rows") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+        out = out.join(materialize(found), "fp", "left")
+        names.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(*names)
 
 
 def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT,

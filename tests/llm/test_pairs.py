@@ -161,6 +161,20 @@ def test_join_with_few_rows_hot_in_a_block(spark, monkeypatch):
     assert sorted(r[0] for r in kept.collect()) == sorted({c for _, _, c in got})
 
 
+@pytest.mark.parametrize("block,percent", [(1024, 85), (16, 60)])
+def test_links_against_brute_force(spark, monkeypatch, block, percent):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)  # 16: buckets are cut into parts
+    rows = _texts() + [(3, "a b c d"), (None, "a b c d e"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in ngram_join.join_similar(df, percent=percent, size=3, links=True).collect()), key=str)
+    sets = _sets([t for _, t in rows], 3)
+    plain = _brute_join(rows, percent, 3)
+    want = sorted((d, len(s), sum(bool(s and o) and 100 * len(s & o) >= percent * len(s | o) for j, o in enumerate(sets) if j != i))
+                  for i, ((d, _), s) in enumerate(zip(rows, sets)) if d is not None)
+    assert sorted(r[:3] for r in got if r[0] is not None) == sorted(p for p in plain if p[0] is not None)
+    assert sorted((d, n, k) for d, n, _, k in got if d is not None) == want
+
+
 @given(st.lists(st.text(alphabet="ab ", max_size=20), max_size=6), st.integers(1, 5))
 @settings(max_examples=100, deadline=None)
 def test_shingles_against_sets(texts, size):

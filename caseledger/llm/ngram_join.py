@@ -99,8 +99,8 @@ def _unpack(b: bytes) -> np.ndarray:
 
 
 _SENT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("ids", pa.binary()), ("rows", pa.binary()),
-                   ("hot_ids", pa.binary()), ("hot_n", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary())])
-_SENT_DDL = ("part long, block long, ids binary, rows binary, hot_ids binary, hot_n binary, docs array<long>, sizes binary")
+                   ("hot_ids", pa.binary()), ("hot_n", pa.binary()), ("docs", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sizes", pa.binary())])
+_SENT_DDL = ("part long, block long, ids binary, rows binary, hot_ids binary, hot_n binary, docs array<long>, keys array<long>, sizes binary")
 
 
 def _send(ranges: int, size: int):
@@ -108,7 +108,7 @@ def _send(ranges: int, size: int):
     def run(batches):
         serial = TaskContext.get().partitionId() << 32
         for b in batches:
-            ids = b.column("doc_id").cast(pa.int64())
+            ids, keys = b.column("doc_id").cast(pa.int64()), b.column("key")
             data, off = texts_of(b.column("text"))
             for w in word_blocks(data, off, SPACE, BLOCK_BYTES):
                 row, h = shingles(w, size)
@@ -130,20 +130,20 @@ def _send(ranges: int, size: int):
                 for p in np.flatnonzero((np.diff(cut) > 0) | (np.diff(hot_cut) > 0)):
                     o, k = own[cut[p]:cut[p + 1]], slice(hot_cut[p], hot_cut[p + 1])
                     out.append((int(p), serial, _pack(h[o]), row[o].astype(np.uint16).tobytes(), _pack(h[hot_at[k]]),
-                                hot_n[k].astype(np.uint32).tobytes(), None, None))
+                                hot_n[k].astype(np.uint32).tobytes(), None, None, None))
                 f = np.flatnonzero(frequent)
                 f = f[np.argsort(h[f], kind="stable")]
                 mine = (h[f] & _LOW) | (part[f].astype(np.uint64) << np.uint64(48))
                 out.append((serial % ranges, serial, mine.tobytes(), row[f].astype(np.uint16).tobytes(), None, None,
-                            ids[w.first:w.last].to_pylist(), sizes.tobytes()))
+                            ids[w.first:w.last].to_pylist(), keys[w.first:w.last].to_pylist(), sizes.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _SENT)], schema=_SENT)
                 serial += 1
     return run
 
 
 _ANSWER = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("rows", pa.binary()), ("df", pa.binary()),
-                     ("hot_ids", pa.binary()), ("hot_df", pa.binary()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary())])
-_ANSWER_DDL = "block long, ids binary, rows binary, df binary, hot_ids binary, hot_df binary, docs array<long>, sizes binary"
+                     ("hot_ids", pa.binary()), ("hot_df", pa.binary()), ("docs", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("sizes", pa.binary())])
+_ANSWER_DDL = "block long, ids binary, rows binary, df binary, hot_ids binary, hot_df binary, docs array<long>, keys array<long>, sizes binary"
 
 
 def _count(key, table):
@@ -153,7 +153,7 @@ def _count(key, table):
     out, sent = [], []
     for r in table.to_pylist():
         if r["docs"] is not None:
-            out.append((r["block"], r["ids"], r["rows"], None, None, None, r["docs"], r["sizes"]))
+            out.append((r["block"], r["ids"], r["rows"], None, None, None, r["docs"], r["keys"], r["sizes"]))
         else:
             sent.append((r["block"], _unpack(r["ids"]), np.frombuffer(r["rows"], np.uint16), _unpack(r["hot_ids"]),
                          np.frombuffer(r["hot_n"], np.uint32)))
@@ -171,12 +171,12 @@ def _count(key, table):
             keep = d >= 2
             if keep.any() or len(hot):
                 out.append((block, (own[keep] | tag).tobytes(), rows[keep].tobytes(), d[keep].tobytes(),
-                            (hot | tag).tobytes(), hd.tobytes(), None, None))
+                            (hot | tag).tobytes(), hd.tobytes(), None, None, None))
     cols = zip(*out) if out else [[] for _ in _ANSWER]
     return pa.table([pa.array(c, t.type) for c, t in zip(cols, _ANSWER)], schema=_ANSWER)
 
 
-_DOCS_DDL = "doc_id long, n_shingles long, own int, fp long, ids array<long>, parts array<int>"
+_DOCS_DDL = "doc_id long, key long, n_shingles long, own int, fp long, ids array<long>, parts array<int>"
 
 
 def _gather(percent: int):
@@ -230,16 +230,16 @@ def _gather(percent: int):
             what = int(mix(mine).sum(dtype=np.uint64)) if own[k] == 0 else block * int(_STEPS[1]) + k
             what += int(sizes[k]) * int(_STEPS[int(own[k] == 0)])
             fps.append(int(mix(np.array([what % 2**64], np.uint64)).view(np.int64)[0]))
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "n_shingles": pa.array(sizes), "own": pa.array(own.astype(np.int32)),
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "key": pa.array(about["keys"], pa.int64()), "n_shingles": pa.array(sizes), "own": pa.array(own.astype(np.int32)),
                          "fp": pa.array(fps, pa.int64()), "ids": pa.array(out_ids, pa.list_(pa.int64())),
                          "parts": pa.array(out_parts, pa.list_(pa.int32()))})
     return run
 
 
 def shared_ngrams(docs: DataFrame, text: str, doc_id: str, percent: int, size: int) -> DataFrame:
-    """(doc_id, n_shingles, own, fp, ids, parts) of every row; ``fp`` and the rest
-    are null where no partner is possible."""
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """(doc_id, key, n_shingles, own, fp, ids, parts) of every row; ``key`` is the
+    text's hash, ``fp`` and the rest are null where no partner is possible."""
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     whole = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(MIN_RANGES, whole // RANGE_BYTES)
     sent = src.mapInArrow(_send(ranges, size), _SENT_DDL)
@@ -406,40 +406,50 @@ def count_links(sets: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
         .groupBy("fp").agg(F.sum("n_links").alias("n_links"))
 
 
-def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT,
-                 size: int = SIZE, links: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row: the size of its set and
-    the least id of its component. With ``links`` also n_links: how many other
-    rows it is similar to."""
+def _join(docs: DataFrame, text: str, doc_id: str, percent: int, size: int, links: bool = False) -> DataFrame:
+    """(doc_id, key, n_shingles, fp, first) for every row, and n_links if asked
+    for; ``first``: least (doc_id, key) of its component."""
     rows = materialize(shared_ngrams(docs, text, doc_id, percent, size))
     sets = materialize(rows.where("fp IS NOT NULL").select("fp", F.col("n_shingles").alias("n"), "own", "ids", "parts")
                        .dropDuplicates(["fp"]))
-    classes = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    classes = rows.where("fp IS NOT NULL").groupBy("fp").agg(
+        F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first"))
     comps = link_classes(sets, percent)
     if comps is not None:
         least = classes.join(comps, F.col("fp") == F.col("node"), "left") \
-            .select("fp", "doc", F.coalesce("component", "fp").alias("c"))
+            .select("fp", "first", F.coalesce("component", "fp").alias("c"))
         least = materialize(least)
-        classes = least.join(materialize(least.groupBy("c").agg(F.min("doc").alias("first"))), "c").select("fp", F.col("first").alias("doc"))
+        classes = least.drop("first").join(materialize(least.groupBy("c").agg(F.min("first").alias("first"))), "c").select("fp", "first")
     classes = materialize(classes)
-    out = rows.select("doc_id", "n_shingles", "fp").join(classes, "fp", "left")
-    names = ["doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("doc")).alias("component_id")]
+    out = rows.select("doc_id", "key", "n_shingles", "fp").join(classes, "fp", "left")
     if links:
         counts = materialize(rows.where("fp IS NOT NULL").groupBy("fp").agg(F.count("*").alias("rows")))
         found = counts.join(count_links(sets, counts, percent), "fp", "left") \
             .select("fp", (F.col("rows") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
-        out = out.join(materialize(found), "fp", "left")
-        names.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return out.select(*names)
+        out = out.join(materialize(found), "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+    return out
+
+
+def join_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT,
+                 size: int = SIZE, links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row: the size of its set and
+    the least id of its component. With ``links`` also n_links: how many other
+    rows it is similar to."""
+    out = _join(docs, text, doc_id, percent, size, links)
+    component = F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id")
+    return out.select("doc_id", "n_shingles", component, *["n_links"] * links)
 
 
 def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT,
                  size: int = SIZE) -> DataFrame:
-    """``docs`` with the least id of each component only. Rows without id stay;
-    of rows with equal id and text one stays."""
-    found = materialize(join_similar(docs, text, doc_id, percent, size))
-    lost = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_lost")).distinct()
-    kept = docs.join(lost, docs[doc_id].cast("long") == F.col("_lost"), "left_anti")
+    """``docs`` with the least id of each component only. Rows without id stay.
+    Rows with equal ids are told apart by their text: each goes or stays with its
+    own component, of several texts in one component one stays, and of rows with
+    equal id and text one stays."""
+    found = materialize(_join(docs, text, doc_id, percent, size).select("doc_id", "key", "first"))
+    lost = found.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("key") != F.col("first.key"))) \
+        .where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_lost"), F.col("key").alias("_lost_key")).distinct()
+    kept = docs.join(lost, (docs[doc_id].cast("long") == F.col("_lost")) & (F.xxhash64(docs[text]) == F.col("_lost_key")), "left_anti")
     twice = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
                         .select(F.col("doc_id").alias("_twice")))
     if twice.isEmpty():

@@ -161,6 +161,15 @@ def test_join_with_few_rows_hot_in_a_block(spark, monkeypatch):
     assert sorted(r[0] for r in kept.collect()) == sorted({c for _, _, c in got})
 
 
+def test_drop_tells_rows_of_one_id_apart(spark):
+    base, clean, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    rows = [(1, base), (2, clean), (2, base + " more"), (3, other), (3, other + " more"), (None, base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, ngram_join.drop_similar(df).collect()), key=str)
+    assert [r for r in kept if r[0] != 3] == sorted([(1, base), (2, clean), (None, base)], key=str)
+    assert sum(r[0] == 3 for r in kept) == 1
+
+
 @pytest.mark.parametrize("block,percent", [(1024, 85), (16, 60)])
 def test_links_against_brute_force(spark, monkeypatch, block, percent):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)  # 16: buckets are cut into parts

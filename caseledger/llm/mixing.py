@@ -142,23 +142,36 @@ def draw(mix: Mix, seed: int = 1) -> DataFrame:
                        "n_tokens", "place", "_s")
 
 
-def apply(docs: DataFrame, mix: Mix, seed: int = 1, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as they are drawn, written block by block, in
-    a permuted order inside each block. A row finds its epochs from a small table
-    of sources: the place at which the part epoch ends. Its block comes from the
-    totals of its bucket, by its place inside the bucket."""
-    drawn = draw(mix, seed)
+def blocked(docs: DataFrame, mix: Mix, seed: int = 1, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as they are drawn, with _mix_epoch and
+    _mix_block. A row finds its epochs from a small table of sources: the place at
+    which the part epoch ends. Its block is the drawn one, from a table of the
+    places at which blocks start in each bucket of an epoch; rows of equal ids
+    share a place, and so the last block drawn for it."""
+    drawn = materialize(draw(mix, seed).select("_s", "epoch", "block", "place"))
     ends = drawn.join(mix.sources.select("_s", "epochs"), "_s").where(F.col("epoch") == F.col("epochs")) \
         .groupBy("_s").agg(F.max("place").alias("_end"))
     small = materialize(mix.sources.join(ends, "_s", "left")
-                        .select(F.col("_s").alias("_mix_s"), F.struct("tokens", "weight", "epochs", "buckets",
+                        .select(F.col("_s").alias("_mix_s"), F.struct("epochs", "buckets",
                                                                       F.coalesce("_end", F.lit(-1.0)).alias("end")).alias("_mix")))
-    names = docs.columns
+    starts = (drawn.join(mix.sources.select("_s", "buckets"), "_s")
+              .groupBy("_s", "epoch", F.floor(F.col("place") * F.col("buckets")).alias("bucket"), "block")
+              .agg(F.min("place").alias("place"))
+              .groupBy("_s", "epoch", "bucket").agg(F.collect_list(F.struct("place", "block")).alias("_mix_starts")))
+    starts = materialize(starts).toDF("_mix_s", "_mix_epoch", "_mix_bucket", "_mix_starts")
     rows = docs.withColumn("_mix_s", source_key(F.col(source))).join(small, "_mix_s")
-    rows = rows.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix.epochs"))))
-    place = _place(doc_id, F.col("_mix_epoch"), seed)
-    rows = rows.where((F.col("_mix_epoch") < F.col("_mix.epochs")) | (place <= F.col("_mix.end")))
-    offset = (F.col("_mix_epoch") + place) * F.col("_mix.tokens")
-    rows = rows.withColumn("_mix_block", F.floor(offset / (F.col("_mix.weight") * mix.block))) \
+    rows = rows.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix.epochs")))) \
+        .withColumn("_mix_place", _place(doc_id, F.col("_mix_epoch"), seed))
+    rows = rows.where((F.col("_mix_epoch") < F.col("_mix.epochs")) | (F.col("_mix_place") <= F.col("_mix.end"))) \
+        .withColumn("_mix_bucket", F.floor(F.col("_mix_place") * F.col("_mix.buckets")))
+    rows = rows.join(starts, ["_mix_s", "_mix_epoch", "_mix_bucket"])
+    block = F.array_max(F.filter("_mix_starts", lambda x: x["place"] <= F.col("_mix_place")))["block"]
+    return rows.select(*docs.columns, "_mix_epoch", block.alias("_mix_block"))
+
+
+def apply(docs: DataFrame, mix: Mix, seed: int = 1, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as they are drawn, written block by block, in
+    a permuted order inside each block."""
+    rows = blocked(docs, mix, seed, doc_id, source) \
         .withColumn("_mix_order", F.xxhash64(F.col(doc_id), "_mix_epoch", "_mix_block", F.lit(seed)))
-    return rows.repartition("_mix_block").sortWithinPartitions("_mix_block", "_mix_order").select(*names)
+    return rows.repartition("_mix_block").sortWithinPartitions("_mix_block", "_mix_order").select(*docs.columns)

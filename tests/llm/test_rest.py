@@ -128,6 +128,17 @@ def test_mix_draws_budgets_in_permuted_blocks(spark, monkeypatch):
     assert again == {(r["doc_id"], r["epoch"], r["block"], r["n_tokens"]) for r in mixing.draw(mix).collect()}
 
 
+def test_apply_puts_rows_in_the_drawn_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 50)
+    rows = [(i, "ab"[i % 2], "w " * (400 if i == 6 else 1 + i % 7)) for i in range(120)]  # one long text
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    mix = mixing.plan(docs, repetitions=1.5, whole_epochs=True)
+    want = sorted((r["doc_id"], r["epoch"], r["block"]) for r in mixing.draw(mix).collect())
+    got = sorted((r["doc_id"], r["_mix_epoch"], r["_mix_block"]) for r in mixing.blocked(docs, mix).collect())
+    assert got == want
+    assert sorted(r["doc_id"] for r in mixing.apply(docs, mix).collect()) == sorted(d for d, _, _ in want)
+
+
 def test_apply_keeps_every_document(spark):
     docs = _docs(spark, {"a": 300, "b": 40}, [(1, None, None), (None, "x", "a")]).withColumn("_mix_x", F.lit(1))
     mix = mixing.plan(docs, repetitions=2.0, whole_epochs=True)

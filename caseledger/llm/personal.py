@@ -33,8 +33,7 @@ MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.8
 #: An entity is known when its patterns' noisy-or reaches this.
 MIN_ENTITY = 0.9
-ROUNDS = 2
-#: Characters of an identifier-like token, and of context on either side.
+#: Characters of a token that is taken whole, and of context on either side.
 MAX_TOKEN = 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -46,6 +45,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _TOKEN_END = re.compile(r"\S*")
+_PIECE = re.compile(r"[A-Za-z0-9@._%+-]+")
 
 Span = tuple[str, int, int]
 
@@ -92,8 +92,9 @@ def base_spans(text: str) -> list[Span]:
 
 
 def tokens_like_identifiers(text: str) -> Iterator[tuple[int, int]]:
-    """Tokens of at most MAX_TOKEN characters that hold a digit or an @, without
-    the punctuation around them."""
+    """Tokens that hold a digit or an @, without the punctuation around them. Of
+    a run of more than MAX_TOKEN characters, its pieces of ASCII letters, digits
+    and signs of addresses, of any length."""
     m = _MARK.search(text)
     while m:
         at = m.start()
@@ -101,9 +102,16 @@ def tokens_like_identifiers(text: str) -> Iterator[tuple[int, int]]:
         head = "" if not before or before[-1].isspace() else before.split()[-1]
         end = _TOKEN_END.match(text, at).end()
         if len(head) < MAX_TOKEN and end - at + len(head) <= MAX_TOKEN:
-            token = text[at - len(head):end]
-            a = at - len(head) + len(token) - len(token.lstrip("\"'([{<,;:."))
-            b = end - (len(token) - len(token.rstrip("\"')]}>,;:.!?")))
+            found = [(at - len(head), end)]
+        else:
+            start = at
+            while start and not text[start - 1].isspace():
+                start -= 1
+            found = [p.span() for p in _PIECE.finditer(text, start, end) if _MARK.search(p[0])]
+        for a, b in found:
+            token = text[a:b]
+            a += len(token) - len(token.lstrip("\"'([{<,;:."))
+            b -= len(token) - len(token.rstrip("\"')]}>,;:.!?"))
             if a < b:
                 yield a, b
         m = _MARK.search(text, end)
@@ -188,16 +196,17 @@ def extract(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     return src.mapInArrow(run, kind)
 
 
-def confident_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, kind, confidence) after ``rounds`` of scoring the graph of
-    patterns and entities. ``seen``: (kind or null, entity, patterns)."""
+def confident_patterns(seen: DataFrame) -> DataFrame:
+    """(pattern, kind, confidence) after scoring the graph of patterns and
+    entities until no new pattern or entity is found. ``seen``: (kind or null,
+    entity, patterns)."""
     edges = materialize(seen.select("entity", "kind", F.explode("patterns").alias("pattern"))
                         .groupBy("pattern", "entity").agg(F.min("kind").alias("kind")))
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     known = edges.where(F.col("kind").isNotNull()).select("entity", "kind").distinct() \
         .groupBy("entity").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
-    found = None
-    for _ in range(rounds):
+    met = None  # all that was ever found, so that the rounds end
+    while True:
         support = (edges.drop("kind").join(known, "entity").groupBy("pattern", "kind")
                    .agg(F.sum("score").alias("s"), F.count("*").alias("support")))
         found = materialize(support.where(F.col("support") >= MIN_SUPPORT).join(sizes, "pattern")
@@ -209,10 +218,16 @@ def confident_patterns(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                  .where(F.col("score") >= MIN_ENTITY)
                  .groupBy("entity").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"),
                                         F.max("score").alias("score")))
+        fresh = materialize(fresh)
+        now = found.select(F.lit("pattern").alias("what"), F.col("pattern").alias("name"), "kind").unionByName(
+            fresh.select(F.lit("entity").alias("what"), F.col("entity").cast("string").alias("name"), "kind"))
+        new = materialize(now if met is None else now.join(met, ["what", "name", "kind"], "left_anti"))
+        if new.isEmpty():
+            return found
+        met = new if met is None else met.unionByName(new)
         known = edges.where(F.col("kind").isNotNull()).groupBy("entity").agg(F.min("kind").alias("kind")) \
             .withColumn("score", F.lit(1.0)).unionByName(fresh.join(
                 edges.where(F.col("kind").isNotNull()).select("entity").distinct(), "entity", "left_anti"))
-    return found
 
 
 def discover(extracted: DataFrame, found: DataFrame) -> DataFrame:

@@ -250,5 +250,23 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert personal.redact(df.limit(0)).count() == 0
 
 
+def test_bootstrapping_goes_on_while_it_finds_more(spark):
+    rows = []
+    for k in range(4):  # patterns of step k count only once the entities of step k - 1 are known
+        for name in (f"p{k}", f"q{k}"):
+            rows += [("email", 1000 + i, [name]) for i in range(18 if k else 22)]
+            rows += [(None, 10 * k + i, [name]) for i in range(4 if k else 0)]
+            rows += [(None, 10 * (k + 1) + i, [name]) for i in range(4)]
+    seen = spark.createDataFrame(rows, "kind string, entity long, patterns array<string>")
+    found = personal.confident_patterns(seen).collect()
+    assert sorted(r["pattern"] for r in found) == sorted(f"{c}{k}" for c in "pq" for k in range(4))
+
+
+def test_long_runs_are_split_into_identifiers():
+    key = "k1" * 50
+    text = f"{'x' * 70}/ab12cd/\u6f22\u5b57{key}\u6f22, and a1."
+    assert [text[a:b] for a, b in personal.tokens_like_identifiers(text)] == ["ab12cd", key, "a1"]
+
+
 def test_mask_overlapping_spans():
     assert personal.mask("ab 12 cd", [("ip", 3, 5), ("card", 3, 4), ("phone", 4, 6)]) == "ab [IP]cd"

@@ -35,8 +35,8 @@ from caseledger.llm import quotient_filter as Q
 from caseledger.session import materialize
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Words of a block, keys a task holds before it sends them, occurrences a shard may hold.
-BLOCK_WORDS, HELD_KEYS, SHARD_KEYS = 1 << 20, 1 << 21, 1 << 20
+#: Words a task holds before it closes a block, keys it holds before it sends them, occurrences a shard may hold.
+BLOCK_WORDS, HELD_KEYS, SHARD_KEYS = 1 << 21, 1 << 21, 1 << 20
 #: Bits of the table of frequent phrases for each of them, and the most there are.
 BITS_EACH, MOST_BITS = 16, 1 << 28
 #: Frequent words of a numbering bucket, about.
@@ -63,10 +63,12 @@ class _Block:
         self.numbers.default_factory = self.numbers.__len__
         self.numbers[b"."] = 0
         self.texts: list[np.ndarray] = []
+        self.size = 0
 
     def add(self, text: bytes) -> int:
         words = words_of(text)
         self.texts.append(np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words)))
+        self.size += len(words)
         return len(words)
 
     def row(self, block: int, lang: str) -> list:
@@ -86,21 +88,21 @@ def blocks(docs: DataFrame, text: str = "text", lang: str = "lang", block_words:
         base, made, held = TaskContext.get().partitionId() << 32, 0, 0
         open_: defaultdict[str, _Block] = defaultdict(_Block)
 
-        def rows():
-            nonlocal made, held
-            for name in sorted(open_):
-                row = open_[name].row(base + made, name)
-                made += 1
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow)], schema=arrow)
-            open_.clear()
-            held = 0
+        def close(name):
+            nonlocal made
+            row = open_.pop(name).row(base + made, name)
+            made += 1
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow)], schema=arrow)
 
         for b in batches:
             for name, t in zip(b.column("lang").to_pylist(), b.column("text")):
                 held += open_[name].add(t.as_py())
                 if held >= block_words:
-                    yield from rows()
-        yield from rows()
+                    largest = max(sorted(open_), key=lambda x: open_[x].size)
+                    held -= open_[largest].size
+                    yield close(largest)
+        for name in sorted(open_):
+            yield close(name)
 
     arrow = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("sequence", pa.binary()),
                        ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
@@ -119,7 +121,9 @@ def numbered(words: DataFrame) -> DataFrame:
 def sequences(packed: DataFrame, words: DataFrame) -> DataFrame:
     """(sequence): the blocks in ids of ``words`` (lang, word, id), 0 for others."""
     seen = packed.select("block", "lang", F.posexplode("words").alias("place", "word"))
-    known = seen.join(words.select("lang", "word", "id"), ["lang", "word"]) \
+    # the same plan at every size: words meet by hash
+    known = seen.join(words.select("lang", "word", "id").hint("shuffle_hash"), ["lang", "word"], "left") \
+        .select("block", "place", F.coalesce("id", F.lit(0)).alias("id")) \
         .groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("id").alias("ids"))
     rows = packed.select("block", "sequence").join(known, "block").select("sequence", "places", "ids")
 

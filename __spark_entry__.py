@@ -30,6 +30,7 @@ from caseledger.functions import files as FF
 from caseledger.sources import fixture
 from caseledger.sources import hierarchy as H
 from caseledger.sources import listing as L
+from caseledger.sources.paths import paths_from_parents
 from caseledger.sources.rules import default_rules, load_rules, shipped_rules
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -208,6 +209,22 @@ def q_listing_run(spark, sf):
     return listing_run(_read_back(spark, sf)).select("root", *KEY, "files", "ext", *_rule_cols())
 
 
+def q_paths_from_parents(spark, sf):
+    """The listing's paths, from parent ids alone."""
+    lst = _listing(spark, sf).select("root", "id", "name", "parent_id", "is_folder")
+    return paths_from_parents(lst).select("root", "id", "is_folder", "path", "path_state")
+
+
+def q_paths_of_chains(spark, sf):
+    """The same where folders lie deep in each other, in rings or nowhere."""
+    return paths_from_parents(fixture.chains(spark, sf)).select("root", "id", "is_folder", "path", "path_state")
+
+
+def q_parent_listing_run(spark, sf):
+    """L1 end to end from a listing without paths."""
+    return listing_run(_listing(spark, sf, True).drop("path")).select("root", *KEY, "files", "ext", *_rule_cols())
+
+
 def q_first_listed_clients(spark, sf):
     lst = L.first_listed_clients(L.not_trashed(_read_back(spark, sf)), FIRST_CLIENTS_N)
     return lst.select("root", "id", "path", "is_folder")
@@ -373,6 +390,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "listing_scan_token": _listing_scan("token"),
     "first_clients": q_first_clients,
     "listing_run": q_listing_run,
+    "paths_from_parents": q_paths_from_parents,
+    "paths_of_chains": q_paths_of_chains,
+    "parent_listing_run": q_parent_listing_run,
     "first_listed_clients": q_first_listed_clients,
     "compare_exports": q_compare_exports,
     "duplicate_keys": q_duplicate_keys,
@@ -595,9 +615,8 @@ select bucket, count(*) as folders from (
     tree = O.with_tree
     inv_clients = tree(O.token_client(
         "select root, client_id, client_folder, parent_id, created_time, modified_time from cl"))
-    case_src = """select f.root, f.id as case_id, f.parent_id as client_id, f.name as case_folder,
-  f.created_time, f.modified_time from nt f
-where f.is_folder and exists (select 1 from cl where cl.client_id = f.parent_id)"""
+    case_src = """select root, case_id, client_id, case_folder, case_created_time as created_time,
+  case_modified_time as modified_time from ca"""
     ctype = f"""case when regexp_matches(case_folder, '(?i)\\b(OPPO|RECTIFICATION|DISPUTE)\\b') or {ntm} >= 2
     then '{R.CASE_TYPES[3]}' when regexp_matches(case_folder, '(?i)\\bNTN\\b') then '{R.CASE_TYPES[2]}'
     when {ntm} = 0 then '{R.CASE_TYPES[1]}' else '{R.CASE_TYPES[0]}' end"""
@@ -607,7 +626,7 @@ where f.is_folder and exists (select 1 from cl where cl.client_id = f.parent_id)
   f.mime_type, f.size,
   case when f.source = 'drive' and f.id <> '' then '{O.URL_PREFIX}' || f.id || '/view' else '' end as url,
   f.created_time, f.modified_time
-from nt f where not f.is_folder and exists (select 1 from ({cases_sql}) c where c.case_id = f.parent_id)"""
+from fi f join ca on f.root = ca.root and f.parent_id = ca.case_id"""
     metrics = [("total_cases", "cast(total_cases as double)", "''"),
                ("missing_tm", "cast(mt as double)", "''"),
                ("missing_tm_pct", "round(100.0 * mt / total_cases, 1)", "''"),
@@ -620,8 +639,8 @@ from nt f where not f.is_folder and exists (select 1 from ({cases_sql}) c where
     rows = "\nunion all ".join(f"select '{m}' as metric, {v} as value, {d} as detail from agg"
                                for m, v, d in metrics)
     report = tree(f""", cs as ({cases_sql}), fs as ({files_sql}),
-pc as (select case_id, count(*) as n_files from fs group by case_id),
-c as (select cs.*, coalesce(pc.n_files, 0) as n_files from cs left join pc using (case_id)),
+pc as (select root, case_id, count(*) as n_files from fs group by all),
+c as (select cs.*, coalesce(pc.n_files, 0) as n_files from cs left join pc using (root, case_id)),
 agg as (select count(*) as total_cases, sum(n_files) as tf,
   count(*) filter (where tm_no = '') as mt, count(*) filter (where class_code = '') as mc,
   count(*) filter (where n_files = 0) as ec,
@@ -665,6 +684,11 @@ select {ecl}, date_added, cast(null as varchar), 'appended' from i0 where _k not
     counts = two + """select count(*) filter (where _k in (select trim(case_no) from sa where trim(case_no) <> '')) as updated,
   count(*) filter (where _k not in (select trim(case_no) from sa where trim(case_no) <> '')) as appended
 from (select trim(case_no) as _k from sb) i"""
+    whole_run = f"""{listing},
+hcf as ({O.hierarchy('strict')}),
+hkf as ({O.kept_files('hcf')})
+select root, {key}, files, ext, {O.flag_columns()}
+from (select *, replace(files, chr(10), ' ') as _txt from ({O.records('strict', 'legacy', 'hcf', 'hkf')}) r0) r1"""
     first10 = O.RULE_NAMES[:10]
     rest = O.RULE_NAMES[10:]
     evolve = two + (f"select root, {key}, files, ext, " + ", ".join(f'"{c}"' for c in first10) + ", "
@@ -717,11 +741,10 @@ select root, id, name, parent_id, path, is_folder, mime_type,
         "export_run": two + f"select {base_hdr}, " + ", ".join(
             f'case when "{n}" then \'True\' else \'False\' end as "{n}"' for n in O.RULE_NAMES)
         + ', date_added as "DATE ADDED" from sa',
-        "listing_run": f"""{listing},
-hcf as ({O.hierarchy('strict')}),
-hkf as ({O.kept_files('hcf')})
-select root, {key}, files, ext, {O.flag_columns()}
-from (select *, replace(files, chr(10), ' ') as _txt from ({O.records('strict', 'legacy', 'hcf', 'hkf')}) r0) r1""",
+        "listing_run": whole_run,
+        "parent_listing_run": whole_run,
+        "paths_from_parents": O.paths(f"select root, id, name, parent_id, is_folder from ({fixture.LISTING_SQL}) where not trashed"),
+        "paths_of_chains": O.paths(fixture.CHAINS_SQL),
         "first_listed_clients": f"""{listing}
 select root, id, path, is_folder from nt join (select root, path as client from (
   select root, path, row_number() over (partition by root order by path) as rn

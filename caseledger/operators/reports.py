@@ -197,14 +197,16 @@ def inventory(listing: DataFrame, root_ids: DataFrame | None = None):
     clients = parse_clients(client_rows.select(
         "root", F.col("id").alias("client_id"), F.col("name").alias("client_folder"),
         "parent_id", "created_time", "modified_time"), "token")
-    case_rows = folders.join(clients.select(F.col("client_id").alias("parent_id")),
-                             "parent_id", "left_semi")
+    # ids are unique within a root
+    case_rows = folders.join(clients.select("root", F.col("client_id").alias("parent_id")),
+                             ["root", "parent_id"], "left_semi")
     cases = parse_cases(case_rows.select(
         "root", F.col("id").alias("case_id"), F.col("parent_id").alias("client_id"),
         F.col("name").alias("case_folder"), "created_time", "modified_time"), "token", tokens="_tok")
     cases = cases.withColumn("case_type", case_type(F.col("case_folder"), F.col("_tok"))).drop("_tok")
+    # cases by id alone, not parsed
     file_rows = listing.where(~F.col("is_folder")).join(
-        cases.select(F.col("case_id").alias("parent_id")), "parent_id", "left_semi")
+        case_rows.select("root", F.col("id").alias("parent_id")), ["root", "parent_id"], "left_semi")
     files = file_rows.select(
         "root", F.col("id").alias("file_id"), F.col("parent_id").alias("case_id"),
         F.col("name").alias("file_name"), file_extension(F.col("name")).alias("extension"),
@@ -220,8 +222,8 @@ def inventory_report(clients: DataFrame, cases: DataFrame, files: DataFrame) ->
     Two independent aggregations are stacked with UNION ALL (no join of
     single-row results); the files of all cases are all files.
     """
-    per_case = files.groupBy("case_id").agg(F.count("*").alias("n_files"))
-    c = cases.join(per_case, "case_id", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+    per_case = files.groupBy("root", "case_id").agg(F.count("*").alias("n_files"))
+    c = cases.join(per_case, ["root", "case_id"], "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
     n = F.count("*")
     case_stats = c.agg(
         n.alias("total_cases"),

@@ -9,6 +9,8 @@ L4 token scan:      L1 with the token parser and walker
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,13 @@ from ..operators.upsert import upsert_cases
 from ..operators.group import (folder_entries_both, group_cases, group_folders, has_hot_group,
                                pick_walk)
 from ..sources.hierarchy import hierarchy_by_path
+from ..session import materialize
 from ..sources.listing import first_listed_clients, not_trashed
+from ..sources.paths import OK, paths_from_parents
 from ..sources.rules import shipped_rules
 
+_LOG = logging.getLogger(__name__)
+
 DEFAULT_AS_OF = "2026-01-15 09:30:00"
 
 
@@ -56,7 +62,6 @@ def scan_pair(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF,
     if split_hot:
         return (classified_scan(case_files, rules, as_of=as_of, split_hot=True),
                 token_scan(case_files, rules, as_of=as_of, split_hot=True))
-    from ..session import materialize
     rules = shipped_rules() if rules is None else rules
     folders = materialize(folder_entries_both(case_files))
     out = []
@@ -76,7 +81,15 @@ def token_scan(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF,
 def listing_run(listing: DataFrame, mode: str = "strict", rules=None, as_of: str = DEFAULT_AS_OF,
                 max_clients: int | None = None, split_hot: bool | None = False) -> DataFrame:
     """L1 from a listing, as a user runs it: drop trash, rebuild the tree (the
-    first ``max_clients`` client folders of each root), group, classify, sort."""
+    first ``max_clients`` client folders of each root), group, classify, sort.
+    A listing without a ``path`` column gets paths from parent ids; entries
+    without a way to their root are left out and logged."""
+    if "path" not in listing.columns:
+        listing = materialize(paths_from_parents(not_trashed(listing)))
+        lost = listing.where(F.col("path_state") != OK).groupBy("path_state").count().collect()
+        for r in lost:
+            _LOG.warning("%d entries left out: %s", r["count"], r["path_state"])
+        listing = listing.where(F.col("path_state") == OK).drop("path_state")
     files = hierarchy_by_path(first_listed_clients(not_trashed(listing), max_clients), mode)
     return classified_scan(files, rules, mode=mode, as_of=as_of, sort=True, split_hot=split_hot)
 

@@ -54,10 +54,9 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    local = tempfile.mkdtemp(prefix="caseledger-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    # Spark takes the setting at its start only; the context keeps the folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="caseledger-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialize(df):

@@ -11,7 +11,7 @@ is 3 mod 10, and a client folder without cases where the customer key is 7 mod 4
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import FOLDER_MIME
@@ -223,6 +223,47 @@ def listing(spark: SparkSession, sf_dir: str, with_trash: bool = True) -> DataFr
     return out.select("root", "e.*").withColumn("source", F.lit("drive"))
 
 
+def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing without paths, as deep as customers have orders: each order is a
+    folder inside that of the customer's previous order, with its line items as
+    files. The first order lies in the customer's folder; of customers with a key
+    1 mod 25 it lies in their last order's (a ring), 2 mod 25 in a folder that is
+    not listed."""
+    customer, orders, lineitem = _tables(spark, sf_dir)
+    order = F.col("o_orderkey").cast("string")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    last = F.max("o_orderkey").over(Window.partitionBy("o_custkey")).cast("string")
+    kind = F.col("o_custkey") % 25
+    first = F.when(kind == 1, last).when(kind == 2, F.lit("gone")).otherwise(F.concat(F.lit("c"), F.col("o_custkey")))
+    root = F.expr(ROOT_SQL.replace("c_custkey", "o_custkey"))
+    client = customer.select(F.expr(ROOT_SQL).alias("root"), F.concat(F.lit("c"), F.col("c_custkey")).alias("id"),
+                             F.col("c_name").alias("name"), F.expr(ROOT_SQL).alias("parent_id"),
+                             F.lit(True).alias("is_folder"))
+    folder = orders.select(root.alias("root"), order.alias("id"), F.concat(F.lit("o"), order).alias("name"),
+                           F.coalesce(F.lag("o_orderkey").over(w).cast("string"), first).alias("parent_id"),
+                           F.lit(True).alias("is_folder"))
+    item = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        root.alias("root"), F.concat_ws(".", order, "l_linenumber").alias("id"),
+        F.concat_ws(".", F.lit("f"), "l_linenumber").alias("name"), order.alias("parent_id"),
+        F.lit(False).alias("is_folder"))
+    return client.unionByName(folder).unionByName(item)
+
+
+#: DuckDB form of ``chains``.
+CHAINS_SQL = f"""
+select {ROOT_SQL} as root, 'c' || c_custkey as id, c_name as name, {ROOT_SQL} as parent_id, true as is_folder from customer
+union all
+select {ROOT_SQL.replace("c_custkey", "o_custkey")}, o_orderkey::varchar, 'o' || o_orderkey,
+  coalesce(lag(o_orderkey) over (partition by o_custkey order by o_orderkey)::varchar,
+    case when o_custkey % 25 = 1 then (max(o_orderkey) over (partition by o_custkey))::varchar
+         when o_custkey % 25 = 2 then 'gone' else 'c' || o_custkey end), true
+from orders
+union all
+select {ROOT_SQL.replace("c_custkey", "o_custkey")}, o_orderkey || '.' || l_linenumber, 'f.' || l_linenumber,
+  o_orderkey::varchar, false
+from lineitem join orders on l_orderkey = o_orderkey"""
+
+
 def _iso_sql(e: str, frac: bool = False) -> str:
     if frac:
         return (f"strftime(make_timestamp(cast(({e}) * 1000000 as bigint)), "

@@ -203,21 +203,26 @@ where is_folder and len(parts) = 2 and not exists (
     and e.root = c.root and e.parts[1] = c.parts[1] and e.parts[2] = c.parts[2])"""
 
 
-PARENT_TREE = """select root, client_folder, case_folder, file_name,
-  client_folder || '/' || case_folder || '/' || file_name as file_path, false as entry_is_folder
-from (select f.name as file_name, ca.* from nt f join ca on f.parent_id = ca.case_id where not f.is_folder) fi
+PARENT_TREE = """select ca.root, client_folder, case_folder, f.name as file_name,
+  client_folder || '/' || case_folder || '/' || f.name as file_path, false as entry_is_folder
+from fi f join ca on f.root = ca.root and f.parent_id = ca.case_id
 union all
-select root, client_folder, case_folder, null, null, null from ca
-where not exists (select 1 from nt f where not f.is_folder and f.parent_id = ca.case_id)
+select ca.root, client_folder, case_folder, null, null, null from ca
+left join (select distinct root, parent_id from fi) f on f.root = ca.root and f.parent_id = ca.case_id
+where f.root is null
 union all
-select root, client_folder, null, null, null, null from cl
-where not exists (select 1 from nt f where f.is_folder and f.parent_id = cl.client_id)"""
-
-TREE_CTES = """cl as (select root, id as client_id, name as client_folder, parent_id, created_time, modified_time
+select cl.root, client_folder, null, null, null, null from cl
+left join (select distinct root, client_id from ca) c on c.root = cl.root and c.client_id = cl.client_id
+where c.root is null"""
+
+# ids are unique within a root only
+TREE_CTES = """fi as materialized (select root, id, name, parent_id, mime_type, size, created_time, modified_time, source
+       from nt where not is_folder),
+cl as materialized (select root, id as client_id, name as client_folder, parent_id, created_time, modified_time
        from nt where is_folder and parent_id = root),
-ca as (select f.id as case_id, f.name as case_folder, f.created_time as case_created_time,
+ca as materialized (select f.id as case_id, f.name as case_folder, f.created_time as case_created_time,
               f.modified_time as case_modified_time, cl.root, cl.client_id, cl.client_folder
-       from nt f join cl on f.parent_id = cl.client_id where f.is_folder)"""
+       from nt f join cl on f.root = cl.root and f.parent_id = cl.client_id where f.is_folder)"""
 
 
 def with_tree(body: str) -> str:
@@ -226,4 +231,23 @@ def with_tree(body: str) -> str:
             f"{TREE_CTES}\n{body}")
 
 
+def paths(source: str) -> str:
+    """Paths of a listing (root, id, name, parent_id, is_folder), walked down from
+    the roots; what can't be reached hangs on a missing folder, or on a ring."""
+    return f"""with recursive b as materialized ({source}),
+d as materialized (select root, id, name, parent_id from b where is_folder),
+t as (select root, id, name as path from d where parent_id = root
+  union all select d.root, d.id, t.path || '/' || d.name from d join t on d.root = t.root and d.parent_id = t.id),
+lost as (select root, parent_id as id from d where parent_id <> root
+    and (root, parent_id) not in (select (root, id) from d)
+  union select d.root, d.id from d join lost l on d.root = l.root and d.parent_id = l.id)
+select b.root, b.id, b.is_folder,
+  case when b.parent_id = b.root then b.name else t.path || '/' || b.name end as path,
+  case when b.parent_id = b.root or t.path is not null then 'ok'
+       when l.id is not null or d.id is null then 'orphan' else 'cycle' end as path_state
+from b left join t on t.root = b.root and t.id = b.parent_id
+left join lost l on l.root = b.root and l.id = b.parent_id
+left join d on d.root = b.root and d.id = b.parent_id"""
+
+
 URL_PREFIX = "https://drive.google.com/file/d/"

@@ -12,7 +12,6 @@ def spark(tmp_path_factory):
     s = build_session("local[2]", app="caseledger-tests", shuffle_partitions=4)
     ckpt = str(tmp_path_factory.mktemp("ckpt"))
     if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", ckpt)
         s.sparkContext.setCheckpointDir(ckpt)
     yield s
 

@@ -121,6 +121,19 @@ def q_default_rules_scan(spark, sf):
         "root", *KEY, "files", *[F.col(f"`{n}`") for n in O.active(default_rules())])
 
 
+#: Plain text, a bad pattern beside a good one, none that can run, loops.
+CUSTOM_RULES = [C.make_rule("papers", ["scan", "legal", "demand note"], plain_text=True),
+                C.make_rule("broken", ["(", r"TM-\d+"]),
+                C.make_rule("hopeless", ["[", "x(a+)+y"]),
+                C.make_rule("looped", [r"(\w|-)*NOTICE", "(ACK|LEGAL)+$"])]
+
+
+def q_custom_rules_scan(spark, sf):
+    """L1 with rules as a user types them."""
+    recs = C.classify(group_cases(_cf(spark, sf), mode="strict"), CUSTOM_RULES, data_sheet_override=False)
+    return recs.select("root", *KEY, "files", *[r["name"] for r in CUSTOM_RULES])
+
+
 def q_record_counts(spark, sf):
     return record_counts(group_cases(_cf(spark, sf), mode="strict"))
 
@@ -375,6 +388,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classified_scan": q_classified_scan,
     "classified_scan_split": q_classified_scan_split,
     "default_rules_scan": q_default_rules_scan,
+    "custom_rules_scan": q_custom_rules_scan,
     "token_scan": q_token_scan,
     "rule_hits": q_rule_hits,
     "rule_hits_long": q_rule_hits_long,
@@ -511,6 +525,10 @@ select root, {key}, files, n_files from ({O.records('token', 'token')}) r""",
         "classified_scan": w(scan),
         "classified_scan_split": w(scan),
         "default_rules_scan": w(f"""select root, {key}, files, {O.flag_columns(rules=default_rules())}
+from (select *, replace(files, chr(10), ' ') as _txt from ({O.records('strict', 'legacy')}) r0) r1"""),
+        "custom_rules_scan": w(f"""select root, {key}, files,
+  regexp_matches(_txt, '\\b(scan|legal|demand note)\\b', 'i') as "PAPERS", regexp_matches(_txt, 'TM-\\d+', 'i') as "BROKEN",
+  false as "HOPELESS", regexp_matches(_txt, 'NOTICE|(ACK|LEGAL)$', 'i') as "LOOPED"
 from (select *, replace(files, chr(10), ' ') as _txt from ({O.records('strict', 'legacy')}) r0) r1"""),
         "token_scan": w(token),
         "rule_hits": _with_scan(scan, counts),

@@ -11,11 +11,13 @@ from __future__ import annotations
 import logging
 import re
 from collections import OrderedDict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import by_position
+from . import patterns as PT
 
 # Java flags giving Python ``re`` behaviour: ignore case (Unicode-aware),
 # Unicode \d \w \s \b, and only \n ends a line.
@@ -110,12 +112,31 @@ def to_java(pattern: str) -> str:
     return "".join(out)
 
 
+def _safe(pattern: str, name: str, messages: list[str]) -> str | None:
+    """``pattern`` as it can run on any text: itself, the same search in a form that
+    ends, or None with a message."""
+    if not PT.needs_care(pattern):
+        return pattern
+    same = PT.simplified(pattern)
+    if same is not None:
+        if PT.needs_stack(same):
+            messages.append(f"pattern {pattern!r} in {name} may need a deep stack on long texts")
+        return same
+    if PT.never_ends(pattern):
+        messages.append(f"skipping pattern {pattern!r} in {name}: it may never end on long texts")
+        return None
+    messages.append(f"pattern {pattern!r} in {name} may need a deep stack on long texts")
+    return pattern
+
+
 def lint_rules(spark: SparkSession, rules: "OrderedDict[str, list[str]]"):
     """Drop patterns that cannot compile, keep the rest.
 
     Python-invalid patterns are skipped as the tool skips them. Java-invalid
     ones would fail the whole job, so they are probed at plan time: one probe
-    for all patterns, per-pattern probes only if that one fails. Returns
+    for all patterns, per-pattern probes only if that one fails. Patterns whose
+    search may take exponential time, or a stack as deep as the text, are put into
+    an equal form that doesn't, or skipped (the former) with a message. Returns
     (clean rules with Java patterns, list of messages).
     """
     messages, clean = [], OrderedDict()
@@ -128,7 +149,7 @@ def lint_rules(spark: SparkSession, rules: "OrderedDict[str, list[str]]"):
                 messages.append(f"skipping bad pattern {p!r} in {name}: {exc}")
                 continue
             keep.append(to_java(p))
-        clean[name] = keep
+        clean[name] = [safe for p in keep if (safe := _safe(p, name, messages)) is not None]
 
     def probe(pats):
         spark.range(1).select(*[F.lit("").rlike(RULE_FLAGS + p) for p in pats]).collect()
@@ -157,26 +178,35 @@ def lint_rules(spark: SparkSession, rules: "OrderedDict[str, list[str]]"):
     return clean, messages
 
 
-def match_any(text: Column, patterns: list[str]) -> Column:
-    """True if any pattern is found in ``text`` (ignore case); never null."""
+def match_any(text: Column, patterns: list[str], low: Column | None = None) -> Column:
+    """True if any pattern is found in ``text`` (ignore case); never null. Where
+    every match must hold one of a few literals, ASCII texts are searched for these
+    first, in ``low``, their lower-case form, and most never meet the regex."""
     if not patterns:
         return F.lit(False)
+    low = F.lower(text) if low is None else low
     plain = [p for p in patterns if not _BACKREF.search(p)]
-    special = [p for p in patterns if _BACKREF.search(p)]
+    special = [[p] for p in patterns if _BACKREF.search(p)]
+    marked = [p for p in plain if PT.required_literals([p])]
     ascii_text = F.octet_length(text) == F.char_length(text)
 
-    def found(pattern):
+    def found(some: list[str]) -> Column:
+        pattern = "|".join(f"(?:{p})" for p in some) if len(some) > 1 else some[0]
         full = text.rlike(RULE_FLAGS + pattern)
-        return F.when(ascii_text, text.rlike(ASCII_FLAGS + pattern)).otherwise(full) if pattern.isascii() else full
+        if not pattern.isascii():
+            return full
+        short = text.rlike(ASCII_FLAGS + pattern)
+        literals = PT.required_literals(some)
+        if literals:
+            short = _any([F.contains(low, F.lit(x)) for x in literals]) & short
+        return F.when(ascii_text, short).otherwise(full)
+
+    groups = [g for g in (marked, [p for p in plain if p not in marked], *special) if g]
+    return F.coalesce(_any([found(g) for g in groups]), F.lit(False))
+
 
-    conds = []
-    if plain:
-        conds.append(found("|".join(f"(?:{p})" for p in plain)))
-    conds += [found(p) for p in special]
-    out = conds[0]
-    for c in conds[1:]:
-        out = out | c
-    return F.coalesce(out, F.lit(False))
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
 
 def rule_text(files: Column) -> Column:
@@ -200,12 +230,12 @@ def classify(df: DataFrame, rules, spark: SparkSession | None = None,
             _LOG.warning(message)
         if messages is not None:
             messages += said
-    tmp = df.withColumn("_text", rule_text(F.col(files_col)))
-    text = F.col("_text")
-    flags = OrderedDict((name, match_any(text, pats)) for name, pats in active.items())
+    tmp = df.withColumn("_text", rule_text(F.col(files_col))).withColumn("_low", F.lower("_text"))
+    text, low = F.col("_text"), F.col("_low")
+    flags = OrderedDict((name, match_any(text, pats, low)) for name, pats in active.items())
     if data_sheet_override:
-        fire = match_any(text, [DATA_SHEET]) & match_any(text, COMPANY_KEYWORDS)
-        identity = match_any(text, IDENTITY_PATTERNS)
+        fire = match_any(text, [DATA_SHEET], low) & match_any(text, COMPANY_KEYWORDS, low)
+        identity = match_any(text, IDENTITY_PATTERNS, low)
         flags[COMPANY_RULE] = F.when(fire, F.lit(True)).otherwise(
             flags.get(COMPANY_RULE, F.lit(None).cast("boolean")))
         flags[NTN_RULE] = F.when(fire & ~identity, F.lit(False)).otherwise(

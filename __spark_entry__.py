@@ -99,6 +99,18 @@ def q_group_strict_split(spark, sf):
     return r.select("root", *KEY, "files", "ext", "n_folders", "n_files")
 
 
+#: A folder with more files is hot in the queries of the piled tree.
+PILE_HOT = 1000
+
+
+def _group_pile(mode):
+    """A1-A3 where one folder holds a third of all files."""
+    def run(spark, sf):
+        r = group_cases(fixture.piled(spark, sf), mode=mode, hot_files=PILE_HOT, hot_folders=PILE_HOT)
+        return r.select("root", *KEY, "files", "ext", "n_folders", "n_files")
+    return run
+
+
 def _limit_groups(mode):
     def run(spark, sf):
         r = group_cases(_cf(spark, sf), mode=mode, limit=LIMIT_N)
@@ -381,6 +393,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "group_deep": _group("deep"),
     "group_token": _group("token"),
     "group_strict_split": q_group_strict_split,
+    "group_pile_strict": _group_pile("strict"),
+    "group_pile_deep": _group_pile("deep"),
+    "group_pile_token": _group_pile("token"),
     "limit_groups": _limit_groups("strict"),
     "limit_groups_deep": _limit_groups("deep"),
     "limit_groups_token": _limit_groups("token"),
@@ -500,6 +515,9 @@ from ({O.token_case(_names_sql('case_folder'))}) d"""),
         "group_deep": w(O.records("deep", "legacy")),
         "group_token": w(O.records("token", "token")),
         "group_strict_split": w(O.records("strict", "legacy")),
+        **{f"group_pile_{mode}": f"with pcf as materialized ({fixture.PILED_SQL}),\npkf as ({O.kept_files('pcf')})\n"
+           + O.records(mode, parser, "pcf", "pkf")
+           for mode, parser in (("strict", "legacy"), ("deep", "legacy"), ("token", "token"))},
         "limit_groups": w(f"""select root, {key}, files, n_files from (
   select r.*, row_number() over (partition by root order by first_path) as rn
   from ({O.records('strict', 'legacy')}) r

@@ -12,6 +12,13 @@ Plan (two aggregations, both with map-side partial aggregation):
    folders (unparsable names, root files) carries no per-file overhead; its
    record text is the only per-group state, and it is the output value.
 
+Hot folders and keys are found while the rows are stored: a mergeable sketch of the
+most frequent folders and clients is taken in that same scan (``measured``). Folders
+beyond HOT_FILES rows, and keys beyond HOT_FOLDERS folders, go through
+``ordered_concat``, which spreads each over tasks; all others through one hash
+aggregation. The choice only moves work: records are the same either way, and a task
+that runs again finds the same keys in its plan.
+
 Modes: ``strict`` (every case folder is a record, empty ones too; any child
 name counts as a file), ``deep`` (only folders with at least one kept file;
 files at root or client level get placeholder keys) and ``token`` (as strict
@@ -20,21 +27,24 @@ but only real files, token parser).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import files as FF
 from ..functions import names as N
 from ..schema import KEY
+from ..session import materialize
 from .parse import parse_cases, parse_clients
 
 MODES = ("strict", "deep", "token")
 
 
-def _file_struct() -> Column:
-    name = F.col("file_name")
-    return F.struct(F.col("file_path").alias("path"), FF.file_stem(name).alias("stem"),
-                    FF.file_ext(name).alias("ext"))
+FOLDER = ["root", "client_folder", "case_folder"]
+#: Rows of a folder, and folders of a key, beyond which it is spread over tasks.
+HOT_FILES, HOT_FOLDERS = 250_000, 100_000
+#: Frequent keys a sketch reports, and items it tracks: a key is missed only if it
+#: holds fewer than about one in 75,000 of all rows.
+TOP_KEYS, TRACKED = 1000, 100_000
 
 
 def _folder_path() -> Column:
@@ -46,29 +56,34 @@ def _joined(arr: Column, field: str) -> Column:
     return F.array_join(F.filter(F.transform(arr, lambda f: f[field]), lambda v: v != ""), "\n")
 
 
+def _repeated(arr: Column, field: str) -> Column:
+    """The texts of ``arr``, each as often as its row occurred, joined."""
+    texts = F.flatten(F.transform(arr, lambda f: F.array_repeat(f[field], f["_m"].cast("int"))))
+    return F.array_join(F.filter(texts, lambda v: v != ""), "\n")
+
+
 def ordered_concat(df: DataFrame, keys: list[str], order_col: str, texts: list[str],
                    sums: list[str] = (), parts: int | None = None) -> DataFrame:
     """Per key: ``\n``-join of each non-empty text column in ``order_col``
     order, plus ``n_rows``, ``first`` (smallest ``order_col``) and sums.
 
     Splits hot keys without losing order: rows are range-partitioned on
-    (keys, order_col), so a key holding a large share of all rows spans
+    (keys, order_col, texts), so a key holding a large share of all rows spans
     several partitions; each partition joins its run of rows, and the runs
-    are joined in partition order, which is the row order. No task holds
-    more than one partition's rows of a key until the final join of run
-    texts, which is the output value itself. Costs a sampling pass and two
-    small shuffles of run texts; use it when a key may be hot.
+    are joined in partition order, which is the row order. Equal rows are
+    counted first, so that every row has a place of its own, which a task that
+    runs again finds again. No task holds more than one partition's rows of a
+    key until the final join of run texts, which is the output value itself.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # rows with equal paths are told apart too, so that no run is unsplittable
-    tie = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16))
-    ranged = df.withColumn("_tie", tie).repartitionByRange(parts, *keys, order_col, *texts, "_tie")
+    rows = df.groupBy(*keys, order_col, *texts).agg(F.count("*").alias("_m"), *[F.sum(c).alias(c) for c in sums])
+    ranged = rows.repartitionByRange(parts, *keys, order_col, *texts)
     runs = ranged.groupBy(*keys, F.spark_partition_id().alias("_run")).agg(
-        F.sort_array(F.collect_list(F.struct(order_col, *texts))).alias("_items"),
-        F.count("*").alias("_n"), F.min(order_col).alias("_first"),
+        F.sort_array(F.collect_list(F.struct(order_col, *texts, "_m"))).alias("_items"),
+        F.sum("_m").alias("_n"), F.min(order_col).alias("_first"),
         *[F.sum(c).alias(f"_s_{c}") for c in sums])
     runs = runs.select(*keys, "_run", "_n", "_first", *[f"_s_{c}" for c in sums],
-                       *[_joined(F.col("_items"), t).alias(t) for t in texts])
+                       *[_repeated(F.col("_items"), t).alias(t) for t in texts])
     out = runs.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("_run", *texts))).alias("_runs"),
         F.sum("_n").alias("n_rows"), F.min("_first").alias("first"),
@@ -77,82 +92,132 @@ def ordered_concat(df: DataFrame, keys: list[str], order_col: str, texts: list[s
                       "n_rows", "first", *sums)
 
 
-def folder_entries(case_files: DataFrame, mode: str = "strict",
-                   split_hot: bool = False) -> DataFrame:
-    """Stage 1: one row per raw case folder.
+# ------------------------------------------------------------ hot keys --
 
-    Columns: root, client_folder, case_folder, folder_path, files_text and
-    ext_text (non-empty stems / extensions of the kept files in path order,
-    ``\n``-joined), n_files (kept files). The per-file structs live only
-    inside this aggregation; stage 2 moves one short text per folder.
-    """
+def _key_text(keys: list[str]) -> Column:
+    """One text a key, nulls apart from all texts."""
+    return F.concat_ws("\x00", *[F.coalesce(F.concat(F.lit("="), F.col(k)), F.lit("")) for k in keys])
+
+
+def measured(df: DataFrame, keys: list[str], hot: int, **more: list[str]) -> tuple[DataFrame, list[str], dict[str, int]]:
+    """``df`` stored, the key texts with more than about ``hot`` rows, and for each
+    key list of ``more`` the most rows any of its keys has: read off sketches that
+    each task fills while it writes its rows."""
+    seen = Observation()
+    texts = {"_key": keys, **more}
+    wide = df.select("*", *[_key_text(k).alias(f"_text_{n}") for n, k in texts.items()])
+    wide = wide.observe(seen, *[F.expr(f"approx_top_k(`_text_{n}`, {TOP_KEYS}, {TRACKED})").alias(n) for n in texts])
+    stored = materialize(wide.select(*df.columns))
+    got = {n: [(r["item"], r["count"]) for r in seen.get[n] or []] for n in texts}
+    heavy = sorted(item for item, many in got["_key"] if many > hot)
+    return stored, heavy, {n: max((many for _, many in got[n]), default=0) for n in more}
+
+
+def _split(df: DataFrame, keys: list[str], heavy: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of heavy keys, all other rows)."""
+    is_heavy = _key_text(keys).isin(heavy)
+    return df.where(is_heavy), df.where(~is_heavy)
+
+
+# ------------------------------------------------------------- stage 1 --
+
+def entry_rows(case_files: DataFrame, mode: str = "strict") -> DataFrame:
+    """What stage 1 needs of each entry: folder, path inside the folder, stem,
+    extension, and 1 or 0 for whether the walk keeps it (``kept``) and whether it is
+    a kept file (``kept_file``). Inside a folder the path behind the folder's own
+    sorts as the whole one does, so only that travels."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    cf = case_files
-    has_kind = "entry_is_folder" in cf.columns
-    is_entry = F.col("file_name").isNotNull()
-    kept = is_entry & ~FF.is_noise_file(F.col("file_name"))
-    if mode == "token" and has_kind:
-        kept = kept & ~F.coalesce(F.col("entry_is_folder"), F.lit(False))
+    cf, name, path = case_files, F.col("file_name"), F.col("file_path")
+    is_dir = F.coalesce(F.col("entry_is_folder"), F.lit(False)) if "entry_is_folder" in cf.columns else F.lit(False)
+    kept = name.isNotNull() & ~FF.is_noise_file(name)
     if mode == "deep":
-        if has_kind:
-            cf = cf.where(~F.coalesce(F.col("entry_is_folder"), F.lit(False)))
-        # Missing levels may be null or "": both mean "no client / no case";
-        # the raw columns are kept so an input partitioned by folder needs no
-        # new exchange (placeholders are applied after parsing).
+        # Missing levels may be null or "": both mean "no client / no case"
+        kept = kept & ~is_dir
         cf = cf.where(kept)
-        kept = F.lit(True)
     else:
         cf = cf.where(F.col("case_folder").isNotNull())
-    # File fields are computed in a projection (whole-stage codegen), not
-    # inside the aggregate; sort_array uses the natural struct order.
+        kept = kept & ~is_dir if mode == "token" else kept
+    level = [F.when(F.col(c) != "", F.concat(F.col(c), F.lit("/"))) for c in ("client_folder", "case_folder")]
+    above = F.concat(*[F.coalesce(x, F.lit("")) for x in level])
+    inside = F.when(path.startswith(above), F.substring(path, F.length(above) + 1, F.length(path))).otherwise(path)
+    return cf.select(*FOLDER, F.when(kept, inside).alias("path"), F.when(kept, FF.file_stem(name)).alias("stem"),
+                     F.when(kept, FF.file_ext(name)).alias("ext"), F.coalesce(kept, F.lit(False)).cast("long").alias("kept"),
+                     F.coalesce(kept & ~is_dir, F.lit(False)).cast("long").alias("kept_file"))
+
+
+def _hash_folders(rows: DataFrame, walks: dict[str, str]) -> DataFrame:
+    """One aggregation by folder. ``walks``: suffix of the output columns and the
+    column that says which entries the walk keeps."""
+    entry = F.struct("path", "stem", "ext", "kept_file")
+    grouped = rows.groupBy(*FOLDER).agg(
+        F.sort_array(F.collect_list(F.when(F.col("kept") > 0, entry))).alias("_files"),
+        *[F.sum(flag).alias(f"n_files{suffix}") for suffix, flag in walks.items()])
+    out = []
+    for suffix, flag in walks.items():
+        files = F.col("_files") if flag == "kept" else F.filter("_files", lambda e: e["kept_file"] > 0)
+        out += [_joined(files, "stem").alias(f"files_text{suffix}"), _joined(files, "ext").alias(f"ext_text{suffix}"),
+                f"n_files{suffix}"]
+    return grouped.select(*FOLDER, _folder_path(), *out)
+
+
+def _ordered_folders(rows: DataFrame, walks: dict[str, str]) -> DataFrame:
+    """The same with each folder spread over tasks."""
+    texts, sums = [], []
+    for suffix, flag in walks.items():
+        for name in ("stem", "ext"):
+            rows = rows.withColumn(f"{name}{suffix}_", F.when(F.col(flag) > 0, F.col(name)))
+            texts.append(f"{name}{suffix}_")
+        rows = rows.withColumn(f"n_files{suffix}", F.col(flag))
+        sums.append(f"n_files{suffix}")
+    out = ordered_concat(rows, FOLDER, "path", texts, sums)
+    return out.select(*FOLDER, _folder_path(), *[x for suffix in walks for x in (
+        F.col(f"stem{suffix}_").alias(f"files_text{suffix}"), F.col(f"ext{suffix}_").alias(f"ext_text{suffix}"),
+        F.col(f"n_files{suffix}"))])
+
+
+def _folders(rows: DataFrame, walks: dict[str, str], heavy: list[str]) -> DataFrame:
+    """Heavy folders spread, the others by one aggregation."""
+    if not heavy:
+        return _hash_folders(rows, walks)
+    hot, cold = _split(rows, FOLDER, heavy)
+    return _hash_folders(cold, walks).unionByName(_ordered_folders(hot, walks))
+
+
+_ONE_WALK = {"": "kept"}
+_BOTH_WALKS = {"_strict": "kept", "_token": "kept_file"}
+
+
+def folder_entries(case_files: DataFrame, mode: str = "strict", split_hot: bool | None = False) -> DataFrame:
+    """Stage 1: one row per raw case folder.
+
+    Columns: root, client_folder, case_folder, folder_path, files_text and
+    ext_text (non-empty stems / extensions of the kept files in path order,
+    ``\n``-joined), n_files (kept files). The per-file structs live only
+    inside this aggregation; stage 2 moves one short text per folder.
+    ``split_hot``: True spreads every folder over tasks, None those that are
+    found heavy while the entries are stored, False none.
+    """
+    rows = entry_rows(case_files, mode)
     if split_hot:
-        name = F.col("file_name")
-        rows = cf.select("root", "client_folder", "case_folder",
-                         F.when(kept, F.col("file_path")).alias("_path"),
-                         F.when(kept, FF.file_stem(name)).alias("stem"),
-                         F.when(kept, FF.file_ext(name)).alias("ext"),
-                         kept.cast("long").alias("n_files"))
-        out = ordered_concat(rows, ["root", "client_folder", "case_folder"], "_path",
-                             ["stem", "ext"], ["n_files"])
-        return out.select(
-            "root", "client_folder", "case_folder", _folder_path(),
-            F.col("stem").alias("files_text"), F.col("ext").alias("ext_text"), "n_files")
-    cf = cf.select("root", "client_folder", "case_folder",
-                   F.when(kept, _file_struct()).alias("_file"), kept.alias("_kept"))
-    grouped = cf.groupBy("root", "client_folder", "case_folder").agg(
-        F.sort_array(F.collect_list("_file")).alias("_files"),
-        F.count_if("_kept").alias("n_files"))
-    return grouped.select(
-        "root", "client_folder", "case_folder", _folder_path(),
-        _joined(F.col("_files"), "stem").alias("files_text"),
-        _joined(F.col("_files"), "ext").alias("ext_text"),
-        "n_files")
+        return _ordered_folders(rows, _ONE_WALK)
+    heavy = []
+    if split_hot is None:
+        rows, heavy, _ = measured(rows, FOLDER, HOT_FILES)
+    return _folders(rows, _ONE_WALK, heavy)
 
 
-def folder_entries_both(case_files: DataFrame) -> DataFrame:
+def folder_entries_both(case_files: DataFrame, hot_files: int | None = None) -> DataFrame:
     """Stage 1 once for the strict and the token walk (same folder set; the
     token walk only drops sub-folder entries). Columns as ``folder_entries``
     with ``_strict`` and ``_token`` variants of files_text, ext_text, n_files.
+    Entries are stored first if ``hot_files`` is given, and folders with more
+    of them are spread.
     """
-    cf = case_files.where(F.col("case_folder").isNotNull())
-    kept = F.col("file_name").isNotNull() & ~FF.is_noise_file(F.col("file_name"))
-    is_dir = F.coalesce(F.col("entry_is_folder"), F.lit(False)) \
-        if "entry_is_folder" in cf.columns else F.lit(False)
-    cf = cf.select("root", "client_folder", "case_folder",
-                   F.when(kept, F.struct(_file_struct().alias("f"), is_dir.alias("d"))).alias("_e"),
-                   kept.alias("_kept"), (kept & ~is_dir).alias("_kept_file"))
-    g = cf.groupBy("root", "client_folder", "case_folder").agg(
-        F.sort_array(F.collect_list("_e")).alias("_all"),
-        F.count_if("_kept").alias("n_files_strict"), F.count_if("_kept_file").alias("n_files_token"))
-    files = F.transform(F.col("_all"), lambda e: e["f"])
-    only_files = F.transform(F.filter(F.col("_all"), lambda e: ~e["d"]), lambda e: e["f"])
-    return g.select(
-        "root", "client_folder", "case_folder", _folder_path(),
-        _joined(files, "stem").alias("files_text_strict"), _joined(files, "ext").alias("ext_text_strict"),
-        _joined(only_files, "stem").alias("files_text_token"),
-        _joined(only_files, "ext").alias("ext_text_token"),
-        "n_files_strict", "n_files_token")
+    rows, heavy = entry_rows(case_files, "strict"), []
+    if hot_files is not None:
+        rows, heavy, _ = measured(rows, FOLDER, hot_files)
+    return _folders(rows, _BOTH_WALKS, heavy)
 
 
 def pick_walk(folders: DataFrame, walk: str) -> DataFrame:
@@ -218,7 +283,8 @@ def limit_groups(case_files: DataFrame, n: int, mode: str = "strict",
 
 def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None = None,
                 limit: int | None = None, keep_raw_folder: bool = False,
-                split_hot: bool = False) -> DataFrame:
+                split_hot: bool | None = None, hot_files: int = HOT_FILES,
+                hot_folders: int = HOT_FOLDERS) -> DataFrame:
     """A1/A2 (+A3, A4): one record per (root, client_number, client_name,
     case_no, case_name, tm_no, class_code).
 
@@ -228,38 +294,59 @@ def group_cases(case_files: DataFrame, mode: str = "strict", parser: str | None
     (token mode: the first n folders, as its walker counts folders).
     ``keep_raw_folder`` adds the raw folder path to the key, so unparsable
     folders of one client stay separate records (the documented intent)
-    instead of merging (the actual behaviour, default). ``split_hot`` runs
-    both stages through ``ordered_concat`` so a folder or key holding a
-    large share of all rows is spread over several tasks.
+    instead of merging (the actual behaviour, default). ``split_hot``: by default
+    (None) folders and keys that hold very many rows are found while the entries
+    are stored, and only they are spread over tasks; True spreads all, False none
+    (one lazy plan).
     """
     parser = parser or ("token" if mode == "token" else "legacy")
     if limit:
         case_files = limit_groups(case_files, limit, mode, parser)
-    folders = folder_entries(case_files, mode, split_hot=split_hot)
-    return group_folders(folders, mode, parser, keep_raw_folder, split_hot)
+    rows = entry_rows(case_files, mode)
+    if split_hot is not None:
+        folders = _ordered_folders(rows, _ONE_WALK) if split_hot else _hash_folders(rows, _ONE_WALK)
+        return group_folders(folders, mode, parser, keep_raw_folder, split_hot)
+    rows, heavy, most = measured(rows, FOLDER, hot_files, client=["root", "client_folder"])
+    # a key lies within one client: without a client of many entries there is no
+    # key of many folders to look for
+    crowded = most["client"] > hot_folders
+    return group_folders(_folders(rows, _ONE_WALK, heavy), mode, parser, keep_raw_folder,
+                         None if crowded else False, hot_folders)
 
 
 def group_folders(folders: DataFrame, mode: str = "strict", parser: str | None = None,
-                  keep_raw_folder: bool = False, split_hot: bool = False) -> DataFrame:
+                  keep_raw_folder: bool = False, split_hot: bool | None = False,
+                  hot_folders: int = HOT_FOLDERS) -> DataFrame:
     """Stage 2 of ``group_cases`` on folder rows (``folder_entries`` or
     ``pick_walk(folder_entries_both(..))``)."""
     parser = parser or ("token" if mode == "token" else "legacy")
-    parsed = parse_folders(folders, parser, mode)
-    extra = ["folder_path"] if keep_raw_folder else []
+    key = ["root", *KEY, *(["folder_path"] if keep_raw_folder else [])]
+    parsed = parse_folders(folders, parser, mode).select("root", *KEY, "folder_path", "files_text", "ext_text", "n_files")
     if split_hot:
-        out = ordered_concat(parsed, ["root", *KEY, *extra], "folder_path",
-                             ["files_text", "ext_text"], ["n_files"])
-        out = out.select("root", *KEY, F.col("files_text").alias("files"),
-                         F.col("ext_text").alias("ext"), F.col("n_rows").alias("n_folders"),
-                         "n_files", F.col("first").alias("first_path"))
-        return out
-    grouped = parsed.groupBy("root", *KEY, *extra).agg(
+        return _ordered_records(parsed, key)
+    if split_hot is None:
+        parsed, heavy, _ = measured(parsed, key, hot_folders)
+        if heavy:
+            hot, cold = _split(parsed, key, heavy)
+            return _hash_records(cold, key).unionByName(_ordered_records(hot, key))
+    return _hash_records(parsed, key)
+
+
+def _ordered_records(parsed: DataFrame, key: list[str]) -> DataFrame:
+    order = "folder_path"
+    if order in key:  # a key's folders can't be told apart by a column of the key
+        parsed, order = parsed.withColumn("_order", F.col("folder_path")), "_order"
+    out = ordered_concat(parsed, key, order, ["files_text", "ext_text"], ["n_files"])
+    return out.select("root", *KEY, F.col("files_text").alias("files"), F.col("ext_text").alias("ext"),
+                      F.col("n_rows").alias("n_folders"), "n_files", F.col("first").alias("first_path"))
+
+
+def _hash_records(parsed: DataFrame, key: list[str]) -> DataFrame:
+    grouped = parsed.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.struct("folder_path", "files_text", "ext_text"))).alias("_parts"),
         F.count("*").alias("n_folders"),
         F.sum("n_files").alias("n_files"),
         F.min("folder_path").alias("first_path"))
-    if keep_raw_folder:
-        grouped = grouped.drop("folder_path")
     # Folder texts in folder-path order = file-path order (every path of a
     # folder starts with its folder path + "/").
     return grouped.select(
@@ -269,19 +356,6 @@ def group_folders(folders: DataFrame, mode: str = "strict", parser: str | None =
         "n_folders", "n_files", "first_path")
 
 
-#: A folder with more files, or a client with more folders, is spread over tasks.
-HOT_FILES, HOT_FOLDERS = 1_000_000, 100_000
-
-
-def has_hot_group(case_files: DataFrame, files: int = HOT_FILES, folders: int = HOT_FOLDERS) -> bool:
-    """Whether a folder or client is so large that its rows shouldn't meet in one
-    task: two counts, combined before their shuffles; one row comes back."""
-    per_folder = case_files.groupBy("root", "client_folder", "case_folder").agg(F.count("*").alias("n"))
-    per_client = per_folder.groupBy("root", "client_folder").agg(F.max("n").alias("n"), F.count("*").alias("m"))
-    top = per_client.agg(F.max("n"), F.max("m")).first()
-    return (top[0] or 0) > files or (top[1] or 0) > folders
-
-
 def record_counts(records: DataFrame) -> DataFrame:
     """A5: number of records per root."""
     return records.groupBy("root").agg(F.count("*").alias("records"))

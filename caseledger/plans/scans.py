@@ -1,5 +1,5 @@
-"""End-to-end plans (the tool's run actions). Each is one lazy DataFrame, but for
-``scan_pair`` and ``upsert_run``, which store a table first.
+"""End-to-end plans (the tool's run actions). Each stores the entries it groups (to
+measure hot folders in the same scan) and is a lazy DataFrame from there on.
 
 L1 classified scan: case_files -> group -> classify -> dates (-> sort at the sink)
 L2 quick export:    strict scan of all roots -> 9 base columns
@@ -18,8 +18,8 @@ from ..operators.classify import classify
 from ..operators.export import (QUICK_EXPORT_NAME, project_export, quick_export, sort_records,
                                 stamp_dates, write_export)
 from ..operators.upsert import upsert_cases
-from ..operators.group import (folder_entries_both, group_cases, group_folders, has_hot_group,
-                               pick_walk)
+from ..operators.group import (FOLDER, HOT_FILES, HOT_FOLDERS, folder_entries_both, group_cases, group_folders,
+                               measured, pick_walk)
 from ..sources.hierarchy import hierarchy_by_path
 from ..session import materialize
 from ..sources.listing import first_listed_clients, not_trashed
@@ -33,17 +33,16 @@ DEFAULT_AS_OF = "2026-01-15 09:30:00"
 
 def classified_scan(case_files: DataFrame, rules=None, mode: str = "strict",
                     parser: str | None = None, as_of: str = DEFAULT_AS_OF,
-                    limit: int | None = None, sort: bool = False, split_hot: bool | None = False,
+                    limit: int | None = None, sort: bool = False, split_hot: bool | None = None,
                     messages: list | None = None) -> DataFrame:
     """L1 / L4: case records with one flag per rule and the date columns.
 
-    ``split_hot``: True spreads a folder or key over several tasks, None
-    decides by the greatest folder and client (two counts are run first); the
-    records are the same. ``messages`` collects what the rules' check says.
+    ``split_hot``: by default folders and keys that hold very many rows are found
+    while the entries are stored and only they are spread over tasks; True spreads
+    all, False none. The records are the same. ``messages`` collects what the
+    rules' check says.
     """
     rules = shipped_rules() if rules is None else rules
-    if split_hot is None:
-        split_hot = has_hot_group(case_files)
     records = group_cases(case_files, mode=mode, parser=parser, limit=limit, split_hot=split_hot)
     records = classify(records, rules, messages=messages)
     records = stamp_dates(records, as_of, "token" if mode == "token" else mode)
@@ -51,35 +50,35 @@ def classified_scan(case_files: DataFrame, rules=None, mode: str = "strict",
 
 
 def scan_pair(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF,
-              split_hot: bool | None = False):
+              split_hot: bool | None = None):
     """(L1 strict/legacy records, L4 token records) of one listing with one
     file-level pass: the folder stage of both walks is built once and stored
     in the shared checkpoint folder (a job that runs at once), then each walk
-    parses and groups it. With ``split_hot`` each walk builds its own folder
-    stage, spread over tasks."""
-    if split_hot is None:
-        split_hot = has_hot_group(case_files)
+    parses and groups it. Heavy folders are spread unless ``split_hot`` is False;
+    with True each walk spreads all of its own folder stage."""
     if split_hot:
         return (classified_scan(case_files, rules, as_of=as_of, split_hot=True),
                 token_scan(case_files, rules, as_of=as_of, split_hot=True))
     rules = shipped_rules() if rules is None else rules
-    folders = materialize(folder_entries_both(case_files))
+    stage = folder_entries_both(case_files, HOT_FILES if split_hot is None else None)
+    folders, _, most = measured(stage, FOLDER, HOT_FILES, client=["root", "client_folder"])
+    split_keys = None if split_hot is None and most["client"] > HOT_FOLDERS else False
     out = []
     for mode, parser in (("strict", "legacy"), ("token", "token")):
-        recs = classify(group_folders(pick_walk(folders, mode), mode, parser), rules)
+        recs = classify(group_folders(pick_walk(folders, mode), mode, parser, split_hot=split_keys), rules)
         out.append(stamp_dates(recs, as_of, mode))
     return tuple(out)
 
 
 def token_scan(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF,
-               limit: int | None = None, split_hot: bool | None = False) -> DataFrame:
+               limit: int | None = None, split_hot: bool | None = None) -> DataFrame:
     """L4: token parser and walker (only real files, empty folders kept)."""
     return classified_scan(case_files, rules, mode="token", parser="token", as_of=as_of,
                            limit=limit, split_hot=split_hot)
 
 
 def listing_run(listing: DataFrame, mode: str = "strict", rules=None, as_of: str = DEFAULT_AS_OF,
-                max_clients: int | None = None, split_hot: bool | None = False) -> DataFrame:
+                max_clients: int | None = None, split_hot: bool | None = None) -> DataFrame:
     """L1 from a listing, as a user runs it: drop trash, rebuild the tree (the
     first ``max_clients`` client folders of each root), group, classify, sort.
     A listing without a ``path`` column gets paths from parent ids; entries

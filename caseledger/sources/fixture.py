@@ -141,6 +141,33 @@ def case_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.unionByName(void).unionByName(new)
 
 
+#: Every third part's files lie in one folder.
+PILE = ("clients", "P-900 Pile", "P900-900 Pile 900900 C01")
+_PILE_NAME_SQL = f"concat(lpad(cast(l_orderkey as string), 9, '0'), '.', cast(l_linenumber as string), ' ', {FILE_NAME_SQL})"
+
+#: DuckDB form of ``piled``.
+PILED_SQL = f"""
+select case when p then '{PILE[0]}' else root end as root, case when p then '{PILE[1]}' else client_folder end as client_folder,
+  case when p then '{PILE[2]}' else case_folder end as case_folder, file_name,
+  case when file_name is null then null when p then '{PILE[1]}/{PILE[2]}/' || file_name
+       else client_folder || '/' || case_folder || '/' || file_name end as file_path
+from (select {ROOT_SQL} as root, {CLIENT_FOLDER_SQL} as client_folder, {CASE_FOLDER_SQL} as case_folder,
+        coalesce(l_partkey % 3 = 0, false) as p, case when l_partkey % 3 = 0 then {_PILE_NAME_SQL} else {FILE_NAME_SQL} end as file_name
+      from customer join orders on c_custkey = o_custkey left join lineitem on l_orderkey = o_orderkey)"""
+
+
+def piled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``case_files`` with a third of all files in one folder."""
+    _, _, lineitem = _tables(spark, sf_dir)
+    rows = _case_folders(spark, sf_dir).join(lineitem, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    pile = F.coalesce(F.col("l_partkey") % 3 == 0, F.lit(False))
+    name = F.when(pile, F.expr(_PILE_NAME_SQL)).otherwise(F.expr(FILE_NAME_SQL))
+    rows = rows.select(*[F.when(pile, F.lit(v)).otherwise(F.col(c)).alias(c)
+                         for c, v in zip(("root", "client_folder", "case_folder"), PILE)], name.alias("file_name"))
+    return rows.withColumn("file_path", F.when(F.col("file_name").isNotNull(),
+                                               F.concat_ws("/", "client_folder", "case_folder", "file_name")))
+
+
 def listing(spark: SparkSession, sf_dir: str, with_trash: bool = True) -> DataFrame:
     """F1.1 listing of the same tree: one row per folder or file.
 

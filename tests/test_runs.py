@@ -9,8 +9,9 @@ from caseledger import session
 from caseledger.operators import classify as C
 from caseledger.operators import reports as R
 from caseledger.operators.export import project_export, write_export
-from caseledger.operators.group import folder_entries, group_cases, has_hot_group
-from caseledger.plans.scans import classified_scan, listing_run, upsert_run
+from caseledger.operators.group import (FOLDER, entry_rows, folder_entries, folder_entries_both, group_cases, measured,
+                                        ordered_concat)
+from caseledger.plans.scans import classified_scan, listing_run, scan_pair, upsert_run
 from caseledger.sources.hierarchy import hierarchy_by_path, tree_by_parent
 from caseledger.sources.listing import first_listed_clients, read_listing
 from conftest import listing_rows
@@ -38,21 +39,51 @@ def test_two_upsert_runs_update_the_last_row(spark, tmp_path):
     assert third.count() == 41 and new["upsert_status"] == "appended" and new["row_order"]["run"] == 1
 
 
-def test_a_hot_folder_is_spread_and_gives_the_same_records(spark):
+def _big_case_files(spark):
     rows = [("r", "A-1 Ann", "A001-001 Hot 123456 C05", f"f{i % 300:03d}.pdf") for i in range(600)]
     rows += [("r", "A-1 Ann", f"A{i:03d}-002 Name 123456 C05", "a.pdf") for i in range(400)]
-    cf = _case_files(spark, rows).repartition(4)
-    assert has_hot_group(cf, files=500) and has_hot_group(cf, folders=100) and not has_hot_group(cf)
-    plain = sorted(map(tuple, group_cases(cf).collect()))
-    assert plain == sorted(map(tuple, group_cases(cf, split_hot=True).collect()))
-    parts = cf.withColumn("_tie", F.monotonically_increasing_id() % 7) \
-        .repartitionByRange(4, "root", "client_folder", "case_folder", "file_path", "_tie") \
-        .where(F.col("case_folder").startswith("A001-001")).select(F.spark_partition_id()).distinct().count()
-    assert parts > 1
-    assert sorted(r["files_text"] for r in folder_entries(cf, split_hot=True).collect()) == \
-        sorted(r["files_text"] for r in folder_entries(cf).collect())
-    a = classified_scan(cf, RULES, split_hot=None).collect()
-    assert sorted(map(str, a)) == sorted(map(str, classified_scan(cf, RULES, split_hot=True).collect()))
+    rows += [("r", "B-2 Bob", f"unparsed {i:03d}", f"u{i}.pdf") for i in range(200)]
+    return _case_files(spark, rows).repartition(4)
+
+
+@pytest.mark.parametrize("mode", ["strict", "deep", "token"])
+def test_heavy_folders_and_keys_are_found_in_the_same_scan(spark, mode):
+    cf = _big_case_files(spark)
+    rows, heavy, most = measured(entry_rows(cf, mode), FOLDER, 500, client=["root", "client_folder"])
+    assert heavy == ["=r\x00=A-1 Ann\x00=A001-001 Hot 123456 C05"] and most == {"client": 1000}
+    assert rows.count() == 1200
+    plain = sorted(map(tuple, group_cases(cf, mode=mode, split_hot=False).collect()))
+    for args in ({"hot_files": 500}, {"hot_folders": 100}, {"hot_files": 500, "hot_folders": 100}, {"split_hot": True}, {}):
+        assert sorted(map(tuple, group_cases(cf, mode=mode, **args).collect())) == plain, args
+    texts = sorted(r["files_text"] for r in folder_entries(cf, mode, split_hot=True).collect())
+    assert texts == sorted(r["files_text"] for r in folder_entries(cf, mode).collect())
+
+
+def test_a_hot_folder_spans_tasks_and_equal_rows_are_counted(spark):
+    cf = _big_case_files(spark)
+    rows = entry_rows(cf).where(F.col("case_folder").startswith("A001-001"))
+    once = rows.groupBy(*FOLDER, "path", "stem", "ext").count()
+    assert once.count() == 300
+    parts = once.repartitionByRange(4, *FOLDER, "path", "stem", "ext")
+    assert parts.select(F.spark_partition_id()).distinct().count() == 4
+    again = [sorted(map(tuple, parts.withColumn("p", F.spark_partition_id()).collect())) for _ in range(2)]
+    assert again[0] == again[1]
+    many = rows.unionByName(rows).unionByName(rows)  # a folder of equal rows
+    got = ordered_concat(many, FOLDER, "path", ["stem"], ["kept"], parts=5).first()
+    assert got["stem"].split("\n") == [f"f{i:03d}" for i in range(300) for _ in range(6)]
+    assert got["n_rows"] == got["kept"] == 1800
+
+
+def test_runs_split_hot_groups_or_not(spark):
+    cf = _big_case_files(spark)
+    a = sorted(map(str, classified_scan(cf, RULES).collect()))
+    for split in (True, False):
+        assert a == sorted(map(str, classified_scan(cf, RULES, split_hot=split).collect()))
+    pairs = [[sorted(map(str, d.collect())) for d in scan_pair(cf, RULES, split_hot=split)] for split in (None, False, True)]
+    assert pairs[0][0] == a and pairs[0] == pairs[1]
+    assert [len(x) for x in pairs[2]] == [len(x) for x in pairs[0]]
+    both = sorted(map(str, folder_entries_both(cf).collect()))
+    assert both == sorted(map(str, folder_entries_both(cf, hot_files=500).collect()))
 
 
 PATTERNS = [(r"(?P<my_name>ACK)", "an ACK"), (r"(?P<a_1>x)-(?P=a_1)", "x-x"), (r"[[]x", "a[x"), (r"[a&&b]", "&"),

@@ -305,7 +305,8 @@ def q_inventory_report(spark, sf):
 
 
 def q_duplicate_tm(spark, sf):
-    cases = R.inventory(_listing(spark, sf, True))[1]
+    folders = materialize(L.folders_only(_listing(spark, sf)))  # files play no part
+    cases = R.inventory(folders)[1]
     return R.duplicate_tm(cases).select("tm_no", "folders", "root", "client_id", "case_folder")
 
 

@@ -51,7 +51,11 @@ def compare_exports(a: DataFrame, b: DataFrame, key=COMPARE_KEY,
     cols = [c for c in a.columns if c in b.columns and c not in key and c not in exclude]
 
     def prints(df, tag):
-        total = lambda *cs: F.sum(F.xxhash64(*cs).cast("decimal(20,0)"))
+        def total(*cs):
+            # both halves of a 64-bit hash, as sums of plain longs
+            h = F.xxhash64(*cs)
+            return F.struct(F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+                            F.sum(F.shiftrightunsigned(h, 32)).alias("high"))
         return df.groupBy(*key).agg(
             F.count("*").alias(f"n_{tag}"), total(F.lit(1), *[_q(c) for c in cols]).alias(f"row_{tag}"),
             *[total(_q(c)).alias(f"{tag}{i}") for i, c in enumerate(cols)])

@@ -49,50 +49,50 @@ def upsert_cases(existing: DataFrame, incoming: DataFrame, key: str = "case_no",
     ``order_by`` must be unique per key inside each table. With
     ``keep_position`` the order columns are a row position: a replaced row
     keeps E's position. Without it they are data columns and come from I.
-    The incoming batch is read four times by the plan, so by default it is
-    checkpointed once into the shared checkpoint folder.
+    One small table of the keys that both sides hold says all that the rest needs:
+    each side's last position, and what a replaced row hands on. It is stored, and
+    each side is joined with it once. The incoming batch is read twice, so by default
+    it is stored first.
     """
+    from ..session import materialize
     if materialize_incoming:
-        from ..session import materialize
         incoming = materialize(incoming)
-    order = F.struct(*[_q(c) for c in order_by])
     k = F.coalesce(trimmed(_q(key)), F.lit(""))
+    order = F.struct(*[_q(c) for c in order_by])
     e = existing.withColumn("_k", k).withColumn("_ord", order)
     i = incoming.withColumn("_k", k).withColumn("_ord", order)
-    # blank keys match nothing: they pass by the joins, so no task gets them all
-    e_blank, e = e.where(F.col("_k") == ""), e.where(F.col("_k") != "")
-    i_blank, i = i.where(F.col("_k") == ""), i.where(F.col("_k") != "")
-    has_date = date_col in existing.columns
-    e_last = e.groupBy("_k").agg(
-        F.max("_ord").alias("_e_ord"),
-        (F.max_by(_q(date_col), F.col("_ord")) if has_date else F.lit(None)).alias("_e_date"))
-    # One I row per matched key: the last one. Only keys and positions are
-    # aggregated; the row itself is fetched by a join on both.
-    i_cols = [c for c in incoming.columns]
-    i_tagged = i.join(e_last, "_k", "left")
-    matched = i_tagged.where(F.col("_e_ord").isNotNull())
-    i_last = i.groupBy("_k").agg(F.max("_ord").alias("_i_ord"))
-    winners = matched.join(i_last.withColumnRenamed("_k", "_ik"),
-                           (F.col("_k") == F.col("_ik")) & (F.col("_ord") == F.col("_i_ord"))) \
-        .select("_k", F.struct(*[_q(c).alias(c) for c in i_cols]).alias("_row"), "_e_ord", "_e_date")
-    # E-only columns (and E's position) of the replaced row are kept.
+    i_cols = list(incoming.columns)
+    # E-only columns, E's position and E's date of the replaced row are kept
     pos_cols = list(order_by) if keep_position else []
-    e_take = [c for c in existing.columns if c not in i_cols or c in pos_cols]
-    last_rows = winners.select(F.col("_k").alias("_wk"), F.col("_e_ord").alias("_wo"))
-    is_last = (F.col("_k") == F.col("_wk")) & (F.col("_ord") == F.col("_wo"))
-    replaced = e.join(last_rows, is_last, "left_semi")
-    updated = winners.join(replaced.select("_k", *[_q(c).alias(f"_e_{c}") for c in e_take]), "_k")
-    updated = updated.select(
-        *[(F.coalesce("_e_date", F.col("_row")[date_col]) if c == date_col else F.col("_row")[c]).alias(c)
-          for c in i_cols if c not in e_take],
-        *[F.col(f"`_e_{c}`").alias(c) for c in e_take],
-        F.lit(UPDATED).alias("upsert_status"))
-    untouched = e.join(last_rows, is_last, "left_anti").unionByName(e_blank) \
-        .drop("_k", "_ord").withColumn("upsert_status", F.lit(UNTOUCHED))
-    appended = i_tagged.where(F.col("_e_ord").isNull()).select(*[_q(c) for c in i_cols]).unionByName(
-        i_blank.select(*[_q(c) for c in i_cols])).withColumn("upsert_status", F.lit(APPENDED))
-    return untouched.unionByName(updated, allowMissingColumns=True) \
-        .unionByName(appended, allowMissingColumns=True)
+    hand_on = [c for c in existing.columns if c not in i_cols or c in pos_cols or c == date_col]
+    kept = F.struct(F.lit(True).alias("_"), *[_q(c).alias(c) for c in hand_on])
+    # blank keys match nothing
+    e_last = e.where(F.col("_k") != "").select("_k", "_ord", kept.alias("_kept")) \
+        .groupBy("_k").agg(F.max(F.struct("_ord", "_kept")).alias("_e")) \
+        .select("_k", F.col("_e._ord").alias("_e_ord"), F.col("_e._kept").alias("_e_kept"))
+    i_last = i.where(F.col("_k") != "").groupBy("_k").agg(F.max("_ord").alias("_i_ord"))
+    both = materialize(e_last.join(i_last, "_k"))
+    # blank keys pass by the joins, so no task gets them all
+    untouched = e.where(F.col("_k") != "").join(both.select("_k", "_e_ord"), "_k", "left") \
+        .where(F.col("_e_ord").isNull() | (F.col("_ord") != F.col("_e_ord"))).drop("_e_ord") \
+        .unionByName(e.where(F.col("_k") == "")).drop("_k", "_ord").withColumn("upsert_status", F.lit(UNTOUCHED))
+    tagged = i.where(F.col("_k") != "").join(both, "_k", "left") \
+        .where(F.col("_e_ord").isNull() | (F.col("_ord") == F.col("_i_ord")))
+    met = F.col("_e_ord").isNotNull()
+
+    def value(c):
+        old = F.col("_e_kept").getField(c)
+        if c not in i_cols:
+            return old  # null for appended rows
+        if c in pos_cols:
+            return F.when(met, old).otherwise(_q(c))
+        return F.when(met, F.coalesce(old, _q(c))).otherwise(_q(c)) if c in hand_on else _q(c)
+
+    names = i_cols + [c for c in hand_on if c not in i_cols]
+    new = tagged.select(*[value(c).alias(c) for c in names],
+                        F.when(met, F.lit(UPDATED)).otherwise(F.lit(APPENDED)).alias("upsert_status"))
+    blank = i.where(F.col("_k") == "").select(*[_q(c) for c in i_cols]).withColumn("upsert_status", F.lit(APPENDED))
+    return untouched.unionByName(new, allowMissingColumns=True).unionByName(blank, allowMissingColumns=True)
 
 
 def upsert_counts(existing: DataFrame, incoming: DataFrame, key: str = "case_no") -> DataFrame:

@@ -22,6 +22,7 @@ from caseledger.operators import export as X
 from caseledger.operators import reports as R
 from caseledger.operators import upsert as U
 from caseledger.operators.group import group_cases, record_counts
+from caseledger.operators.positions import row_positions
 from caseledger.plans.scans import (classified_scan, export_run, listing_run, scan_pair, token_scan,
                                     upsert_run)
 from caseledger.schema import KEY
@@ -37,6 +38,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 LIMIT_N = 100
 FIRST_CLIENTS_N = 50
 TOP_K = 10
+RUN_ORDER = ["client_number", "case_no", "client_name", "case_name", "tm_no", "class_code", "root"]
 CF_COLS = ["root", "client_folder", "case_folder", "file_name", "file_path", "entry_is_folder"]
 ORDER = ["root", "client_number", "case_no", "client_name", "case_name", "tm_no", "class_code"]
 
@@ -345,6 +347,16 @@ def q_sort_records(spark, sf):
     return X.sort_records(_scan_cols(classified_scan(_cf(spark, sf))))
 
 
+#: Row 1 of a sheet is its header.
+FIRST_ROW = 2
+
+
+def q_row_positions(spark, sf):
+    """The number each record has in the sorted sheet."""
+    recs = classified_scan(_cf(spark, sf)).select("root", *KEY, "files")
+    return row_positions(recs, RUN_ORDER, "row", FIRST_ROW)
+
+
 def q_upsert_cases(spark, sf):
     e, i = scan_pair(_cf(spark, sf))
     return U.upsert_cases(materialize(_scan_cols(e)), _scan_cols(i), key="case_no",
@@ -439,6 +451,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "export_projection": q_export_projection,
     "quick_export": q_quick_export,
     "sort_records": q_sort_records,
+    "row_positions": q_row_positions,
     "csv_round_trip": q_csv_round_trip,
     "classify_entries": q_classify_entries,
     "upsert_cases": q_upsert_cases,
@@ -766,6 +779,8 @@ select cf.* from cf join (select root, client_folder from (
         "export_projection": export,
         "quick_export": quick,
         "sort_records": two + "select * from sa",
+        "row_positions": two + f"""select root, {key}, files,
+  row_number() over (order by {', '.join(RUN_ORDER)}) + {FIRST_ROW - 1} as row from sa""",
         "csv_round_trip": two + "select root, " + key + ", files, ext, " + ", ".join(
             f'case when "{n}" then \'True\' else \'False\' end as "{n}"' for n in O.RULE_NAMES)
         + ", date_added, updated_on from sa",

@@ -43,8 +43,8 @@ FOLDER = ["root", "client_folder", "case_folder"]
 #: Rows of a folder, and folders of a key, beyond which it is spread over tasks.
 HOT_FILES, HOT_FOLDERS = 250_000, 100_000
 #: Frequent keys a sketch reports, and items it tracks: a key is missed only if it
-#: holds fewer than about one in 75,000 of all rows.
-TOP_KEYS, TRACKED = 1000, 100_000
+#: holds fewer than about one in 7500 of all rows.
+TOP_KEYS, TRACKED = 1000, 10_000
 
 
 def _folder_path() -> Column:

@@ -3,7 +3,7 @@
 The vocabulary file's pieces are a byte trie in two arrays. All positions of a
 block of texts walk it at once, which yields every piece that fits; then the best
 score of each position is found from left to right, over all chunks of the block
-together. A chunk is a run of blanks and what follows up to the next blank: no
+together; a chunk of more than a few thousand bytes by itself. A chunk is a run of blanks and what follows up to the next blank: no
 piece has a blank after another character, so chunks are independent, and equal
 chunks of a block are solved once.
 
@@ -39,6 +39,8 @@ MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Text that is encoded at once, and rows that are decoded at once.
 BLOCK_BYTES, BLOCK_ROWS = 1 << 20, 512
+#: A chunk of more bytes is solved by itself, so many bytes of matches at a time.
+LONG_CHUNK, WINDOW = 2048, 1 << 16
 
 
 class Vocabulary(NamedTuple):
@@ -158,9 +160,10 @@ def matches(v: Vocabulary, data: np.ndarray, end: np.ndarray) -> tuple[np.ndarra
     return np.concatenate(starts), np.concatenate(ends), np.concatenate(ids)
 
 
-def solve(v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the best pieces of the chunks ``data[start:end]``, which follow each
-    other without gaps, and the number of ids of each chunk."""
+def _solve_together(v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Id of the best piece that starts at each byte (-1 for none) of the chunks
+    ``data[start:end]``, which follow each other without gaps: one step for each
+    place in the longest chunk, all chunks at once."""
     n, long = len(data), end - start
     a, b, piece = matches(v, data, np.repeat(end, long))
     score = np.where(piece >= 0, v.scores[piece], v.unknown)
@@ -194,6 +197,57 @@ def solve(v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray) -
             out[i:j] = v.bytes_ids[data[i:j]]
         going = s > left
         pos, left = s[going], left[going]
+    return out
+
+
+def _solve_alone(v: Vocabulary, data: np.ndarray) -> np.ndarray:
+    """The same for one long chunk: matches of a window at a time, each taken once,
+    from left to right."""
+    n, reach = len(data), max(4, max(map(len, v.pieces)))
+    length, by = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int64)
+    best = [0.0] + [-np.inf] * reach  # from the window's begin on
+    for at in range(0, n, WINDOW):
+        d = data[at:at + WINDOW + reach]
+        best += [-np.inf] * (len(d) + 1 - len(best))
+        a, b, piece = matches(v, d, np.full(len(d), len(d)))
+        order = np.argsort(a, kind="stable")
+        order = order[a[order] < WINDOW]
+        a, b, piece = a[order], b[order], piece[order]
+        score = np.where(piece >= 0, v.scores[piece], v.unknown)
+        for s, e, c, p in zip(a.tolist(), b.tolist(), score.tolist(), piece.tolist()):
+            total = best[s] + c
+            if total > best[e]:  # of equal ones the first, which is the longest
+                best[e] = total
+                length[at + e] = e - s
+                by[at + e] = p
+        best = best[WINDOW:]
+    out = np.full(n, -1, np.int64)
+    e = n
+    while e > 0:
+        s = e - int(length[e])
+        out[s:e] = -1
+        if by[e] >= 0:
+            out[s] = by[e]
+        else:
+            out[s:e] = v.bytes_ids[data[s:e]]
+        e = s
+    return out
+
+
+def solve(v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the best pieces of the chunks ``data[start:end]``, which follow each
+    other without gaps, and the number of ids of each chunk."""
+    long = end - start
+    out = np.full(len(data), -1, np.int64)
+    few = np.flatnonzero(long <= LONG_CHUNK)
+    if len(few) == len(long):
+        out = _solve_together(v, data, start, end)
+    else:
+        at = _ranges(start[few], long[few])
+        ends = np.cumsum(long[few])
+        out[at] = _solve_together(v, data[at], ends - long[few], ends)
+        for k in np.flatnonzero(long > LONG_CHUNK):
+            out[start[k]:end[k]] = _solve_alone(v, data[start[k]:end[k]])
     held = np.r_[0, np.cumsum(out >= 0)]
     return out[out >= 0].astype(np.int32), held[end] - held[start]
 

@@ -6,7 +6,8 @@ the distinct words it holds (hashed); the document's score is their noisy-or,
 the noisy-or, and the trained sentence scores locate the offending sentences.
 
 Cases: null and empty texts have no sentence and score 0. Repeated words count
-once in a sentence. Repeated rows are judged each. With no labelled rows, or
+once in a sentence. Repeated rows are judged each. Texts of any length are taken
+whole, in time linear in it. With no labelled rows, or
 labels of one kind only, every score is 0 or the prior bias of the sentences.
 """
 
@@ -178,13 +179,14 @@ def _score(batch: pa.Array, model: Model, locate: bool):
         if locate:
             found: list[list[dict]] = [[] for _ in range(n)]
             last = np.r_[first[1:], len(w.start)] - 1
-            for k in np.flatnonzero(p >= SENTENCE_THRESHOLD):
+            bad = np.flatnonzero(p >= SENTENCE_THRESHOLD)
+            # code points before each byte, counted once for the block
+            before = np.r_[0, np.cumsum((w.data & 0xC0) != 0x80)] if len(bad) else np.zeros(0, np.int64)
+            for k in bad:
                 r = row[k]
-                text = w.data[w.offsets[r]:w.offsets[r + 1]].tobytes()
-                a, b = w.start[first[k]] - w.offsets[r], w.end[last[k]] - w.offsets[r]
-                a = len(text[:a].decode("utf-8", "ignore"))
-                found[r].append({"start": a, "end": a + len(text[w.start[first[k]] - w.offsets[r]:b].decode("utf-8", "ignore")),
-                                 "score": float(p[k])})
+                base = before[w.offsets[r]]
+                found[r].append({"start": int(before[w.start[first[k]]] - base),
+                                 "end": int(before[w.end[last[k]]] - base), "score": float(p[k])})
             spans += found
     return np.concatenate(scores) if scores else np.zeros(0), spans
 

@@ -171,7 +171,7 @@ def encode(packed: DataFrame, codebooks: np.ndarray) -> DataFrame:
 def compress(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label",
              parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> Coded:
     """Code all usable vectors; codebooks start as the parts of the rows of least id."""
-    rows = whole_numbers(vectors, vec_id, embedding, label, parts, scale)
+    rows = materialize(whole_numbers(vectors, vec_id, embedding, label, parts, scale))
     least = rows.where(F.col("id").isNotNull()).orderBy("id", "v")
     first = least.select("v").first()
     dim = len(first["v"]) if first else parts

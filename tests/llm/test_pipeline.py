@@ -22,6 +22,9 @@ WANT = {
     "op8_url_filter": ["page_id", "host", "path", "rule", "verdict"],
     "op9_nearest": ["query_id", "rank", "vec_id", "score"],
     "op10_personal_data": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op11_vector_codes": ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
+    "op12_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    "op13_phrases": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
 }
 
 
@@ -30,12 +33,14 @@ def test_names():
     assert sorted(names) == sorted([*WANT, "pipeline"])
 
 
-@pytest.mark.parametrize("name", ["op2_language_id", "op3_toxicity", "op7_mix_sources", "op10_personal_data"])
+@pytest.mark.parametrize("name", ["op2_language_id", "op3_toxicity", "op5_pieces", "op7_mix_sources", "op10_personal_data",
+                                  "op11_vector_codes", "op12_token_counts", "op13_phrases"])
 def test_query_columns(spark, name):
     out = E.queries()[name](spark, SF)
     assert out.columns[:len(WANT[name])] == WANT[name]
-    if name != "op7_mix_sources":
-        assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    table = {"op11_vector_codes": "embeddings", "op7_mix_sources": None, "op13_phrases": None}.get(name, "documents")
+    if table:
+        assert out.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
 def test_stages(spark, tmp_path):

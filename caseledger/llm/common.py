@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseledger.session import materialize
+
 #: A row is held out when crc32 of its id as text leaves this remainder.
 FOLDS = 5
 HELD_OUT = 0
@@ -31,17 +33,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores added until no column of ``df`` has it
+    (Spark's names ignore case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def bounded_rows(df: DataFrame, label: str, per_label: int, key: str = "doc_id") -> DataFrame:
     """At most about ``per_label`` rows of each label value (the bound holds in
     expectation), chosen by a hash of ``key``, so the choice is repeatable and
-    needs no sort. Every row stays when a label has fewer. Null labels go."""
+    needs no sort. Every row stays when a label has fewer. Null labels go. The
+    counts of the label values are joined, however many there are."""
     df = df.where(F.col(label).isNotNull())
-    counts = df.groupBy(label).agg(F.count("*").alias("n")).collect()  # a row a label
+    n, = free_names(df, "_n")
+    counts = materialize(df.groupBy(label).agg(F.count("*").alias(n)))  # its size is known, so a small one is broadcast
     part = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 20))
-    chosen = F.lit(False)
-    for r in counts:
-        chosen |= (F.col(label) == r[label]) & (part * r["n"] < per_label << 20)
-    return df.where(chosen)
+    return df.join(counts, label).where(part * F.col(n) < per_label << 20).select(*df.columns)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseledger.llm.common import free_names
 from caseledger.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -33,8 +35,6 @@ MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.8
 #: An entity is known when its patterns' noisy-or reaches this.
 MIN_ENTITY = 0.9
-#: Characters of a token that is taken whole, and of context on either side.
-MAX_TOKEN = 64
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,7 +44,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _MARK = re.compile(r"[0-9@]")
-_TOKEN_END = re.compile(r"\S*")
+_SIGNS = _LOCAL | {"@"}
 _PIECE = re.compile(r"[A-Za-z0-9@._%+-]+")
 
 Span = tuple[str, int, int]
@@ -92,29 +92,21 @@ def base_spans(text: str) -> list[Span]:
 
 
 def tokens_like_identifiers(text: str) -> Iterator[tuple[int, int]]:
-    """Tokens that hold a digit or an @, without the punctuation around them. Of
-    a run of more than MAX_TOKEN characters, its pieces of ASCII letters, digits
-    and signs of addresses, of any length."""
+    """Runs of ASCII letters, digits and signs of addresses that hold a digit or
+    an @, of any length, without the stops around them."""
+    done = 0
     m = _MARK.search(text)
     while m:
-        at = m.start()
-        before = text[max(0, at - MAX_TOKEN):at]
-        head = "" if not before or before[-1].isspace() else before.split()[-1]
-        end = _TOKEN_END.match(text, at).end()
-        if len(head) < MAX_TOKEN and end - at + len(head) <= MAX_TOKEN:
-            found = [(at - len(head), end)]
-        else:
-            start = at
-            while start and not text[start - 1].isspace():
-                start -= 1
-            found = [p.span() for p in _PIECE.finditer(text, start, end) if _MARK.search(p[0])]
-        for a, b in found:
-            token = text[a:b]
-            a += len(token) - len(token.lstrip("\"'([{<,;:."))
-            b -= len(token) - len(token.rstrip("\"')]}>,;:.!?"))
-            if a < b:
-                yield a, b
-        m = _MARK.search(text, end)
+        a = m.start()
+        while a > done and text[a - 1] in _SIGNS:
+            a -= 1
+        done = b = _PIECE.match(text, m.start()).end()
+        while text[a] == ".":
+            a += 1
+        while text[b - 1] == ".":
+            b -= 1
+        yield a, b
+        m = _MARK.search(text, done)
 
 
 def form(entity: str) -> str:
@@ -126,12 +118,75 @@ def form(entity: str) -> str:
     return "number" if not letters and digits else "mixed"
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
+def _words(text: str, start: int, end: int, n: int, last: bool) -> list[str]:
+    """The first or last ``n`` words of a stretch, each of them whole, read from a
+    window that grows until it holds a further word or all of the stretch."""
+    size = 64
+    while True:
+        lo, hi = (max(start, end - size), end) if last else (start, min(end, start + size))
+        got = text[lo:hi].split()
+        if len(got) > n or (lo, hi) == (start, end):
+            return got[-n:] if last else got[:n]
+        size *= 4
+
+
+class Contexts:
+    """Words beside the spans of a text. Words end at blanks and at the borders of
+    other spans, so the work is in proportion to the text, however many spans
+    stand in one run. Overlapping spans share a context."""
+
+    def __init__(self, text: str, spans: list[tuple[int, int]]):
+        self.text = text
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+        self.left: dict[int, list[str]] = {}
+        self.right: dict[int, list[str]] = {}
+
+    def beside(self, start: int) -> tuple[list[str], list[str]]:
+        """At most two words before and one after the span that starts there."""
+        i = bisect_right(self.starts, start) - 1
+        if i not in self.left:
+            self.left[i], self.right[i] = self._before(i, 2), self._after(i)
+        return self.left[i], self.right[i]
+
+    def _before(self, i: int, n: int) -> list[str]:
+        words: list[str] = []
+        end = self.starts[i]
+        while i >= 0 and len(words) < n:
+            gap = self.ends[i - 1] if i else 0
+            words = _words(self.text, gap, end, n - len(words), True) + words
+            i -= 1
+            if i >= 0 and len(words) < n:
+                words = _words(self.text, self.starts[i], self.ends[i], n - len(words), True) + words
+                end = self.starts[i]
+        return [_word(w) for w in words]
+
+    def _after(self, i: int) -> list[str]:
+        last = i + 1 == len(self.starts)
+        words = _words(self.text, self.ends[i], len(self.text) if last else self.starts[i + 1], 1, False)
+        if not words and not last:
+            words = _words(self.text, self.starts[i + 1], self.ends[i + 1], 1, False)
+        return [_word(w) for w in words]
+
+
+def _word(word: str) -> str:
+    """A word in lower case; a digest of the whole stands for one of more than 64
+    characters, with its last character, so patterns stay short."""
+    word = word.lower()
+    return word if len(word) <= 64 else f"<{entity_key(word) & 0xFFFFFFFFFFFFFFFF:016x}>{word[-1]}"
+
+
+def patterns(text: str, start: int, end: int, contexts: Contexts | None = None) -> list[str]:
     """Lexical patterns of a span: the two words before it, the word before and
     after, each with the entity's form. Fewer at the borders of a text."""
     kind = form(text[start:end])
-    left = text[max(0, start - MAX_TOKEN):start].lower().split()[-2:]
-    right = text[end:end + MAX_TOKEN].lower().split()[:1]
+    left, right = (contexts or Contexts(text, [(start, end)])).beside(start)
     out = []
     if len(left) == 2:
         out.append(f"{left[0]} {left[1]} <{kind}>")
@@ -171,8 +226,9 @@ def observe(text: str) -> tuple[list[dict], list[dict]]:
             i += 1
         if a >= reach:
             seen.append((None, a, b))
+    contexts = Contexts(text, [(a, b) for _, a, b in seen])
     return ([{"kind": k, "start": a, "end": b} for k, a, b in spans],
-            [{"kind": k, "start": a, "end": b, "entity": entity_key(text[a:b].lower()), "patterns": patterns(text, a, b)}
+            [{"kind": k, "start": a, "end": b, "entity": entity_key(text[a:b].lower()), "patterns": patterns(text, a, b, contexts)}
              for k, a, b in seen])
 
 
@@ -293,9 +349,11 @@ def redact(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     seen = extracted.select(F.explode("seen").alias("o")).select("o.kind", "o.entity", "o.patterns")
     learned = materialize(_renamed(discover(extracted, confident_patterns(seen))))
     names = docs.columns
-    src = docs.withColumn("_pii_text_key", text_key(text))
-    src = src.join(learned, src[doc_id].eqNullSafe(learned["_pii_id"]) & (src["_pii_text_key"] == learned["_pii_key"]),
-                   "left").select(*names, "_pii_spans")
+    row, spans = free_names(docs, "_row", "_spans")
+    src = docs.select(F.struct("*").alias(row), F.col(doc_id).alias("_pii_doc"), text_key(text).alias("_pii_text_key"))
+    src = src.join(learned.withColumnRenamed("_pii_spans", spans),
+                   F.col("_pii_doc").eqNullSafe(F.col("_pii_id")) & (F.col("_pii_text_key") == F.col("_pii_key")),
+                   "left").select(f"{row}.*", spans)
 
     def run(batches):
         at = names.index(text)

@@ -11,11 +11,14 @@ part of one. Each epoch is a permutation by hash. The mixed stream is a sequence
 of blocks; each takes from every source its weight's share of the block's
 tokens, in the order of the source's epochs, and permutes what it has taken.
 
-Running totals are taken in buckets of bounded tokens, then over the few totals
-of buckets, so no task holds a whole source.
+Running totals are taken on three levels: inside buckets of bounded tokens, over
+the buckets of a group, and over the totals of groups, so no task holds a whole
+source. Blocks are of one size however large the input is.
 
 Cases: null is a source of its own; a null or empty text counts as one token.
-Rows with equal ids are rows of their own. An empty table gives no rows.
+Rows with equal ids are rows of their own; rows that tie in an order's hash follow
+by id and length. An empty table gives no rows. ``apply`` returns all columns
+whatever their names.
 DataFrame expressions only.
 """
 
@@ -29,10 +32,11 @@ from pyspark.sql import functions as F
 
 from caseledger.session import materialize
 
-#: Tokens of a mixed block and of a bucket of a source's permutation; both grow
-#: so that no more than MAX_BLOCKS arise.
+#: Tokens of a mixed block. A bucket of a source's permutation holds what the
+#: source gives to about one block.
 BLOCK_TOKENS = 1 << 17
-MAX_BLOCKS = 100_000
+#: Buckets whose running totals one group holds; the groups' totals are summed apart.
+BUCKET_GROUP = 4096
 _HALVINGS, _JOBS = 5, 5
 
 
@@ -104,13 +108,13 @@ def plan(docs: DataFrame, entropy: float | None = None, repetitions: float | Non
     if whole_epochs:  # the largest source is the least repeated: once
         budget = most * z / (most / whole) ** exponent if whole else 0.0
     budget = float(whole if budget is None else budget)
-    block = max(float(BLOCK_TOKENS), max(whole, budget) / MAX_BLOCKS)
+    block = float(BLOCK_TOKENS)
     quota = F.col("weight") * budget
     epochs = F.floor(quota / F.col("tokens") + 1e-9)
     sources = (raw.withColumn("weight", F.col("x") / z)
                .select("_s", "tokens", "weight", quota.alias("quota"), epochs.alias("epochs"),
                        F.greatest(quota - epochs * F.col("tokens"), F.lit(0.0)).alias("rest"),
-                       F.ceil(F.col("tokens") / block).alias("buckets")))
+                       F.ceil(F.col("tokens") / (F.col("weight") * block)).alias("buckets")))
     return Mix(counts, materialize(sources), exponent, budget, block)
 
 
@@ -128,8 +132,13 @@ def draw(mix: Mix, seed: int = 1) -> DataFrame:
         .withColumn("bucket", F.floor(F.col("place") * F.col("buckets")))
     rows = rows.where((F.col("epoch") < F.col("epochs")) | (F.col("rest") > 0))
     sums = rows.groupBy("_s", "epoch", "bucket").agg(F.sum("n_tokens").alias("t"))
-    before = sums.select("_s", "epoch", "bucket", (F.sum("t").over(
-        Window.partitionBy("_s", "epoch").orderBy("bucket")) - F.col("t")).alias("before"))
+    sums = sums.withColumn("group", F.floor(F.col("bucket") / BUCKET_GROUP))
+    groups = sums.groupBy("_s", "epoch", "group").agg(F.sum("t").alias("gt"))
+    groups = groups.select("_s", "epoch", "group", (F.sum("gt").over(
+        Window.partitionBy("_s", "epoch").orderBy("group")) - F.col("gt")).alias("first"))
+    near = F.sum("t").over(Window.partitionBy("_s", "epoch", "group").orderBy("bucket")) - F.col("t")
+    before = sums.withColumn("near", near).join(groups, ["_s", "epoch", "group"]) \
+        .select("_s", "epoch", "bucket", (F.col("first") + F.col("near")).alias("before"))
     inside = Window.partitionBy("_s", "epoch", "bucket").orderBy("place", "doc_id", "n_tokens") \
         .rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum("n_tokens").over(inside)).join(before, ["_s", "epoch", "bucket"])
@@ -143,8 +152,8 @@ def draw(mix: Mix, seed: int = 1) -> DataFrame:
 
 
 def blocked(docs: DataFrame, mix: Mix, seed: int = 1, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as they are drawn, with _mix_epoch and
-    _mix_block. A row finds its epochs from a small table of sources: the place at
+    """The rows of ``docs`` as often as they are drawn, each whole as the struct
+    _mix_row, with _mix_id, _mix_epoch and _mix_block. A row finds its epochs from a small table of sources: the place at
     which the part epoch ends. Its block is the drawn one, from a table of the
     places at which blocks start in each bucket of an epoch; rows of equal ids
     share a place, and so the last block drawn for it."""
@@ -159,19 +168,21 @@ def blocked(docs: DataFrame, mix: Mix, seed: int = 1, doc_id: str = "doc_id", so
               .agg(F.min("place").alias("place"))
               .groupBy("_s", "epoch", "bucket").agg(F.collect_list(F.struct("place", "block")).alias("_mix_starts")))
     starts = materialize(starts).toDF("_mix_s", "_mix_epoch", "_mix_bucket", "_mix_starts")
-    rows = docs.withColumn("_mix_s", source_key(F.col(source))).join(small, "_mix_s")
+    # the given columns travel in a struct, so their names are free
+    rows = docs.select(F.struct("*").alias("_mix_row"), F.col(doc_id).alias("_mix_id"),
+                       source_key(F.col(source)).alias("_mix_s")).join(small, "_mix_s")
     rows = rows.withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix.epochs")))) \
-        .withColumn("_mix_place", _place(doc_id, F.col("_mix_epoch"), seed))
+        .withColumn("_mix_place", _place("_mix_id", F.col("_mix_epoch"), seed))
     rows = rows.where((F.col("_mix_epoch") < F.col("_mix.epochs")) | (F.col("_mix_place") <= F.col("_mix.end"))) \
         .withColumn("_mix_bucket", F.floor(F.col("_mix_place") * F.col("_mix.buckets")))
     rows = rows.join(starts, ["_mix_s", "_mix_epoch", "_mix_bucket"])
     block = F.array_max(F.filter("_mix_starts", lambda x: x["place"] <= F.col("_mix_place")))["block"]
-    return rows.select(*docs.columns, "_mix_epoch", block.alias("_mix_block"))
+    return rows.select("_mix_row", "_mix_id", "_mix_epoch", block.alias("_mix_block"))
 
 
 def apply(docs: DataFrame, mix: Mix, seed: int = 1, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as they are drawn, written block by block, in
     a permuted order inside each block."""
     rows = blocked(docs, mix, seed, doc_id, source) \
-        .withColumn("_mix_order", F.xxhash64(F.col(doc_id), "_mix_epoch", "_mix_block", F.lit(seed)))
-    return rows.repartition("_mix_block").sortWithinPartitions("_mix_block", "_mix_order").select(*docs.columns)
+        .withColumn("_mix_order", F.xxhash64("_mix_id", "_mix_epoch", "_mix_block", F.lit(seed)))
+    return rows.repartition("_mix_block").sortWithinPartitions("_mix_block", "_mix_order").select("_mix_row.*")

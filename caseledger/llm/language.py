@@ -184,14 +184,14 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text",
              keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with ``lang_pred`` and ``score`` for every row of ``docs``."""
     src = docs.select(*keep, F.col(text).alias("_text"))
-    schema = T.StructType([src.schema[c] for c in keep]
+    schema = T.StructType([docs.schema[c] for c in keep]
                           + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def judge(batches):
         for b in batches:
-            langs, score = nearest(b.column("_text").to_pylist(), profiles)
+            langs, score = nearest(b.column(len(keep)).to_pylist(), profiles)
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score, pa.float64())],
+                [*(b.column(i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(score, pa.float64())],
                 [*keep, "lang_pred", "score"])
 
     return src.mapInArrow(judge, schema)

@@ -15,7 +15,8 @@ its size.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows without label or id, link with nothing and come back alone.
-Rows with equal ids are rows of their own.
+Rows with equal ids are rows of their own. Other columns are not read, so their
+names can't clash.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ nodes, are the answer, by Euclidean distance in double precision.
 Cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and rows without id, take no part, neither as queries nor as
 candidates. Vectors of another length are no candidates. Rows with equal ids are
-rows of their own as candidates and one query, by the least of their vectors. With fewer candidates than asked for, all found are returned.
+rows of their own as candidates and one query, by the least of their vectors. Other columns are not read, so their names can't clash. With fewer candidates than asked for, all found are returned.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ Cases: a text of fewer than ``size`` words is one n-gram; null texts and texts
 without words have none and link with nothing. Rows with equal ids are rows of
 their own; a null id can link others but names no component. N-grams are told
 apart by 64-bit hashes within a document and by 48 bits and their range between
-documents.
+documents. Other columns play no part; ``drop_similar`` returns them whatever their
+names.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseledger.llm.common import texts_of
+from caseledger.llm.common import free_names
 from caseledger.llm.components import components
 from caseledger.llm.textvec import SPACE, Words, mix, word_blocks
 from caseledger.session import materialize
@@ -447,13 +449,14 @@ def drop_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", pe
     own component, of several texts in one component one stays, and of rows with
     equal id and text one stays."""
     found = materialize(_join(docs, text, doc_id, percent, size).select("doc_id", "key", "first"))
+    gone, gone_key, two = free_names(docs, "_lost", "_lost_key", "_twice")
     lost = found.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("key") != F.col("first.key"))) \
-        .where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_lost"), F.col("key").alias("_lost_key")).distinct()
-    kept = docs.join(lost, (docs[doc_id].cast("long") == F.col("_lost")) & (F.xxhash64(docs[text]) == F.col("_lost_key")), "left_anti")
+        .where("doc_id IS NOT NULL").select(F.col("doc_id").alias(gone), F.col("key").alias(gone_key)).distinct()
+    kept = docs.join(lost, (docs[doc_id].cast("long") == F.col(gone)) & (F.xxhash64(docs[text]) == F.col(gone_key)), "left_anti")
     twice = materialize(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
-                        .select(F.col("doc_id").alias("_twice")))
+                        .select(F.col("doc_id").alias(two)))
     if twice.isEmpty():
         return kept
-    again = kept[doc_id].cast("long") == F.col("_twice")
+    again = kept[doc_id].cast("long") == F.col(two)
     return kept.join(twice, again, "left_anti").unionByName(
         kept.join(twice, again, "left_semi").dropDuplicates([doc_id, text]))

@@ -7,7 +7,9 @@ the noisy-or, and the trained sentence scores locate the offending sentences.
 
 Cases: null and empty texts have no sentence and score 0. Repeated words count
 once in a sentence. Repeated rows are judged each. Texts of any length are taken
-whole, in time linear in it. With no labelled rows, or
+whole, in time linear in it. Words that tie in weight or sentences that tie in score
+keep the order of the text. Columns named in ``keep`` come back whatever their names,
+except those called like ``score`` and ``spans``, which the caller may rename. With no labelled rows, or
 labels of one kind only, every score is 0 or the prior bias of the sentences.
 """
 
@@ -201,7 +203,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", keep: tupl
     ``spans`` is None, the offending sentences (code points, end exclusive)."""
     keep = tuple(docs.columns) if keep is None else keep
     src = docs.select(*keep, F.col(text).alias("_toxicity_text"))
-    fields = [src.schema[c] for c in keep] + [T.StructField(score, T.DoubleType())]
+    fields = [docs.schema[c] for c in keep] + [T.StructField(score, T.DoubleType())]
     names = [*keep, score]
     if spans:
         fields.append(T.StructField(spans, SPAN))
@@ -210,7 +212,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", keep: tupl
 
     def run(batches):
         for b in batches:
-            s, found = _score(b.column("_toxicity_text"), model, bool(spans))
+            s, found = _score(b.column(len(keep)), model, bool(spans))
             out = [*(b.column(i) for i in range(len(keep))), pa.array(s, pa.float64())]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(found, span_type)] if spans else []), names)
 

@@ -134,11 +134,28 @@ def test_apply_puts_rows_in_the_drawn_blocks(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     mix = mixing.plan(docs, repetitions=1.5, whole_epochs=True)
     want = sorted((r["doc_id"], r["epoch"], r["block"]) for r in mixing.draw(mix).collect())
-    got = sorted((r["doc_id"], r["_mix_epoch"], r["_mix_block"]) for r in mixing.blocked(docs, mix).collect())
+    got = sorted((r["_mix_id"], r["_mix_epoch"], r["_mix_block"]) for r in mixing.blocked(docs, mix).collect())
     assert got == want
     assert sorted(r["doc_id"] for r in mixing.apply(docs, mix).collect()) == sorted(d for d, _, _ in want)
 
 
+def test_totals_of_bucket_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 40)
+    docs = _docs(spark, {"a": 400, "b": 60})
+    want = sorted(tuple(r) for r in mixing.draw(mixing.plan(docs, repetitions=2.0)).collect())
+    assert max(r[3] for r in want) > 20
+    monkeypatch.setattr(mixing, "BUCKET_GROUP", 2)  # many groups, the same blocks
+    assert sorted(tuple(r) for r in mixing.draw(mixing.plan(docs, repetitions=2.0)).collect()) == want
+
+
+def test_apply_returns_columns_of_any_name(spark):
+    names = ["_mix_row", "_mix_s", "_mix_epoch", "_mix_block", "epochs", "place", "_s"]
+    docs = _docs(spark, {"a": 20, "b": 9}).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    out = mixing.apply(docs, mixing.plan(docs, repetitions=2.0, whole_epochs=True))
+    assert out.columns == docs.columns
+    assert {tuple(r)[-len(names):] for r in out.collect()} == {tuple(range(len(names)))}
+
+
 def test_apply_keeps_every_document(spark):
     docs = _docs(spark, {"a": 300, "b": 40}, [(1, None, None), (None, "x", "a")]).withColumn("_mix_x", F.lit(1))
     mix = mixing.plan(docs, repetitions=2.0, whole_epochs=True)
@@ -268,5 +285,49 @@ def test_long_runs_are_split_into_identifiers():
     assert [text[a:b] for a, b in personal.tokens_like_identifiers(text)] == ["ab12cd", key, "a1"]
 
 
+def test_context_words_are_whole():
+    long = "w" * 5000
+    text = f"{long} {long}x 10.0.0.1\u3000{long}y"
+    one, two = (personal.patterns(t, t.index("10."), t.index("10.") + 8) for t in (text, text.replace("x 10", "z 10")))
+    assert len(one) == 2 and not set(one) & set(two)  # words that differ after 64 characters
+    assert all(len(p) < 100 for p in one)
+    assert personal.patterns("a  bc (10.0.0.1), d", 7, 15) == ["bc ( <number>", "( <number> ),", "( <number>"]
+
+
+def _plain_contexts(text, spans):
+    out = {}
+    for a, b in spans:  # words end at blanks and at every other span
+        cuts = sorted({0, len(text), *(p for s in spans for p in s)})
+        parts = [(p, w) for p, q in zip(cuts, cuts[1:]) for w in [text[p:q].split()] if w]
+        left = [personal._word(w) for p, ws in parts if p < a for w in ws][-2:]
+        right = [personal._word(w) for p, ws in parts if p >= b for w in ws][:1]
+        out[a] = (left, right)
+    return out
+
+
+@given(st.lists(st.sampled_from(["ab", " ", "1.2.3.4", "x@y.z", ",", "q" * 100, " " * 90, "id:77"]), max_size=25))
+@settings(max_examples=300, deadline=None)
+def test_contexts_against_plain_python(parts):
+    text = "".join(parts)
+    spans = list(personal.tokens_like_identifiers(text))
+    got = personal.Contexts(text, spans)
+    assert {a: got.beside(a) for a, _ in spans} == _plain_contexts(text, spans)
+
+
+def test_many_spans_in_one_run_take_linear_time():
+    import time
+    text = ",".join(f"a{i}@b.co" for i in range(60_000))
+    begin = time.monotonic()
+    spans, seen = personal.observe(text)
+    assert len(spans) == len(seen) == 60_000 and time.monotonic() - begin < 20
+    assert seen[5]["patterns"][0] == "a4@b.co , <address>"
+
+
+def test_redact_returns_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "at 10.0.0.1", 7, 8, 9)], "doc_id long, text string, _pii_spans int, _row int, _pii_id int")
+    out = personal.redact(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, "at [IP]", 7, 8, 9)]
+
+
 def test_mask_overlapping_spans():
     assert personal.mask("ab 12 cd", [("ip", 3, 5), ("card", 3, 4), ("phone", 4, 6)]) == "ab [IP]cd"

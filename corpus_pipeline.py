@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseledger.llm import mixing, ngram_join, personal, pieces, toxicity
-from caseledger.llm.common import read_table
+from caseledger.llm.common import free_names, read_table
 from caseledger.session import shared_dir
 
 
@@ -22,8 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under the threshold. The model learns
     from the whole ``documents`` table's labelled rows outside the held-out fold."""
     model = toxicity.train(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs, model, score="_toxicity_score", spans=None)
-    return scored.where(F.col("_toxicity_score") < toxicity.THRESHOLD).drop("_toxicity_score")
+    score, = free_names(docs, "_toxicity_score")
+    scored = toxicity.score_toxicity(docs, model, score=score, spans=None)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

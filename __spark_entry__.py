@@ -21,6 +21,9 @@ from caseledger.operators import parse as P
 from caseledger.operators import export as X
 from caseledger.operators import reports as R
 from caseledger.operators import upsert as U
+from caseledger.operators.incremental import group_changed, group_first
+from caseledger.operators.partial_upsert import create_target, read_target, upsert_target
+from caseledger.operators.rowdiff import diff_rows
 from caseledger.operators.group import group_cases, record_counts
 from caseledger.operators.positions import row_positions
 from caseledger.plans.scans import (classified_scan, export_run, listing_run, scan_pair, token_scan,
@@ -329,6 +332,13 @@ def q_csv_round_trip(spark, sf):
     return X.read_csv(spark, path)
 
 
+def q_csv_lines_round_trip(spark, sf):
+    """W3 with a line a row, so that files split among tasks."""
+    path = f"{shared_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}"
+    X.write_csv(X.python_booleans(_scan_cols(classified_scan(_cf(spark, sf)))), path, lines=True)
+    return X.read_csv(spark, path, lines=True)
+
+
 def q_classify_entries(spark, sf):
     """A remote-API shaped listing (size as text, absent fields null)."""
     lst = fixture.listing(spark, sf)
@@ -363,6 +373,34 @@ def q_upsert_cases(spark, sf):
                           order_by=ORDER, keep_position=False)
 
 
+def q_upsert_partial(spark, sf):
+    """W1 in place: the touched parts of a partitioned target are rewritten."""
+    path = f"{shared_dir(spark).rstrip('/')}/targets/{uuid.uuid4().hex}"
+    e, i = scan_pair(_cf(spark, sf))
+    create_target(_scan_cols(e), path, parts=64)
+    upsert_target(_scan_cols(i), path, order_by=ORDER, keep_position=False)
+    return read_target(spark, path)
+
+
+def q_incremental_run(spark, sf):
+    """A1 on what changed: the tree's records, then the tree after a third of all
+    files moved to one folder."""
+    cols = ["root", "client_folder", "case_folder", "file_name", "file_path"]
+    first = group_first(_cf(spark, sf).select(*cols))
+    r = group_changed(fixture.piled(spark, sf).select(*cols), first).records
+    return r.select("root", *KEY, "files", "ext", "n_folders", "n_files")
+
+
+#: Columns that the row-level comparison looks at.
+DIFF_COLS = ["client_name", "case_name", "files", "ext"]
+
+
+def q_row_diff(spark, sf):
+    """D1 by row: strict and token records of each key, row against row."""
+    a, b = scan_pair(_cf(spark, sf))
+    return diff_rows(materialize(_scan_cols(a)), materialize(_scan_cols(b)), cols=DIFF_COLS)
+
+
 def q_upsert_run(spark, sf):
     """W1 as a run: a strict scan written as a table, then a token scan into it."""
     base = f"{shared_dir(spark).rstrip('/')}/upserts/{uuid.uuid4().hex}"
@@ -453,8 +491,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sort_records": q_sort_records,
     "row_positions": q_row_positions,
     "csv_round_trip": q_csv_round_trip,
+    "csv_lines_round_trip": q_csv_lines_round_trip,
     "classify_entries": q_classify_entries,
     "upsert_cases": q_upsert_cases,
+    "upsert_partial": q_upsert_partial,
+    "incremental_run": q_incremental_run,
+    "row_diff": q_row_diff,
     "upsert_run": q_upsert_run,
     "export_run": q_export_run,
     "upsert_counts": q_upsert_counts,
@@ -734,6 +776,9 @@ select {ecl}, date_added, cast(null as varchar), 'appended' from i0 where _k not
     counts = two + """select count(*) filter (where _k in (select trim(case_no) from sa where trim(case_no) <> '')) as updated,
   count(*) filter (where _k not in (select trim(case_no) from sa where trim(case_no) <> '')) as appended
 from (select trim(case_no) as _k from sb) i"""
+    csv_trip = two + "select root, " + key + ", files, ext, " + ", ".join(
+        f'case when "{n}" then \'True\' else \'False\' end as "{n}"' for n in O.RULE_NAMES) \
+        + ", date_added, updated_on from sa"
     whole_run = f"""{listing},
 hcf as ({O.hierarchy('strict')}),
 hkf as ({O.kept_files('hcf')})
@@ -781,14 +826,17 @@ select cf.* from cf join (select root, client_folder from (
         "sort_records": two + "select * from sa",
         "row_positions": two + f"""select root, {key}, files,
   row_number() over (order by {', '.join(RUN_ORDER)}) + {FIRST_ROW - 1} as row from sa""",
-        "csv_round_trip": two + "select root, " + key + ", files, ext, " + ", ".join(
-            f'case when "{n}" then \'True\' else \'False\' end as "{n}"' for n in O.RULE_NAMES)
-        + ", date_added, updated_on from sa",
+        "csv_round_trip": csv_trip,
+        "csv_lines_round_trip": csv_trip,
         "classify_entries": f"""{listing}
 select root, id, name, parent_id, path, is_folder, mime_type,
   case when is_folder or size % 7000 = 0 then null else size end as size,
   created_time, modified_time, trashed, 'drive' as source from lst""",
         "upsert_cases": upsert,
+        "upsert_partial": f"select * exclude (upsert_status) from ({upsert}) u",
+        "incremental_run": f"with pcf as materialized ({fixture.PILED_SQL}),\npkf as ({O.kept_files('pcf')})\n"
+        + O.records("strict", "legacy", "pcf", "pkf"),
+        "row_diff": two + O.row_diff("sa", "sb", ["root", *ck.split(", ")], DIFF_COLS),
         "upsert_run": upsert.replace(order_desc, run_desc),
         "export_run": two + f"select {base_hdr}, " + ", ".join(
             f'case when "{n}" then \'True\' else \'False\' end as "{n}"' for n in O.RULE_NAMES)

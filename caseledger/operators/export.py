@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as _dt
 import itertools
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..schema import BASE_EXPORT, EXPORT_HEADERS, by_position
@@ -98,18 +100,45 @@ def python_booleans(df: DataFrame) -> DataFrame:
 _CSV_NULL = "\u0000"
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header, no index, multi-line cells quoted (FILES holds newlines).
-    Empty text is written as ``""`` and null as an empty field, so a read-back
-    keeps the two apart (missing values are ``""`` in this data model)."""
-    (df.write.mode(mode).option("header", True).option("escape", '"')
-     .option("quoteAll", False).csv(path))
+# Line-safe cells: code of each character that would end a line or start a code.
+# Every backslash of an encoded cell starts a code; the backslash's own comes first on
+# the way in and last on the way out.
+_LINE_SAFE = (("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r"))
+
+
+def _texts(df: DataFrame, change) -> DataFrame:
+    return df.select(*[change(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType)
+                       else F.col(f"`{f.name}`") for f in df.schema.fields])
+
 
+def line_safe(c: Column) -> Column:
+    """Text without line breaks: backslash, LF and CR as ``\\s``, ``\\n``, ``\\r``."""
+    return reduce(lambda x, code: F.replace(x, F.lit(code[0]), F.lit(code[1])), _LINE_SAFE, c)
 
-def read_csv(spark, path: str) -> DataFrame:
-    """Read back a W3 export (multi-line cells, ``""`` vs null kept)."""
-    return (spark.read.option("header", True).option("multiLine", True)
-            .option("escape", '"').option("nullValue", _CSV_NULL).csv(path))
+
+def from_line_safe(c: Column) -> Column:
+    return reduce(lambda x, code: F.replace(x, F.lit(code[1]), F.lit(code[0])), reversed(_LINE_SAFE), c)
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", lines: bool = False) -> None:
+    """Header, no index, multi-line cells quoted (FILES holds newlines).
+    Empty text is written as ``""`` and null as an empty field, so a read-back
+    keeps the two apart (missing values are ``""`` in this data model). With
+    ``lines`` each row is one line (cells by ``line_safe``), so large files are read
+    by many tasks; other tools see the codes."""
+    out = _texts(df, line_safe) if lines else df
+    writer = out.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", False)
+    if lines:
+        writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    writer.csv(path)
+
+
+def read_csv(spark, path: str, lines: bool = False) -> DataFrame:
+    """Read back a W3 export (multi-line cells, ``""`` vs null kept). ``lines``: it was
+    written so; a file is then split among tasks."""
+    out = (spark.read.option("header", True).option("multiLine", not lines)
+           .option("escape", '"').option("nullValue", _CSV_NULL).csv(path))
+    return _texts(out, from_line_safe) if lines else out
 
 
 def write_export(df: DataFrame, base_dir: str, run: str, fmt: str = "csv",

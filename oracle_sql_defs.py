@@ -251,3 +251,30 @@ left join d on d.root = b.root and d.id = b.parent_id"""
 
 
 URL_PREFIX = "https://drive.google.com/file/d/"
+
+
+def row_diff(a: str, b: str, key: list[str], cols: list[str]) -> str:
+    """CTEs (after others) and select of the row-level comparison of two tables."""
+    names, parts, pairs = ", ".join([*key, *cols]), [], []
+    for side, one, other in (("a", a, b), ("b", b, a)):
+        parts.append(f"r{side}0 as materialized (select {names} from {one} except all select {names} from {other})")
+    for i, c in enumerate([*cols, None]):
+        agree = [x for x in cols if x != c] if c else []
+        order = ", ".join(f"{x} nulls first" for x in cols if x not in agree)
+        same = " and ".join([f"a.{x} is not distinct from b.{x}" for x in [*key, *agree]] + ["a.rn = b.rn"])
+        for side in "ab":
+            parts.append(f"x{side}{i} as materialized (select *, row_number() over (partition by "
+                         f"{', '.join([*key, *agree])} order by {order}) as rn from r{side}{i})")
+        old_new = ", ".join(f"{s}.{x} as {n}_{x}" for n, s in (("old", "a"), ("new", "b")) for x in cols)
+        pairs.append(f"select {', '.join(f'a.{x}' for x in key)}, {old_new} from xa{i} a join xb{i} b on {same}")
+        for side, other in ("ab", "ba"):
+            parts.append(f"r{side}{i + 1} as materialized (select {names} from x{side}{i} {side} anti join x{other}{i} {other} on {same})")
+    k, n = ", ".join(key), len(cols) + 1
+    changed = ", ".join(f"case when old_{x} is distinct from new_{x} then '{x}' end" for x in cols)
+    values = ", ".join(f"{s}_{x}" for s in ("old", "new") for x in cols)
+    olds, news = (", ".join(f"{x} as {s}_{x}" for x in cols) for s in ("old", "new"))
+    no_olds, no_news = (", ".join(f"null as {s}_{x}" for x in cols) for s in ("old", "new"))
+    return (", " + ",\n".join(parts) + f"""
+select {k}, 'Changed' as change, concat_ws(', ', {changed}) as changed_columns, {values} from ({' union all '.join(pairs)}) p
+union all select {k}, 'Removed', '', {olds}, {no_news} from ra{n}
+union all select {k}, 'Added', '', {no_olds}, {news} from rb{n}""")

@@ -32,8 +32,9 @@ from caseledger.session import materialize
 
 COSINE = 0.93
 TABLES, ROTATIONS, PROBES = 10, 2, 4
-#: Rows of a block, about; a greater bucket is cut into parts of half as many.
-BLOCK_ROWS = 2048
+#: Rows of a block, about, and components of its vectors; a greater bucket is cut
+#: into parts of half as many.
+BLOCK_ROWS, BLOCK_VALUES = 16384, 1 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -118,7 +119,7 @@ def meeting_place(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """First table and bucket where each pair of rows with codes ``p`` and ``q``
     ([pair, table, 1 + probes]) meets: the least bucket there that is the own one
     of either and is held by the other. Table -1 if they never meet."""
-    none = np.iinfo(np.int64).max
+    none = np.iinfo(p.dtype).max
     in_q = (q == p[:, :, :1]).any(2)
     in_p = (p == q[:, :, :1]).any(2)
     bucket = np.minimum(np.where(in_q, p[:, :, 0], none), np.where(in_p, q[:, :, 0], none))
@@ -127,64 +128,107 @@ def meeting_place(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.where(met.any(1), first, -1), bucket[np.arange(len(p)), first]
 
 
-def _forest(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Least id of each row's component under links a-b."""
-    root = ids.copy()
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        if (root == before).all():
-            break
-    return root
+def _hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least place of each component when links a-b join those that ``root``
+    gives. Greater roots hang on lesser ones and paths are halved by pointer
+    jumping, so a long chain takes few passes."""
+    while True:
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        live = low != high
+        if not live.any():
+            return root
+        a, b = low[live], high[live]
+        root = root.copy()
+        np.minimum.at(root, b, a)
+        while not np.array_equal(root, up := root[root]):
+            root = up
+
+
+def _before(p: np.ndarray, q: np.ndarray, table: int, bucket: int) -> np.ndarray:
+    """[i, j]: rows with codes ``p[i]`` and ``q[j]`` meet in an earlier table, or
+    in a lesser bucket of this one (as ``meeting_place``, for all pairs of a tile)."""
+    out = np.zeros((len(p), len(q)), bool)
+    for t in range(table + 1):
+        in_q, in_p = np.zeros_like(out), np.zeros_like(out)
+        for k in range(p.shape[2]):
+            in_q |= p[:, t, :1] == q[:, t, k]
+            in_p |= p[:, t, k:k + 1] == q[:, t, 0]
+        if t == table:
+            in_q &= p[:, t, :1] < bucket
+            in_p &= q[:, t, 0] < bucket
+        out |= in_q | in_p
+    return out
 
 
 _LINKED = "rep long, n_links long, root long"
+#: Rows of a tile, links kept before they join the forest.
+_TILE, _LINKS = 512, 1 << 18
 
 
 def _block(table: pa.Table) -> pa.Table:
     """Verified links of a block: for each linked row the number of vectors
-    linked here first, and the least row it hangs together with."""
+    linked here first, and the least row it hangs together with. A bucket is
+    worked on in tiles, so memory is bounded by the block's rows also where all
+    of them link."""
     table = table.combine_chunks().sort_by([("bucket", "ascending"), ("rep", "ascending")])
     bucket, part = table["bucket"].to_numpy(), table["part"].to_numpy()
-    member, rep, count = table["member"].to_numpy(zero_copy_only=False), table["rep"].to_numpy(), table["n"].to_numpy()
+    member, rep = table["member"].to_numpy(zero_copy_only=False), table["rep"].to_numpy()
+    count = table["n"].to_numpy().astype(np.float64)  # sums stay exact below 2^53
     x = _unit(_matrix(table["embedding"]))
     codes = _matrix(table["codes"]).astype(np.int64).reshape(len(rep), TABLES, 1 + PROBES)
+    if codes.max(initial=0) < np.iinfo(np.int32).max:
+        codes = codes.astype(np.int32)
     which, left, right = table["table"].to_numpy(), table["left"].to_numpy(), table["right"].to_numpy()
     group = table["grp"].to_numpy()
     order = np.lexsort((rep, bucket, which, group))
     key = np.stack([group[order], which[order], bucket[order]])
     head = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)])
     tail = np.r_[head[1:], len(order)]
-    links_a, links_b = [], []
+    ids, place = np.unique(rep, return_inverse=True)
+    root, sums = np.arange(len(ids)), np.zeros(len(ids))
+    linked = np.zeros(len(ids), bool)
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
     for s, e in zip(head, tail):
-        if e - s < 2:
-            continue
-        at = order[s:e]
-        if not member[at].any():
+        if e - s < 2 or not member[order[s:e]].any():
             continue
-        g = x[at] @ x[at].T >= COSINE - 1e-9
-        g &= member[at][:, None] | member[at][None, :]
-        i, j = np.nonzero(np.triu(g, 1))
-        if left[at[0]] != right[at[0]]:  # a block of two parts: pairs across them only
-            across = part[at[i]] != part[at[j]]
-            i, j = i[across], j[across]
-        if len(i):
-            a, b = at[i], at[j]
-            exact = np.einsum("ij,ij->i", x[a], x[b]) >= COSINE
-            t, k = meeting_place(codes[a], codes[b])
-            first = exact & (t == which[a]) & (k == bucket[a])
-            # the forest takes all links, the sums each link once
-            links_a.append(np.stack([a[exact], b[exact], first[exact]], 1))
-    if not links_a:
-        return pa.table({"rep": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
-    links = np.concatenate(links_a)
-    a, b, once = links[:, 0], links[:, 1], links[:, 2].astype(bool)
-    ids, at = np.unique(np.r_[rep[a], rep[b]], return_inverse=True)
-    at_a, at_b = at[:len(a)], at[len(a):]
-    sums = np.bincount(at_a[once], count[b[once]], len(ids)) + np.bincount(at_b[once], count[a[once]], len(ids))
-    return pa.table({"rep": ids, "n_links": sums.astype(np.int64), "root": _forest(at_a, at_b, ids)})
+        tiles = [order[i:min(i + _TILE, e)] for i in range(s, e, _TILE)]
+        t, k = int(which[order[s]]), bucket[order[s]]
+        across = left[order[s]] != right[order[s]]  # a block of two parts: pairs across them only
+        for n, i in enumerate(tiles):
+            for j in tiles[n:]:
+                cos = x[i] @ x[j].T
+                link = cos >= COSINE - 1e-9
+                link &= member[i][:, None] | member[j]
+                if across:
+                    link &= part[i][:, None] != part[j]
+                if i is j:
+                    link = np.triu(link, 1)
+                u, v = np.nonzero(link)
+                if not len(u):
+                    continue
+                near = cos[u, v] < COSINE + 1e-9  # so near the bound that the product's rounding could decide
+                if near.any():
+                    fine = np.ones(len(u), bool)
+                    fine[near] = np.einsum("ij,ij->i", x[i[u[near]]], x[j[v[near]]]) >= COSINE
+                    link[u[~fine], v[~fine]] = False
+                    u, v = u[fine], v[fine]
+                a, b = place[i[u]], place[j[v]]
+                linked[a] = linked[b] = True
+                if len(u) * 8 < link.size or link.size < 4096:
+                    at, where = meeting_place(codes[i[u]], codes[j[v]])
+                    once = (at == t) & (where == k)
+                    sums += np.bincount(a[once], count[j[v[once]]], len(ids)) + np.bincount(b[once], count[i[u[once]]], len(ids))
+                else:
+                    once = (link & ~_before(codes[i], codes[j], t, k)).astype(np.float64)
+                    np.add.at(sums, place[i], once @ count[j])
+                    np.add.at(sums, place[j], count[i] @ once)
+                apart = root[a] != root[b]  # the forest takes all links, the sums each link once
+                waiting.append((a[apart], b[apart]))
+                if sum(len(w[0]) for w in waiting) > _LINKS:
+                    root, waiting = _hook(root, *map(np.concatenate, zip(*waiting))), []
+    if waiting:
+        root = _hook(root, *map(np.concatenate, zip(*waiting)))
+    return pa.table({"rep": ids[linked], "n_links": sums[linked].astype(np.int64), "root": ids[root[linked]]})
 
 
 def blocks(coded: DataFrame) -> DataFrame:
@@ -196,13 +240,15 @@ def blocks(coded: DataFrame) -> DataFrame:
     rows = rows.select("dim", F.xxhash64("label", "dim").alias("grp"), (F.col("_i") / width).cast("int").alias("table"), "bucket",
                        (F.col("_i") % width == 0).alias("member"), "rep", "n", "embedding", "codes")
     keys = ["grp", "table", "bucket"]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.max("member").alias("any"))
-    sizes = sizes.where(F.col("any") & (F.col("rows") > 1)).select(*keys, "rows")
-    sizes = materialize(sizes)
-    groups = max(1, (sizes.agg(F.sum("rows")).first()[0] or 0) // BLOCK_ROWS)
-    half = BLOCK_ROWS // 2
-    rows = rows.join(sizes, keys)
-    parts = F.when(F.col("rows") <= BLOCK_ROWS, F.lit(1)).otherwise(F.ceil(F.col("rows") / half)).cast("int")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.max("member").alias("any"), F.max("dim").alias("wide"))
+    sizes = sizes.where(F.col("any") & (F.col("rows") > 1))
+    most = F.greatest(F.lit(2), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_VALUES) / F.col("wide"))))
+    sizes = materialize(sizes.select(*keys, "rows", "wide", most.alias("most")))
+    whole = sizes.agg(F.sum("rows"), F.sum(F.col("rows") * F.col("wide"))).first()
+    groups = max(1, (whole[0] or 0) // BLOCK_ROWS, (whole[1] or 0) // BLOCK_VALUES)
+    rows = rows.join(sizes.drop("wide"), keys)
+    parts = F.when(F.col("rows") <= F.col("most"), F.lit(1)) \
+        .otherwise(F.ceil(F.col("rows") / F.floor(F.col("most") / 2))).cast("int")
     rows = rows.withColumn("parts", parts).withColumn(
         "part", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("parts")).cast("int"))
     rows = rows.withColumn("pair", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(

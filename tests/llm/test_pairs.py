@@ -83,6 +83,45 @@ def test_near_vectors_against_brute_force(spark, monkeypatch, block):
     assert got == _brute_vectors(rows)
 
 
+@pytest.mark.parametrize("block, tile", [(4096, 512), (4096, 100), (64, 16)])
+def test_near_vectors_in_a_hot_group(spark, monkeypatch, block, tile):
+    monkeypatch.setattr(near_vectors, "BLOCK_ROWS", block)
+    monkeypatch.setattr(near_vectors, "_TILE", tile)
+    monkeypatch.setattr(near_vectors, "_LINKS", 1000)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=16)
+    rows = [(i, [float(v) for v in x + rng.normal(size=16) * (0.05 if i % 2 else 0.2)], 1) for i in range(240)]
+    rows += [(240 + i, rows[i][1], 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r[0], r[1], r[2]) for r in near_vectors.link_vectors(df).collect())
+    want = _brute_vectors(rows)
+    assert [(a, c) for a, _, c in got] == [(a, c) for a, _, c in want]
+    # a pair is found if it meets in some bucket; nearly all here do
+    assert all(n <= m for (_, n, _), (_, m, _) in zip(got, want))
+    assert sum(n for _, n, _ in got) >= 0.99 * sum(n for _, n, _ in want)
+
+
+def test_tiles_meet_where_pairs_do():
+    rng = np.random.default_rng(9)
+    p, q = (rng.integers(0, 6, (30, 10, 5)) for _ in range(2))
+    i, j = (a.ravel() for a in np.indices((30, 30)))
+    at, bucket = near_vectors.meeting_place(p[i], q[j])
+    for t, k in ((0, 3), (1, 2), (4, 0), (9, 5)):
+        earlier = (at >= 0) & ((at < t) | ((at == t) & (bucket < k)))
+        assert (near_vectors._before(p, q, t, k).ravel() == earlier).all()
+
+
+def test_hooks_join_long_chains():
+    n = 5000
+    root = near_vectors._hook(np.arange(n), np.arange(n - 1), np.arange(1, n))
+    assert (root == 0).all()
+    rng = np.random.default_rng(10)
+    a, b = rng.integers(0, 400, 150), rng.integers(0, 400, 150)
+    want = union(400, list(zip(a, b)))
+    got = near_vectors._hook(near_vectors._hook(np.arange(400), a[:70], b[:70]), a[70:], b[70:])
+    assert [min(j for j in range(400) if want[j] == want[i]) for i in range(400)] == list(got)
+
+
 def test_near_vectors_cases(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, None, 1), (4, [], 1), (5, [0.0, 0.0], 1),

@@ -23,7 +23,8 @@
 
 Cases: a text of fewer than ``size`` words is one n-gram; null texts and texts
 without words have none and link with nothing. Rows with equal ids are rows of
-their own; a null id can link others but names no component. N-grams are told
+their own; a null id can link others but names no component. Texts of any length are
+taken whole, empty tables give no rows, and n-grams of equal count are ordered by hash. N-grams are told
 apart by 64-bit hashes within a document and by 48 bits and their range between
 documents. Other columns play no part; ``drop_similar`` returns them whatever their
 names.

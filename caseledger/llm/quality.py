@@ -15,7 +15,10 @@ on rows the network hasn't seen calibrates it.
 
 Cases: null and empty texts have zero vectors and get the score the network
 gives these. Copies among the training rows share the weight of one. Repeated
-rows are scored each. Without labelled rows of both kinds every score is the
+rows are scored each, equal texts alike, so ties stay ties. Texts of any length are
+taken whole, in time linear in it. Columns named in ``keep`` come back whatever their
+names, except one called like ``score``, which the caller may rename. Empty tables
+give no rows. Without labelled rows of both kinds every score is the
 share of label 1 among them (0.5 with none).
 """
 
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseledger.llm.common import held_out, labelled_sample, texts_of
+from caseledger.llm.common import free_names, held_out, labelled_sample, texts_of
 from caseledger.llm.textvec import SPACE, Words, mix, span_hash, word_blocks
 
 WORDS, SHAPES, DIM, WINDOW, STRETCH = 8192, 1024, 32, 2, 32
@@ -248,7 +251,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = DOCS_PER_LABEL) -
 def score_quality(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
                   score: str = "score") -> DataFrame:
     """``keep`` columns with the calibrated probability of label 1."""
-    src = docs.select(F.col(text).alias("_quality_text"), *keep)
+    whole, = free_names(docs, "_quality_text")
+    src = docs.select(F.col(text).alias(whole), *keep)
     kind = T.StructType([*(src.schema[c] for c in keep), T.StructField(score, T.DoubleType())])
 
     def run(batches):

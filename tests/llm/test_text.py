@@ -199,3 +199,13 @@ def test_temperature_lowers_loss():
     net = quality.train_network(x, y, np.ones(400), apart, epochs=15)
     z = quality.logits(net, x[apart])
     assert quality._loss(z / net.temperature, y[apart], np.ones(100)) <= quality._loss(z, y[apart], np.ones(100)) + 1e-3
+
+
+def test_quality_keeps_columns_of_any_name(spark):
+    rows = [(1, "a plain text of some words", "x"), (2, None, None), (3, "", "y"), (3, "", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _quality_text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = quality.score_quality(docs, quality.train(docs, labels), keep=("doc_id", "_quality_text")).collect()
+    assert sorted((r["doc_id"], r["_quality_text"], r["score"]) for r in got) == [
+        (1, "x", 0.5), (2, None, 0.5), (3, "y", 0.5), (3, "y", 0.5)]
+    assert quality.score_quality(docs.limit(0), quality.train(docs, labels)).count() == 0

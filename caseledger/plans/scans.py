@@ -60,7 +60,7 @@ def scan_pair(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF,
         return (classified_scan(case_files, rules, as_of=as_of, split_hot=True),
                 token_scan(case_files, rules, as_of=as_of, split_hot=True))
     rules = shipped_rules() if rules is None else rules
-    stage = folder_entries_both(case_files, HOT_FILES if split_hot is None else None)
+    stage = folder_entries_both(case_files, HOT_FILES if split_hot is None else None, runs=True)
     folders, _, most = measured(stage, FOLDER, HOT_FILES, client=["root", "client_folder"])
     split_keys = None if split_hot is None and most["client"] > HOT_FOLDERS else False
     out = []

@@ -2,10 +2,12 @@
 
 1. Rows that both sides hold are cancelled, as often as both hold them (one signed
    count a distinct row, so a key with very many rows is spread over tasks).
-2. What is left is paired key by key: for each compared column in turn, rows that
+2. Keys that one side alone still holds have no pairs: their rows are added or removed
+   as they are, and take no part in what follows.
+3. What is left is paired key by key: for each compared column in turn, rows that
    agree in all others; then, whatever is left, in the order of their columns. Pairs
    are changed rows and name the columns that differ.
-3. Rows without a partner are added or removed.
+4. Rows without a partner are added or removed.
 
 Partners are found by equal place inside their group. Places come from dense row
 positions (ranges of bounded rows), so no task holds a key.
@@ -68,6 +70,12 @@ def diff_rows(a: DataFrame, b: DataFrame, key=COMPARE_KEY, cols: list[str] | Non
     net = signed.groupBy(*map(_q, names)).agg(F.sum("_n").alias("_n")).where("_n <> 0")
     rest = materialize(net.withColumn("_side", F.when(F.col("_n") > 0, 0).otherwise(1))
                        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n")))).drop("_n", "_copy"))
+    met = rest.groupBy(*map(_q, key)).agg(F.min("_side").alias("_low"), F.max("_side").alias("_high")).where("_low < _high")
+    met = met.select(*[_q(c).alias(f"_k{i}") for i, c in enumerate(key)], F.lit(True).alias("_met"))
+    same = [_q(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(key)]
+    rest = materialize(rest.join(met, reduce(Column.__and__, same), "left").select(
+        *map(_q, names), "_side", F.coalesce("_met", F.lit(False)).alias("_met")))
+    lone, rest = rest.where("not _met").drop("_met"), rest.where("_met").drop("_met")
     found = []
     for c in [*cols, None]:
         pairs, rest = _pair(rest, key, cols, [x for x in cols if x != c] if c else [])
@@ -78,7 +86,7 @@ def diff_rows(a: DataFrame, b: DataFrame, key=COMPARE_KEY, cols: list[str] | Non
         *map(_q, key), F.lit(CHANGED).alias("change"), F.array_join(F.array_compact(F.array(*differs)), ", ").alias("changed_columns"),
         *values)
     none = F.lit(None)
-    alone = rest.select(
+    alone = rest.unionByName(lone).select(
         *map(_q, key), F.when(F.col("_side") == 1, F.lit(ADDED)).otherwise(F.lit(REMOVED)).alias("change"),
         F.lit("").alias("changed_columns"),
         *[F.when(F.col("_side") == side, _q(c)).otherwise(none).alias(f"{n}_{c}") for side, n in ((0, "old"), (1, "new")) for c in cols])

@@ -398,7 +398,7 @@ DIFF_COLS = ["client_name", "case_name", "files", "ext"]
 def q_row_diff(spark, sf):
     """D1 by row: strict and token records of each key, row against row."""
     a, b = scan_pair(_cf(spark, sf))
-    return diff_rows(materialize(_scan_cols(a)), materialize(_scan_cols(b)), cols=DIFF_COLS)
+    return diff_rows(_scan_cols(a), _scan_cols(b), cols=DIFF_COLS)
 
 
 def q_upsert_run(spark, sf):
@@ -417,8 +417,7 @@ def q_export_run(spark, sf):
 
 
 def q_upsert_counts(spark, sf):
-    e = classified_scan(_cf(spark, sf))
-    i = token_scan(_cf(spark, sf))
+    e, i = scan_pair(_cf(spark, sf))
     return U.upsert_counts(e, i, key="case_no")
 
 
@@ -428,7 +427,8 @@ def q_evolve_schema(spark, sf):
     base = ["root", *KEY, "files", "ext"]
     old = classified_scan(_cf(spark, sf), rules=rules[:10]).select(
         *base, *[F.col(f"`{r['name']}`") for r in rules[:10]])
-    new = classified_scan(_cf(spark, sf), rules=rules).select(*base, *_rule_cols())
+    # of the batch only the columns count: one lazy plan
+    new = classified_scan(_cf(spark, sf), rules=rules, split_hot=False).select(*base, *_rule_cols())
     return U.evolve_schema(old, new)
 
 

@@ -44,9 +44,11 @@ def classified_scan(case_files: DataFrame, rules=None, mode: str = "strict",
     """
     rules = shipped_rules() if rules is None else rules
     records = group_cases(case_files, mode=mode, parser=parser, limit=limit, split_hot=split_hot)
+    if sort:
+        # a sort reads its input twice, so records are stored; flags and dates keep the order
+        records = sort_records(materialize(records))
     records = classify(records, rules, messages=messages)
-    records = stamp_dates(records, as_of, "token" if mode == "token" else mode)
-    return sort_records(records) if sort else records
+    return stamp_dates(records, as_of, "token" if mode == "token" else mode)
 
 
 def scan_pair(case_files: DataFrame, rules=None, as_of: str = DEFAULT_AS_OF,
@@ -104,9 +106,9 @@ def export_run(case_files: DataFrame, base_dir: str, run: str = "clients_data",
     """L1 to the file sink: records sorted at the sink, export columns,
     written under a new versioned name (never overwrites; skips empty)."""
     rules = shipped_rules() if rules is None else rules
-    records = sort_records(classified_scan(case_files, rules, **scan_args))
-    source = case_files.where("case_folder IS NOT NULL") if scan_args.get("mode", "strict") != "deep" else None
-    return write_export(project_export(records, rules), base_dir, run, source=source)
+    # stored: the sort reads them twice, and the test for an empty export once more
+    records = materialize(classified_scan(case_files, rules, **scan_args))
+    return write_export(project_export(sort_records(records), rules), base_dir, run, source=records)
 
 
 def export_quick(case_files: DataFrame, base_dir: str, as_of: str = DEFAULT_AS_OF) -> str | None:

@@ -111,3 +111,23 @@ def test_tokens_rejoin(spark):
     r = tokenize_names(df).select(F.array_join(F.transform("tokens", lambda t: t["raw"]), " ")
                                   .alias("j")).first()
     assert r["j"] == "a b c"
+
+
+def test_names_are_read_by_compiled_expressions(spark):
+    # a lambda over a name's tokens is interpreted for every folder
+    df = spark.createDataFrame([("A-1 x", "A001-001 Foo 123456 C01")], "client_folder string, case_folder string")
+    for parser in ("legacy", "token"):
+        p = parse_cases(parse_clients(df, parser), parser)
+        assert "lambda" not in p._jdf.queryExecution().optimizedPlan().toString(), parser
+
+
+def test_codes_side_by_side(spark):
+    names = ["A001-001 A001-001 C01 C02 123456 123456", "A001-001 Foo A01-001 C1 Bar 123456 x 654321 C9", "A001-001 C01", "x 123456",
+             "A001-001 1234567 Foo", None]
+    want = {"legacy": [("A001-001", "", "123456", "C02"), ("A001-001", "Foo A01-001 Bar 123456 x", "654321", "C9"),
+                       ("A001-001", "", "", "C01"), ("", "", "123456", ""), ("A001-001", "Foo", "", ""), ("", "", "", "")],
+            "token": [("A001-001", "", "123456", "C01"), ("A001-001", "Foo Bar", "123456", "C1"),
+                      ("A001-001", "", "", "C01"), ("", "", "123456", ""), ("A001-001", "1234567 Foo", "", ""), ("", "", "", "")]}
+    for parser in ("legacy", "token"):
+        got = _run(spark, names, "case_folder", lambda d: parse_cases(d, parser))
+        assert [(r["case_no"], r["case_name"], r["tm_no"], r["class_code"]) for r in map(got.get, names)] == want[parser]

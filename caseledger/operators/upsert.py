@@ -59,26 +59,26 @@ def upsert_cases(existing: DataFrame, incoming: DataFrame, key: str = "case_no",
         incoming = materialize(incoming)
     k = F.coalesce(trimmed(_q(key)), F.lit(""))
     order = F.struct(*[_q(c) for c in order_by])
-    e = existing.withColumn("_k", k).withColumn("_ord", order)
-    i = incoming.withColumn("_k", k).withColumn("_ord", order)
+    e, i = existing.withColumn("_k", k), incoming.withColumn("_k", k)
     i_cols = list(incoming.columns)
     # E-only columns, E's position and E's date of the replaced row are kept
     pos_cols = list(order_by) if keep_position else []
     hand_on = [c for c in existing.columns if c not in i_cols or c in pos_cols or c == date_col]
     kept = F.struct(F.lit(True).alias("_"), *[_q(c).alias(c) for c in hand_on])
     # blank keys match nothing
-    e_last = e.where(F.col("_k") != "").select("_k", "_ord", kept.alias("_kept")) \
+    e_last = e.where(F.col("_k") != "").select("_k", order.alias("_ord"), kept.alias("_kept")) \
         .groupBy("_k").agg(F.max(F.struct("_ord", "_kept")).alias("_e")) \
         .select("_k", F.col("_e._ord").alias("_e_ord"), F.col("_e._kept").alias("_e_kept"))
-    i_last = i.where(F.col("_k") != "").groupBy("_k").agg(F.max("_ord").alias("_i_ord"))
+    i_last = i.where(F.col("_k") != "").select("_k", order.alias("_ord")).groupBy("_k").agg(F.max("_ord").alias("_i_ord"))
     both = materialize(e_last.join(i_last, "_k"))
-    # blank keys pass by the joins, so no task gets them all
+    # blank keys pass by the joins, so no task gets them all; the order is put together
+    # behind the joins, so it doesn't travel beside the columns it is made of
     untouched = e.where(F.col("_k") != "").join(both.select("_k", "_e_ord"), "_k", "left") \
-        .where(F.col("_e_ord").isNull() | (F.col("_ord") != F.col("_e_ord"))).drop("_e_ord") \
-        .unionByName(e.where(F.col("_k") == "")).drop("_k", "_ord").withColumn("upsert_status", F.lit(UNTOUCHED))
-    tagged = i.where(F.col("_k") != "").join(both, "_k", "left") \
-        .where(F.col("_e_ord").isNull() | (F.col("_ord") == F.col("_i_ord")))
-    met = F.col("_e_ord").isNotNull()
+        .where(F.col("_e_ord").isNull() | (order != F.col("_e_ord"))).drop("_e_ord") \
+        .unionByName(e.where(F.col("_k") == "")).drop("_k").withColumn("upsert_status", F.lit(UNTOUCHED))
+    tagged = i.where(F.col("_k") != "").join(both.select("_k", "_e_kept", "_i_ord"), "_k", "left") \
+        .where(F.col("_i_ord").isNull() | (order == F.col("_i_ord")))
+    met = F.col("_i_ord").isNotNull()
 
     def value(c):
         old = F.col("_e_kept").getField(c)

@@ -54,3 +54,15 @@ def test_evolve(spark):
     n = spark.createDataFrame([("b", True)], "x string, R boolean")
     r = evolve_schema(t, n).first()
     assert r["R"] is None and r["x"] == "a"
+
+
+def test_the_order_does_not_travel_beside_its_columns(spark):
+    import re
+    e = spark.createDataFrame(E_ROWS, "case_no string, name string, date_added string, row_order int")
+    i = spark.createDataFrame([r[:4] for r in I_ROWS], "case_no string, name string, date_added string, row_order int")
+    out = upsert_cases(e, i, order_by=("row_order", "name"), keep_position=False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"\b_ord#", plan) and not re.search(r"Project .*_e_ord#\d+, .*_i_ord#", plan)
+    got = {r["name"]: (r["upsert_status"], r["date_added"]) for r in out.collect()}
+    assert got["new1"] == ("updated", "01-Jan-25") and got["last"] == ("updated", "04-Jan-25")
+    assert got["dupA"][0] == "untouched" and got["app1"][0] == got["app2"][0] == "appended" and len(got) == 8

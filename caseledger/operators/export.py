@@ -95,6 +95,10 @@ def python_booleans(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+#: Rows of a CSV file at most. Where cells hold line breaks a file is read whole by one
+#: task, so files must not grow with the table.
+FILE_ROWS = 50_000
+
 # Read-side null marker that never occurs in text: an unquoted empty field is
 # null, a quoted one ("") is the empty string.
 _CSV_NULL = "\u0000"
@@ -123,13 +127,16 @@ def from_line_safe(c: Column) -> Column:
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", lines: bool = False) -> None:
     """Header, no index, multi-line cells quoted (FILES holds newlines).
     Empty text is written as ``""`` and null as an empty field, so a read-back
-    keeps the two apart (missing values are ``""`` in this data model). With
-    ``lines`` each row is one line (cells by ``line_safe``), so large files are read
-    by many tasks; other tools see the codes."""
+    keeps the two apart (missing values are ``""`` in this data model). No file holds
+    more than ``FILE_ROWS`` rows, unless ``lines`` is set: each row is then one line
+    (cells by ``line_safe``), so large files are read by many tasks; other tools see
+    the codes."""
     out = _texts(df, line_safe) if lines else df
     writer = out.write.mode(mode).option("header", True).option("escape", '"').option("quoteAll", False)
     if lines:
         writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    else:
+        writer = writer.option("maxRecordsPerFile", FILE_ROWS)
     writer.csv(path)
 
 

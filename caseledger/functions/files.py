@@ -11,16 +11,21 @@ BLANKED_EXT = ".ini"
 VIEW_URL = "https://drive.google.com/file/d/%s/view"
 
 
-def _split_ext(name: Column):
-    """``os.path.splitext`` with string functions (no regex): the extension
-    starts at the last dot that is not one of the leading dots."""
-    rest = F.ltrim(name, F.lit("."))
-    has_ext = F.instr(rest, ".") > 0
-    raw_ext = F.when(has_ext, F.concat(F.lit("."), F.substring_index(rest, ".", -1))) \
+def raw_ext(name: Column) -> Column:
+    """The extension as ``os.path.splitext`` splits it (no regex): it starts at the last
+    dot that is not one of the leading dots; else an empty text."""
+    return F.when(F.instr(F.ltrim(name, F.lit(".")), ".") > 0, F.concat(F.lit("."), F.substring_index(name, ".", -1))) \
         .otherwise(F.lit(""))
-    stem = F.when(has_ext, name.substr(F.lit(1), F.length(name) - F.length(raw_ext))) \
-        .otherwise(name)
-    return stem, raw_ext
+
+
+def stem_before(name: Column, raw: Column) -> Column:
+    """``name`` without ``raw``, its ``raw_ext``."""
+    return F.when(raw != "", name.substr(F.lit(1), F.length(name) - F.length(raw))).otherwise(name)
+
+
+def ext_of(raw: Column) -> Column:
+    """A ``raw_ext`` without its dot, case kept; ``.ini`` is blanked."""
+    return F.when(F.lower(raw) == BLANKED_EXT, F.lit("")).otherwise(F.substring(raw, 2, 1 << 30))
 
 
 def is_noise_file(name: Column) -> Column:
@@ -29,13 +34,12 @@ def is_noise_file(name: Column) -> Column:
 
 def file_stem(name: Column) -> Column:
     """Name without its extension, as ``os.path.splitext`` splits it."""
-    return _split_ext(name)[0]
+    return stem_before(name, raw_ext(name))
 
 
 def file_ext(name: Column) -> Column:
     """Extension without its dot, case kept; ``.ini`` is blanked."""
-    raw = _split_ext(name)[1]
-    return F.when(F.lower(raw) == BLANKED_EXT, F.lit("")).otherwise(F.substring(raw, 2, 1 << 30))
+    return ext_of(raw_ext(name))
 
 
 def file_extension(name: Column) -> Column:

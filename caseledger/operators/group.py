@@ -159,11 +159,14 @@ def entry_rows(case_files: DataFrame, mode: str = "strict") -> DataFrame:
         cf = cf.where(F.col("case_folder").isNotNull())
         kept = kept & ~is_dir if mode == "token" else kept
     level = [F.when(F.col(c) != "", F.concat(F.col(c), F.lit("/"))) for c in ("client_folder", "case_folder")]
-    above = F.concat(*[F.coalesce(x, F.lit("")) for x in level])
-    inside = F.when(path.startswith(above), F.substring(path, F.length(above) + 1, F.length(path))).otherwise(path)
-    return cf.select(*FOLDER, F.when(kept, inside).alias("path"), F.when(kept, FF.file_stem(name)).alias("stem"),
-                     F.when(kept, FF.file_ext(name)).alias("ext"), F.coalesce(kept, F.lit(False)).cast("long").alias("kept"),
-                     F.coalesce(kept & ~is_dir, F.lit(False)).cast("long").alias("kept_file"))
+    # columns of their own, so that each is computed once for all that read it
+    cf = cf.withColumns({"_kept": F.coalesce(kept, F.lit(False)), "_raw_ext": FF.raw_ext(name),
+                         "_above": F.concat(*[F.coalesce(x, F.lit("")) for x in level])})
+    kept, raw, above = F.col("_kept"), F.col("_raw_ext"), F.col("_above")
+    inside = F.when(path.startswith(above), F.substring(path, F.length(above) + 1, F.lit(1 << 30))).otherwise(path)
+    return cf.select(*FOLDER, F.when(kept, inside).alias("path"), F.when(kept, FF.stem_before(name, raw)).alias("stem"),
+                     F.when(kept, FF.ext_of(raw)).alias("ext"), kept.cast("long").alias("kept"),
+                     (kept & ~is_dir).cast("long").alias("kept_file"))
 
 
 def _hash_folders(rows: DataFrame, walks: dict[str, str]) -> DataFrame:

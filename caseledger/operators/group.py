@@ -55,13 +55,21 @@ def _folder_path() -> Column:
 
 
 def _joined(arr: Column, field: str) -> Column:
-    return F.array_join(F.filter(F.transform(arr, lambda f: f[field]), lambda v: v != ""), "\n")
+    # no lambdas, which are interpreted; array_join passes over nulls
+    return F.array_join(F.array_remove(arr.getField(field), ""), "\n")
 
 
 def _repeated(arr: Column, field: str) -> Column:
     """The texts of ``arr``, each as often as its row occurred, joined."""
     texts = F.flatten(F.transform(arr, lambda f: F.array_repeat(f[field], f["_m"].cast("int"))))
-    return F.array_join(F.filter(texts, lambda v: v != ""), "\n")
+    return F.array_join(F.array_remove(texts, ""), "\n")
+
+
+def _led(keys: list[str]) -> list[Column | str]:
+    """Grouping columns of ``keys``, led by their hash. Spark sorts rows whose lists it
+    collects by these columns, and one number settles nearly every comparison; the names
+    alone agree in long beginnings. 32 bits are enough, and less is shuffled."""
+    return [F.hash(*keys).alias("_lead_hash"), *keys]
 
 
 def ordered_runs(df: DataFrame, keys: list[str], order_col: str, texts: list[str],
@@ -73,7 +81,7 @@ def ordered_runs(df: DataFrame, keys: list[str], order_col: str, texts: list[str
     if parts is None:
         parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RUN_ROWS))
     ranged = rows.repartitionByRange(parts, *keys, order_col, *texts)
-    runs = ranged.groupBy(*keys, F.spark_partition_id().alias("_run")).agg(
+    runs = ranged.groupBy(*_led(keys), F.spark_partition_id().alias("_run")).agg(
         F.sort_array(F.collect_list(F.struct(order_col, *texts, "_m"))).alias("_items"),
         F.sum("_m").alias("_n"), F.min(order_col).alias("_first"),
         *[F.sum(c).alias(f"_s_{c}") for c in sums])
@@ -95,7 +103,7 @@ def ordered_concat(df: DataFrame, keys: list[str], order_col: str, texts: list[s
     key until the final join of run texts, which is the output value itself.
     """
     runs = ordered_runs(df, keys, order_col, texts, sums, parts)
-    out = runs.groupBy(*keys).agg(
+    out = runs.groupBy(*_led(keys)).agg(
         F.sort_array(F.collect_list(F.struct("_run", *texts))).alias("_runs"),
         F.sum("_n").alias("n_rows"), F.min("_first").alias("first"),
         *[F.sum(f"_s_{c}").alias(c) for c in sums])
@@ -173,7 +181,7 @@ def _hash_folders(rows: DataFrame, walks: dict[str, str]) -> DataFrame:
     """One aggregation by folder. ``walks``: suffix of the output columns and the
     column that says which entries the walk keeps."""
     entry = F.struct("path", "stem", "ext", "kept_file")
-    grouped = rows.groupBy(*FOLDER).agg(
+    grouped = rows.groupBy(*_led(FOLDER)).agg(
         F.sort_array(F.collect_list(F.when(F.col("kept") > 0, entry))).alias("_files"),
         *[F.sum(flag).alias(f"n_files{suffix}") for suffix, flag in walks.items()])
     out = []
@@ -209,7 +217,7 @@ def _ordered_folders(rows: DataFrame, walks: dict[str, str]) -> DataFrame:
     runs = _folder_runs(rows, walks)
     texts = [c for c in runs.columns if c.startswith(("files_text", "ext_text"))]
     sums = [c for c in runs.columns if c.startswith("n_files")]
-    out = runs.groupBy(*FOLDER, "folder_path").agg(
+    out = runs.groupBy(*_led([*FOLDER, "folder_path"])).agg(
         F.sort_array(F.collect_list(F.struct("_run", *texts))).alias("_runs"), *[F.sum(c).alias(c) for c in sums])
     return out.select(*FOLDER, "folder_path", *[_joined(F.col("_runs"), c).alias(c) if c in texts else F.col(c)
                                                 for c in runs.columns if c in texts or c in sums])
@@ -389,7 +397,7 @@ def _ordered_records(parsed: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _hash_records(parsed: DataFrame, key: list[str]) -> DataFrame:
-    grouped = parsed.groupBy(*key).agg(
+    grouped = parsed.groupBy(*_led(key)).agg(
         F.sort_array(F.collect_list(F.struct("folder_path", "_run", "files_text", "ext_text"))).alias("_parts"),
         F.sum("_lead").alias("n_folders"),
         F.sum("n_files").alias("n_files"),

@@ -195,7 +195,9 @@ def match_any(text: Column, patterns: list[str], low: Column | None = None) -> C
         full = text.rlike(RULE_FLAGS + pattern)
         if not pattern.isascii():
             return full
-        short = text.rlike(ASCII_FLAGS + pattern)
+        # one look at a character spares trying each pattern at nearly every place
+        first = PT.first_chars(some)
+        short = text.rlike(f"{ASCII_FLAGS}(?={first})(?:{pattern})" if first else ASCII_FLAGS + pattern)
         literals = PT.required_literals(some)
         if literals:
             short = _any([F.contains(low, F.lit(x)) for x in literals]) & short

@@ -425,3 +425,60 @@ def simplified(pattern: str) -> str | None:
         return _written(items)
     except _Unknown:
         return None
+
+
+# ------------------------------------------------------- first characters --
+
+def _begin(items) -> tuple[int, bool]:
+    """ASCII characters, as bits, that a text matched by ``items`` in a row may begin
+    with, and whether that text may be empty."""
+    some = 0
+    for op, arg in items:
+        if op is K.AT:
+            continue
+        if op is K.LITERAL or op is K.IN and not any(o is K.NEGATE or o is K.CATEGORY and a not in _PLAIN for o, a in arg):
+            chars = _set(op, arg)
+            if chars is None:
+                raise _Unknown
+            return some | chars, False
+        least = 1
+        if op is K.SUBPATTERN and not arg[1] and not arg[2]:
+            parts = [arg[3]]
+        elif op is K.BRANCH:
+            parts = arg[1]
+        elif op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT):
+            least, parts = arg[0], [arg[2]]
+        elif op is K.ATOMIC_GROUP:
+            parts = [arg]
+        else:
+            raise _Unknown
+        found = [_begin(p) for p in parts]
+        for chars, _ in found:
+            some |= chars
+        if least > 0 and not any(empty for _, empty in found):
+            return some, False
+    return some, True
+
+
+_PLAIN = (K.CATEGORY_DIGIT, K.CATEGORY_SPACE, K.CATEGORY_WORD)
+#: With more characters to begin with, few places of a text are ruled out.
+MOST_FIRST = 70
+
+
+def first_chars(patterns: list[str]) -> str | None:
+    """A Java class of the characters that any match of one of ``patterns`` in an ASCII
+    text, ignoring case, begins with. None if a match may be empty or isn't understood."""
+    some = 0
+    for p in patterns:
+        parsed = tree(p) if p.isascii() else None
+        if parsed is None or parsed.state.flags & ~(re.IGNORECASE | re.UNICODE | re.DOTALL | re.MULTILINE):
+            return None
+        try:
+            chars, empty = _begin(parsed)
+        except _Unknown:
+            return None
+        if empty:
+            return None
+        some |= chars
+    ascii_chars = [i for i in range(128) if some >> i & 1]
+    return f"[{''.join(f'\\x{i:02x}' for i in ascii_chars)}]" if 0 < len(ascii_chars) <= MOST_FIRST else None

@@ -47,6 +47,8 @@ HOT_FILES, HOT_FOLDERS = 250_000, 100_000
 TOP_KEYS, TRACKED = 1000, 10_000
 #: Rows of a run of a spread key: what one task joins at most (about).
 RUN_ROWS = 100_000
+#: Codec of stored rows that hold names or texts: they are most of what is written.
+DENSE = "zstd"
 
 
 def _folder_path() -> Column:
@@ -59,12 +61,6 @@ def _joined(arr: Column, field: str) -> Column:
     return F.array_join(F.array_remove(arr.getField(field), ""), "\n")
 
 
-def _repeated(arr: Column, field: str) -> Column:
-    """The texts of ``arr``, each as often as its row occurred, joined."""
-    texts = F.flatten(F.transform(arr, lambda f: F.array_repeat(f[field], f["_m"].cast("int"))))
-    return F.array_join(F.array_remove(texts, ""), "\n")
-
-
 def _led(keys: list[str]) -> list[Column | str]:
     """Grouping columns of ``keys``, led by their hash. Spark sorts rows whose lists it
     collects by these columns, and one number settles nearly every comparison; the names
@@ -77,16 +73,16 @@ def ordered_runs(df: DataFrame, keys: list[str], order_col: str, texts: list[str
     """The runs that ``ordered_concat`` joins: keys, ``_run`` (ascending in row order),
     ``_n`` rows, ``_first``, the joined texts, and ``_s_*`` sums."""
     # stored: dealing rows to ranges reads them twice
-    rows = materialize(df.groupBy(*keys, order_col, *texts).agg(F.count("*").alias("_m"), *[F.sum(c).alias(c) for c in sums]))
+    rows = materialize(df.select(*keys, order_col, *texts, *sums), DENSE)
     if parts is None:
         parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RUN_ROWS))
-    ranged = rows.repartitionByRange(parts, *keys, order_col, *texts)
+    rows = rows.withColumn("_place", F.col("_metadata.row_index"))
+    ranged = rows.repartitionByRange(parts, *keys, order_col, *texts, "_place")
     runs = ranged.groupBy(*_led(keys), F.spark_partition_id().alias("_run")).agg(
-        F.sort_array(F.collect_list(F.struct(order_col, *texts, "_m"))).alias("_items"),
-        F.sum("_m").alias("_n"), F.min(order_col).alias("_first"),
+        F.sort_array(F.collect_list(F.struct(order_col, *texts))).alias("_items"), F.count("*").alias("_n"),
         *[F.sum(c).alias(f"_s_{c}") for c in sums])
-    return runs.select(*keys, "_run", "_n", "_first", *[f"_s_{c}" for c in sums],
-                       *[_repeated(F.col("_items"), t).alias(t) for t in texts])
+    return runs.select(*keys, "_run", "_n", F.array_min(F.col("_items").getField(order_col)).alias("_first"),
+                       *[f"_s_{c}" for c in sums], *[_joined(F.col("_items"), t).alias(t) for t in texts])
 
 
 def ordered_concat(df: DataFrame, keys: list[str], order_col: str, texts: list[str],
@@ -97,9 +93,9 @@ def ordered_concat(df: DataFrame, keys: list[str], order_col: str, texts: list[s
     Splits hot keys without losing order: rows are range-partitioned on
     (keys, order_col, texts), so a key holding a large share of all rows spans
     several partitions; each partition joins its run of rows, and the runs
-    are joined in partition order, which is the row order. Equal rows are
-    counted first, so that every row has a place of its own, which a task that
-    runs again finds again. No task holds more than one partition's rows of a
+    are joined in partition order, which is the row order. Equal rows are told
+    apart by their place in the stored file, so that every row has a place of its
+    own, which a task that runs again finds again. No task holds more than one partition's rows of a
     key until the final join of run texts, which is the output value itself.
     """
     runs = ordered_runs(df, keys, order_col, texts, sums, parts)
@@ -132,7 +128,7 @@ def measured(df: DataFrame, keys: list[str], hot: int, **more: list[str]) -> tup
     texts = {"_key": keys, **more}
     wide = df.select("*", *[_key_hash(k).alias(f"_text_{n}") for n, k in texts.items()])
     wide = wide.observe(seen, *[F.expr(f"approx_top_k(`_text_{n}`, {TOP_KEYS}, {TRACKED})").alias(n) for n in texts])
-    stored = materialize(wide.select(*df.columns))
+    stored = materialize(wide.select(*df.columns), DENSE)
     got = {n: [(r["item"], r["count"]) for r in seen.get[n] or []] for n in texts}
     hashes = [item for item, many in got["_key"] if many > hot]
     # at most TOP_KEYS texts (two keys of one hash are both spread, and stay two keys)
@@ -231,13 +227,17 @@ def _folder_runs(rows: DataFrame, walks: dict[str, str]) -> DataFrame:
             texts.append(f"{name}{suffix}_")
         rows = rows.withColumn(f"n_files{suffix}", F.col(flag))
         sums.append(f"n_files{suffix}")
-    runs = materialize(ordered_runs(rows, FOLDER, "path", texts, sums))
-    lead = runs.groupBy(_key_text(FOLDER).alias("_folder")).agg(F.min("_run").alias("_lead_run"))
-    runs = runs.join(lead, _key_text(FOLDER) == F.col("_folder"))
+    runs = materialize(ordered_runs(rows, FOLDER, "path", texts, sums).drop("_n", "_first"), DENSE)
+    # ranges hold folders in order: what goes on in a range is its first folder, if that
+    # is the last one of the range before. One row a range is collected
+    ends = runs.groupBy("_run").agg(F.min(F.struct(*FOLDER)).alias("_low"), F.max(F.struct(*FOLDER)).alias("_high"))
+    ends = sorted(tuple(r) for r in ends.select("_run", *[_key_text([f"{x}.{c}" for c in FOLDER]) for x in ("_low", "_high")]).collect())
+    later = [f"{run}\x00{low}" for (_, _, high), (run, low, _) in zip(ends, ends[1:]) if low == high]
+    lead = ~F.concat_ws("\x00", F.col("_run").cast("string"), _key_text(FOLDER)).isin(later)
     return runs.select(*FOLDER, _folder_path(), *[x for suffix in walks for x in (
         F.col(f"stem{suffix}_").alias(f"files_text{suffix}"), F.col(f"ext{suffix}_").alias(f"ext_text{suffix}"),
         F.col(f"_s_n_files{suffix}").alias(f"n_files{suffix}"))],
-        "_run", (F.col("_run") == F.col("_lead_run")).cast("long").alias("_lead"))
+        "_run", lead.cast("long").alias("_lead"))
 
 
 def _ordered_folders(rows: DataFrame, walks: dict[str, str]) -> DataFrame:

@@ -59,15 +59,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df):
+def materialize(df, compression=None):
     """Compute ``df`` once and cut its lineage by writing it as a Parquet
     table under the cluster's shared ``spark.checkpoint.dir`` and reading it
     back (survives executor loss, unlike a local checkpoint; later scans get
     column pruning and filter pushdown). Use for an intermediate that a plan
-    reads several times."""
+    reads several times. ``compression`` is a Parquet codec, by default the session's."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, compression=compression)
     _STORED.append(path)
     return spark.read.parquet(path)
 

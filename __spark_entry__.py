@@ -178,11 +178,12 @@ def q_rule_hits_long(spark, sf):
 
 # -------------------------------------------------- listing-based queries --
 
-def _listing(spark, sf, stored=False):
+def _listing(spark, sf, stored=False, cols=("*",)):
     """Non-trashed listing; ``stored`` writes it once as a table first, as a
-    listing export would be, for plans that scan it several times."""
-    lst = fixture.listing(spark, sf)
-    return L.not_trashed(materialize(lst) if stored else lst)
+    listing export would be, for plans that scan it several times. ``cols`` are
+    those that a plan reads."""
+    lst = fixture.listing(spark, sf).select(*cols)
+    return L.not_trashed(materialize(lst, "zstd") if stored else lst)
 
 
 def q_not_trashed(spark, sf):
@@ -252,7 +253,8 @@ def q_paths_of_chains(spark, sf):
 
 def q_parent_listing_run(spark, sf):
     """L1 end to end from a listing without paths."""
-    return listing_run(_listing(spark, sf, True).drop("path")).select("root", *KEY, "files", "ext", *_rule_cols())
+    cols = ["root", "id", "name", "parent_id", "is_folder", "trashed"]
+    return listing_run(_listing(spark, sf, True, cols)).select("root", *KEY, "files", "ext", *_rule_cols())
 
 
 def q_first_listed_clients(spark, sf):

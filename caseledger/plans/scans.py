@@ -46,7 +46,7 @@ def classified_scan(case_files: DataFrame, rules=None, mode: str = "strict",
     records = group_cases(case_files, mode=mode, parser=parser, limit=limit, split_hot=split_hot)
     if sort:
         # a sort reads its input twice, so records are stored; flags and dates keep the order
-        records = sort_records(materialize(records))
+        records = sort_records(materialize(records, "zstd"))
     records = classify(records, rules, messages=messages)
     return stamp_dates(records, as_of, "token" if mode == "token" else mode)
 
@@ -85,13 +85,16 @@ def listing_run(listing: DataFrame, mode: str = "strict", rules=None, as_of: str
     first ``max_clients`` client folders of each root), group, classify, sort.
     A listing without a ``path`` column gets paths from parent ids; entries
     without a way to their root are left out and logged."""
+    listing = not_trashed(listing)
     if "path" not in listing.columns:
-        listing = materialize(paths_from_parents(not_trashed(listing)))
+        # only what names, parents and the tree are read from travels and is stored
+        listing = paths_from_parents(listing.select("root", "id", "name", "parent_id", "is_folder"))
+        listing = materialize(listing.select("root", "name", "path", "is_folder", "path_state"), "zstd")
         lost = listing.where(F.col("path_state") != OK).groupBy("path_state").count().collect()
         for r in lost:
             _LOG.warning("%d entries left out: %s", r["count"], r["path_state"])
         listing = listing.where(F.col("path_state") == OK).drop("path_state")
-    files = hierarchy_by_path(first_listed_clients(not_trashed(listing), max_clients), mode)
+    files = hierarchy_by_path(first_listed_clients(listing, max_clients), mode)
     return classified_scan(files, rules, mode=mode, as_of=as_of, sort=True, split_hot=split_hot)
 
 

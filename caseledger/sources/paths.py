@@ -5,8 +5,9 @@ theirs by pointer doubling: each folder knows a pointer to some ancestor and the
 names between; one join of the folders with themselves replaces the pointer by
 the pointer of that ancestor, so the distance doubles every round and a tree of
 depth d takes about log2(d) rounds. Only folders that have not reached their root
-take part in a round; those that have are looked up, not written again. Each round
-is stored, which cuts lineage.
+take part in a round; those that have are looked up, not written again. Pointers lead
+to folders that hold folders, so no others are looked up. Each round is stored, which
+cuts lineage.
 
 Files join the paths of their folders once, at the end.
 """
@@ -28,23 +29,33 @@ _LIVE = "live"
 
 def _round(live: DataFrame, known: DataFrame) -> DataFrame:
     """Folders of ``live`` with the pointer, path and state of what they point to.
-    ``known`` has one row a folder, so a parent of very many folders is a hot key
-    on one side only, which adaptive execution splits."""
+    ``known`` has one row a folder that holds folders, so a parent of very many folders
+    is a hot key on one side only, which adaptive execution splits."""
     up = known.select("root", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"),
                       F.col("state").alias("_state"))
     path = F.when(F.col("_path").isNotNull(), F.concat_ws("/", "_path", "path"))
-    return live.join(up, ["root", "up"], "left").select(
+    return _settled(live.join(up, ["root", "up"], "left").select(
         "root", "id", F.col("_up").alias("up"), path.alias("path"),
-        F.coalesce("_state", F.lit(ORPHAN)).alias("state"))
+        F.coalesce("_state", F.lit(ORPHAN)).alias("state"), "inner"))
+
+
+def _settled(folders: DataFrame) -> DataFrame:
+    """``folders`` with pointers of live ones only: no others are followed."""
+    return folders.withColumn("up", F.when(F.col("state") == _LIVE, F.col("up")))
 
 
 def folder_paths(listing: DataFrame, root_ids: DataFrame | None = None) -> DataFrame:
     """(root, id, path, state), a row a folder. ``root_ids`` has (root, root_id);
     by default the root label is the id of the root folder. A folder listed more
     than once counts once, with the least name and parent."""
-    folders = listing.where("is_folder").select("root", "id", "name", "parent_id") \
-        .groupBy("root", "id").agg(F.min(F.struct("name", "parent_id")).alias("f"))
-    folders = folders.select("root", "id", F.col("f.parent_id").alias("up"), F.col("f.name").alias("path"))
+    # each folder also marks its parent in the same pass: a pointer leads to a parent,
+    # later to a parent of one, so only marked folders are looked up
+    own = F.struct("name", "parent_id")
+    rows = listing.where("is_folder").select("root", F.inline(F.array(
+        F.struct("id", own.alias("f"), F.lit(False).alias("inner")),
+        F.struct(F.col("parent_id").alias("id"), F.when(F.lit(False), own).alias("f"), F.lit(True).alias("inner")))))
+    folders = rows.groupBy("root", "id").agg(F.min("f").alias("f"), F.max("inner").alias("inner")).where(F.col("f").isNotNull())
+    folders = folders.select("root", "id", F.col("f.parent_id").alias("up"), F.col("f.name").alias("path"), "inner")
     if root_ids is None:
         top = F.col("up") == F.col("root")
     else:
@@ -53,7 +64,7 @@ def folder_paths(listing: DataFrame, root_ids: DataFrame | None = None) -> DataF
         top = F.col("_top")
     state = F.when(F.coalesce(top, F.lit(False)), F.lit(OK)).when(F.col("up").isNull(), F.lit(ORPHAN)) \
         .otherwise(F.lit(_LIVE))
-    rows = materialize(folders.select("root", "id", "up", "path", state.alias("state")))
+    rows = materialize(_settled(folders.select("root", "id", "up", "path", state.alias("state"), "inner")), "zstd")
     done, many = [], None
     while True:
         live = rows.where(F.col("state") == _LIVE)
@@ -65,7 +76,7 @@ def folder_paths(listing: DataFrame, root_ids: DataFrame | None = None) -> DataF
         if not left or left == many:
             break
         many = left
-        rows = materialize(_round(live, reduce(DataFrame.unionByName, done + [live])))
+        rows = materialize(_round(live, reduce(DataFrame.unionByName, done + [live]).where("inner")), "zstd")
     done.append(live.withColumn("state", F.lit(CYCLE)))
     out = reduce(DataFrame.unionByName, done)
     path = F.when(F.col("state") == OK, F.col("path"))
@@ -81,9 +92,11 @@ def paths_from_parents(listing: DataFrame, root_ids: DataFrame | None = None) ->
     # the root folder itself is a parent with an empty path
     if root_ids is None:
         tops = listing.select("root").distinct().withColumn("parent_id", F.col("root"))
+        parents = parents.where(~F.coalesce(F.col("parent_id") == F.col("root"), F.lit(False)))
     else:
         tops = root_ids.select("root", F.col("root_id").alias("parent_id")).distinct()
-    parents = parents.join(tops, ["root", "parent_id"], "left_anti").unionByName(
+        parents = parents.join(tops, ["root", "parent_id"], "left_anti")
+    parents = parents.unionByName(
         tops.withColumn("_path", F.lit("")).withColumn("_state", F.lit(OK)))
     rows = listing.drop("path", "path_state").join(parents, ["root", "parent_id"], "left")
     path = F.when(F.col("_state") == OK, F.when(F.col("_path") == "", F.col("name"))
